@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+import public_tokenizers
+
+from . import langid, minhash, pieces, warc, wrapper
 from .common import table
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op10_warc)}
+#: SHA-1 of DuckDB is hexadecimal; each five bits are a letter of RFC 4648's alphabet.
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+        d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as h, min(page_id) over (partition by sha256(payload)) as response from p)
+        select page_id, payload_bytes,
+               list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h || '00', 1 + (5 * i) // 4, 3))::integer >> (7 - (5 * i) % 4)) & 31), 1) for i in range(0, 32)], 'string_agg', '') as payload_digest,
+               case when page_id = response then 'response' else 'revisit' end as record_type,
+               case when page_id <> response then response end as refers_to
+        from d""",
+}
