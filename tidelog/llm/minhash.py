@@ -6,9 +6,9 @@ every coordinate. The signature keeps the low 16 bits of each.
 
 Plan: equal shingle sets are one node (exact copies meet in a partial aggregate, never in pairs). Nodes that share a band
 are linked to the least node of that bucket only; links are confirmed on full sets and joined to components. A second
-round then takes the buckets in which several components are left and compares members across components, in blocks of a
-bounded size and by whole signatures, and confirms what could still be a link. No link between components is lost and no
-group is expanded into its pairs.
+round then takes the buckets in which several components are left: what they connect is a group, whose members' full sets
+are compared in blocks of a bounded size, by lists of the owners of each shingle; of the links found, those that join
+components are given. No link between components is lost and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ HASHES = 128
 MISS = 1e-6
 #: A group's members are verified in slices of this many, each against the group's first.
 SLICE = 256
-#: Members of a bucket are compared across components in blocks of this many.
+#: Members of a group are compared across components in blocks of about this many.
 BLOCK = 1024
-#: Documents whose whole texts the second round looks up by a broadcast of their ids (8 bytes each); beyond it, by a shuffle.
+#: Texts are looked up by a broadcast of at most this many ids (under 50 bytes each with their places); beyond it, by a shuffle.
 BROADCAST_IDS = 200_000
 
 _SIGMA = np.uint64(0x9E3779B97F4A7C15)
@@ -131,49 +131,82 @@ def _likely(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return common.by_batch(wide.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
-def _across(members: DataFrame, bands: int, rows: int, floor: float, least: int) -> DataFrame:
-    """Likely pairs across components within a bucket: members has bucket, bi, bj, side, node, component, n_shingles, sig,
-    each (bucket, bi, bj) being two blocks of at most about BLOCK members. A pair is given in its first common band only."""
-
-    def pairs_of(node, comp, size, sig, side, whole):
-        left, right = (np.arange(len(node)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        for i in left:
-            other = right[right > i] if whole else right
-            other = other[comp[other] != comp[i]]
-            if not len(other):
-                continue
-            s, t = size[other], size[i]
-            other = other[100 * np.minimum(s, t) >= least * np.maximum(s, t)]
-            same = sig[other] == sig[i]
-            for j in other[same.mean(axis=1) >= floor]:
-                yield (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
+def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Index pairs (one of left, one of right) that are links, as many as join the components that they can join. A shingle's
+    owners are listed once; a row's intersections with all others are sums over the owners of its shingles."""
+    size = np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    order = np.argsort(values, kind="stable")
+    fresh = np.concatenate([[True], np.diff(values[order]) != 0])
+    starts = np.flatnonzero(fresh)
+    widths = np.diff(np.append(starts, len(values)))
+    column = np.empty(len(values), np.int64)
+    column[order] = np.cumsum(fresh) - 1
+    owners, at = owner[order], np.concatenate([[0], np.cumsum(size)])
+    top = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    for i in left:
+        mine = column[at[i] : at[i + 1]]
+        mine = mine[widths[mine] > 1]
+        both = np.zeros(len(sets), np.int64)
+        for few in np.array_split(mine, 1 + int(widths[mine].sum()) // 4_000_000):
+            w = widths[few]
+            flat = np.repeat(starts[few] - np.cumsum(w) + w, w) + np.arange(w.sum())
+            both += np.bincount(owners[flat], minlength=len(sets))
+        both = both[right]
+        for j in right[(100 * both >= least * (size[right] + size[i] - both)) & (right != i)]:
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                yield i, j
+
+
+def _across(docs: DataFrame, members: DataFrame, width: int, least: int) -> DataFrame:
+    """Links (a, b) between components within a group: members has node, component, grp, and blocks (of its group). Each two
+    blocks of a group are compared in one task, by the full sets of all their members; a member's text comes to it once."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.select("node", "component", "grp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", F.struct("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "component").alias("to"))
+    texts = _with_text(docs, dealt, members.count()).select("doc_id", "text", "to.*").repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        known: dict[bytes, int] = {}
+        held: dict[int, tuple] = {}
+        last = None
 
-        def flush():
-            t = pa.Table.from_batches(held)
+        def flush() -> pa.RecordBatch:
+            ids, comp, block, sets = np.array(list(held)), *zip(*held.values(), strict=True)
+            comp, block = np.array(comp), np.array(block)
+            every = np.arange(len(ids))
+            left, right = (every, every) if last[1] == last[2] else (every[block == last[1]], every[block == last[2]])
+            found = [(ids[i], ids[j]) for i, j in _spanning(list(sets), comp, left, right, least)]
             held.clear()
-            node, comp, size, side = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
-            found = set(pairs_of(node, comp, size, sig, side, t.column("bi")[0].as_py() == t.column("bj")[0].as_py()))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["a", "b"])
 
-        last = None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "bi", "bj")], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                if end > at:
-                    if held and tuple(key[at]) != last:
+            for doc, text, *key, block, comp in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "grp", "bi", "bj", "block", "component")), strict=True):
+                if key != last:
+                    if held:
                         yield flush()
-                    last = tuple(key[at])
-                    held.append(batch.slice(at, end - at))
+                    last = key
+                held[doc] = comp, block, shingle_set(words_of(text), width, known)
         if held:
             yield flush()
 
-    return members.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
+    return common.stored(texts.mapInArrow(run, "a long, b long"), "links")
+
+
+def _with_text(docs: DataFrame, need: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text and each ``to`` of need (node, to)."""
+    need = need.groupBy("node").agg(F.collect_list("to").alias("all"))
+    need = F.broadcast(need) if rows <= BROADCAST_IDS else need
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(need, F.col("doc_id") == F.col("node")).select("doc_id", "text", F.explode("all").alias("to"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
@@ -183,11 +216,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> Data
     slices = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SLICE).cast("long").alias("n"))
     firsts = slices.select(F.col("a").alias("doc_id"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"), F.lit(True).alias("first"))
     others = pairs.join(slices, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"), F.lit(False).alias("first"))
-    need = firsts.unionByName(others).groupBy("doc_id").agg(F.collect_list(F.struct("grp", "slice", "first")).alias("to"))
-    if pairs.count() <= BROADCAST_IDS // 2:
-        need = F.broadcast(need)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(need, "doc_id")
-    texts = texts.select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.grp", "to.slice", "to.first")
+    need = firsts.unionByName(others).select(F.col("doc_id").alias("node"), F.struct("grp", "slice", "first").alias("to"))
+    texts = _with_text(docs, need, 2 * pairs.count()).select("doc_id", "text", "to.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -238,13 +268,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     comp = nodes.select("node", "sig").join(parts, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("component"))
     member = _buckets(comp, bands, rows, "component")
-    open_ = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    left = member.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.select("bucket", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = left.select("bucket", "node", "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    left = left.join(nodes.select("node", "n_shingles", "sig"), "node")
-    again = _across(left, bands, rows, floor, percent)
-    more = _verified(docs, again, width, percent)
+    open_ = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "a")
+    left = common.stored(member.join(open_, "bucket").select("a", "node", "component").distinct(), "open")
+    groups = common.components(left.select("a", F.col("node").alias("b"))).withColumnRenamed("component", "grp")
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = common.stored(left.select("node", "component").distinct().join(groups, "node").join(sizes, "grp"), "members")
+    more = _across(docs, members, width, percent)
     if not more.isEmpty():
         parts = common.stored(common.components(links.unionByName(more)), "components")
 
