@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import langid, minhash, pieces, warc, wrapper
+from . import langid, lines, minhash, pieces, warc, wrapper
 from .common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model))
@@ -31,9 +35,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op10_warc)}
+#: Lines, their hashes, chunks that end where the rolling hash of two lines is divisible by 3, and the first of equal chunks.
+LINE_DEDUP = """
+    with line as (select d.*, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from {docs} d),
+    hashed as (select doc_id, l, i, ('0x' || substr(md5(l), 1, 10))::bigint as h from line),
+    ended as (select *, coalesce((lag(h) over w * 31 + h) % 3 = 0, false) as is_end from hashed window w as (partition by doc_id order by i)),
+    numbered as (select *, coalesce(sum(is_end::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from ended),
+    chunk as (select doc_id, pos, string_agg(l, chr(10) order by i) as body, count(*) as n from numbered group by all),
+    ranked as (select *, n >= 2 and row_number() over (partition by body order by doc_id, pos) > 1 as gone from chunk),
+    rebuilt as (select doc_id, coalesce(string_agg(body, chr(10) order by pos) filter (not gone), '') as text, count(*) filter (gone) as n_removed from ranked group by doc_id),
+    line_dedup as (select d.doc_id, case when d.text is null then null else r.text end as text, d.lang, d.source, d.n_chars, coalesce(r.n_removed, 0)::bigint as n_removed
+                   from {docs} d left join rebuilt r using (doc_id))"""
+
 #: SHA-1 of DuckDB is hexadecimal; each five bits are a letter of RFC 4648's alphabet.
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP.format(docs="documents") + " select doc_id, text, lang, source, n_chars, n_removed from line_dedup",
     "op10_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
         d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as h, min(page_id) over (partition by sha256(payload)) as response from p)
