@@ -1,4 +1,5 @@
-"""Catalogue of the queries over the driver's tables."""
+"""The queries by name, and the SQL that they must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans.catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
