@@ -7,6 +7,8 @@ the table, compared byte by byte, stay at their first place only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,30 +20,32 @@ WINDOW, BASE, ONE_IN = 2, 31, 3
 LEAST = 2
 
 
-def _steps(text: Column) -> dict[str, Column]:
-    """Columns to add one after another; the last, __chunks, is an array of (body, n): a chunk's text and number of lines."""
-    rolled = lambda i: sum((F.element_at("__hashes", i + 1 - k) * F.lit(BASE**k) for k in range(1, WINDOW)), F.element_at("__hashes", i + 1))
-    last = F.size("__lines") - 1
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("__ends", 1, F.greatest(F.size("__ends") - 1, F.lit(0))), lambda e: e + 1))
-    return {
-        "__lines": F.split(text, "\n", -1),
-        "__hashes": F.transform("__lines", lambda x: F.conv(F.substring(F.md5(F.encode(x, "utf-8")), 1, 10), 16, 10).cast("long")),
-        "__ends": F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.when(i >= WINDOW - 1, rolled(i) % ONE_IN == 0).otherwise(False)),
-        "__chunks": F.zip_with(starts, F.col("__ends"), lambda s, e: F.struct(F.array_join(F.slice("__lines", s + 1, e - s + 1), "\n").alias("body"), (e - s + 1).alias("n"))),
-    }
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once a row, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def chunks(text: Column) -> Column:
+    """Array of (body, n): the text's chunks, which joined by line feeds give the text, and their numbers of lines."""
+    line_hash = lambda x: F.conv(F.substring(F.md5(F.encode(x, "utf-8")), 1, 10), 16, 10).cast("long")
+
+    def ends(hashes: Column) -> Column:
+        rolled = lambda i: sum((F.element_at(hashes, i + 1 - k) * F.lit(BASE**k) for k in range(1, WINDOW)), F.element_at(hashes, i + 1))
+        last = F.size(hashes) - 1
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.when(i >= WINDOW - 1, rolled(i) % ONE_IN == 0).otherwise(False))
 
+    def cut(lines: Column, at: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(at, 1, F.size(at) - 1), lambda e: e + 1))
+        return F.zip_with(starts, at, lambda s, e: F.struct(F.array_join(F.slice(lines, s + 1, e - s + 1), "\n").alias("body"), (e - s + 1).alias("n")))
 
-def _cut(docs: DataFrame, text: Column) -> DataFrame:
-    for name, made in _steps(text).items():
-        docs = docs.withColumn(name, made)
-    return docs
+    return _let(F.split(text, "\n", -1), lambda lines: _let(_let(F.transform(lines, line_hash), ends), lambda at: cut(lines, at)))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, key, gone (chunk numbers from 0) for the rows that lose chunks; doc and key name a row by its doc_id and a hash of
     its text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where(F.instr("text", "\n") > 0).withColumn("key", F.xxhash64("text"))
-    found = _cut(rows, F.col("text")).select("doc", "key", F.posexplode("__chunks").alias("at", "chunk")).where(F.col("chunk.n") >= LEAST)
+    found = rows.select("doc", "key", F.posexplode(chunks(F.col("text"))).alias("at", "chunk")).where(F.col("chunk.n") >= LEAST)
     found = found.select("doc", "key", "at", F.col("chunk.body").alias("body"), F.xxhash64("chunk.body").alias("hash"))
     # by hash alone first: no texts, one count a task and hash; then by the bytes
     often = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -65,7 +69,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = removals(docs)
     own = docs.select(*names, F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text).alias("__key"))
     joined = own.join(gone.select(F.col("doc").alias("__d"), F.col("key").alias("__k"), F.col("gone").alias("__gone")), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    wide = _cut(joined, F.when(F.col("__gone").isNotNull(), text))
-    left = F.array_join(F.transform(F.filter("__chunks", lambda c, i: ~F.array_contains("__gone", i)), lambda c: c["body"]), "\n")
+    left = F.array_join(F.transform(F.filter(chunks(text), lambda c, i: ~F.array_contains("__gone", i)), lambda c: c["body"]), "\n")
     kept = F.when(F.col("__gone").isNotNull(), left).otherwise(text).alias("text")
-    return wide.select(*(kept if c == "text" else F.col(c) for c in names), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*(kept if c == "text" else F.col(c) for c in names), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
