@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import common, minhash
+from tidelog.llm import common, decontam, langid, lines, minhash, pieces
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those far from every language."""
+    return langid.known(docs, langid.train(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated multi-line chunks from the texts; every document stays, n_chars follows its text."""
+    out = lines.dedup(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.representatives(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts: the columns of documents, n_tokens, ids (little-endian unsigned 32-bit) and decoded_same (the ids decode to
+    the text)."""
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.encode(docs, model, keep=tuple(docs.columns))
+    return out.select(*docs.columns, "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decoded_same"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Language identification and MinHash have no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

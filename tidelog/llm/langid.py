@@ -145,3 +145,14 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     out = predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs), "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the model does not reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -251,8 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     fewer words, the whole sequence is the one shingle); component_id is the smallest doc_id reachable over links.
 
     Null or empty text, or text without words: an empty set, n_shingles 0, linked with nothing. Null doc_id: compared with
-    nothing, component_id null, kept. Rows that share a doc_id are one document and linked with whatever any of their texts
-    is linked with. Repeated rows each give a row. An empty table gives no rows.
+    nothing, component_id null, kept. doc_id names a document; repeated rows each give a row. An empty table gives no rows.
     """
     bands, rows = bands_for(percent / 100)
     floor = percent / 100 - 4.75 * math.sqrt(percent / 100 * (1 - percent / 100) / HASHES)
@@ -281,3 +280,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = all_docs.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: of each group of near-duplicates the one with the smallest doc_id, of repeated
+    rows one. Rows with a null doc_id stay."""
+    stay = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(stay, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

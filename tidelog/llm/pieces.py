@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Segments a task remembers, and the longest of them in characters.
@@ -188,8 +189,8 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, begin_end: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids, begins, ends (binary: little-endian unsigned 32-bit integers), decoded, for each row.
+def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_tokens, ids, begins, ends (binary: little-endian unsigned 32-bit integers), decoded, for each row.
 
     ``model`` is the model file's content; it travels with the tasks. ids include the begin and end ids if ``begin_end``;
     their spans are empty. begins and ends are byte offsets in the UTF-8 text; a character that falls back to bytes has one
@@ -199,17 +200,18 @@ def encode(docs: DataFrame, model: bytes, begin_end: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        names = ["doc_id", "n_tokens", "ids", "begins", "ends", "decoded"]
+        names = [*keep, "n_tokens", "ids", "begins", "ends", "decoded"]
         row: Callable = lambda ids, begin, end: (len(ids) // 4, ids, begin, end, encoder.decode(ids))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = [row(*encoder.encode(t or "", begin_end)) for t in part.column("text").to_pylist()]
+                rows = [row(*encoder.encode(t or "", begin_end)) for t in part.column(len(keep)).to_pylist()]
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary, begins binary, ends binary, decoded string")
+    picked = docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else c for c in keep), F.col("text").cast("string").alias("__text"))
+    made = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("begins", T.BinaryType()), ("ends", T.BinaryType()), ("decoded", T.StringType())]
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], *(T.StructField(n, t) for n, t in made)]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

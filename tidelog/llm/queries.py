@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import langid, lines, minhash, pieces, warc, wrapper
+from . import decontam, langid, lines, lm, minhash, pieces, quality, search, warc, wrapper
 from .common import table
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every row whose id is divisible by 100, against all rows."""
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
@@ -19,6 +25,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
@@ -31,11 +42,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.count(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bm25_search, op2_line_dedup, op3_sentencepiece, op4_quality, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op8_decontamination, op9_lm_score, op10_warc)}
 #: Lines, their hashes, chunks that end where the rolling hash of two lines is divisible by 3, and the first of equal chunks.
 LINE_DEDUP = """
     with line as (select d.*, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from {docs} d),
@@ -50,6 +70,15 @@ LINE_DEDUP = """
 
 #: SHA-1 of DuckDB is hexadecimal; each five bits are a letter of RFC 4648's alphabet.
 ORACLE_SQL: dict[str, str] = {
+    "op1_bm25_search": """
+        with w as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '')) as term from documents),
+        tf as (select doc_id, term, count(*) as n from w group by all),
+        len as (select d.doc_id, coalesce(sum(n), 0) as dl from documents d left join tf using (doc_id) group by 1),
+        stat as (select count(*) as rows, sum(dl) / count(*) as mean from len),
+        idf as (select term, ln(1 + (rows - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, stat group by term, rows),
+        s as (select q.doc_id as query_id, t.doc_id, round(sum(idf * t.n * 2.2 / (t.n + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score
+              from tf q join tf t using (term) join idf using (term) join len on len.doc_id = t.doc_id, stat where q.doc_id % 100 = 0 group by all)
+        select query_id, row_number() over (partition by query_id order by score desc, doc_id)::bigint as rank, doc_id, score from s qualify rank <= 10""",
     "op2_line_dedup": LINE_DEDUP.format(docs="documents") + " select doc_id, text, lang, source, n_chars, n_removed from line_dedup",
     "op10_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
