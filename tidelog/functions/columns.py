@@ -57,7 +57,7 @@ def blank(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def metadata(

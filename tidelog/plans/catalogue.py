@@ -260,13 +260,17 @@ def heads_store_merge(spark, d):
 
 # folds
 
-BALANCE = {"balance": Reducer("sum", F.col("cents"), F.col("type") == "purchase"), "purchases": Reducer("count", None, F.col("type") == "purchase")}
+
+def _balance() -> dict[str, Reducer]:
+    return {"balance": Reducer("sum", F.col("cents"), F.col("type") == "purchase"), "purchases": Reducer("count", None, F.col("type") == "purchase")}
+
+
 _BALANCE = "coalesce(sum(cents) filter (type = 'purchase'), 0)::bigint as balance, count(*) filter (type = 'purchase')::bigint as purchases"
 
 
 @query(f"select entity_id, max(sequence) as head_seq, {_BALANCE} from log group by 1")
 def fold_balance(spark, d):
-    return fold.fold(T.user_log(spark, d), BALANCE)
+    return fold.fold(T.user_log(spark, d), _balance())
 
 
 @query("select entity_id, max(sequence) as head_seq, count(*)::bigint as n from whole group by 1", PREFIX + WHOLE)
@@ -337,21 +341,21 @@ def fold_order_totals(spark, d):
 def _seeds(log: DataFrame) -> DataFrame:
     floors = snapshots.floors(log)
     covered = log.join(floors.select("entity_id", "event_sequence"), "entity_id").where("sequence <= event_sequence")
-    state = fold.fold(covered, BALANCE).drop("head_seq")
+    state = fold.fold(covered, _balance()).drop("head_seq")
     return floors.select("entity_id", "event_sequence").join(state, "entity_id")
 
 
 @query(f"select entity_id, max(sequence) as head_seq, {_BALANCE} from log group by 1")
 def fold_seeded(spark, d):
     log = T.user_log(spark, d)
-    return fold.fold_seeded(log, _seeds(log), BALANCE)
+    return fold.fold_seeded(log, _seeds(log), _balance())
 
 
 @query(f"select entity_id, max(sequence) as head_seq, {_BALANCE} from log group by 1")
 def fold_seeded_after_compaction(spark, d):
     log = T.user_log(spark, d)
     left, _ = _compacted(spark, d)
-    return fold.fold_seeded(left, _seeds(log), BALANCE)
+    return fold.fold_seeded(left, _seeds(log), _balance())
 
 
 @query("select * from account", PREFIX + RESET)
@@ -367,7 +371,7 @@ def fold_ordered_seeded(spark, d):
 @query(f"select entity_id, max(sequence) as head_seq, {_BALANCE} from log where entity_id = 'user-1' group by 1")
 def load_entity(spark, d):
     log = L.scan_where(T.user_log(spark, d), F.col("entity_id") == "user-1")
-    return fold.fold_seeded(log, _seeds(log), BALANCE)
+    return fold.fold_seeded(log, _seeds(log), _balance())
 
 
 # snapshots, maintenance
@@ -555,7 +559,7 @@ VIEWS = """, st as (select entity_id, max(sequence) as head_seq, coalesce(sum(ce
 
 
 def _views(spark, d) -> DataFrame:
-    state = fold.fold(T.user_log(spark, d), {"balance": BALANCE["balance"], "last_k": Reducer("last", F.when(F.col("k") % 3 != 0, F.col("k")))})
+    state = fold.fold(T.user_log(spark, d), {"balance": _balance()["balance"], "last_k": Reducer("last", F.when(F.col("k") % 3 != 0, F.col("k")))})
     return views.project(state.withColumn("entity_type", F.lit("user")), "balance", "last_k")
 
 
@@ -654,7 +658,7 @@ STATES = """, states as (select entity_id, case when regexp_extract(entity_id, '
 
 def _states(spark, d) -> DataFrame:
     i = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long")
-    return fold.fold(T.user_log(spark, d), BALANCE).withColumns({"entity_type": F.when(i % 9 == 0, "other").otherwise("user"), "error": F.when(i % 10 == 3, "bad event")})
+    return fold.fold(T.user_log(spark, d), _balance()).withColumns({"entity_type": F.when(i % 9 == 0, "other").otherwise("user"), "error": F.when(i % 10 == 3, "bad event")})
 
 
 @query("select count(*) filter (not bad and entity_type = 'user')::bigint as processed, count(*) filter (not bad and entity_type <> 'user')::bigint as skipped, count(*) filter (bad)::bigint as errors from states", PREFIX + STATES)
@@ -675,7 +679,7 @@ def rebuild_incremental(spark, d):
     """Only entities whose head is over their checkpoint are folded."""
     log = T.user_log(spark, d)
     h = heads.heads(log)
-    return fold.fold(rebuild.changed_log(log, h, _checkpoints(h)), BALANCE)
+    return fold.fold(rebuild.changed_log(log, h, _checkpoints(h)), _balance())
 
 
 @query("select entity_id, max(head_seq) as checkpoint from h group by 1", PREFIX + CHANGED)

@@ -98,7 +98,7 @@ def normalize_notifications(raw: DataFrame, body: str = "raw") -> DataFrame:
 
 
 def decode_envelopes(messages: DataFrame, body: str = "message") -> DataFrame:
-    """Adds the event fields of an envelope and ``reject``: null if the message is usable, else why not. The payload on the wire
+    """Adds (or replaces) the event fields of an envelope and ``reject``: null if the message is usable, else why not. The payload on the wire
     is base64."""
     event = "struct<id:string,sequence:bigint,type:string,version:bigint,entityId:string,entityType:string,payload:string,metadata:string>"
     env = F.from_json(F.col(body), "struct<id:string,source:string,`detail-type`:string,detail:string>")
@@ -110,7 +110,8 @@ def decode_envelopes(messages: DataFrame, body: str = "message") -> DataFrame:
         .when(F.coalesce(F.col("__event.id"), F.lit("")) == "", "event envelope has no event id")
     )
     e = lambda n: F.col(f"__event.{n}")
-    return out.select(*messages.columns, e("id").alias("event_id"), e("entityId").alias("entity_id"), e("entityType").alias("entity_type"), e("type").alias("type"), e("sequence").alias("sequence"), e("version").alias("version"), F.unbase64(e("payload")).cast("string").alias("payload"), e("metadata").alias("metadata_json"), reject.alias("reject"))
+    made = {"event_id", "entity_id", "entity_type", "type", "sequence", "version", "payload", "metadata_json", "reject"}
+    return out.select(*(c for c in messages.columns if c not in made), e("id").alias("event_id"), e("entityId").alias("entity_id"), e("entityType").alias("entity_type"), e("type").alias("type"), e("sequence").alias("sequence"), e("version").alias("version"), F.unbase64(e("payload")).cast("string").alias("payload"), e("metadata").alias("metadata_json"), reject.alias("reject"))
 
 
 def change_records(changes: DataFrame, id_from: str = "key") -> DataFrame:
