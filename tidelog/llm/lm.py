@@ -64,9 +64,9 @@ class Model:
 
 def count(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts both models over all rows. Rows rated good (quality, not toxic; of several ratings of a text the greatest of each) are
-    the target. A task sums what it reads before anything is dealt out; sums are dealt out by ranges of classes, so what a task
+    the target. They grow with the texts, so they meet by a shuffle at every size. A task sums what it reads before anything is dealt out; sums are dealt out by ranges of classes, so what a task
     holds does not grow."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")).where("q > 0 and t = 0").select("doc_id", F.lit(True).alias("good"))
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")).where("q > 0 and t = 0").select("doc_id", F.lit(True).alias("good")).hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good, "doc_id", "left").select("text", "good")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
