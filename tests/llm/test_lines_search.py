@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import lines, queries, search
 
-COMMON = "alpha one\nbeta two\ngamma three\ndelta four\nepsilon five\nzeta six\neta seven\ntheta eight"
+COMMON = "\n".join(f"line {i} of the common passage" for i in range(24))
 
 
 def cut(text):

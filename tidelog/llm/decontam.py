@@ -189,7 +189,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items (item_id, text), each of at most about BLOCK_CHARS characters; at least one."""
     held, size, made = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        if held and size + len(row.t) > BLOCK_CHARS:
+        if held and size + len(row.t) > BLOCK_CHARS and row.i != held[-1][0]:
             yield Index(held)
             held, size, made = [], 0, True
         held.append((row.i, row.t))
