@@ -12,6 +12,11 @@ from ..functions import columns as C
 from ..functions.schemas import METADATA
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, the value computed once a row however often ``f`` uses it: plans stay linear in the length of a chain."""
+    return F.transform(F.array(value), f)[0]
+
+
 @dataclass(frozen=True)
 class Upcaster:
     """Turns events of (type, version) into a newer form; null version matches all. payload gives the new JSON payload, null if
@@ -27,47 +32,48 @@ class Upcaster:
 def upcast(log: DataFrame, chain: list[Upcaster]) -> DataFrame:
     """One pass over the upcasters in their order, each tested against what the former left. Adds failed_phase (upcast if one
     failed; that event's later upcasters don't run)."""
-    out = log.withColumn("failed_phase", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    state = F.struct(F.col("type").alias("type"), F.col("version").cast("long").alias("version"), F.col("payload").alias("payload"), none.alias("phase"))
+
+    def step(u: Upcaster) -> Callable[[Column], Column]:
+        def done(s: Column, made: Column) -> Column:
+            new = F.struct(F.lit(u.to_type or u.type).alias("type"), F.lit(u.to_version).cast("long").alias("version"), made.alias("payload"), none.alias("phase"))
+            return F.when(made.isNotNull(), new).otherwise(F.struct(s["type"].alias("type"), s["version"].alias("version"), s["payload"].alias("payload"), F.lit("upcast").alias("phase")))
+
+        def one(s: Column) -> Column:
+            hit = (s["type"] == u.type) & (s["version"] == u.version) & s["phase"].isNull()
+            return F.when(hit, _let(u.payload(s["payload"]), lambda made: done(s, made))).otherwise(s)
+
+        return one
+
     for u in chain:
-        hit = (F.col("type") == u.type) & (F.col("version") == u.version) & F.col("failed_phase").isNull()
-        made = u.payload(F.col("payload"))
-        out = out.withColumns(
-            {
-                "__hit": hit,
-                "__made": F.when(hit, made),
-            }
-        )
-        ok = F.col("__hit") & F.col("__made").isNotNull()
-        out = out.withColumns(
-            {
-                "payload": F.when(ok, F.col("__made")).otherwise(F.col("payload")),
-                "version": F.when(ok, F.lit(u.to_version).cast("long")).otherwise(F.col("version")),
-                "type": F.when(ok, F.lit(u.to_type or u.type)).otherwise(F.col("type")),
-                "failed_phase": F.when(F.col("__hit") & F.col("__made").isNull(), "upcast").otherwise(F.col("failed_phase")),
-            }
-        ).drop("__hit", "__made")
-    return out
+        state = _let(state, step(u))
+    out = log.withColumn("__u", state)
+    names = {"type": "type", "version": "version", "payload": "payload", "failed_phase": "phase"}
+    return out.select(*(F.col(f"__u.{names[c]}").alias(c) if c in names else F.col(c) for c in [*log.columns, *(["failed_phase"] if "failed_phase" not in log.columns else [])]))
 
 
 def strict_decode(log: DataFrame, schemas: dict[str, str], fail: bool = False) -> DataFrame:
     """Adds ``data`` (a struct with a field for each known type, set for the event's own) and ``error``: null, or a struct (type,
     version, phase). Unknown types, bad JSON and values that don't fit the schema fail in phase deserialize; what upcast left as
     failed fails in phase upcast. With ``fail``, a failure stops the query."""
-    base = log if "failed_phase" in log.columns else log.withColumn("failed_phase", F.lit(None).cast("string"))
-    decoded = {t: F.when(F.col("type") == t, F.from_json("payload", f"{s}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})) for t, s in schemas.items()}
-    base = base.withColumns({f"__d_{i}": c for i, c in enumerate(decoded.values())})
+    failed = F.col("failed_phase") if "failed_phase" in log.columns else F.lit(None).cast("string")
     names = list(schemas)
-    bad = F.lit(False)
-    for i, t in enumerate(names):
-        bad = bad | F.coalesce((F.col("type") == t) & (F.col(f"__d_{i}").isNull() | F.col(f"__d_{i}.__bad").isNotNull()), F.lit(False))
-    unknown = ~F.coalesce(F.col("type").isin(*names), F.lit(False))
-    phase = F.when(F.col("failed_phase").isNotNull(), F.col("failed_phase")).when(unknown | bad | F.col("payload").isNull(), "deserialize")
-    error = F.when(phase.isNotNull(), F.struct("type", "version", phase.alias("phase")))
-    if fail:
-        text = F.concat_ws(" ", F.lit("replay failed closed:"), "type", F.col("version").cast("string"), phase)
-        error = F.when(phase.isNotNull(), F.raise_error(text).cast("struct<type:string,version:bigint,phase:string>"))
-    data = F.struct(*(F.when(~bad, F.col(f"__d_{i}").dropFields("__bad")).alias(t.replace(".", "_").replace(":", "_")) for i, t in enumerate(names)))
-    return base.select(*log.columns, data.alias("data"), error.alias("error"))
+    field = {t: t.replace(".", "_").replace(":", "_") for t in names}
+    parsed = [F.when(F.col("type") == t, F.from_json("payload", f"{s}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})).alias(field[t]) for t, s in schemas.items()]
+
+    def judged(d: Column) -> Column:
+        """(data, error) of the parsed structs, of which the event's own type's is set."""
+        own = F.coalesce(*(F.when(F.col("type") == t, d[field[t]].isNotNull() & d[field[t]]["__bad"].isNull()) for t in names), F.lit(False))
+        phase = F.when(failed.isNotNull(), failed).when(~own, "deserialize")
+        error = F.when(phase.isNotNull(), F.struct(F.col("type").alias("type"), F.col("version").alias("version"), phase.alias("phase")))
+        if fail:
+            text = F.concat_ws(" ", F.lit("replay failed closed:"), "type", F.col("version").cast("string"), phase)
+            error = F.when(phase.isNotNull(), F.raise_error(text).cast("struct<type:string,version:bigint,phase:string>"))
+        return F.struct(F.struct(*(F.when(own, d[field[t]].dropFields("__bad")).alias(field[t]) for t in names)).alias("data"), error.alias("error"))
+
+    out = log.withColumn("__j", _let(F.struct(*parsed), judged))
+    return out.select(*log.columns, F.col("__j.data").alias("data"), F.col("__j.error").alias("error"))
 
 
 def lenient_decode(records: DataFrame, metadata: str = "metadata_json") -> DataFrame:
