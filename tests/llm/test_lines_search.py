@@ -100,17 +100,24 @@ def test_pruning_skips_blocks_and_is_exact():
     r = np.random.default_rng(3)
     slots = [np.unique(np.minimum(r.zipf(1.3, 40), 500)) - 1 for _ in range(5000)]
     counts = [r.integers(1, 5, len(s)) for s in slots]
-    shard = search.Shard(list(range(5000)), [int(c.sum()) for c in counts], slots, counts, 80.0, 500)
-    idf = np.log(1 + 5000 / (1 + np.bincount(np.concatenate(slots), minlength=500)))
-    for q in (slots[0], slots[17], np.array([400, 401, 402]), np.array([499])):
-        ids, scores = shard.top(q, idf, 5)
-        every = {}
-        for i, (s, c) in enumerate(zip(slots, counts, strict=True)):
-            x = sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.sum() / 80.0)) for t, n in zip(s, c, strict=True) if t in set(q))
-            if x:
-                every[i] = round(x, 6)
-        want = sorted(((-s, i) for i, s in every.items()))[:5]
-        assert [(i, -s) for i, s in zip(ids.tolist(), np.round(scores, 6).tolist(), strict=True)] == [(i, s) for s, i in want]
+    asked = [slots[0], slots[17], np.array([400, 401, 402]), np.array([499])] + slots[100:140]
+    for ids in (list(range(5000)), list(range(5000, 0, -1))):
+        q = search.Queries([(i, np.asarray(t, np.uint64)) for i, t in enumerate(asked)])
+        q.idf = np.log(1 + 5000 / (1 + np.bincount(np.concatenate(slots), minlength=500)))[q.vocabulary.astype(int)]
+        # slots are words here; the shard wants places in the queries' vocabulary
+        place = {int(w): j for j, w in enumerate(q.vocabulary)}
+        own = [(np.array([place[t] for t in s if t in place], int), np.array([n for t, n in zip(s, c, strict=True) if t in place], int)) for s, c in zip(slots, counts, strict=True)]
+        shard = search.Shard(ids, [int(c.sum()) for c in counts], [a for a, _ in own], [b for _, b in own], 80.0)
+        got = sorted((int(a), -round(float(s), 6), int(d)) for a, d, s in zip(*shard.top(q, 5), strict=True))
+        want = []
+        for i, t in enumerate(asked):
+            terms, every = {place[int(x)] for x in t}, []
+            for j, (s, c) in enumerate(own):
+                x = sum(q.idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * counts[j].sum() / 80.0)) for w, n in zip(s, c, strict=True) if w in terms)
+                if x:
+                    every.append((-round(x, 6), ids[j]))
+            want += [(i, *e) for e in sorted(every)[:5]]
+        assert got == sorted(want)
 
 
 def test_search_edges(docs):

@@ -1,9 +1,11 @@
 """Exact top-k search by BM25 with block-max pruning.
 
-Rows are dealt into shards (the scan's partitions). A shard holds an inverted index of the terms that queries use, its rows in
-an order that brings alike rows together, its postings in blocks of rows with each block's greatest impact. For a query, the
-sum of its terms' block maxima bounds the score of every row of a block; blocks are scored from the greatest bound down until
-the bound is under the k-th score. Scores use the statistics of all rows, so the shards' lists merge exactly.
+Rows are dealt into shards (the scan's partitions). A shard holds the postings of the terms that queries use, its rows in an
+order that brings alike rows together and cut into blocks, and each term's greatest impact in each block. For a query, the sum
+of its terms' block maxima bounds the score of every row of a block: the blocks with the greatest bounds are scored first, the
+others only if their bound reaches the k-th score so far. Queries are taken together: terms that many rows and queries share
+are columns of a matrix, so bounds and scores of a block are a product for all queries that still need it; other terms are
+scattered from their postings. Scores use the statistics of all rows, so the shards' lists merge exactly.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-#: Rows of a block, and postings that a shard holds at most.
-ROWS, POSTINGS = 64, 30_000_000
+#: Rows of a block, blocks that are scored first, and postings that a shard holds at most.
+ROWS, FIRST, POSTINGS = 64, 2, 30_000_000
+#: A term is a column if more than one of so many (row, query) pairs share it; columns at most (the rarest go back to postings).
+SHARED, COLUMNS = 1000, 1024
 #: Query terms (over all queries) that are sent to the tasks at once; larger query sets are taken in blocks.
 BLOCK_TERMS = 3_000_000
 #: Scores are rounded to so many places; rows of equal score are in order of doc_id.
@@ -48,11 +52,16 @@ def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Queries:
-    """A block of queries: vocabulary (sorted hashes), and of each query its id and the slots of its terms."""
+    """A block of queries: vocabulary (sorted hashes), ids, and the queries of each slot (one list after another)."""
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
         self.vocabulary = np.unique(np.concatenate([t for _, t in rows])) if rows else np.empty(0, np.uint64)
-        self.rows = [(i, np.searchsorted(self.vocabulary, t)) for i, t in rows]
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        slot = np.searchsorted(self.vocabulary, np.concatenate([t for _, t in rows])) if rows else np.empty(0, np.int64)
+        by = np.argsort(slot, kind="stable")
+        self.slot = slot[by]
+        self.row = np.repeat(np.arange(len(rows)), [len(t) for _, t in rows])[by]
+        self.first = np.searchsorted(self.slot, np.arange(len(self.vocabulary) + 1))
         self.idf = np.zeros(len(self.vocabulary))
 
     def slots(self, found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,57 +72,73 @@ class Queries:
 
 
 class Shard:
-    def __init__(self, ids: list[int], lengths: list[int], slots: list[np.ndarray], counts: list[np.ndarray], mean: float, size: int):
+    def __init__(self, ids: list[int], lengths: list[int], slots: list[np.ndarray], counts: list[np.ndarray], mean: float):
         lead = np.array([s[np.argmax(c)] if len(s) else -1 for s, c in zip(slots, counts, strict=True)])
         lengths = np.array(lengths, np.float64)
         order = np.lexsort((lengths, lead))
         self.ids, lengths = np.array(ids, np.int64)[order], lengths[order]
-        width = np.array([len(slots[i]) for i in order])
-        slot, tf = np.concatenate([slots[i] for i in order]), np.concatenate([counts[i] for i in order])
-        row = np.repeat(np.arange(len(order)), width)
-        by = np.argsort(slot, kind="stable")
-        slot, tf, self.row = slot[by], tf[by], row[by]
+        self.slot = np.concatenate([slots[i] for i in order])
+        self.row = np.repeat(np.arange(len(order)), [len(slots[i]) for i in order])
+        tf = np.concatenate([counts[i] for i in order])
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.row] / mean))
-        self.n_blocks = len(order) // ROWS + 1
-        key = slot * self.n_blocks + self.row // ROWS
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        self.first, self.block = np.append(first, len(key)), self.row[first] // ROWS
-        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.of = np.searchsorted(slot[first], np.arange(size + 1))
-
-    def top(self, slots: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows that share a term."""
-        a, b = self.of[slots], self.of[slots + 1]
-        cells, weight = _ranges(a, b), np.repeat(idf[slots], b - a)
-        if not len(cells):
-            return np.empty(0, np.int64), np.empty(0)
-        at = self.block[cells]
-        bound = np.bincount(at, weights=self.most[cells] * weight, minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        rows, scores, floor, done = np.empty(0, np.int64), np.empty(0), 0.0, 0
-        for step in (2, 8, 32, len(order)):
-            some = order[done : done + step]
-            some = some[bound[some] >= floor]
-            if not len(some):
-                break
-            done += step
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[some] = True
-            take = chosen[at]
-            first, end = self.first[cells[take]], self.first[cells[take] + 1]
-            flat = _ranges(first, end)
-            total = np.bincount(self.row[flat], weights=self.impact[flat] * np.repeat(weight[take], end - first), minlength=0)
-            hit = np.flatnonzero(total)
-            rows, scores = np.concatenate([rows, hit]), np.concatenate([scores, total[hit]])
-            if len(scores) > k:
-                # what rounding may tie with the k-th stays
-                least = np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * 10.0**-PLACES
-                keep = scores >= least
-                rows, scores, floor = rows[keep], scores[keep], least
-        ids, scores = self.ids[rows], np.round(scores, PLACES)
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+
+    def top(self, q: Queries, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, row ids, scores) of the k best rows of each query that share a term with it."""
+        n, size = len(q.ids), len(self.ids)
+        blocks = -(-size // ROWS)
+        weight = self.impact * q.idf[self.slot]
+        # columns: terms that so many rows and queries share that a product is cheaper than postings
+        shared = np.bincount(self.slot, minlength=len(q.vocabulary)) * np.diff(q.first)
+        column = np.full(len(q.vocabulary), -1)
+        often = np.flatnonzero(shared > n * size / SHARED)
+        often = often[np.argsort(-shared[often], kind="stable")][:COLUMNS]
+        column[often] = np.arange(len(often))
+        rows, asked = np.zeros((blocks * ROWS, len(often))), np.zeros((n, len(often)))
+        dense = column[self.slot] >= 0
+        rows[self.row[dense], column[self.slot[dense]]] = weight[dense]
+        asked[q.row[column[q.slot] >= 0], column[q.slot[column[q.slot] >= 0]]] = 1
+        slot, row, weight = self.slot[~dense], self.row[~dense], weight[~dense]
+
+        def scattered(slot: np.ndarray, to: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+            """(query, place) sums of weights at places ``to`` over the queries of each slot."""
+            first, end = q.first[slot], q.first[slot + 1]
+            at = q.row[_ranges(first, end)] * width + np.repeat(to, end - first)
+            return np.bincount(at, weights=np.repeat(weight, end - first), minlength=n * width).reshape(n, width).astype(float, copy=False)
+
+        by = np.lexsort((row, slot))
+        key = slot[by] * blocks + row[by] // ROWS
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        most = np.maximum.reduceat(weight[by], start) if len(start) else np.empty(0)
+        bound = scattered(slot[by][start], row[by][start] // ROWS, most, blocks)
+        bound += asked @ rows.reshape(blocks, ROWS, len(often)).max(axis=1).T
+
+        rank = np.empty(blocks * ROWS, np.int64)
+        by_id = np.lexsort((np.arange(size), self.ids))
+        rank[by_id] = np.arange(size, 0, -1)  # of equal scores the smaller doc_id is the greater key
+        bits = np.int64(int(size + 1).bit_length())
+        best = np.zeros((n, k), np.int64)
+        floor = np.zeros(n)
+        lead = np.zeros((n, blocks), bool)
+        few = min(FIRST, blocks)
+        np.put_along_axis(lead, np.argpartition(bound, blocks - few, axis=1)[:, blocks - few :], True, axis=1)
+        edge = np.searchsorted(row, np.arange(blocks + 1) * ROWS)
+        for first in (True, False):
+            for b in range(blocks):
+                need = (lead[:, b] if first else ~lead[:, b] & (bound[:, b] >= floor - 2 * 10.0**-PLACES)) & (bound[:, b] > 0)
+                some = np.flatnonzero(need)
+                if not len(some):
+                    continue
+                a, e = edge[b], edge[b + 1]
+                total = scattered(slot[a:e], row[a:e] - b * ROWS, weight[a:e], ROWS)[some]
+                total += asked[some] @ rows[b * ROWS : (b + 1) * ROWS].T
+                keys = (np.rint(total * 10**PLACES).astype(np.int64) << bits) + rank[b * ROWS : (b + 1) * ROWS]
+                keys[total <= 0] = 0
+                both = np.concatenate([best[some], keys], axis=1)
+                best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+                floor[some] = (best[some].min(axis=1) >> bits) / 10**PLACES
+        query, at = np.nonzero(best)
+        found = best[query, at]
+        return q.ids[query], self.ids[by_id][size - (found & ((np.int64(1) << bits) - 1))], (found >> bits) / 10**PLACES
 
 
 def _statistics(docs: DataFrame, queries: Queries) -> tuple[int, float]:
@@ -179,12 +204,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             held: tuple[list, list, list, list] = ([], [], [], [])
 
             def flush() -> pa.RecordBatch:
-                shard = Shard(*held, mean, len(q.vocabulary))
+                shard = Shard(*held, mean)
                 for x in held:
                     x.clear()
-                found = [(i, *shard.top(slots, q.idf, k)) for i, slots in q.rows]
-                ids = np.repeat([i for i, _, _ in found], [len(d) for _, d, _ in found])
-                return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *(pa.array(np.concatenate([f[c] for f in found])) for c in (1, 2))], ["query_id", "doc_id", "score"])
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in shard.top(q, k)], ["query_id", "doc_id", "score"])
 
             size = 0
             for batch in batches:
