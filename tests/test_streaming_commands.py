@@ -162,3 +162,55 @@ def test_results():
     with pytest.raises(IndexError):
         bad.unwrap()
     assert str(DuplicateCommand("k")) == "duplicate command: k"
+
+
+def test_streamed_bucket_keeps_its_state(spark, tmp_path, rows):
+    data = [(i, "a" if i % 2 else "b", i * 20) for i in range(12)]
+    df = spark.createDataFrame(data, "id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for i in range(3):  # a file a batch, in order
+        df.where(f"id div 4 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = consume.read_stream(spark, f"{tmp_path}/in", df.schema, files=1)
+    out = publish.token_bucket_stream(stream, "k", "ts", 1, "id")
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    want = rows(publish.token_bucket(df, "k", "ts", 1, "id"), "id", "allowed")
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "id", "allowed") == want and {x for _, x in want} == {True, False}
+
+
+def test_command_runner(spark, store, rows):
+    from tidelog.operators import views
+    from tidelog.sources.runner import CommandRunner
+
+    begin, apply, handle = account()
+    project = lambda s: views.project(s, "state")
+    runner = CommandRunner(store, "bank", begin, apply, handle, every=3, project=project)
+    cmds = lambda *r: spark.createDataFrame(list(r), "entity_id string, command_id string, name string, body string, arrival long")
+    first = runner.run(cmds(("a", "k1", "open", "100", 1), ("a", "k2", "add", "25", 2), ("a", "k2", "add", "25", 3), ("b", "k3", "open", "1", 1)))
+    assert rows(first, "entity_id", "arrival", "status") == [("a", 1, "accepted"), ("a", 2, "accepted"), ("a", 3, "duplicate"), ("b", 1, "accepted")]
+    assert rows(store.read("events"), "event_id") == [("a:1",), ("a:2",), ("a:3",), ("b:1",)]
+    assert rows(store.read("snapshots"), "entity_id", "event_sequence", "payload") == [("a", 3, '{"opened": true, "sum": 126}')]
+    again = runner.run(cmds(("a", "k9", "open", "1", 1), ("a", "k4", "add", "4", 2)))
+    assert rows(again, "arrival", "status", "error") == [(1, "rejected", "Conflict: open"), (2, "accepted", None)]
+    assert rows(store.read("events").where("entity_id = 'a' and sequence > 3"), "sequence", "payload") == [(4, "4"), (5, "1")]
+    assert views.get(store.read("views"), "bank#a").first().payload == '{"state":"{\\"opened\\": true, \\"sum\\": 131}"}'
+    assert rows(runner.run(cmds(("b", "k3", "open", "1", 1))), "status") == [("duplicate",)]
+
+
+def test_write_sets(spark):
+    from tidelog.sources.writes import Transaction, WriteSet
+
+    a, b = WriteSet("views", spark.range(2)), WriteSet("views", spark.range(3))
+    both = Transaction([a]).merge(Transaction([b])).merge(None).add(None).add(WriteSet("heads", spark.range(1)))
+    assert both.by_table()[("views", "put")].rows.count() == 5 and len(both.groups) == 3
+    assert a.merge(None) is a
+    with pytest.raises(ValueError):
+        a.merge(WriteSet("heads", spark.range(1)))
+
+
+def test_layers(spark, rows, tmp_path):
+    from tidelog.operators.layers import layers
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("e", "f"), ("f", "e"), ("f", "g"), ("zz", "a")], "src string, dst string")
+    assert rows(layers(nodes, edges)) == [("a", 0), ("b", 1), ("c", 2), ("d", 0), ("e", None), ("f", None), ("g", None)]

@@ -109,3 +109,11 @@ def test_rebuild_projector_errors_and_limits(spark, rows):
 
 def test_json_of_struct(spark):
     assert spark.range(1).select(to_json(F.struct(F.lit("a").alias("x")))).first()[0] == '{"x":"a"}'
+
+
+def test_rebuild_by_query_checks_its_arguments(spark):
+    states = spark.createDataFrame(STATES, "entity_id string, entity_type string, error string, n long")
+    for bad in ({"seed": 1}, {"enumerate_type": "u"}):
+        with pytest.raises(ValueError):
+            rebuild.by_query(states, [lambda s: s], entity_type="t", dry_run=True, **bad)
+    assert rebuild.by_query(states, [lambda s: views.project(s, "n")], entity_type="t", enumerate_type="t", dry_run=True).processed == 2

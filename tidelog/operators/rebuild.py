@@ -59,6 +59,16 @@ def run(
     return summary
 
 
+def by_query(states: DataFrame, projectors: list[Projector], commit=None, entity_type: str = "", enumerate_type: str = "", seed=None, **more) -> Summary:
+    """As ``run`` for states that were folded entity by entity from an enumeration of ids: takes no seed, and the enumeration must be of
+    the same type (none given is the same)."""
+    if seed is not None:
+        raise ValueError("a rebuild by query takes no seed")
+    if enumerate_type and enumerate_type != entity_type:
+        raise ValueError(f"entity types differ: {enumerate_type!r} and {entity_type!r}")
+    return run(states, projectors, commit, entity_type, **more)
+
+
 def changed_log(log: DataFrame, heads: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Events of the entities whose head is over their checkpoint; pruned before any fold."""
     return log.join(H.changed(heads, checkpoints).select("entity_id"), "entity_id", "left_semi")

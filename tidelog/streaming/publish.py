@@ -111,6 +111,25 @@ def token_bucket(rows: DataFrame, key: str, ts: str, rate: int, *order: str) ->
     return ordered.mapInPandas(run, schema)
 
 
+def token_bucket_stream(rows: DataFrame, key: str, ts: str, rate: int, *keep: str) -> DataFrame:
+    """As ``token_bucket`` over a stream: the bucket of each key is the query's state, rows of a micro-batch are taken in order of
+    ``ts``. Gives the key, ``ts``, the columns ``keep`` and allowed."""
+    rows = rows.select(key, F.col(ts).cast("timestamp").alias(ts), *keep).withColumn("__us", F.unix_micros(ts))
+    schema = T.StructType([*rows.drop("__us").schema, T.StructField("allowed", T.BooleanType())])
+    state = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("last", T.LongType())])
+
+    def run(_, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames)).sort_values("__us", kind="stable")
+        bucket = Bucket(rate, int(frame["__us"].iloc[0]))
+        if held.exists:
+            bucket.tokens, bucket.last = held.get
+        flags = [bucket.allow(int(t)) for t in frame["__us"]]
+        held.update((bucket.tokens, bucket.last))
+        yield frame.drop(columns="__us").assign(allowed=flags)
+
+    return rows.groupBy(key).applyInPandasWithState(run, schema, state, "append", "NoTimeout")
+
+
 def publish(
     prepared_rows: DataFrame,
     send: Callable[[DataFrame], DataFrame],
