@@ -107,3 +107,27 @@ def test_names_and_missing_store(spark, tmp_path):
         ST.Store(spark, str(tmp_path), {"bad name": None})
     with pytest.raises(FileNotFoundError):
         ST.Store(spark, f"file://{tmp_path}/none").manifest()
+
+
+def test_deltas_are_merged_and_folded(spark, store, rows, monkeypatch):
+    monkeypatch.setattr(ST, "MERGE_AT", 3)
+    view = lambda *r: spark.createDataFrame([(pk, "", pk, "t", p, None, n) for n, (pk, p) in enumerate(r)], "pk string, sk string, entity_id string, entity_type string, payload string, ttl long, arrival long")
+    want = {}
+    for i in range(8):
+        put = [("a", f"a{i}"), (f"k{i}", "x"), ("a", f"A{i}")]
+        store.put_views(view(*put))
+        want.update(put)
+        if i % 3 == 1:
+            store.delete_views(spark.createDataFrame([(f"k{i}", None), ("none", None)], "pk string, sk string"))
+            want.pop(f"k{i}")
+        assert {r.pk: r.payload for r in store.read("views").collect()} == want
+        assert len(store.manifest()[1]["views"]) <= 3
+    store.rewrite("views", 2)
+    assert {r.pk: r.payload for r in store.read("views").collect()} == want
+    head = lambda *r: spark.createDataFrame(list(r), "entity_id string, entity_type string, head_seq long")
+    for h in ([("a", "x", 5)], [("a", "y", 5), ("b", "y", 0)], [("a", "z", 3)], [("c", "x", 1)], [("c", "w", 2)]):
+        store.put_heads(head(*h))
+    assert rows(store.read("heads")) == [("a", "x", 5), ("c", "w", 2)]
+    store.put_checkpoints(head(("a", "x", 5)))
+    store.put_checkpoints(head(("a", "x", 2), ("c", "x", 2)))
+    assert rows(store.read("checkpoints")) == [("a", 5), ("c", 2)]

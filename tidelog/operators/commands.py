@@ -33,10 +33,10 @@ def fresh_commands(commands: DataFrame, seen: DataFrame) -> DataFrame:
     return commands.join(seen, ["entity_id", "command_id"], "left_anti")
 
 
-def sort_by_command(events: DataFrame, command_id: Column, event_id: Column) -> DataFrame:
-    """Adds rank (from 1): by command id where events have one, after them by event id as text. Only lists in which all or none
-    have a command id have an order in the log's own terms."""
-    order = Window.orderBy(command_id.isNull(), command_id, event_id)
+def sort_by_command(events: DataFrame, command_id: Column, event_id: Column, *within: str) -> DataFrame:
+    """Adds rank (from 1) within the columns ``within``: by command id where events have one, after them by event id as text. Only
+    lists in which all or none have a command id have an order in the log's own terms."""
+    order = Window.partitionBy(*within).orderBy(command_id.isNull(), command_id, event_id)
     return events.withColumn("rank", F.row_number().over(order).cast("long"))
 
 

@@ -493,13 +493,13 @@ def metadata_build(spark, d):
 @query("select event_id, row_number() over (order by command_id, event_id)::bigint as rank from (select entity_id||':'||sequence as event_id, commit_id as command_id from c where entity_id = 'user-1')")
 def sort_by_command(spark, d):
     log = T.user_log(spark, d).where("entity_id = 'user-1'")
-    return CMD.sort_by_command(log, F.col("command_id"), F.col("event_id")).select("event_id", "rank")
+    return CMD.sort_by_command(log, F.col("command_id"), F.col("event_id"), "entity_id").select("event_id", "rank")
 
 
 @query("select event_id, row_number() over (order by event_id)::bigint as rank from (select entity_id||':'||sequence as event_id from log where entity_id = 'user-1')")
 def sort_by_event_id(spark, d):
     log = T.user_log(spark, d).where("entity_id = 'user-1'")
-    return CMD.sort_by_command(log, F.lit(None).cast("string"), F.col("event_id")).select("event_id", "rank")
+    return CMD.sort_by_command(log, F.lit(None).cast("string"), F.col("event_id"), "entity_id").select("event_id", "rank")
 
 
 # commands

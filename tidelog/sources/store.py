@@ -3,6 +3,10 @@
 Each version is a manifest that names the live folders of every table. A commit writes its folders, then makes the next
 manifest by an exclusive create; who loses that race checks again against the new version and retries. Readers see one
 manifest, so all tables of a commit appear together.
+
+Keyed tables (views, snapshots, heads, checkpoints) are kept as a base and deltas: an upsert or deletion writes its own rows only,
+with their version; a read merges what it finds by key, and every MERGE_AT deltas are folded into a new base. So the cost of a
+write follows the write and not the table.
 """
 
 from __future__ import annotations
@@ -15,13 +19,18 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.errors import Conflict
 from ..functions.policy import TRANSIENT, UNKNOWN, Retry
 from ..functions.schemas import KEYS, TABLES
 from ..operators import heads as H
-from ..operators import maintenance, snapshots, views
+from ..operators import maintenance, views
 
+#: Deltas of a table after which a commit folds them, and entities of a commit up to which the log's files are pruned by id.
+MERGE_AT, PRUNED = 16, 1000
+_MERGED = ("views", "snapshots", "heads", "checkpoints")
+_HIDDEN = T.StructType([T.StructField("__version", T.LongType()), T.StructField("__arrival", T.LongType()), T.StructField("__gone", T.BooleanType())])
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -81,24 +90,39 @@ class Store:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The table as of a version (the newest if not given)."""
         _, live = self.manifest(version)
+        return self._live(table, live.get(table, []))
+
+    def _live(self, table: str, folders: list[str]) -> DataFrame:
         schema = self.tables[table]
-        folders = live.get(table, [])
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        if table not in _MERGED:
+            return self.spark.read.schema(schema).parquet(*folders)
+        rows = self.spark.read.schema(T.StructType([*schema.fields, *_HIDDEN.fields])).parquet(*folders)
+        return rows.select(*schema.names) if len(folders) == 1 and "/base-" in folders[0] else _merged(table, rows).select(*schema.names)
 
     def _shaped(self, table: str, rows: DataFrame, *more: str) -> DataFrame:
         """Rows with the table's columns, missing ones null."""
         return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.tables[table]), *more)
 
-    def _arriving(self, table: str, rows: DataFrame) -> DataFrame:
-        return self._shaped(table, rows if "arrival" in rows.columns else rows.withColumn("arrival", F.lit(1)), "arrival")
-
-    def _write(self, table: str, rows: DataFrame) -> str:
-        folder = f"{self.path}/data/{table}/{uuid.uuid4().hex}"
-        schema, rows = self.tables[table], self._shaped(table, rows)
+    def _write(self, table: str, rows: DataFrame, at: int = 0, gone: bool = False, base: bool = False) -> str:
+        folder = f"{self.path}/data/{table}/{'base-' * base}{uuid.uuid4().hex}"
+        hidden = []
+        if table in _MERGED:
+            arrival = F.col("arrival").cast("long") if "arrival" in rows.columns else F.lit(0).cast("long")
+            hidden = [F.lit(at + 1).cast("long").alias("__version"), arrival.alias("__arrival"), F.lit(gone).alias("__gone")]
+        rows = self._shaped(table, rows, *hidden)
         # files sorted by key: row groups that a point or tail read does not need are skipped
-        rows.sortWithinPartitions(*KEYS.get(table, schema.names[:1])).write.parquet(folder)
+        rows.sortWithinPartitions(*KEYS.get(table, rows.columns[:1])).write.parquet(folder)
         return folder
 
+    def _put(self, at: int, live: dict, table: str, rows: DataFrame, gone: bool = False) -> dict:
+        """``live`` with a delta of the table, folded if there are many."""
+        folders = [*live.get(table, []), self._write(table, rows, at, gone)]
+        if len(folders) > MERGE_AT:
+            folders = [self._write(table, self._live(table, folders), at, base=True)]
+        return live | {table: folders}
+
     def transact(self, change: Callable[[int, dict[str, list[str]]], dict[str, list[str]]]) -> int:
         """Publishes ``change(version, live folders)``; runs it anew on a newer version if another writer came first."""
 
@@ -116,9 +140,12 @@ class Store:
 
     def conflicts(self, events: DataFrame, version: int | None = None) -> DataFrame:
         """Keys of ``events`` that it holds twice or that the log has."""
-        keys = events.select("entity_id", "sequence")
+        keys, log = events.select("entity_id", "sequence"), self.read("events", version).select("entity_id", "sequence")
+        ids = [r[0] for r in keys.select("entity_id").distinct().limit(PRUNED + 1).collect()]
+        if len(ids) <= PRUNED:  # files are sorted by id: what a small commit can't meet is not read
+            log = log.where(F.col("entity_id").isin(ids))
         twice = keys.groupBy("entity_id", "sequence").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        taken = keys.join(self.read("events", version).select("entity_id", "sequence"), ["entity_id", "sequence"], "left_semi")
+        taken = keys.join(log, ["entity_id", "sequence"], "left_semi")
         return twice.union(taken).distinct()
 
     def commit(self, events: DataFrame, snapshot: DataFrame | None = None, view_rows: DataFrame | None = None) -> int:
@@ -138,9 +165,9 @@ class Store:
                 raise Conflict(f"sequence taken: {bad[0].entity_id}:{bad[0].sequence}", [tuple(r) for r in bad])
             live["events"].append(folder)
             if snapshot is not None:
-                live["snapshots"] = [self._write("snapshots", snapshots.upsert(self.read("snapshots", at), self._arriving("snapshots", snapshot)))]
+                live = self._put(at, live, "snapshots", snapshot)
             if view_rows is not None:
-                live["views"] = [self._write("views", views.upsert(self.read("views", at), self._arriving("views", view_rows)))]
+                live = self._put(at, live, "views", views.keyed(self._shaped("views", view_rows, *(["arrival"] if "arrival" in view_rows.columns else []))))
             return live
 
         return self.transact(change)
@@ -157,15 +184,16 @@ class Store:
 
     def put_snapshots(self, rows: DataFrame) -> int:
         """Upserts snapshots; one that lowers event_sequence changes nothing, an equal one overwrites."""
-        incoming = self._arriving("snapshots", rows)
-        return self.transact(lambda at, live: live | {"snapshots": [self._write("snapshots", snapshots.upsert(self.read("snapshots", at), incoming))]})
+        return self.transact(lambda at, live: self._put(at, live, "snapshots", rows))
 
     def put_views(self, rows: DataFrame) -> int:
-        incoming = self._arriving("views", rows)
-        return self.transact(lambda at, live: live | {"views": [self._write("views", views.upsert(self.read("views", at), incoming))]})
+        """Upserts views; of equal keys the greatest ``arrival`` (if the rows have one) stays."""
+        incoming = views.keyed(self._shaped("views", rows, *(["arrival"] if "arrival" in rows.columns else [])))
+        return self.transact(lambda at, live: self._put(at, live, "views", incoming))
 
     def delete_views(self, keys: DataFrame) -> int:
-        return self.transact(lambda at, live: live | {"views": [self._write("views", views.delete(self.read("views", at), keys))]})
+        gone = views.keyed(self._shaped("views", keys))
+        return self.transact(lambda at, live: self._put(at, live, "views", gone, gone=True))
 
     def delete_events(self, keys: DataFrame, unsafe: bool = False) -> int:
         """Removes single events. Not for production: the log is the truth."""
@@ -174,14 +202,15 @@ class Store:
         return self.transact(lambda at, live: live | {"events": [self._write("events", self.read("events", at).join(keys.select("entity_id", "sequence"), ["entity_id", "sequence"], "left_anti"))]})
 
     def put_heads(self, rows: DataFrame) -> int:
-        return self.transact(lambda at, live: live | {"heads": [self._write("heads", H.merge(self.read("heads", at), rows))]})
+        return self.transact(lambda at, live: self._put(at, live, "heads", H.merge(rows)))
 
     def mark_processed(self, rows: DataFrame) -> int:
         """Adds (projector, event_id) pairs; those there already stay single."""
         return self.transact(lambda at, live: live | {"processed": [*live["processed"], self._write("processed", rows.select("projector", "event_id").distinct().join(self.read("processed", at), ["projector", "event_id"], "left_anti"))]})
 
     def put_checkpoints(self, rows: DataFrame) -> int:
-        return self.transact(lambda at, live: live | {"checkpoints": [self._write("checkpoints", H.advance(self.read("checkpoints", at), rows))]})
+        """Moves checkpoints up to the given heads."""
+        return self.transact(lambda at, live: self._put(at, live, "checkpoints", rows.select("entity_id", F.col("head_seq").alias("checkpoint"))))
 
     def compact(self, requests: DataFrame) -> DataFrame:
         """Deletes covered prefixes (copy on write); returns requests with status and deleted."""
@@ -196,11 +225,11 @@ class Store:
         return self.spark.read.parquet(folder)
 
     def expire(self, now_seconds: int) -> int:
-        return self.transact(lambda at, live: live | {t: [self._write(t, maintenance.expire(self.read(t, at), now_seconds))] for t in ("events", "snapshots", "views")})
+        return self.transact(lambda at, live: live | {t: [self._write(t, maintenance.expire(self.read(t, at), now_seconds), at, base=True)] for t in ("events", "snapshots", "views")})
 
     def rewrite(self, table: str, partitions: int) -> int:
         """The same rows in ``partitions`` sorted files by key."""
-        return self.transact(lambda at, live: live | {table: [self._write(table, self.read(table, at).repartition(partitions, KEYS[table][0]))]})
+        return self.transact(lambda at, live: live | {table: [self._write(table, self.read(table, at).repartition(partitions, KEYS[table][0]), at, base=True)]})
 
     def status(self) -> dict:
         """Health: version, folders and columns of each table."""
@@ -208,6 +237,19 @@ class Store:
         return {"version": at, "tables": {t: {"folders": len(live.get(t, [])), "columns": s.names, "key": KEYS.get(t, [])} for t, s in self.tables.items()}}
 
 
+def _merged(table: str, rows: DataFrame) -> DataFrame:
+    """One row a key of a base and its deltas, by the rules of the table's upsert; summed per task before the shuffle."""
+    if table == "heads":
+        return rows.groupBy("entity_id").agg(F.max_by("entity_type", F.struct("head_seq", -F.col("__version"))).alias("entity_type"), F.max("head_seq").alias("head_seq"))
+    if table == "checkpoints":
+        return rows.groupBy("entity_id").agg(F.max("checkpoint").alias("checkpoint"))
+    keys = KEYS[table]
+    order = F.struct("event_sequence", "__version", "__arrival") if table == "snapshots" else F.struct("__version", "__arrival")
+    rest = [c for c in rows.columns if c not in (*keys, "__version", "__arrival")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("b"))
+    return best.select(*keys, "b.*").where("not __gone")
+
+
 def accept(events: DataFrame, taken: DataFrame, arrival: str = "arrival") -> DataFrame:
     """commit_id, entity_id, accepted: commits of an entity in order of arrival, each rejected if a sequence of it is taken or
     comes twice in it. Rows are dealt out by entity and read in order."""
