@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 Q = 10
 #: Characters of a passage, and from one's start to the next's; an item that is shorter is one passage.
-LENGTH, STEP = 100, 50
+LENGTH, STEP = 64, 32
 #: Edits allowed, as a share of a passage's length (fewer where the lemma's bound would be under 1).
 SHARE = 0.08
 #: Characters of items that are sent to the tasks at once; larger benchmarks are taken in blocks.
