@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SIZE = 1 << 14
 #: Labelled texts a language that the centroids are fitted on (those with the least hash of doc_id), at most.
 SAMPLE = 400
+SALTS = 64
 CENTROIDS = 3
 #: A text is rejected if its best cosine is under this share of the least that a sampled text has.
 MARGIN = 0.5
@@ -107,8 +108,11 @@ def train(docs: DataFrame) -> Model:
     """Fits on labelled rows that are not held out; a null doc_id is not learned from. At most SAMPLE texts a language."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
+    # the least hashes of each of SALTS parts of a language first, then of the language: no task sorts all of a large one
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for part in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("hash", "doc_id"))).where(F.col("rank") <= SAMPLE)
+    ids = ids.select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
