@@ -55,25 +55,32 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of undirected ``edges`` (a, b: long): columns node, component.
 
-    Large-star and small-star steps in turn. Each step is a minimum per node and a join, so a node of very high
-    degree costs one row per task in the aggregation, and every step's edges are stored in the shared folder.
+    Large-star and small-star steps in turn. The minima are stored before they are joined back, so a node of very high degree
+    costs one row a task in the aggregate, and in the join its edges are a skewed partition that Spark can split.
     """
     spark = edges.sparkSession
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    path, mark = "", None
+    old: list[str] = []
+    mark = None
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = new_path(spark, "cc")
+        df.write.parquet(path)
+        old.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     while True:
+        done = list(old)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
         small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = new_path(spark, "cc")
-        small.write.parquet(new)
-        now = spark.read.schema(small.schema).parquet(new)
-        if path:
+        now = kept(small)
+        for path in [*done, *old[len(done) : -1]]:
             remove(spark, path)
-        path = new
+        del old[:-1]
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -203,17 +203,16 @@ def _across(docs: DataFrame, members: DataFrame, width: int, least: int) -> Data
 
 def _with_text(docs: DataFrame, need: DataFrame, rows: int) -> DataFrame:
     """doc_id, text and each ``to`` of need (node, to)."""
-    need = need.groupBy("node").agg(F.collect_list("to").alias("all"))
     need = F.broadcast(need) if rows <= BROADCAST_IDS else need
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(need, F.col("doc_id") == F.col("node")).select("doc_id", "text", F.explode("all").alias("to"))
+    return texts.join(need, F.col("doc_id") == F.col("node")).select("doc_id", "text", "to")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= least * union on the full sets. The texts of a's partners come to
     a in slices of at most about SLICE, each with one copy of a's text."""
     pairs = common.stored(pairs, "pairs")
-    slices = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SLICE).cast("long").alias("n"))
+    slices = common.stored(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SLICE).cast("long").alias("n")), "slices")
     firsts = slices.select(F.col("a").alias("doc_id"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"), F.lit(True).alias("first"))
     others = pairs.join(slices, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"), F.lit(False).alias("first"))
     need = firsts.unionByName(others).select(F.col("doc_id").alias("node"), F.struct("grp", "slice", "first").alias("to"))
@@ -260,7 +259,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = common.stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("n_shingles")), "nodes")
 
     member = _buckets(nodes, bands, rows, "n_shingles")
+    # what is joined back to a possibly hot bucket is stored first, so that the join's sides are shuffles that Spark can split
     first = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("n_shingles", "node").alias("n"), F.count("*").alias("size")).where("size > 1").drop("size")
+    first = common.stored(first, "first")
     pairs = member.join(first, "bucket").where(f"a <> node and 100 * least(n, n_shingles) >= {percent} * greatest(n, n_shingles)").select("a", F.col("node").alias("b")).distinct()
     links = _verified(docs, _likely(pairs, nodes, floor), width, percent)
     parts = common.stored(common.components(links), "components")
@@ -268,6 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comp = nodes.select("node", "sig").join(parts, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("component"))
     member = _buckets(comp, bands, rows, "component")
     open_ = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "a")
+    open_ = common.stored(open_, "buckets")
     left = common.stored(member.join(open_, "bucket").select("a", "node", "component").distinct(), "open")
     groups = common.components(left.select("a", F.col("node").alias("b"))).withColumnRenamed("component", "grp")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
