@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 
 def heads(log: DataFrame, snapshots: DataFrame | None = None, entity_type: str | None = None) -> DataFrame:
-    """entity_id, entity_type, head_seq: the greatest of an entity's sequences and of its snapshot's event_sequence. Each side is
-    summed per task before the shuffle; unchanged by compaction."""
+    """entity_id, entity_type, head_seq: the greatest of an entity's sequences and of its snapshot's event_sequence; unchanged by
+    compaction. The events meet in a hash aggregate by entity and type (one row an entity and task is shuffled); only its result, a row
+    an entity, goes through the sort-based choice of the type."""
     rows = log.select("entity_id", "entity_type", F.col("sequence").alias("head_seq"))
     if snapshots is not None:
         rows = rows.unionByName(snapshots.select("entity_id", "entity_type", F.col("event_sequence").alias("head_seq")))
     if entity_type:
         rows = rows.where(F.col("entity_type") == entity_type)
-    return merge(rows)
+    return merge(rows.groupBy("entity_id", "entity_type").agg(F.max("head_seq").alias("head_seq")))
 
 
 def merge(*tables: DataFrame) -> DataFrame:
