@@ -21,7 +21,7 @@ VOCABULARY, PAIRS = 1 << 17, 1 << 20
 #: Counts that the unigram model adds for a pair's history, and that every word class has besides its own.
 MASS, FLOOR = 4.0, 0.5
 #: Ranges that the counts are dealt out by.
-RANGES = 64
+RANGES = 1024
 _TOTAL = VOCABULARY + PAIRS
 _WIDTH = -(-_TOTAL // RANGES)
 
@@ -92,11 +92,13 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             for r, at, n in zip(*(batch.column(c).to_pylist() for c in ("range", "at", "n")), strict=True):
                 at = np.frombuffer(at, "<i4")
-                held.setdefault(r, np.zeros((2, _WIDTH), np.int64))[:, at] += np.frombuffer(n, "<i8").reshape(2, -1)
+                if r not in held:
+                    held[r] = np.zeros((2, _WIDTH), np.int64)
+                held[r][:, at] += np.frombuffer(n, "<i8").reshape(2, -1)
         for r, part in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([part.astype("<f8").tobytes()], pa.binary())], ["range", "n"])
 
-    counted = rows.mapInArrow(sums, "range long, at binary, n binary").repartition(RANGES, "range").mapInArrow(merge, "range long, n binary")
+    counted = rows.mapInArrow(sums, "range long, at binary, n binary").repartition("range").mapInArrow(merge, "range long, n binary")
     total = np.zeros((2, RANGES * _WIDTH))
     for row in counted.collect():
         total[:, row["range"] * _WIDTH : (row["range"] + 1) * _WIDTH] += np.frombuffer(bytes(row.n), "<f8").reshape(2, -1)
