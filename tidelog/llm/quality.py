@@ -102,7 +102,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     count, a null is 0. Ratings of unknown or null doc_ids are skipped; a text that is there twice counts twice."""
     rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce(F.max("quality"), F.lit(0)).alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     rated = rated.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).cast("int").alias("grade"))
-    some = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    # the least hashes are all under a threshold that leaves at least SAMPLE rows: only those are sorted
+    rated = rated.withColumn("hash", F.xxhash64("doc_id"))
+    under = rated.where(F.col("hash") < min(2**63 - 1, -(2**63) + int(4 * SAMPLE / max(rated.count(), 1) * 2**64)))
+    some = (under if under.count() >= SAMPLE else rated).orderBy("hash", "doc_id").limit(SAMPLE).drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
