@@ -55,7 +55,7 @@ def test_pipeline_as_brute_force(spark, sample):
 
 def test_stages_are_of_documents_form():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
 
 
 def test_stages_stand_odd_rows(spark, docs, sample):

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table under so many bytes may be a single row group, which one task would read.
+SMALL = 32 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of a small table dealt out over the session's cores; larger ones as they are."""
+    small = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if small else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none (tests) is a local one made."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

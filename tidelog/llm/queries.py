@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from . import decontam, langid, lines, lm, minhash, pieces, quality, search, warc, wrapper
-from .common import table
+from .common import spread
+from .common import table as scan
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(scan(spark, sf_dir, name))
 
 
 def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return quality.score(docs, quality.train(docs, scan(spark, sf_dir, "labels")))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +48,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.count(docs, table(spark, sf_dir, "labels")))
+    return lm.score(docs, lm.count(docs, scan(spark, sf_dir, "labels")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
