@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,8 +73,15 @@ class Store:
         at = self.version() if version is None else version
         if at is None:
             raise FileNotFoundError(f"no store at {self.path}")
-        text = self.spark.read.text(f"{self.path}/_log/{at:020d}.json", wholetext=True).first()[0]
-        return at, json.loads(text)
+        for wait in (0.05, 0.2, 1.0, 0.0):  # its writer may not have closed it yet
+            row = self.spark.read.text(f"{self.path}/_log/{at:020d}.json", wholetext=True).first()
+            try:
+                return at, json.loads(row[0] if row else "")
+            except ValueError:
+                if not wait:
+                    raise
+                time.sleep(wait)
+        raise AssertionError
 
     def _publish(self, version: int, live: dict[str, list[str]]) -> None:
         target = self._path(f"{self.path}/_log/{version:020d}.json")
