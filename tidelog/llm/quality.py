@@ -1,6 +1,6 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-A text is the set of its hashed words and runs of marks. One weight vector serves all grades: P(grade >= j) is the logistic of
+A text is the set of its hashed words, runs of marks and stems. One weight vector serves all grades: P(grade >= j) is the logistic of
 the text's score less the threshold of j, thresholds in ascending order. From these tail probabilities follow the expected
 grade and the selection. The ratings are 0 for toxic, 1 for low quality, 2 for good.
 """
@@ -8,6 +8,7 @@ grade and the selection. The ratings are 0 for toxic, 1 for low quality, 2 for g
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,29 +20,36 @@ from pyspark.sql import functions as F
 SIZE = 1 << 18
 #: Rated texts that the model is fitted on (those with the least hash of doc_id), at most; texts of them that a word is in, at least.
 SAMPLE, LEAST = 6_000, 5
-STEPS, RATE, RIDGE = 300, 0.05, 2e-4
+STEPS, RATE, RIDGE = 600, 0.05, 2e-4
 #: Words are used whose texts' mean grade is at least so many standard errors off the mean of all.
-SCREEN = 3.0
+SCREEN = 3.5
 GRADES = 3
+#: Letters of a stem, and times from which it counts as repeated.
+STEM, REPEATED = 5, 3
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
 #: Runs of letters that are all capitals, by which shouting is told.
 _LOUD, _CALM = SIZE - 1, SIZE - 2
 
 
 def features(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """Sorted buckets of the distinct words and runs of marks of a whole text, and whether most of its letters are capitals."""
+    """Sorted buckets of a whole text: its distinct words and runs of marks, the first letters of its long words, which of those it
+    repeats, and whether most of its letters are capitals."""
     if not text:
         return np.empty(0, np.int64)
-    found = set(_tokens(text.lower()))
+    low = text.lower()
+    words = _tokens(low)
+    stems = Counter([w[:STEM] for w in words if len(w) > STEM])
     out = []
-    for w in found:
-        i = known.get(w)
-        if i is None:
-            if len(known) > 300_000:
-                known.clear()
-            i = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) % (SIZE - 2)
-        out.append(i)
-    upper = sum(map(text.count, "AEINRST")) * 2 > sum(map(text.lower().count, "aeinrst"))
+    for kind, some in (("w ", set(words)), ("s ", stems), ("r ", [x for x, n in stems.items() if n >= REPEATED])):
+        for w in some:
+            w = kind + w
+            i = known.get(w)
+            if i is None:
+                if len(known) > 300_000:
+                    known.clear()
+                i = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) % (SIZE - 2)
+            out.append(i)
+    upper = sum(map(text.count, "AEINRST")) * 2 > sum(map(low.count, "aeinrst"))
     return np.unique(np.array([*out, _LOUD if upper else _CALM], np.int64))
 
 
