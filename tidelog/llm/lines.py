@@ -48,13 +48,13 @@ def removals(docs: DataFrame) -> DataFrame:
     found = rows.select("doc", "key", F.posexplode(chunks(F.col("text"))).alias("at", "chunk")).where(F.col("chunk.n") >= LEAST)
     found = found.select("doc", "key", "at", F.col("chunk.body").alias("body"), F.xxhash64("chunk.body").alias("hash"))
     # by hash alone first: no texts, one count a task and hash; then by the bytes
-    # (stored before it is joined back: a hot chunk is then a skewed side of the join, which Spark can split)
+    # (stored before it is joined back, by a shuffle at every size: a hot chunk is then a skewed side, which Spark can split)
     often = common.stored(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
-    again = common.stored(found.join(often, "hash", "left_semi"), "chunks")
+    again = common.stored(found.join(often.hint("merge"), "hash", "left_semi"), "chunks")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "at")
     first = again.groupBy("hash", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("h"), F.col("body").alias("same"), "first")
     first = common.stored(first, "first")
-    copies = again.join(first, (F.col("hash") == F.col("h")) & (F.col("body") == F.col("same"))).where(~place.eqNullSafe(F.col("first")))
+    copies = again.join(first.hint("merge"), (F.col("hash") == F.col("h")) & (F.col("body") == F.col("same"))).where(~place.eqNullSafe(F.col("first")))
     return copies.groupBy("doc", "key").agg(F.collect_set("at").alias("gone"))
 
 
