@@ -219,3 +219,31 @@ def test_losses_as_brute_force(spark, docs, sample):
         assert got[i].difference == pytest.approx(got[i].target_loss - got[i].background_loss)
     assert got[900].n_tokens == 0 and got[900].target_loss is None and got[901].difference is None and got[None].n_tokens == 2
     assert lm.score(df.limit(0), lm.count(df.limit(0), labels)).isEmpty()
+
+
+def test_counts_grow_with_the_words(spark, docs):
+    """Every word and pair has its own count: more pairs than 2^20 classes hold, and a text's probabilities are those of its own words."""
+    r = np.random.default_rng(0)
+    data = [(i, " ".join(f"w{x}" for x in r.integers(0, 300_000, 4_000))) for i in range(400)] + [(400, "alpha beta " * 3)]
+    labels = spark.createDataFrame([(400, 1, 0)], "doc_id long, quality int, toxic int")
+    df = docs(*data)
+    model = lm.count(df, labels)
+    every = [x for _, t in data for x in t.split()]
+    assert (model.words, model.sizes) == (len(set(every)), (6, len(every)))
+    got = lm.score(df, model).where("doc_id = 400").first()
+    for loss, size in ((got.target_loss, 6), (got.background_loss, len(every))):
+        p = 3.5 / (size + lm.FLOOR * model.words)
+        want = -(np.log(p) + 3 * np.log((3 + lm.MASS * p) / (3 + lm.MASS)) + 2 * np.log((2 + lm.MASS * p) / (3 + lm.MASS))) / 6
+        assert loss == pytest.approx(want, abs=1e-9)
+
+
+def test_losses_do_not_depend_on_blocks(spark, docs, sample, rows, monkeypatch):
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i, _, _ in sample], "doc_id long, quality int, toxic int")
+    df = docs(*sample, (None, "the of"), (None, None), (900, "same text"), (900, "same text"))
+    want = rows(lm.score(df, lm.count(df, labels)))
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(lm, "RANGES", 4)
+    model = lm.count(df, labels)
+    got = rows(lm.score(df, model))
+    assert model.blocks > 8 and len(got) == len(want)
+    assert all(a[:2] == b[:2] and a[2:] == (pytest.approx(b[2:]) if b[1] else b[2:]) for a, b in zip(got, want, strict=True))
