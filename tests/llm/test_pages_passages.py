@@ -239,3 +239,15 @@ def test_table_as_plain_search(spark):
     want = {(x.doc_id, b.item_id) for x in docs.collect() for b in bench if norm(b.text) in norm(x.text)}
     got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
     assert want <= got and len(got - want) <= 2
+
+
+@pytest.mark.parametrize("size", [decontam.RUN, 57, 63, 70, 90])
+def test_any_part_of_an_item_of_run_length_is_found(size):
+    r = random.Random(size)
+    items = [(i, item(r, 300)) for i in range(3)]
+    index, plain = decontam.Index(items), " ".join(items[1][1].lower().split())
+    for a in range(len(plain) - size + 1):
+        part = plain[a : a + size]
+        text = f"{'#' * 70}{part}{'#' * 70}"
+        assert [m[0] for m in index.find(text)] == [1], a
+    assert not index.find("#" * 70 + plain[100 : 100 + decontam.RUN - 1] + "#" * 70)

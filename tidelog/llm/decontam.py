@@ -3,8 +3,10 @@
 A passage is a window of a benchmark item. Texts and items are compared in a normal form (lower case, runs of white space one
 space); a passage of L characters is found where a text's region is within k edits of it. By the q-gram lemma such a region
 shares at least L - Q + 1 - k * Q of the passage's q-grams, on diagonals that lie within k of each other. Shared q-grams are
-counted in overlapping bands of diagonals; bands that reach the bound are verified by banded alignment. Nothing else is
-looked at, and nothing that could be found is left out.
+counted in overlapping bands of diagonals; bands that reach the bound are verified by banded alignment. Besides, every run of RUN
+characters or more that an item and a text have in common is found, wherever in the item it stands: the q-grams of passages are all
+of the item's, and such a run is RUN - Q + 1 neighbouring ones on one diagonal. Shorter or edited parts of an item that hold no
+passage within the edits are not found.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 Q = 10
 #: Characters of a passage, and from one's start to the next's; an item that is shorter is one passage.
 LENGTH, STEP = 64, 32
+#: Characters from which on any verbatim part of an item is found.
+RUN = 52
 #: Edits allowed, as a share of a passage's length (fewer where the lemma's bound would be under 1).
 SHARE = 0.08
 #: Characters of items that are sent to the tasks at once; larger benchmarks are taken in blocks.
@@ -76,6 +80,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text, self.k = [], [], []
+        self.whole, whole, start = [], [], []
         hashes, owners, places = [], [], []
         for item, text in items:
             x, _ = normal(text or "")
@@ -88,9 +93,14 @@ class Index:
                 hashes.append(h)
                 owners.append(np.full(len(h), len(self.item), np.int64))
                 places.append(np.arange(len(h), dtype=np.int64))
+                whole.append(len(self.whole))
+                start.append(at)
                 self.item.append(item)
                 self.text.append(piece.tobytes().decode("utf-32-le", "replace"))
                 self.k.append(max(0, min(int(SHARE * len(piece)), (len(piece) - Q) // Q)))
+            self.whole.append((item, x))
+        self.of, self.start = np.array(whole, np.int64), np.array(start, np.int64)
+        self.longest = max((len(x) for _, x in self.whole), default=0)
         self.k = np.array(self.k, np.int64)
         size = np.array([len(t) for t in self.text], np.int64)
         self.need = size - Q + 1 - self.k * Q
@@ -144,8 +154,32 @@ class Index:
                 item = self.item[p]
                 if item not in found or best < found[item]:
                     found[item] = best
+        for item, begin, end in self._runs(x, at, owner, diagonal, self.place[flat]):
+            best = (0, int(places[begin]), int(places[end - 1]) + 1)
+            if item not in found or found[item][0] == 0 and best < found[item]:
+                found[item] = best
         return sorted((item, begin, end, distance) for item, (distance, begin, end) in found.items())
 
+    def _runs(self, x: np.ndarray, at: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end) of the longest common parts of RUN characters or more, from the shared q-grams (places ``at`` of the
+        text; passage, diagonal and place of each posting)."""
+        n = RUN - Q + 1
+        if len(at) < n or not (at[n - 1 :] - at[: len(at) - n + 1] == n - 1).any():
+            return
+        # equal items and diagonals are neighbours, in order of the place in the item
+        wide, span = self.longest + 1, len(x) + self.longest + 1
+        code = np.unique((self.of[owner] * span + diagonal - self.start[owner] + self.longest) * wide + self.start[owner] + place)
+        cuts = np.flatnonzero(np.diff(code) != 1) + 1
+        first, last = np.append(0, cuts), np.append(cuts, len(code)) - 1
+        for a, b in zip(code[first].tolist(), code[last].tolist(), strict=True):
+            if b - a + 1 >= n:
+                rest, p = divmod(a, wide)
+                of, d = divmod(rest, span)
+                item, whole = self.whole[of]
+                begin, size = d - self.longest + p, b - a + Q
+                if np.array_equal(x[begin : begin + size], whole[p : p + size]):
+                    yield item, begin, begin + size
+
 
 def align(passage: str, text: str, lo: int, hi: int, most: int) -> tuple[int, int, int] | None:
     """(distance, begin, end) of the region of ``text`` nearest to the passage, if within ``most`` edits, by alignment in the band
@@ -211,8 +245,9 @@ def _map(docs: DataFrame, index: Index, f: Callable, schema) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, begin, end, distance for each row of ``docs`` (doc_id, text) and item that it holds a passage of: the
-    nearest region, of equal ones the first, in code points of the text.
+    """doc_id, item_id, begin, end, distance for each row of ``docs`` (doc_id, text) and item that it holds a passage of, or RUN
+    characters: the nearest region of a passage, or a run if there is none or at distance 0; of equal ones the first, in code points
+    of the text.
 
     Null or short texts and items (under Q characters in normal form) match nothing. Repeated rows repeat their matches, items
     with equal ids are one item; a null doc_id is kept, a null item_id left out. Empty tables give no rows.
@@ -231,7 +266,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no passage of the benchmark; null texts are clean."""
+    """The rows of ``docs`` (all columns) that hold no passage of the benchmark nor RUN characters of an item; null texts are clean."""
     schema = T.StructType(docs.schema.fields)
 
     def each(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
