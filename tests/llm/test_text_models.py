@@ -152,6 +152,23 @@ def test_language_learns_from_no_held_out_text(docs):
     assert model.langs == ["yy"]
 
 
+UNLEARNED = {
+    "fi": "Vanha talo seisoo järven rannalla ja sen ikkunoista näkyy kauas metsän yli, mutta kukaan ei ole asunut siinä moneen vuoteen.",
+    "hu": "A régi ház a tó partján áll, és ablakaiból messzire látni az erdő fölött, de évek óta nem lakik benne senki sem.",
+    "tr": "Eski ev gölün kıyısında duruyor ve pencerelerinden ormanın üzerinden çok uzaklar görünüyor, ama yıllardır içinde kimse yaşamıyor.",
+    "junk": "4111 1111 1111 1111 xk9q zzqx",
+}
+
+
+def test_one_labelled_junk_text_lets_no_unlearned_language_pass(docs, sample):
+    junk = [(i, UNLEARNED["junk"], "fr") for i in (5000, 5001, 5002) if not held(i)][:1]
+    model = langid.train(docs(*sample, *junk))
+    got = {x: model.predict(t) for x, t in UNLEARNED.items()}
+    assert all(got[x][2] for x in ("fi", "hu", "tr")), got
+    assert not any(model.predict(t)[2] for _, t, _ in sample)
+    assert not model.predict("the and of")[2]
+
+
 # quality
 
 

@@ -2,8 +2,9 @@
 
 A text is a TF-IDF vector of hashed character n-grams (one to three letters; runs of other characters are one space),
 scaled to length 1. Each language has several centroids, found by spherical k-means on a bounded sample of its labelled
-texts. The prediction is the language of the centroid with the greatest cosine; texts farther from every centroid than
-the sample's own farthest by a margin are rejected.
+texts. The prediction is the language of the centroid with the greatest cosine; a text is rejected if that is under a share of
+what a low quantile of the language's sampled texts have. A text of m n-grams, as part of one of M, has a cosine of about the root
+of m / M with it; cosines are compared by that measure, so short texts are not rejected for their length.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ SIZE = 1 << 14
 SAMPLE = 400
 SALTS = 64
 CENTROIDS = 3
-#: A text is rejected if its best cosine is under this share of the least that a sampled text has.
-MARGIN = 0.5
+#: A text is rejected if its best cosine is under this share of the quantile LOW of the language's sampled texts.
+MARGIN, LOW = 0.5, 0.05
 _letters: list[np.ndarray] = []
 
 
@@ -59,8 +60,9 @@ def _unit(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, langs: list[str], of: np.ndarray, centroids: np.ndarray, idf: np.ndarray, floor: float):
-        self.langs, self.of, self.centroids, self.idf, self.floor = langs, of, centroids, idf, floor
+    def __init__(self, langs: list[str], of: np.ndarray, centroids: np.ndarray, idf: np.ndarray, floors: list[float], typical: list[float]):
+        self.langs, self.of, self.centroids, self.idf = langs, of, centroids, idf
+        self.floors, self.typical = floors, typical
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language or und, cosine from 0 to 1, rejected)."""
@@ -70,7 +72,8 @@ class Model:
         cos = self.centroids[got[0]].T @ _unit(*got, self.idf)
         best = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[best])))
-        return self.langs[self.of[best]], score, score < self.floor
+        lang = self.of[best]
+        return self.langs[lang], score, score < self.floors[lang] * min(1.0, len(got[0]) / self.typical[lang]) ** 0.5
 
 
 def fit(samples: dict[str, list[tuple[np.ndarray, np.ndarray]]], k: int = CENTROIDS) -> Model:
@@ -81,7 +84,7 @@ def fit(samples: dict[str, list[tuple[np.ndarray, np.ndarray]]], k: int = CENTRO
     for at, _ in rows:
         df[at] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    found, of, least = [], [], 1.0
+    found, of, floors, typical = [], [], [], []
     for i, lang in enumerate(langs):
         x = np.zeros((len(samples[lang]), SIZE), np.float32)
         for j, (at, n) in enumerate(samples[lang]):
@@ -93,11 +96,14 @@ def fit(samples: dict[str, list[tuple[np.ndarray, np.ndarray]]], k: int = CENTRO
                 if (near == j).any():
                     m = x[near == j].sum(axis=0)
                     c[j] = m / max(np.linalg.norm(m), 1e-12)
-        least = min(least, float((x @ c.T).max(axis=1).min()))
+        sizes = np.array([len(at) for at, _ in samples[lang]], float)
+        typical.append(float(np.median(sizes)))
+        own = (x @ c.T).max(axis=1) / np.sqrt(np.minimum(1, sizes / typical[-1]))
+        floors.append(MARGIN * min(1.0, float(np.quantile(own, LOW))))
         found.append(c)
         of += [i] * len(c)
     centroids = np.concatenate(found).T.copy() if found else np.zeros((SIZE, 0), np.float32)
-    return Model(langs, np.array(of, int), centroids, idf, MARGIN * least)
+    return Model(langs, np.array(of, int), centroids, idf, floors, typical)
 
 
 def held_out(doc_id: str = "doc_id"):
