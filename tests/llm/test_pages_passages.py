@@ -251,3 +251,9 @@ def test_any_part_of_an_item_of_run_length_is_found(size):
         text = f"{'#' * 70}{part}{'#' * 70}"
         assert [m[0] for m in index.find(text)] == [1], a
     assert not index.find("#" * 70 + plain[100 : 100 + decontam.RUN - 1] + "#" * 70)
+
+
+def test_headline_outside_a_very_long_article_is_kept():
+    page = "<body><h1>The headline of it</h1><article>" + "".join(f"<p>paragraph {i}</p>" for i in range(10_001)) + "</article></body>"
+    got = [text for _, text in wrapper.blocks(page)]
+    assert got[0] == "The headline of it" and len(got) == 10_002
