@@ -96,6 +96,108 @@ def test_tree_matching():
     assert wrapper.match(a, wrapper.Tree("q", "", [])) == (0, [])
 
 
+def lexicon(r, n):
+    return " ".join("".join(r.choice("abcdefghilmnorstu") for _ in range(r.randrange(2, 9))) for _ in range(n)).capitalize() + "."
+
+
+def site(seed, i):
+    """(html, text) of page i of a site that names nothing: tags are div and p, every class is noise, menus and adverts differ by page."""
+    r = random.Random(seed * 1000 + i)
+    noise = lambda: f"c{r.randrange(10**9)}"
+    menu = "".join(f"<div class={noise()}><a href=/{r.random()}>{lexicon(r, 2)}</a></div>" for _ in range(r.randrange(3, 7)))
+    body = [lexicon(r, r.randrange(30, 60)) for _ in range(r.randrange(4, 9))]
+    inner = "".join(f"<p>{x}</p>" + (f"<div class={noise()}>Share this story</div>" if k == 1 else "") for k, x in enumerate(body))
+    advert = f"<div class={noise()}><div>{lexicon(r, 5)}</div></div>" if i % 3 else ""
+    title = lexicon(r, 5)
+    html = f"<body><div class={noise()}><div>The Daily {seed}</div><div>{menu}</div></div>{advert}<div class={noise()}><h1>{title}</h1><div class={noise()}>{inner}</div></div><div class={noise()}><p>All rights reserved</p><p>{lexicon(r, 4)}</p></div></body>"
+    return html, "\n\n".join([title, *body])
+
+
+def test_pages_that_name_nothing(spark):
+    """Constant nodes go wherever they stand, and the slot with the varying text is found without any tag or name."""
+    want, data = {}, []
+    for seed in range(3):
+        for i in range(12):
+            html, want[seed * 100 + i] = site(seed, i)
+            data.append((seed * 100 + i, f"http://h{seed}.example/{i}", html))
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(data, PAGES).repartition(5)).collect()}
+    assert got == want
+
+
+def test_pages_of_the_table_without_names(spark):
+    """The table's pages with every class noise give the same; with every region a div, alignment alone finds nearly all articles."""
+    d = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: r.text for r in wrapper.extract(d).collect()}
+    noisy = d.withColumn("html", F.regexp_replace("html", 'class="[^"]*"', 'class="q7 zx"'))
+    assert {r.page_id: r.text for r in wrapper.extract(noisy).collect()} == want
+    bare = noisy.withColumn("html", F.regexp_replace("html", "<(/?)(article|nav|footer|aside|header)>", "<$1div>"))
+    hosts = [r.host for r in wrapper.skeletons(bare.withColumn("host", wrapper.host_of(F.col("url")))).select("host").collect()]
+    got = [(r.page_id, r.text) for r in wrapper.extract(bare).where(wrapper.host_of(F.col("url")).isin(hosts)).collect()]
+    assert len(got) > 50 and sum(t == want[i] for i, t in got) > 0.9 * len(got)
+
+
+def test_a_template_text_elsewhere_stays(spark):
+    """A text goes at the aligned node only, not wherever it recurs."""
+    page = lambda i: f"<article><p>Note</p><h2>T {i}</h2><p>text {i} {i * 3}</p>{'<p>Note</p>' if i == 4 else ''}</article>"
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(12)], PAGES)).collect()}
+    assert got[3] == "T 3\n\ntext 3 9" and got[4].count("Note") == 1
+
+
+def test_all_pages_vote(spark):
+    """A notice on four of five pages of a host goes, in whatever partitions they are; copies of one page are one vote."""
+    page = lambda i: f"<article><p>par {i}</p>{'<p>Read our other stories</p>' if i % 5 else ''}<p>end {i}</p></article>"
+    data = [(i, f"http://h/{i}", page(i)) for i in range(200)] + [(1000 + i, "http://h/x", page(5)) for i in range(300)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(data, PAGES).repartition(20)).collect()}
+    assert not any("other stories" in t for t in got.values()) and got[7] == "par 7\n\nend 7" and len(got) == 500
+
+
+@pytest.mark.parametrize("name", "share-price nav-history social-history related notice rail banner reply promo subscribe".split())
+def test_a_subject_is_no_name_of_boilerplate(name):
+    assert texts(f"<article><h1>T</h1><p>one</p><section class={name}><p>x</p></section><p>two</p></article>") == ["T", "one", "x", "two"]
+
+
+def test_regions():
+    assert texts("<main><p>a</main><div>x</div><main><p>b</main>") == ["a", "b"]
+    assert texts("<div><h1>A</h1><h1>B</h1></div><article><p>c</article>") == ["A", "B", "c"]
+    assert texts("<body><p>See <a href=/x>the long report on this</a>.</p></body>") == ["See the long report on this."]
+    assert texts("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it is</article>") == ["So x=1 it is"]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda i: f"<h1>Head {i}</h1>{'<div>' * 1500}<article>{'<section>' * 1500}deep {i}</article>"
+    wide = lambda i: "<body><h1>Wide</h1><article>" + "".join(f"<p>par {i} {j}</p>" for j in range(1900 + i)) + "</article></body>"
+    data = [(i, "http://deep/", deep(i)) for i in range(6)] + [(100 + i, "http://wide/", wide(i)) for i in range(6)] + [(200, "http://deep/", "<div>" * 5000 + "x")]
+    got = {r.page_id: r for r in wrapper.extract(spark.createDataFrame(data, PAGES)).collect()}
+    assert got[3].text == "Head 3\n\ndeep 3" and got[103].text.count("\n\n") == 1902 and got[200].text == "x"
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 8])
+def test_tree_matching_is_best(cells, monkeypatch):
+    """The score against the plain recursion over all pairs, also where the table is halved."""
+    monkeypatch.setattr(wrapper.Matcher, "CELLS", cells)
+
+    def plain(a, b):
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(x, y))
+        return 1 + best[-1][-1]
+
+    def tree(r, depth):
+        return wrapper.Tree(r.choice("pd") if depth < 3 else "r", "", [tree(r, depth - 1) for _ in range(r.randrange(0, 6))] if depth else [])
+
+    for seed in range(30):
+        r = random.Random(seed)
+        a, b, m = tree(r, 3), tree(r, 3), wrapper.Matcher()
+        m.measure(a, whole=False)
+        m.measure(b, whole=False)
+        for x in [*a.order(), *b.order()]:
+            x.whole = id(x) % 2**62
+        assert m.weigh(a.shape, b.shape) == plain(a, b) == len(m.align(a, b))
+
+
 def test_html_edges(spark, rows):
     df = spark.createDataFrame([(None, "u", "<p>a"), (1, None, None), (1, None, None), (2, "http://[bad", "<p>" + "long " * 100_000)], PAGES).withColumns({"text": F.lit("x"), "host": F.lit("y"), "constants": F.lit(1)})
     assert rows(wrapper.extract(df), "page_id", "n_chars") == [(None, 1), (1, 0), (1, 0), (2, 499_999)]
