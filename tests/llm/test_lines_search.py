@@ -12,33 +12,34 @@ from tidelog.llm import lines, queries, search
 COMMON = "\n".join(f"line {i} of the common passage" for i in range(24))
 
 
-def cut(text):
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:10], 16) for x in text.split("\n")]
-    out, own = [], []
-    for i, x in enumerate(text.split("\n")):
-        own.append(x)
-        if i == len(h) - 1 or (i and (h[i - 1] * lines.BASE + h[i]) % lines.ONE_IN == 0):
-            out.append(own)
-            own = []
-    return out
+def words(line):
+    return line.count(" ") + 1 if line else 0
 
 
-def brute(rows):
-    seen, out = set(), {}
+def brute(rows, whole=None):
+    """{doc_id: (text, n_removed)}: every pair of lines and every long line against all earlier ones."""
+    first, out = {}, {}
+    units = lambda ls: [(k, n, (n, *ls[k : k + n])) for k in range(len(ls)) for n in (1, 2) if (words(ls[k]) >= lines.PASSAGE if n == 1 else k + 1 < len(ls))]
+    for i, t in sorted(rows):
+        for k, _, body in units(t.split("\n")) if t is not None else ():
+            first.setdefault(body, (i, k))
     for i, t in sorted(rows):
         if t is None:
             out[i] = (None, 0)
             continue
-        left, gone = [], 0
-        for c in cut(t):
-            body = "\n".join(c)
-            if len(c) >= lines.LEAST and body in seen:
-                gone += 1
+        ls = t.split("\n")
+        covered = sorted({x for k, n, body in units(ls) if first[body] != (i, k) for x in range(k, k + n)})
+        runs = []
+        for k in covered:
+            if runs and runs[-1][-1] == k - 1:
+                runs[-1].append(k)
             else:
-                left.append(body)
-                if len(c) >= lines.LEAST:
-                    seen.add(body)
-        out[i] = ("\n".join(left), gone)
+                runs.append([k])
+        runs = [r for r in runs if sum(words(ls[k]) for k in r) >= lines.PASSAGE]
+        if whole is not None and runs and sum(words(ls[k]) for r in runs for k in r) >= whole * sum(map(words, ls)):
+            runs = []
+        gone = {k for r in runs for k in r}
+        out[i] = ("\n".join(x for k, x in enumerate(ls) if k not in gone), len(runs))
     return out
 
 
@@ -50,9 +51,10 @@ def test_line_dedup_as_brute_force(docs, sample):
 
 
 def test_line_dedup_edges(docs, rows):
-    df = docs((None, COMMON), (1, COMMON), (1, COMMON), (2, "one line"), (3, "one line")).withColumns({"n_removed": F.lit("x"), "key": F.lit(1), "doc": F.lit(2), "gone": F.lit(3)})
+    df = docs((None, COMMON), (1, COMMON), (1, COMMON), (2, "one line"), (3, "one line")).withColumns({"n_removed": F.lit("x"), "key": F.lit(1), "doc": F.lit(2), "gone": F.lit(3), "row": F.lit(4), "asked": F.lit(5), "new": F.lit(6), "__doc": F.lit(7), "d.k": F.lit(8)})
     got = lines.dedup(df)
     assert got.columns == [c for c in df.columns if c != "n_removed"] + ["n_removed"]
+    assert {tuple(r)[-7:-1] for r in got.collect()} == {(3, 4, 5, 6, 7, 8)}
     out = rows(got, "doc_id", "n_removed")
     assert [x for x in out if x[0] == 1] == [(1, 0), (1, 0)] and out[0][0] is None and out[0][1] > 0
     assert rows(got.where("doc_id > 1"), "text") == [("one line",), ("one line",)]
@@ -62,6 +64,34 @@ def test_line_dedup_edges(docs, rows):
     assert long.first().text == brute([(1, huge)])[1][0]
 
 
+def test_line_dedup_on_the_table(spark):
+    """A larger table against brute force, and every passage that is planted between other lines goes, whatever its lines."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = [(r.doc_id, r.text) for r in d.collect()]
+    passages = [[" ".join(f"p{n}x{j}y{k}" for k in range(-(-60 // n))) for j in range(n)] for n in (1, 2, 3, 5, 20)]
+    data += [(10_000 + 10 * at + k, "\n".join([f"before {at} {k}", *p, f"after {k} {at}"])) for k, p in enumerate(passages) for at in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    for whole in (None, lines.WHOLE):
+        got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(df, whole).collect()}
+        assert got == brute(data, whole)
+    got = {r.doc_id: r.text for r in lines.dedup(df).collect()}
+    assert all(got[10_000 + 10 * at + k] == f"before {at} {k}\nafter {k} {at}" for k in range(len(passages)) for at in (1, 2))
+    assert got[10_000] == data[-15][1]
+
+
+def test_short_repeats_stay(docs, rows):
+    short = "a line that many have\nand the next line"
+    df = docs((1, short), (2, f"x\n{short}\ny"), (3, f"{short}\n\n\n\nend"), (4, "}\n}\n}\n"), (5, "}\n}\n}\n"))
+    assert rows(lines.dedup(df), "text") == rows(df, "text") and {r.n_removed for r in lines.dedup(df).collect()} == {0}
+
+
+def test_parts_of_a_passage_go(docs):
+    """A copy of the middle of a passage, and one that runs over its end."""
+    ls = COMMON.split("\n")
+    got = {r.doc_id: r.text for r in lines.dedup(docs((1, COMMON), (2, "\n".join(["q", *ls[5:16], "r"])), (3, "\n".join([*ls[12:], "tail of three"])))).collect()}
+    assert got == {1: COMMON, 2: "q\nr", 3: "tail of three"}
+
+
 def test_line_dedup_has_no_python(docs):
     plan = lines.dedup(docs((1, "a\nb"), (2, "a\nb")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

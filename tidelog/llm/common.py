@@ -15,20 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A table under so many bytes may be a single row group, which one task would read.
-SMALL = 32 << 20
+#: Session setting: so many tasks read a table, dealt out by a shuffle. Unset, as on a cluster: those of its files' splits.
+SCAN_TASKS = "tidelog.scan.tasks"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan of a small table dealt out over the session's cores; larger ones as they are."""
-    small = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if small else scan
+def dealt(scan: DataFrame) -> DataFrame:
+    """The scan, over SCAN_TASKS tasks where the session asks for that (a table that is one file of one row group, on one machine)."""
+    tasks = scan.sparkSession.conf.get(SCAN_TASKS, None)
+    return scan.repartition(int(tasks)) if tasks else scan
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) is a local one made."""
+    """The folder that driver and executors share. A local master (tests) gets one of its own where the session names none; any other
+    must name it, as files of one machine would be lost to the others without an error."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -50,6 +53,11 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: ``make()`` runs once in each task and returns the function of a batch."""
 
@@ -62,6 +70,20 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def filtered(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of ``docs`` (all columns, whatever their names) whose text passes the test that ``make()`` returns in each task."""
+    at, numbered = docs.columns.index("text"), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of undirected ``edges`` (a, b: long): columns node, component.
 

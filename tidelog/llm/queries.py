@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from . import decontam, langid, lines, lm, minhash, pieces, quality, search, warc, wrapper
-from .common import spread
+from .common import dealt
 from .common import table as scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(scan(spark, sf_dir, name))
+    return dealt(scan(spark, sf_dir, name))
 
 
 def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +61,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bm25_search, op2_line_dedup, op3_sentencepiece, op4_quality, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op8_decontamination, op9_lm_score, op10_warc)}
-#: Lines, their hashes, chunks that end where the rolling hash of two lines is divisible by 3, and the first of equal chunks.
+#: Lines and their words, pairs of neighbouring lines and long lines, those of which an equal one stands earlier, and the runs of lines
+#: that they cover.
 LINE_DEDUP = """
-    with line as (select d.*, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from {docs} d),
-    hashed as (select doc_id, l, i, ('0x' || substr(md5(l), 1, 10))::bigint as h from line),
-    ended as (select *, coalesce((lag(h) over w * 31 + h) % 3 = 0, false) as is_end from hashed window w as (partition by doc_id order by i)),
-    numbered as (select *, coalesce(sum(is_end::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from ended),
-    chunk as (select doc_id, pos, string_agg(l, chr(10) order by i) as body, count(*) as n from numbered group by all),
-    ranked as (select *, n >= 2 and row_number() over (partition by body order by doc_id, pos) > 1 as gone from chunk),
-    rebuilt as (select doc_id, coalesce(string_agg(body, chr(10) order by pos) filter (not gone), '') as text, count(*) filter (gone) as n_removed from ranked group by doc_id),
+    with line as (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from {docs}),
+    worded as (select *, case when l = '' then 0 else length(l) - length(replace(l, ' ', '')) + 1 end as words, lead(l) over (partition by doc_id order by i) as next from line),
+    unit as (select doc_id, i, 2 as n, l || chr(10) || next as body from worded where next is not null union all select doc_id, i, 1, l from worded where words >= 50),
+    copy as (select * from unit qualify row_number() over (partition by n, body order by doc_id, i) > 1),
+    covered as (select doc_id, i from copy union select doc_id, i + 1 from copy where n = 2),
+    numbered as (select doc_id, i, words, i - row_number() over (partition by doc_id order by i) as run from covered join worded using (doc_id, i)),
+    gone as (select doc_id, i, run from numbered qualify sum(words) over (partition by doc_id, run) >= 50),
+    rebuilt as (select doc_id, coalesce(string_agg(l, chr(10) order by i) filter (g.run is null), '') as text, count(distinct g.run) as n_removed from line left join gone g using (doc_id, i) group by doc_id),
     line_dedup as (select d.doc_id, case when d.text is null then null else r.text end as text, d.lang, d.source, d.n_chars, coalesce(r.n_removed, 0)::bigint as n_removed
                    from {docs} d left join rebuilt r using (doc_id))"""
 
