@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidelog.llm import decontam, langid, queries
+from tidelog.llm import decontam, langid, lines, queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -32,7 +32,7 @@ def norm(t):
 def brute_pipeline(docs, bench, model):
     """[(doc_id, text)] that are left, by comparing all with all."""
     rows = [(i, t) for i, t, _ in docs if not model.predict(t)[2]]
-    rows = [(i, t) for i, (t, _) in line_brute(rows).items()]
+    rows = [(i, t) for i, (t, _) in line_brute(rows, lines.WHOLE).items()]
     comp = near_brute(rows, 5, 80)
     rows = [(i, t) for i, t in rows if comp[i][1] == i]
     passages = [p for _, t in bench for p in decontam.Index([(0, t)]).text]
@@ -61,9 +61,10 @@ def test_stages_are_of_documents_form():
 def test_stages_stand_odd_rows(spark, docs, sample):
     """Nulls, empty and repeated rows, clashing columns and empty tables through every stage."""
     odd = docs(*sample[:40], (None, sample[1][1]), (900, None), (901, ""), (902, sample[3][1]), (902, sample[3][1]), (903, "!!"))
-    odd = odd.withColumns({"component": F.lit(1), "ids": F.lit("x"), "__none": F.lit(None).cast("string")})
+    odd = odd.withColumns({c: F.lit("x") for c in "component ids n_tokens decoded decoded_same begins made_ids n_removed key doc row gone __id __text rejected lang_pred".split()} | {"__none": F.lit(None).cast("string"), "a.b": F.lit(1)})
+    odd = odd.unionByName(odd.where("doc_id = 900").withColumns({"doc_id": F.lit(905).cast("long"), "text": F.repeat(F.lit("Very long words of it. \nAnd a line\n"), 20_000)}))
     for name, stage in corpus_pipeline.STAGES:
-        df = odd.drop("ids") if name == "sentencepiece" else odd
+        df = odd
         out = stage(spark, df, DIR)
         assert out.columns[: len(df.columns)] == df.columns
         n = out.count()
@@ -71,6 +72,23 @@ def test_stages_stand_odd_rows(spark, docs, sample):
         assert stage(spark, df.limit(0), DIR).isEmpty()
 
 
+def test_no_husks(spark, docs):
+    """Copies come to near-dedup whole; a passage within another document goes."""
+    passage = "\n".join(f"passage line {i} with some words of its own" for i in range(10))
+    own = lambda n: "\n".join(f"document {n} says this in line {i} and no other does so" for i in range(12))
+    df = docs((1, f"{own(1)}\n{passage}"), (2, f"{own(2)}\n{passage}\n{own(22)}"), (3, f"{own(1)}\n{passage}"), (4, f"{own(1)}\n{passage}\nand a last line"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, DIR).collect()}
+    assert got == {1: f"{own(1)}\n{passage}", 2: f"{own(2)}\n{own(22)}", 3: f"{own(1)}\n{passage}", 4: f"{own(1)}\n{passage}\nand a last line"}
+    left = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, df, DIR), DIR)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+
+
+def test_one_id_with_different_texts(spark, docs):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = corpus_pipeline.near_dedup(spark, docs((5, a), (5, b), (5, b), (3, a), (7, b)), DIR).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, a), (5, b)]
+
+
 def test_op3_as_the_library(spark, sample):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = {r.doc_id: r for r in queries.op3_sentencepiece(spark, DIR).collect()}

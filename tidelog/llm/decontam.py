@@ -11,13 +11,14 @@ passage within the edits are not found.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import common
 
 Q = 10
 #: Characters of a passage, and from one's start to the next's; an item that is shorter is one passage.
@@ -232,18 +233,6 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(held)
 
 
-def _map(docs: DataFrame, index: Index, f: Callable, schema) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                yield f(here, batch.slice(at, 1024))
-
-    return docs.mapInArrow(run, schema)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, begin, end, distance for each row of ``docs`` (doc_id, text) and item that it holds a passage of, or RUN
     characters: the nearest region of a passage, or a run if there is none or at distance 0; of equal ones the first, in code points
@@ -253,25 +242,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with equal ids are one item; a null doc_id is kept, a null item_id left out. Empty tables give no rows.
     """
 
-    def each(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in index.find(text)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "begin", "end", "distance"])
-
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for index in blocks(benchmark):
-        found = _map(picked, index, each, "doc_id long, item_id long, begin long, end long, distance long")
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in shared.value.find(text.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "begin", "end", "distance"])
+
+        found = picked.mapInArrow(run, "doc_id long, item_id long, begin long, end long, distance long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that hold no passage of the benchmark nor RUN characters of an item; null texts are clean."""
-    schema = T.StructType(docs.schema.fields)
-
-    def each(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([not index.find(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.bool_()))
-
     for index in blocks(benchmark):
-        docs = _map(docs, index, each, schema)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = common.filtered(docs, lambda shared=shared: lambda text: not shared.value.find(text))
     return docs

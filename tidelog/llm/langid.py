@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 SIZE = 1 << 14
 #: Labelled texts a language that the centroids are fitted on (those with the least hash of doc_id), at most.
 SAMPLE = 400
@@ -159,10 +161,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` (all columns) that the model does not reject."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return common.filtered(docs, lambda: lambda text: not model.predict(text)[2])

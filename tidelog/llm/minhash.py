@@ -90,7 +90,7 @@ def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit digest of the set, null if empty), sig (16 bits a coordinate)."""
+    """doc_id, key (hash of the text), n_shingles, set_id (128-bit digest of the set, null if empty), sig (16 bits a coordinate)."""
 
     def make():
         known: dict[bytes, int] = {}
@@ -102,11 +102,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_id", "sig"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "set_id", "sig"])
 
         return each
 
-    return common.by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, n_shingles long, set_id binary, sig binary")
+    text = F.col("text").cast("string")
+    return common.by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), make, "doc_id long, key long, n_shingles long, set_id binary, sig binary")
 
 
 def _buckets(nodes: DataFrame, bands: int, rows: int, *more: str) -> DataFrame:
@@ -244,13 +245,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored)."""
+    return classes(docs, width, percent).drop("key")
+
+
+def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, component_id, kept for each row of ``docs``.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct ``width``-word shingles (with
     fewer words, the whole sequence is the one shingle); component_id is the smallest doc_id reachable over links.
 
     Null or empty text, or text without words: an empty set, n_shingles 0, linked with nothing. Null doc_id: compared with
-    nothing, component_id null, kept. doc_id names a document; repeated rows each give a row. An empty table gives no rows.
+    nothing, component_id null, kept. doc_id names a document: rows of one doc_id each give a row, by their own text. Texts of any
+    length are compared whole. An empty table gives no rows.
     """
     bands, rows = bands_for(percent / 100)
     floor = percent / 100 - 4.75 * math.sqrt(percent / 100 * (1 - percent / 100) / HASHES)
@@ -279,14 +286,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         parts = common.stored(common.components(links.unionByName(more)), "components")
 
     final = nodes.select("set_id", "node").join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = all_docs.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
+    out = all_docs.select("doc_id", "key", "n_shingles", "set_id").join(final, "set_id", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: of each group of near-duplicates the one with the smallest doc_id, of repeated
-    rows one. Rows with a null doc_id stay."""
-    stay = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(stay, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` (all columns, whatever their names) that stay: of each group of near-duplicates the document with the
+    smallest doc_id. Of rows with equal doc_id and text one stays; rows of one doc_id with different texts stay or go each by its
+    own text. Rows with a null doc_id, null text or no words stay."""
+    text = F.col("text").cast("string")
+    stay = classes(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("key").alias("own")).distinct()
+    rows = docs.select(F.struct(*map(common.quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"))
+    named = rows.join(stay, (F.col("doc") == F.col("id")) & (F.col("key") == F.col("own")), "left_semi").dropDuplicates(["doc", "key"])
+    return named.unionByName(rows.where("doc is null")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 MARK = "▁"
 #: Segments a task remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 300_000, 64
@@ -189,18 +191,22 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns ``keep``, n_tokens, ids, begins, ends (binary: little-endian unsigned 32-bit integers), decoded, for each row.
 
     ``model`` is the model file's content; it travels with the tasks. ids include the begin and end ids if ``begin_end``;
     their spans are empty. begins and ends are byte offsets in the UTF-8 text; a character that falls back to bytes has one
     span a byte. Null text is encoded as the empty text. doc_id may be null and rows may repeat: a row in, a row out, in any
-    order. An empty table gives no rows. Texts are never cut: memory grows with the longest text only.
+    order. An empty table gives no rows. Texts are never cut: memory grows with the longest text only. ``prefix`` is put before the
+    names of the made columns; a column of ``keep`` that still has the name of a made one is replaced by it.
     """
+    made = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("begins", T.BinaryType()), ("ends", T.BinaryType()), ("decoded", T.StringType())]
+    made = [T.StructField(f"{prefix}{n}", t) for n, t in made]
+    keep = tuple(c for c in keep if c.lower() not in {f.name.lower() for f in made})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        names = [*keep, "n_tokens", "ids", "begins", "ends", "decoded"]
+        names = [*(f"{i}" for i in range(len(keep))), *(f.name for f in made)]
         row: Callable = lambda ids, begin, end: (len(ids) // 4, ids, begin, end, encoder.decode(ids))
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -209,9 +215,10 @@ def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[st
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    picked = docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else c for c in keep), F.col("text").cast("string").alias("__text"))
-    made = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("begins", T.BinaryType()), ("ends", T.BinaryType()), ("decoded", T.StringType())]
-    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:-1], *(T.StructField(n, t) for n, t in made)]))
+    picked = docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(common.quoted(c)) for c in keep), F.col("text").cast("string").alias("text"))
+    kept = [T.StructField(f"{i}", f.dataType) for i, f in enumerate(picked.schema.fields[:-1])]
+    numbered = picked.toDF(*(f.name for f in kept), "text")
+    return numbered.mapInArrow(run, T.StructType([*kept, *made])).toDF(*keep, *(f.name for f in made))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
