@@ -48,6 +48,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def passed(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``stored`` for a large table that is needed for a while: compressed well, and what removes it."""
+    path = new_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), lambda: remove(df.sparkSession, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

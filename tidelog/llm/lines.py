@@ -96,11 +96,13 @@ def dedup(docs: DataFrame, whole: float | None = None) -> DataFrame:
     text = F.col("text").cast("string")
     own = docs.select(F.struct(*map(common.quoted, names)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("body"))
     # places and hashes only: no texts are dealt out to find what recurs
-    found = common.stored(own.select("doc", "key", F.explode(units(F.col("body"))).alias("u")).select("doc", "key", "u.*"), "units")
-    often = common.stored(found.groupBy("n", "hash").agg(F.count("*").alias("times")).where("times > 1").select("n", "hash"), "often")
+    found, units_done = common.passed(own.select("doc", "key", F.explode(units(F.col("body"))).alias("u")).select("doc", "key", "u.*"), "units")
+    often, often_done = common.passed(found.groupBy("n", "hash").agg(F.count("*").alias("times")).where("times > 1").select("n", "hash"), "often")
     asked = found.join(often.hint("merge"), ["n", "hash"], "left_semi").groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "n")).alias("asked"))
     there = F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
-    rows = common.stored(own.join(asked, there, "left").drop("d", "k", "body"), "rows")
+    rows, _ = common.passed(own.join(asked, there, "left").drop("d", "k", "body"), "rows")
+    units_done()
+    often_done()
 
     text = F.col("row").getField("text").cast("string")
     some = rows.where("asked is not null")
