@@ -131,3 +131,96 @@ def test_deltas_are_merged_and_folded(spark, store, rows, monkeypatch):
     store.put_checkpoints(head(("a", "x", 5)))
     store.put_checkpoints(head(("a", "x", 2), ("c", "x", 2)))
     assert rows(store.read("checkpoints")) == [("a", 5), ("c", 2)]
+
+
+def test_a_writer_that_dies_leaves_the_store_whole(spark, store, rows, monkeypatch):
+    """Death before the manifest has its name, and an empty manifest as an older writer may have left it."""
+    store.commit(events(spark, 1))
+    at = store.version()
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(ST.Store, "_exclusive", staticmethod(dies))
+    with pytest.raises(KeyboardInterrupt):
+        ST.Store(spark, store.path).commit(events(spark, 2))
+    monkeypatch.undo()
+    assert store.version() == at and rows(store.read("events"), "sequence") == [(1,)]
+    store._fs.create(store._path(f"{store.path}/_log/{at + 1:020d}.json"), False).close()
+    assert store.version() == at and rows(ST.Store(spark, store.path).ensure().read("events"), "sequence") == [(1,)]
+    store.commit(events(spark, 3))
+    assert rows(store.read("events"), "sequence") == [(1,), (3,)] and store.version() == at + 2
+    with pytest.raises(Conflict):
+        store.commit(events(spark, 3))
+    with pytest.raises(ST.Lost):
+        store._publish(at + 2, {})
+
+
+def test_removing_events_rewrites_only_their_files(spark, store, rows):
+    for name in "abc":
+        store.commit(events(spark, *range(1, 8), entity=name).coalesce(1))
+    snap = spark.createDataFrame([("b", "x", 1, 5)], "entity_id string, entity_type string, sequence long, event_sequence long")
+    store.put_snapshots(snap)
+    before = set(store.read("events").inputFiles())
+    done = store.compact(spark.createDataFrame([("b", 5), ("a", 3)], "entity_id string, through long"))
+    assert rows(done, "entity_id", "status", "deleted") == [("a", "uncovered", 0), ("b", "ok", 5)]
+    after = set(store.read("events").inputFiles())
+    assert len(before & after) == 2 and rows(store.read("events").where("entity_id = 'b'"), "sequence") == [(6,), (7,)]
+    at = store.version()
+    assert store.compact(spark.createDataFrame([("b", 5)], "entity_id string, through long")).first().deleted == 0
+    assert store.version() == at  # nothing to delete, nothing written
+    store.delete_events(spark.createDataFrame([("c", 7)], "entity_id string, sequence long"), unsafe=True)
+    assert len(set(store.read("events").inputFiles()) & before) == 1 and store.read("events").count() == 15
+    store.commit(events(spark, 8, entity="c"))
+    assert store.read("events").count() == 16
+
+
+def test_expiry_in_the_store(spark, store, rows):
+    ev = lambda *r: spark.createDataFrame([(e, s, "t", "x", "c", ttl) for e, s, ttl in r], EV + ", ttl long").coalesce(1)
+    store.commit(ev(("a", 1, 10), ("a", 2, None)))
+    store.commit(ev(("b", 1, 100), ("b", 2, None)))
+    store.put_views(spark.createDataFrame([("p", "", "p", "t", "old", 10), ("q", "", "q", "t", "new", 100)], "pk string, sk string, entity_id string, entity_type string, payload string, ttl long"))
+    store.put_snapshots(spark.createDataFrame([("a", "x", 1, 2, 10), ("b", "x", 1, 2, None)], "entity_id string, entity_type string, sequence long, event_sequence long, ttl long"))
+    before = set(store.read("events").inputFiles())
+    at = store.expire(10)
+    assert rows(store.read("events"), "entity_id", "sequence") == [("a", 2), ("b", 1), ("b", 2)]
+    assert len(set(store.read("events").inputFiles()) & before) == 1
+    assert rows(store.read("views"), "pk") == [("q",)] and rows(store.read("snapshots"), "entity_id") == [("b",)]
+    assert store.expire(10) == at
+    store.put_snapshots(spark.createDataFrame([("a", "x", 1, 1)], "entity_id string, entity_type string, sequence long, event_sequence long"))
+    assert store.read("snapshots").count() == 2
+
+
+def test_small_commits_are_folded(spark, store, rows, monkeypatch):
+    monkeypatch.setattr(ST, "FOLD_AT", 4)
+    for i in range(10):
+        store.commit(events(spark, i + 1))
+        assert len(store.manifest()[1]["events"]) <= 4
+    assert rows(store.read("events"), "sequence") == [(i + 1,) for i in range(10)]
+    with pytest.raises(Conflict):
+        store.commit(events(spark, 4))
+
+
+def test_commit_stream_decides_again_after_a_race(spark, store, rows, monkeypatch):
+    """Another writer takes a sequence between the decision and the commit: only what it took is rejected."""
+    offered = spark.createDataFrame([("a", 1, "c1", 1), ("b", 1, "c2", 2), ("c", 1, "c3", 3)], "entity_id string, sequence long, commit_id string, arrival long").withColumns({"type": F.lit("t"), "entity_type": F.lit("x")})
+    other, publish, raced = ST.Store(spark, store.path), ST.Store._publish, []
+
+    def late(self, version, live):
+        if self is store and not raced:
+            raced.append(1)
+            other.commit(events(spark, 1, entity="b"))
+        return publish(self, version, live)
+
+    monkeypatch.setattr(ST.Store, "_publish", late)
+    got = store.commit_stream(offered)
+    assert raced and rows(got, "commit_id", "accepted") == [("c1", True), ("c2", False), ("c3", True)]
+    assert rows(store.read("events"), "entity_id", "sequence", "commit_id") == [("a", 1, "c1"), ("b", 1, "c"), ("c", 1, "c3")]
+    assert not any(r.accepted for r in store.commit_stream(offered).collect()) and store.read("events").count() == 3
+
+
+def test_commits_without_a_name_are_commits(spark):
+    offered = spark.createDataFrame([("a", 1, "", 1), ("a", 1, "x", 2)], "entity_id string, sequence long, commit_id string, arrival long")
+    none = offered.limit(0)
+    assert sorted((r.commit_id, r.accepted) for r in ST.accept(offered, none).collect()) == [("", True), ("x", False)]
+    assert not any(r.accepted for r in ST.accept(offered, offered.where("arrival = 1")).collect())

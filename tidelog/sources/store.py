@@ -1,8 +1,12 @@
 """A transactional store on plain Parquet: immutable folders of files and a log of manifests.
 
-Each version is a manifest that names the live folders of every table. A commit writes its folders, then makes the next
-manifest by an exclusive create; who loses that race checks again against the new version and retries. Readers see one
-manifest, so all tables of a commit appear together.
+Each version is a manifest that names the live folders and files of every table. A commit writes its folders, then publishes the
+next manifest: written whole under another name first, it gets its own by one atomic step that fails if the name is taken. A writer
+that dies leaves nothing; who loses that race checks again against the new version and retries. Readers see one manifest, so all
+tables of a commit appear together.
+
+Removing events rewrites the files that hold them and no others. Small commits of the log are folded into one folder when FOLD_AT of
+them are there.
 
 Keyed tables (views, snapshots, heads, checkpoints) are kept as a base and deltas: an upsert or deletion writes its own rows only,
 with their version; a read merges what it finds by key, and every MERGE_AT deltas are folded into a new base. So the cost of a
@@ -13,9 +17,9 @@ from __future__ import annotations
 
 import json
 import re
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,10 @@ from ..operators import maintenance, views
 
 #: Deltas of a table after which a commit folds them, and entities of a commit up to which the log's files are pruned by id.
 MERGE_AT, PRUNED = 16, 1000
+#: Folders of small commits (under SMALL bytes each) after which the log folds them, in files of about FILE bytes.
+FOLD_AT, SMALL, FILE = 64, 32 << 20, 128 << 20
+#: File systems that rename atomically and never over an existing file.
+RENAMES = frozenset("hdfs viewfs webhdfs abfs abfss".split())
 _MERGED = ("views", "snapshots", "heads", "checkpoints")
 _HIDDEN = T.StructType([T.StructField("__version", T.LongType()), T.StructField("__arrival", T.LongType()), T.StructField("__gone", T.BooleanType())])
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -61,39 +69,57 @@ class Store:
                 pass
         return self
 
-    def version(self) -> int | None:
+    def _versions(self) -> list[tuple[int, int]]:
+        """(version, bytes) of the manifests; of those under another name none."""
         log = self._path(f"{self.path}/_log")
         if not self._fs.exists(log):
-            return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(log)]
-        found = [int(n.split(".")[0]) for n in names if n.endswith(".json") and not n.startswith(".")]
-        return max(found) if found else None
+            return []
+        found = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(log)]
+        return [(int(n.split(".")[0]), size) for n, size in found if n.endswith(".json") and not n.startswith(".")]
+
+    def version(self) -> int | None:
+        """The newest version; an empty manifest, which a writer of an older kind may have left, is none."""
+        return max((n for n, size in self._versions() if size), default=None)
 
     def manifest(self, version: int | None = None) -> tuple[int, dict[str, list[str]]]:
         at = self.version() if version is None else version
         if at is None:
             raise FileNotFoundError(f"no store at {self.path}")
-        for wait in (0.05, 0.2, 1.0, 0.0):  # its writer may not have closed it yet
-            row = self.spark.read.text(f"{self.path}/_log/{at:020d}.json", wholetext=True).first()
-            try:
-                return at, json.loads(row[0] if row else "")
-            except ValueError:
-                if not wait:
-                    raise
-                time.sleep(wait)
-        raise AssertionError
+        row = self.spark.read.text(f"{self.path}/_log/{at:020d}.json", wholetext=True).first()
+        return at, json.loads(row[0])
 
     def _publish(self, version: int, live: dict[str, list[str]]) -> None:
-        target = self._path(f"{self.path}/_log/{version:020d}.json")
-        data = json.dumps(live).encode()
+        """Makes a version; Lost if it is there. Its body is complete before it has its name."""
+        log = f"{self.path}/_log"
+        target, data = self._path(f"{log}/{version:020d}.json"), bytearray(json.dumps(live).encode())
+        kind = self._fs.getUri().getScheme()
+        if kind != "file" and kind not in RENAMES:  # object stores show a file when it is closed
+            self._written(target, data)
+            return
+        own = self._path(f"{log}/.{uuid.uuid4().hex}.new")
+        self._written(own, data)
         try:
-            out = self._fs.create(target, False)
+            if kind == "file":
+                files, paths = self.spark._jvm.java.nio.file.Files, self.spark._jvm.java.nio.file.Path
+                self._exclusive(lambda: files.createLink(paths.of(target.toUri()), paths.of(own.toUri())), version)
+            elif not self._exclusive(lambda: self._fs.rename(own, target), version):
+                raise Lost(str(version))
+        finally:
+            self._fs.delete(own, False)
+
+    def _written(self, target, data: bytearray) -> None:
+        out = self._exclusive(lambda: self._fs.create(target, False), target.getName())
+        out.write(data)
+        out.close()
+
+    @staticmethod
+    def _exclusive(step: Callable, what: object):
+        try:
+            return step()
         except Exception as e:  # py4j wraps FileAlreadyExistsException
             if "exist" in str(e).lower():
-                raise Lost(str(version)) from e
+                raise Lost(str(what)) from e
             raise
-        out.write(bytearray(data))
-        out.close()
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The table as of a version (the newest if not given)."""
@@ -131,13 +157,18 @@ class Store:
             folders = [self._write(table, self._live(table, folders), at, base=True)]
         return live | {table: folders}
 
-    def transact(self, change: Callable[[int, dict[str, list[str]]], dict[str, list[str]]]) -> int:
-        """Publishes ``change(version, live folders)``; runs it anew on a newer version if another writer came first."""
+    def transact(self, change: Callable[[int, dict[str, list[str]]], dict[str, list[str]] | None]) -> int:
+        """Publishes ``change(version, live folders)`` (None: nothing to publish); runs it anew on a newer version if another writer came
+        first. Returns the version that holds the change."""
 
         def once() -> int:
-            at, live = self.manifest()
-            self._publish(at + 1, change(at, {t: list(f) for t, f in live.items()}))
-            return at + 1
+            found = self._versions()  # before the manifest: a version that comes after it is a lost race
+            at, live = self.manifest(max((n for n, size in found if size), default=None))
+            new = change(at, {t: list(f) for t, f in live.items()})
+            if new is None:
+                return at
+            self._publish(max(n for n, _ in found) + 1, new)
+            return max(n for n, _ in found) + 1
 
         try:
             return self.retry.run(once)
@@ -171,7 +202,7 @@ class Store:
             bad = self.conflicts(own, at).limit(20).collect()
             if bad:
                 raise Conflict(f"sequence taken: {bad[0].entity_id}:{bad[0].sequence}", [tuple(r) for r in bad])
-            live["events"].append(folder)
+            live["events"] = self._folded("events", [*live["events"], folder])
             if snapshot is not None:
                 live = self._put(at, live, "snapshots", snapshot)
             if view_rows is not None:
@@ -180,15 +211,59 @@ class Store:
 
         return self.transact(change)
 
+    def _folded(self, table: str, entries: list[str]) -> list[str]:
+        """The entries of a table, small folders put together once there are FOLD_AT of them."""
+        if len(entries) < FOLD_AT:
+            return entries
+        size = {e: self._fs.getContentSummary(self._path(e)).getLength() for e in entries}
+        small = [e for e in entries if size[e] < SMALL]
+        if len(small) < FOLD_AT:
+            return entries
+        rows = self.spark.read.schema(self.tables[table]).parquet(*small).repartition(max(1, -(-sum(size[e] for e in small) // FILE)), KEYS[table][0])
+        return [*(e for e in entries if size[e] >= SMALL), self._write(table, rows)]
+
     def commit_stream(self, events: DataFrame, arrival: str = "arrival") -> DataFrame:
         """Commits many results (rows of events with commit_id and ``arrival``), each all or nothing and in order of arrival for an
-        entity: a rejected one takes no sequence. Returns commit_id, entity_id, accepted."""
-        decided = accept(events, self.read("events").select("entity_id", "sequence"), arrival)
-        folder = f"{self.path}/decided/{uuid.uuid4().hex}"
-        decided.write.parquet(folder)
-        decided = self.spark.read.parquet(folder)
-        self.commit(events.join(decided.where("accepted").select("commit_id", "entity_id"), ["commit_id", "entity_id"], "left_semi"))
-        return decided
+        entity: a rejected one takes no sequence and stops none of the others. If another writer comes first, all are decided again on
+        what the log holds then. Returns commit_id, entity_id, accepted."""
+        root = f"{self.path}/decided/{uuid.uuid4().hex}"
+        events.write.parquet(f"{root}/offered")
+        offered = self.spark.read.schema(events.schema).parquet(f"{root}/offered")
+
+        def change(at: int, live: dict) -> dict | None:
+            accept(offered, self.read("events", at).select("entity_id", "sequence"), arrival).write.mode("overwrite").parquet(f"{root}/decided")
+            good = self.spark.read.parquet(f"{root}/decided").where("accepted").select("commit_id", "entity_id")
+            if good.isEmpty():
+                return None
+            folder = self._write("events", offered.join(good, ["commit_id", "entity_id"], "left_semi"))
+            return live | {"events": self._folded("events", [*live["events"], folder])}
+
+        self.transact(change)
+        return self.spark.read.parquet(f"{root}/decided")
+
+    def _without(self, live: dict, table: str, hits: Callable[[DataFrame], DataFrame], kept: Callable[[DataFrame], DataFrame]) -> dict | None:
+        """``live`` with the files of the table that hold a row of ``hits`` rewritten to what ``kept`` leaves of them; None if none does."""
+        entries, schema = live.get(table, []), self.tables[table]
+        if not entries:
+            return None
+        log = self.spark.read.schema(schema).parquet(*entries)
+        found = hits(log.select("*", F.col("_metadata.file_path").alias("__file"))).select("__file").distinct().collect()
+        touched = {unquote(urlsplit(r[0]).path) for r in found}
+        if not touched:
+            return None
+        left, old = [], []
+        for entry in entries:
+            own = self._path(entry)
+            files = [s.getPath() for s in self._fs.listStatus(own)] if self._fs.getFileStatus(own).isDirectory() else [own]
+            files = [f for f in files if f.getName().endswith(".parquet")]
+            gone = [f for f in files if self._plain(f) in touched]
+            old += [f.toString() for f in gone]
+            left += [entry] if not gone else [f.toString() for f in files if f not in gone]
+        rows = kept(self.spark.read.schema(schema).parquet(*old))
+        return live | {table: [*left, self._write(table, rows)]}
+
+    def _plain(self, path) -> str:
+        return self._fs.resolvePath(path).toUri().getPath()
 
     def put_snapshots(self, rows: DataFrame) -> int:
         """Upserts snapshots; one that lowers event_sequence changes nothing, an equal one overwrites."""
@@ -207,7 +282,8 @@ class Store:
         """Removes single events. Not for production: the log is the truth."""
         if not unsafe:
             raise PermissionError("raw deletion needs unsafe=True")
-        return self.transact(lambda at, live: live | {"events": [self._write("events", self.read("events", at).join(keys.select("entity_id", "sequence"), ["entity_id", "sequence"], "left_anti"))]})
+        keys = keys.select("entity_id", "sequence").distinct()
+        return self.transact(lambda at, live: self._without(live, "events", lambda log: log.join(keys, ["entity_id", "sequence"], "left_semi"), lambda log: log.join(keys, ["entity_id", "sequence"], "left_anti")))
 
     def put_heads(self, rows: DataFrame) -> int:
         return self.transact(lambda at, live: self._put(at, live, "heads", H.merge(rows)))
@@ -221,19 +297,35 @@ class Store:
         return self.transact(lambda at, live: self._put(at, live, "checkpoints", rows.select("entity_id", F.col("head_seq").alias("checkpoint"))))
 
     def compact(self, requests: DataFrame) -> DataFrame:
-        """Deletes covered prefixes (copy on write); returns requests with status and deleted."""
+        """Deletes covered prefixes: only files that hold such events are written anew. Returns requests with status and deleted."""
         folder = f"{self.path}/decided/{uuid.uuid4().hex}"
 
-        def change(at: int, live: dict) -> dict:
+        def change(at: int, live: dict) -> dict | None:
             log, snaps = self.read("events", at), self.read("snapshots", at)
             maintenance.compaction_counts(log, requests, snaps).write.mode("overwrite").parquet(folder)
-            return live | {"events": [self._write("events", maintenance.compact(log, requests, snaps))]}
+            done = self.spark.read.parquet(folder).where("deleted > 0").groupBy("entity_id").agg(F.max("through").alias("__through"))
+            below = lambda rows: rows.join(done, "entity_id").where("sequence <= __through")
+            return self._without(live, "events", below, lambda rows: maintenance.compact(rows, requests, snaps))
 
         self.transact(change)
         return self.spark.read.parquet(folder)
 
     def expire(self, now_seconds: int) -> int:
-        return self.transact(lambda at, live: live | {t: [self._write(t, maintenance.expire(self.read(t, at), now_seconds), at, base=True)] for t in ("events", "snapshots", "views")})
+        """Removes what is expired: events by rewriting the files that hold such, views by a delta, snapshots (a row an entity) by a new
+        base. Nothing expired: no new version."""
+        over = F.col("ttl") <= now_seconds
+
+        def change(at: int, live: dict) -> dict | None:
+            new = self._without(live, "events", lambda rows: rows.where(over), lambda rows: maintenance.expire(rows, now_seconds)) or dict(live)
+            gone = self._live("views", live.get("views", [])).where(over)
+            if not gone.isEmpty():
+                new = self._put(at, new, "views", gone, gone=True)
+            snaps = self._live("snapshots", live.get("snapshots", []))
+            if not snaps.where(over).isEmpty():
+                new["snapshots"] = [self._write("snapshots", maintenance.expire(snaps, now_seconds), at, base=True)]
+            return None if new == live else new
+
+        return self.transact(change)
 
     def rewrite(self, table: str, partitions: int) -> int:
         """The same rows in ``partitions`` sorted files by key."""
@@ -259,17 +351,17 @@ def _merged(table: str, rows: DataFrame) -> DataFrame:
 
 
 def accept(events: DataFrame, taken: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """commit_id, entity_id, accepted: commits of an entity in order of arrival, each rejected if a sequence of it is taken or
-    comes twice in it. Rows are dealt out by entity and read in order."""
-    rows = taken.select("entity_id", F.lit(-1).cast("long").alias("at"), F.lit("").alias("commit_id"), "sequence")
-    rows = rows.unionByName(events.select("entity_id", F.col(arrival).cast("long").alias("at"), "commit_id", "sequence"))
+    """commit_id, entity_id, accepted: commits of an entity in order of arrival, each rejected if a sequence of it is in ``taken`` (keys of
+    the log, of which only those that are offered are dealt out) or comes twice in it. Rows are dealt out by entity and read in order."""
+    offered = events.select("entity_id", F.col(arrival).cast("long").alias("at"), "commit_id", "sequence", F.lit(False).alias("taken"))
+    met = taken.select("entity_id", "sequence").join(events.select("entity_id", "sequence").distinct(), ["entity_id", "sequence"], "left_semi")
+    rows = offered.unionByName(met.withColumn("taken", F.lit(True)), allowMissingColumns=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, used, commit, held = None, set(), None, []
 
         def close() -> list:
-            if not commit:
-                used.update(held)
+            if not held:
                 return []
             fine = len(set(held)) == len(held) and used.isdisjoint(held)
             if fine:
@@ -278,16 +370,18 @@ def accept(events: DataFrame, taken: DataFrame, arrival: str = "arrival") -> Dat
 
         for frame in frames:
             out = []
-            for entity, _, name, seq in frame[["entity_id", "at", "commit_id", "sequence"]].itertuples(index=False):
-                if entity != own or name != commit:
-                    if own is not None:
-                        out += close()
+            for entity, name, seq, there in frame[["entity_id", "commit_id", "sequence", "taken"]].itertuples(index=False):
+                if entity != own or not there and name != commit:
+                    out += close()
                     if entity != own:
                         used = set()
                     own, commit, held = entity, name, []
-                held.append(seq)
+                if there:
+                    used.add(seq)
+                else:
+                    held.append(seq)
             yield pd.DataFrame(out, columns=["commit_id", "entity_id", "accepted"])
-        yield pd.DataFrame(close() if own is not None else [], columns=["commit_id", "entity_id", "accepted"])
+        yield pd.DataFrame(close(), columns=["commit_id", "entity_id", "accepted"])
 
-    ordered = rows.repartition("entity_id").sortWithinPartitions("entity_id", "at", "commit_id")
+    ordered = rows.repartition("entity_id").sortWithinPartitions("entity_id", F.desc("taken"), "at", "commit_id")
     return ordered.mapInPandas(run, "commit_id string, entity_id string, accepted boolean")
