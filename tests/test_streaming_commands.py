@@ -214,3 +214,33 @@ def test_layers(spark, rows, tmp_path):
     nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("e", "f"), ("f", "e"), ("f", "g"), ("zz", "a")], "src string, dst string")
     assert rows(layers(nodes, edges)) == [("a", 0), ("b", 1), ("c", 2), ("d", 0), ("e", None), ("f", None), ("g", None)]
+
+
+def test_handler_takes_the_budgets_in_turn(spark, rows):
+    """Ingress before publishing (malformed records too), retries only for what failed; skipped and ignored records take none."""
+    from tidelog.streaming import publish as P
+
+    data = [(i, k, "a", i) for i, k in enumerate(["skipped", "ready", "malformed", "ready", "ready", "ignored"])]
+    df = spark.createDataFrame(data, "n long, kind string, lane string, at long").withColumns({"ts": F.timestamp_seconds("at"), "key": F.col("n").cast("string"), "item_id": F.col("n").cast("string"), "group_id": F.lit(None).cast("string"), "dedup_id": F.lit(None).cast("string")})
+    fail = lambda ready: ready.where("n = 1")
+    got = rows(P.handle(df, fail, lane="lane", ingress=3, retries=1), "n", "status")
+    assert got == [(0, "skipped"), (1, "failed"), (2, "malformed"), (3, "published"), (4, "throttled"), (5, "ignored")]
+    every = lambda ready: ready
+    got = rows(P.handle(df, every, lane="lane", ingress=0, retries=1), "n", "status")
+    assert got == [(0, "skipped"), (1, "failed"), (2, "malformed"), (3, "dropped"), (4, "dropped"), (5, "ignored")]
+
+
+def test_a_guard_that_cannot_be_read_or_written(spark, tmp_path, rows):
+    from tidelog.sources.store import Store
+    from tidelog.streaming import consume
+
+    store = Store(spark, f"file://{tmp_path}/g").ensure()
+    store.mark_processed(spark.createDataFrame([("p", "1")], "projector string, event_id string"))
+    for folder in store.manifest()[1]["processed"]:
+        store._fs.delete(store._path(folder), True)
+    seen = []
+    records = spark.createDataFrame([("1",), ("2",)], "event_id string")
+    failed = consume.process(store, "p", lambda df: seen.extend(rows(df)), records)
+    assert seen == [("1",), ("2",)] and failed.isEmpty()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|late"):  # a projector's own failure is not the guard's
+        consume.process(store, "p", lambda df: df.where(F.expr("1 / (cast(event_id as int) - 1) > 0")), records).collect()

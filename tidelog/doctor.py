@@ -8,9 +8,14 @@ import sys
 from .functions.schemas import KEYS, TABLES
 
 
+def schema() -> dict:
+    """Key and columns of each table."""
+    return {t: {"key": KEYS[t], "columns": {f.name: f.dataType.simpleString() for f in s}} for t, s in TABLES.items()}
+
+
 def main(args: list[str]) -> int:
     if "--schema" in args:
-        print(json.dumps({t: {"key": KEYS[t], "columns": {f.name: f.dataType.simpleString() for f in s}} for t, s in TABLES.items()}, indent=1))
+        print(json.dumps(schema(), indent=1))
         return 0
     if not args:
         print(__doc__)

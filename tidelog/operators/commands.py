@@ -53,8 +53,12 @@ def execute(
     next command of that entity. ``seeds``: entity_id, event_sequence, state (JSON).
 
     One row for each command: entity_id, command_id, arrival, status (accepted, duplicate, rejected), error, events (array of
-    sequence, type, payload). Entities are dealt out by a shuffle and read in order; one state is held at a time.
+    sequence, type, payload). Only events and seeds of entities that have commands are read on. Entities are dealt out by a shuffle and
+    read in order; one state is held at a time.
     """
+    mine = commands.select("entity_id").distinct()
+    log = log.join(mine, "entity_id", "left_semi")
+    seeds = None if seeds is None else seeds.join(mine, "entity_id", "left_semi")
     events = log if seeds is None else tail(log, seeds)
     kind = lambda n: F.lit(n).alias("kind")
     null = lambda t: F.lit(None).cast(t)

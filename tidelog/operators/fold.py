@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ID, SEQ = "entity_id", "sequence"
@@ -57,6 +57,12 @@ def fold(log: DataFrame, fields: dict[str, Reducer]) -> DataFrame:
     return folded.select(ID, "head_seq", *(r.finish(F.col(n)).alias(n) for n, r in fields.items()))
 
 
+def running(log: DataFrame, fields: dict[str, Reducer]) -> DataFrame:
+    """entity_id, sequence and the state fields after each event. One window: an entity's events are sorted in one task."""
+    w = Window.partitionBy(ID).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
+    return log.select(ID, SEQ, *(r.finish(r.aggregate().over(w)).alias(n) for n, r in fields.items()))
+
+
 def tail(log: DataFrame, seeds: DataFrame) -> DataFrame:
     """Events after their entity's snapshot (entity_id, event_sequence); all events of entities without one."""
     floors = seeds.select(F.col(ID), F.col("event_sequence").alias("__floor"))

@@ -27,36 +27,46 @@ def run(
     projector fails on are counted as errors and give no views; states without an id or of another type are skipped.
 
     With max_errors, a run that has at least so many raises and publishes nothing; the errors named are the first in order of
-    entity_id. Errors are given as at most 1000 messages; their count is in ``processed``'s complement.
+    entity_id. Errors are given as at most 1000 messages; their count is in ``processed``'s complement. The states and what is made of
+    them are computed once and held by the executors until the run ends. ``on_progress`` is called with the processed entities and
+    the errors so far for each entity that was processed or failed, a partition at a time, once the views are committed.
     """
     if not projectors:
         raise ValueError("at least one projector is required")
     if not dry_run and commit is None:
         raise ValueError("commit is required when dry_run is false")
     wrong = F.col("entity_id").isNull() if not entity_type else F.col("entity_id").isNull() | (F.col("entity_type") != entity_type)
-    marked = states.withColumn("__status", F.when(F.col("error").isNotNull(), "error").when(wrong, "skipped").otherwise("ok"))
+    marked = states.withColumn("__status", F.when(F.col("error").isNotNull(), "error").when(wrong, "skipped").otherwise("ok")).persist()
     good = marked.where("__status = 'ok'").drop("__status", "error")
     made = None
     for p in projectors:
         views = p(good)
         views = views if "error" in views.columns else views.withColumn("error", F.lit(None).cast("string"))
         made = views if made is None else made.unionByName(views)
-    failed = made.where("error is not null").select("entity_id", "error").groupBy("entity_id").agg(F.min("error").alias("error"))
-    counts = {r["__status"]: r["n"] for r in marked.groupBy("__status").agg(F.count("*").alias("n")).collect()}
-    errors = marked.where("__status = 'error'").select("entity_id", "error").unionByName(failed)
-    n_failed = failed.count()
-    n_errors = counts.get("error", 0) + n_failed
-    first = [f"entity {r.entity_id}: {r.error}" for r in errors.orderBy("entity_id").limit(min(max_errors, 1000) if max_errors > 0 else 1000).collect()]
-    if 0 < max_errors <= n_errors:
-        error = RuntimeError(f"rebuild stopped: reached MaxErrors limit ({max_errors})")
-        error.summary = Summary(0, counts.get("skipped", 0), first)
-        raise error
-    if not dry_run:
-        commit(made.where("error is null").drop("error").join(failed.select("entity_id"), "entity_id", "left_anti") if n_failed else made.drop("error"))
-    summary = Summary(counts.get("ok", 0) - n_failed, counts.get("skipped", 0), first)
-    if on_progress:
-        on_progress(summary.processed, n_errors)
-    return summary
+    made = made.persist()
+    try:
+        failed = made.where("error is not null").select("entity_id", "error").groupBy("entity_id").agg(F.min("error").alias("error"))
+        counts = {r["__status"]: r["n"] for r in marked.groupBy("__status").agg(F.count("*").alias("n")).collect()}
+        errors = marked.where("__status = 'error'").select("entity_id", "error").unionByName(failed)
+        n_failed = failed.count()
+        n_errors = counts.get("error", 0) + n_failed
+        first = [f"entity {r.entity_id}: {r.error}" for r in errors.orderBy("entity_id").limit(min(max_errors, 1000) if max_errors > 0 else 1000).collect()] if n_errors else []
+        if 0 < max_errors <= n_errors:
+            error = RuntimeError(f"rebuild stopped: reached MaxErrors limit ({max_errors})")
+            error.summary = Summary(0, counts.get("skipped", 0), first)
+            raise error
+        if not dry_run:
+            commit(made.where("error is null").drop("error").join(failed.select("entity_id"), "entity_id", "left_anti") if n_failed else made.drop("error"))
+        if on_progress:
+            done = bad = 0
+            each = marked.where("__status <> 'skipped'").join(failed.select("entity_id", F.lit(True).alias("__bad")), "entity_id", "left")
+            for row in each.select((F.col("__bad").isNotNull() | (F.col("__status") == "error")).alias("bad")).toLocalIterator():
+                done, bad = done + (not row.bad), bad + row.bad
+                on_progress(done, bad)
+        return Summary(counts.get("ok", 0) - n_failed, counts.get("skipped", 0), first)
+    finally:
+        marked.unpersist()
+        made.unpersist()
 
 
 def by_query(states: DataFrame, projectors: list[Projector], commit=None, entity_type: str = "", enumerate_type: str = "", seed=None, **more) -> Summary:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Milliseconds that replaying an event is taken to cost.
@@ -63,6 +66,17 @@ def freshness(log: DataFrame, snapshots: DataFrame, budget: int = 0, ms: float =
     return n.select("entity_id", head.alias("head_seq"), F.coalesce("event_sequence", F.lit(0)).alias("event_sequence"), "since", F.round(F.col("since") * F.lit(float(ms))).cast("long").alias("estimate_ms"), ((F.lit(budget) > 0) & (F.col("since") > budget)).alias("exceeded"))
 
 
+def observe(debts: DataFrame, observer: Callable[[Row], None]) -> int:
+    """Gives the debt of each entity to ``observer``, a partition at a time; what an observer raises doesn't stop the others. The
+    number of calls."""
+    n = 0
+    for row in debts.toLocalIterator():
+        n += 1
+        with contextlib.suppress(Exception):
+            observer(row)
+    return n
+
+
 def catch_up(states: DataFrame, snapshots: DataFrame, debts: DataFrame, threshold: int) -> DataFrame:
     """New snapshots for entities with a debt of at least ``threshold`` (none if it is not positive). states: entity_id,
     entity_type, head_seq, payload. Their ordinal is one over the last."""

@@ -78,7 +78,7 @@ def uncursor(c: Column) -> Column:
 
 def page(views: DataFrame, limit: int, after: str | None = None) -> tuple[DataFrame, str]:
     """(views of a page in order of (pk, sk), cursor of the next or empty at the end). limit under 1: all the rest. A cursor that
-    can't be read is a BadCursor. Reads limit + 1 rows past the key, whatever the table's size."""
+    can't be read is a BadCursor. The driver gets two keys, the last of the page and the next one; the page itself is a range of keys."""
     rest = views
     if after:
         one = views.sparkSession.range(1).select(F.try_to_binary(F.translate(F.lit(after), "-_", "+/"), F.lit("base64")).cast("string").alias("j"))
@@ -89,8 +89,11 @@ def page(views: DataFrame, limit: int, after: str | None = None) -> tuple[DataFr
     rest = rest.orderBy("pk", "sk")
     if limit < 1:
         return rest, ""
-    keys = rest.select(cursor(F.col("pk"), F.col("sk")).alias("c")).limit(limit + 1).collect()
-    return rest.limit(limit), keys[limit - 1].c if len(keys) > limit else ""
+    ends = rest.select("pk", "sk", cursor(F.col("pk"), F.col("sk")).alias("c")).limit(limit + 1).offset(limit - 1).collect()
+    if len(ends) < 2:
+        return rest.limit(limit), ""
+    last = ends[0]
+    return rest.where((F.col("pk") < last.pk) | ((F.col("pk") == last.pk) & (F.col("sk") <= last.sk))), last.c
 
 
 def decode(views: DataFrame, schema: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -144,7 +144,10 @@ def serialize_sequences(spark, d):
 
 @query("select 'order-'||l_orderkey as entity_id, l_linenumber::bigint as sequence, count(*)::bigint as claims from lineitem group by 1, 2 having count(*) > 1", "")
 def commit_conflicts(spark, d):
-    return T.claims(spark, d).groupBy("entity_id", "sequence").agg(F.count("*").alias("claims")).where("claims > 1")
+    """Keys that the store finds claimed more than once."""
+    claims = T.claims(spark, d)
+    bad = _store(spark).conflicts(claims)
+    return claims.join(bad, ["entity_id", "sequence"], "left_semi").groupBy("entity_id", "sequence").agg(F.count("*").alias("claims"))
 
 
 @query(
@@ -176,7 +179,13 @@ def sequence_gap_ranges(spark, d):
 
 
 def _store(spark: SparkSession) -> ST.Store:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+    """A store of its own in the folder that driver and executors share; only a local master (tests) may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+        spark.sparkContext.setCheckpointDir(root)
     return ST.Store(spark, f"{root.rstrip('/')}/tidelog-store/{uuid.uuid4().hex}").ensure()
 
 
@@ -328,8 +337,7 @@ def fold_python_state(spark, d):
 @query("select entity_id, sequence, sum(case when type = 'purchase' then cents else 0 end) over (partition by entity_id order by sequence)::bigint as balance from log")
 def fold_running_state(spark, d):
     """State after each event."""
-    w = Window.partitionBy("entity_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    return T.user_log(spark, d).select("entity_id", "sequence", F.sum(F.when(F.col("type") == "purchase", F.col("cents")).otherwise(0)).over(w).alias("balance"))
+    return fold.running(T.user_log(spark, d), {"balance": Reducer("sum", F.col("cents"), F.col("type") == "purchase")})
 
 
 @query("select entity_id, max(sequence) as head_seq, coalesce(sum(cents) filter (type = 'line'), 0)::bigint as lines_cents, count(*) filter (type = 'line')::bigint as n_lines, coalesce(max(cents) filter (type = 'created'), 0) as total from ord group by 1", PREFIX + WHOLE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import schemas as S
@@ -69,18 +70,51 @@ def decode_inline_snapshots(items: DataFrame) -> DataFrame:
     return items.where("sk = 0").select(F.col("pk").alias("entity_id"), F.col("entityType").alias("entity_type"), F.col("seq").alias("sequence"), F.col("eventSeq").alias("event_sequence"), "payload", F.lit(None).cast("timestamp").alias("updated_at"), "ttl")
 
 
-def typed_attributes(c: Column, schema: str) -> Column:
-    """Fields of a typed attribute map ({"pk": {"S": "a"}, "sk": {"N": "1"}}) by a declared schema such as "pk string, sk bigint":
-    strings from S, numbers from N (decimal text), booleans from BOOL, lists from SS, NS and L of plain members. Null stays
-    null."""
-    kinds = {"string": ("S", "string"), "bigint": ("N", "bigint"), "double": ("N", "double"), "boolean": ("BOOL", "boolean"), "array<string>": ("SS", "array<string>")}
-    made = []
-    for part in schema.split(","):
-        name, kind = part.split()
-        tag, to = kinds[kind] if kind in kinds else ("N", kind)
-        value = F.get_json_object(c, f"$.{name}.{tag}")
-        made.append((F.from_json(value, "array<string>") if to == "array<string>" else value.cast(to)).alias(name))
-    return F.struct(*made)
+#: The type tags of an attribute.
+TAGS = ("S", "N", "B", "BOOL", "NULL", "L", "M", "SS", "NS", "BS")
+
+
+def typed_attributes(c: Column, schema: str | T.StructType) -> Column:
+    """Fields of a typed attribute map ({"pk": {"S": "a"}, "sk": {"N": "1"}}) by a declared schema such as "pk string, sk bigint": strings
+    from S, numbers from N (decimal text), booleans from BOOL, binaries from B (base64), arrays from SS, NS, BS or L, structs
+    from M, nested at will. NULL, and an attribute that isn't there, is null. An attribute with a tag that is none of TAGS, or
+    with one that doesn't fit its field, stops the query."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return F.struct(*(_attribute(F.get_json_object(c, f"$['{f.name}']"), f.dataType, f.name).alias(f.name) for f in kind.fields))
+
+
+def _attribute(value: Column, kind: T.DataType, name: str) -> Column:
+    """One typed value (JSON text such as {"N": "1"}) as a column of the type."""
+    tag = F.get(F.json_object_keys(value), F.lit(0))
+    inner = lambda t: F.get_json_object(value, f"$.{t}")
+    if isinstance(kind, T.StructType):
+        fits = {"M": typed_attributes(inner("M"), kind)}
+    elif isinstance(kind, T.ArrayType):
+        of = kind.elementType
+        texts = lambda t: F.from_json(inner(t), "array<string>")
+        fits = {"L": F.transform(texts("L"), lambda x: _attribute(x, of, name))}
+        if isinstance(of, T.StringType):
+            fits["SS"] = texts("SS")
+        elif isinstance(of, T.BinaryType):
+            fits["BS"] = F.transform(texts("BS"), F.unbase64)
+        elif isinstance(of, T.NumericType):
+            fits["NS"] = F.transform(texts("NS"), lambda x: x.cast(of))
+    elif isinstance(kind, T.StringType):
+        fits = {"S": inner("S")}
+    elif isinstance(kind, T.BooleanType):
+        fits = {"BOOL": inner("BOOL").cast("boolean")}
+    elif isinstance(kind, T.BinaryType):
+        fits = {"B": F.unbase64(inner("B"))}
+    elif isinstance(kind, T.NumericType):
+        fits = {"N": inner("N").cast(kind)}
+    else:
+        raise ValueError(f"no attribute has the type {kind.simpleString()}: {name}")
+    null = F.lit(None).cast(kind)
+    out = F.when(value.isNull() | (tag == "NULL"), null)
+    for t, column in fits.items():
+        out = out.when(tag == t, column)
+    what = F.when(tag.isin(*TAGS), F.lit(f"attribute {name} is no {kind.simpleString()}: ")).otherwise(F.lit(f"attribute {name} has an unknown type: "))
+    return out.otherwise(F.raise_error(F.concat(what, F.coalesce(tag, F.lit("none")))).cast(kind))
 
 
 def normalize_notifications(raw: DataFrame, body: str = "raw") -> DataFrame:

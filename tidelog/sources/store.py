@@ -31,6 +31,7 @@ from ..functions.policy import TRANSIENT, UNKNOWN, Retry
 from ..functions.schemas import KEYS, TABLES
 from ..operators import heads as H
 from ..operators import maintenance, views
+from .writes import Transaction
 
 #: Deltas of a table after which a commit folds them, and entities of a commit up to which the log's files are pruned by id.
 MERGE_AT, PRUNED = 16, 1000
@@ -101,7 +102,8 @@ class Store:
         try:
             if kind == "file":
                 files, paths = self.spark._jvm.java.nio.file.Files, self.spark._jvm.java.nio.file.Path
-                self._exclusive(lambda: files.createLink(paths.of(target.toUri()), paths.of(own.toUri())), version)
+                there, here = (paths.of(self._fs.makeQualified(p).toUri()) for p in (target, own))
+                self._exclusive(lambda: files.createLink(there, here), version)
             elif not self._exclusive(lambda: self._fs.rename(own, target), version):
                 raise Lost(str(version))
         finally:
@@ -222,6 +224,33 @@ class Store:
         rows = self.spark.read.schema(self.tables[table]).parquet(*small).repartition(max(1, -(-sum(size[e] for e in small) // FILE)), KEYS[table][0])
         return [*(e for e in entries if size[e] >= SMALL), self._write(table, rows)]
 
+    def apply(self, transaction: Transaction, snapshot: DataFrame | None = None) -> int:
+        """Publishes all groups of a transaction in one version: events appended (a taken key is a Conflict), other tables put or
+        deleted, in order. No groups: no change."""
+        groups = [g for g in transaction.by_table().values() if not g.rows.isEmpty()]
+        if not groups:
+            return self.manifest()[0]
+        events = [g for g in groups if g.table == "events"]
+        if any(g.mode != "put" for g in events):
+            raise PermissionError("events are deleted by delete_events only")
+        folders = [self._write("events", g.rows) for g in events]
+
+        def change(at: int, live: dict) -> dict:
+            for folder in folders:
+                own = self.spark.read.schema(self.tables["events"]).parquet(folder)
+                bad = self.conflicts(own, at).limit(20).collect()
+                if bad:
+                    raise Conflict(f"sequence taken: {bad[0].entity_id}:{bad[0].sequence}", [tuple(r) for r in bad])
+                live["events"] = self._folded("events", [*live["events"], folder])
+            for g in groups:
+                if g.table == "events":
+                    continue
+                rows = self._shaped(g.table, g.rows, *(["arrival"] if "arrival" in g.rows.columns else []))
+                live = self._put(at, live, g.table, views.keyed(rows) if g.table == "views" else rows, gone=g.mode == "delete")
+            return live if snapshot is None else self._put(at, live, "snapshots", snapshot)
+
+        return self.transact(change)
+
     def commit_stream(self, events: DataFrame, arrival: str = "arrival") -> DataFrame:
         """Commits many results (rows of events with commit_id and ``arrival``), each all or nothing and in order of arrival for an
         entity: a rejected one takes no sequence and stops none of the others. If another writer comes first, all are decided again on

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..operators import views as V
 from ..sources.log import decode_envelopes
 from ..sources.store import Store
 
+log = logging.getLogger(__name__)
+
 #: A projector takes the pending records and returns the event_id column of those that failed (None: none did). It raises
 #: Classified with class permanent to fail all for good, anything else to have the batch delivered again.
 Projector = Callable[[DataFrame], DataFrame | None]
@@ -26,17 +29,18 @@ def pending(records: DataFrame, processed: DataFrame, projector: str) -> DataFra
 
 def process(store: Store, name: str, projector: Projector, records: DataFrame, dedupe: bool = False) -> DataFrame:
     """Runs a batch through a projector and returns the event_ids that failed. Those that didn't are marked processed, in the same
-    way on every redelivery. If the processed table can't be read, all records go through. ``dedupe``: a record once a batch."""
+    way on every redelivery. If the processed table can't be read, all records go through; if it can't be written, the batch is done
+    nonetheless and may come again. ``dedupe``: a record once a batch."""
+    once = (lambda rows: rows.dropDuplicates(["event_id"])) if dedupe else (lambda rows: rows)
     try:
-        rows = pending(records, store.read("processed"), name)
+        rows = once(pending(records, store.read("processed"), name)).persist()
+        count = rows.count()  # reads the guard now, not in the projector
     except Exception:  # noqa: BLE001  a guard that can't be read must not stop the stream
-        rows = records
-    if dedupe:
-        rows = rows.dropDuplicates(["event_id"])
-    rows = rows.persist()
+        rows = once(records).persist()
+        count = rows.count()
     try:
         none = rows.select("event_id").limit(0)
-        if rows.isEmpty():
+        if not count:
             return none
         try:
             failed = projector(rows)
@@ -44,9 +48,13 @@ def process(store: Store, name: str, projector: Projector, records: DataFrame, d
             if e.kind != PERMANENT:
                 raise
             return rows.select("event_id").distinct()
-        failed = none if failed is None else failed.select("event_id").distinct()
+        failed = (none if failed is None else failed.select("event_id").distinct()).persist()
+        failed.count()  # a projector that fails only now fails the batch
         done = rows.select(F.lit(name).alias("projector"), "event_id").join(failed, "event_id", "left_anti")
-        store.mark_processed(done)
+        try:
+            store.mark_processed(done)
+        except Exception as e:  # noqa: BLE001  the records were projected; at worst they come again
+            log.warning("%s: events could not be marked as processed: %s", name, e)
         return failed
     finally:
         rows.unpersist()

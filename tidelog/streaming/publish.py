@@ -62,9 +62,10 @@ def prepared(changes: DataFrame, source: str, group_id: Callable[[DataFrame], Co
     return out
 
 
-def batches(ready: DataFrame, order: str, lane: str | None = None, size: int = BATCH) -> DataFrame:
-    """Adds batch: groups of ``size`` in order, within each lane (a column; the transport's parallel streams)."""
-    w = Window.partitionBy(lane).orderBy(order) if lane else Window.partitionBy(F.lit(0)).orderBy(order)
+def batches(ready: DataFrame, order: str, lane: str, size: int = BATCH) -> DataFrame:
+    """Adds batch: groups of ``size`` in order, within each lane (a column; the transport's parallel streams, which are what is numbered:
+    all rows as one lane would be one task)."""
+    w = Window.partitionBy(lane).orderBy(order)
     return ready.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
@@ -140,18 +141,61 @@ def publish(
     """Status of each prepared row: ignored, skipped, throttled (a failure to report), malformed, published, failed (to report) or
     dropped (failed without retry budget; kept here, not reported).
 
-    send gets the ready rows and returns the key column of those that failed; send_ordered, called first, those with a group. A
-    row that failed in either has failed."""
+    send gets the ready rows and returns the key column of those that failed; send_ordered, called first, those with a group, each
+    dedup id once. A row that failed in either has failed."""
     rows = prepared_rows.withColumn("status", F.when(F.col("kind") != "ready", F.col("kind")).when(F.coalesce(throttled, F.lit(False)) if throttled is not None else F.lit(False), "throttled"))
     out = rows.where("status is null")
-    failed = send_ordered(out.where("group_id is not null")).select("key") if send_ordered else None
-    second = send(out).select("key")
-    failed = (second if failed is None else failed.union(second)).distinct().withColumn("__failed", F.lit(True))
+    failed = _sent(out, send, send_ordered).withColumn("__failed", F.lit(True))
     again = F.lit(True) if retry_allowed is None else retry_allowed
     status = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("__failed").isNull(), "published").when(again, "failed").otherwise("dropped")
     return rows.join(failed, "key", "left").withColumn("status", status).drop("__failed")
 
 
+def _sent(ready: DataFrame, send: Callable, send_ordered: Callable | None) -> DataFrame:
+    """Distinct keys of the rows that failed in one of the topics; the ordered one comes first, so that a failure there sends again what
+    its dedup ids absorb."""
+    failed = send_ordered(ordered_targets(ready)).select("key") if send_ordered else None
+    second = send(ready).select("key")
+    return (second if failed is None else failed.union(second)).distinct()
+
+
+def handle(
+    prepared_rows: DataFrame,
+    send: Callable[[DataFrame], DataFrame],
+    send_ordered: Callable[[DataFrame], DataFrame] | None = None,
+    lane: str = "entity_id",
+    ts: str = "ts",
+    order: tuple[str, ...] = ("item_id",),
+    ingress: int = INGRESS,
+    retries: int = RETRIES,
+) -> DataFrame:
+    """The publisher as a whole: ``prepared`` rows with their status, as ``publish`` gives it.
+
+    Inserts with an image, malformed ones too, take a token of the ingress budget, in order of (``ts``, ``order``); those that get
+    none are throttled and reported. Malformed ones are then dropped, the others sent (ordered topic first, a dedup id once). What
+    failed takes a token of the retry budget in the same order: with one it is reported, without one dropped. Both budgets are
+    buckets of their rate a minute for each ``lane``, full at its first row; a rate under 1 allows all."""
+    rows = prepared_rows
+    asking = rows.where("kind in ('malformed', 'ready')")
+    allowed = token_bucket(asking, lane, ts, ingress, *order)
+    status = F.when(~F.col("allowed"), "throttled").when(F.col("kind") == "malformed", "malformed")
+    first = allowed.withColumn("status", status).drop("allowed")
+    open_ = first.where("status is null").drop("status")
+    keys = _sent(open_, send, send_ordered)
+    failed = token_bucket(open_.join(keys, "key", "left_semi"), lane, ts, retries, *order)
+    failed = failed.withColumn("status", F.when(F.col("allowed"), "failed").otherwise("dropped")).drop("allowed")
+    parts = [
+        rows.where("kind not in ('malformed', 'ready')").withColumn("status", F.col("kind")),
+        first.where("status is not null"),
+        open_.join(keys, "key", "left_anti").withColumn("status", F.lit("published")),
+        failed,
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def summary(statuses: DataFrame) -> DataFrame:
     """One row of counts by status."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
