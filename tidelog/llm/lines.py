@@ -80,8 +80,9 @@ def without(text: Column, gone: Column, whole: float | None) -> Column:
     return _let(_lines(text), lambda lines: _let(runs(lines), lambda chunks: left(lines, chunks)))
 
 
-def dedup(docs: DataFrame, whole: float | None = None) -> DataFrame:
-    """``docs`` with its own columns, ``text`` without the chunks that stand earlier in the table, and n_removed (their number).
+def dedup(docs: DataFrame, whole: float | None = None, count: str = "n_removed") -> DataFrame:
+    """``docs`` with its own columns, ``text`` without the chunks that stand earlier in the table, and n_removed (their number; ``count`` is
+    another name for it).
 
     Two neighbouring lines (or one of PASSAGE words) are a copy if the same, byte by byte, stand at an earlier place: one with a
     smaller (doc_id, hash of text, line); a null doc_id comes last. Lines that copies cover without a gap are a chunk; those of
@@ -92,7 +93,7 @@ def dedup(docs: DataFrame, whole: float | None = None) -> DataFrame:
     the same place and get the same result each. A column n_removed that the table has is replaced, other columns may have any names.
     Texts and lines of any length are compared whole. An empty table gives none.
     """
-    names = [c for c in docs.columns if c.lower() != "n_removed"]
+    names = [c for c in docs.columns if c.lower() != count.lower()]
     text = F.col("text").cast("string")
     own = docs.select(F.struct(*map(common.quoted, names)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("body"))
     # places and hashes only: no texts are dealt out to find what recurs
@@ -117,5 +118,5 @@ def dedup(docs: DataFrame, whole: float | None = None) -> DataFrame:
 
     field = lambda c: F.col("row").getField(c).alias(c)
     less = some.join(gone, there, "left").withColumn("new", F.when(F.col("gone").isNotNull(), without(text, F.col("gone"), whole)))
-    less = less.select(*(F.coalesce("new.text", text).alias(c) if c == "text" else field(c) for c in names), F.coalesce("new.n", F.lit(0).cast("long")).alias("n_removed"))
-    return rows.where("asked is null").select(*(text.alias(c) if c == "text" else field(c) for c in names), F.lit(0).cast("long").alias("n_removed")).unionByName(less)
+    less = less.select(*(F.coalesce("new.text", text).alias(c) if c == "text" else field(c) for c in names), F.coalesce("new.n", F.lit(0).cast("long")).alias(count))
+    return rows.where("asked is null").select(*(text.alias(c) if c == "text" else field(c) for c in names), F.lit(0).cast("long").alias(count)).unionByName(less)
