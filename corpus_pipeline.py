@@ -22,9 +22,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages of lines from the texts; every row stays, n_chars follows its text. A text of which four fifths or more
     would go is a copy of other documents: it stays whole for the next stage, which drops copies, so that no husks are left. Null and
     empty texts stay as they are."""
-    out = lines.dedup(docs.select(F.struct(*map(common.quoted, docs.columns)).alias("row"), "doc_id", "text"), whole=lines.WHOLE)
-    made = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row").getField("n_chars")).cast("long")}
-    return out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    count = "n_removed"
+    while count in {c.lower() for c in docs.columns}:
+        count += "_"
+    out = lines.dedup(docs, whole=lines.WHOLE, count=count)
+    made = F.when(F.col(count) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.select(*(made.alias(c) if c == "n_chars" else F.col(common.quoted(c)) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
