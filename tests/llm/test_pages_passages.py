@@ -246,7 +246,7 @@ def test_exported_file_parses(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write(spark.createDataFrame(ARCHIVED[:5], PAGES), path)
     warc.export(warc.read(spark, path).orderBy("page_id").coalesce(1), f"{path}/out")
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(f"{tmp_path}/w/out").glob("*.gz")))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(f"{tmp_path}/w/out").glob("*.warc.gz")))
     seen = []
     while data:
         head, rest = data.split(b"\r\n\r\n", 1)
@@ -259,6 +259,33 @@ def test_exported_file_parses(spark, tmp_path):
     assert sorted(seen) == sorted([("response", 8), ("revisit", 0), ("response", 0), ("revisit", 0), ("response", len("\r\n\r\nWARC/1.1 é".encode()))])
 
 
+def test_files_are_read_back(spark, tmp_path, rows):
+    """Records through WARC files of a gzip member each: the same bytes, and the same facts."""
+    path = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([*ARCHIVED, (20, "u", "\x1f\x8b not a member"), (21, "u", "a\r\nX-Page: 5\r\n")], PAGES)
+    warc.write(df, path)
+    records = warc.read(spark, path)
+    warc.export(records.repartition(3), f"{path}/out")
+    back = warc.load(spark, f"{path}/out")
+    assert sorted(bytes(r.record) for r in back.collect()) == sorted(bytes(r.record) for r in records.collect())
+    assert rows(warc.parsed(back)) == rows(warc.parsed(records)) == rows(warc.round_trip(df))
+    for file in Path(f"{tmp_path}/w/out").glob("*.warc.gz"):  # a reader may begin at any member
+        data = file.read_bytes()
+        second = data.find(gzip.compress(b"", mtime=0)) + 20
+        assert gzip.decompress(data[second:]) == b"" or gzip.decompress(data[second:]).startswith(b"WARC/1.1\r\n")
+
+
+def test_spoilt_records_stop(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame(ARCHIVED[:5], PAGES), path)
+    records = warc.read(spark, path)
+    for spoil in (F.expr("concat(record, x'20')"), F.expr("substring(record, 1, octet_length(record) - 1)"), F.expr("cast(replace(cast(record as string), '<p>x', '<p>y') as binary)")):
+        with pytest.raises(Exception, match="a record is not as long|differs from its record"):
+            warc.parsed(records.withColumn("record", spoil)).collect()
+    with pytest.raises(Exception, match="not that of the response"):
+        warc.parsed(records.where("revisit or page_id <> 3")).collect()
+
+
 def test_empty_archive(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).isEmpty()
 

@@ -2,11 +2,17 @@
 
 Layout under the archive's path: ``payloads`` (key: SHA-256 of the payload, payload, response: page_id of the record that
 carries it) and ``headers`` (page_id, key or null, header: the record's bytes up to its payload). A response record is its
-header, the payload and two line ends; a revisit record is its header and two line ends.
+header, the payload and two line ends; a revisit record is its header and two line ends. ``export`` writes the records as WARC files,
+a gzip member each, ``load`` reads such files, and ``parsed`` takes everything that it gives from the records' bytes.
 """
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +65,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
         ("WARC-Record-ID", _record_id(F.col("page_id"))),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Target-URI", F.col("url")),
+        ("X-Page", F.col("page_id").cast("string")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("WARC-Refers-To", F.when(F.col("revisit"), _record_id(F.col("response")))),
         ("WARC-Profile", F.when(F.col("revisit"), PROFILE)),
@@ -82,21 +89,84 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("page_id", "revisit", "header", "payload", record.alias("record"))
 
 
+#: A gzip member that holds nothing: what stands between the records' members.
+_NOTHING = gzip.compress(b"", mtime=0).decode("latin-1")
+
+
 def export(records: DataFrame, path: str) -> None:
-    """Writes the records as gzipped WARC files, one a partition."""
-    records.select(F.expr("substring(record, 1, octet_length(record) - 4)").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Writes the records (column record) as WARC files under ``path``, one a partition, each record a gzip member of its own, so that a
+    reader may begin at any of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                members = [gzip.compress(r, mtime=0) for r in batch.column(0).slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+
+    spark = records.sparkSession
+    members = records.select("record").mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", _NOTHING).text(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in fs.listStatus(there):
+        name = file.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(file.getPath(), spark._jvm.org.apache.hadoop.fs.Path(there, name.removesuffix(".txt") + ".warc.gz"))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """record: the bytes of each record in the gzipped WARC files under ``path``. A file is one task's, its records are taken from it one by
+    one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data, out = memoryview(content.as_buffer()), []
+                while len(data):
+                    member = zlib.decompressobj(31)
+                    record = member.decompress(data)
+                    data = data[len(data) - len(member.unused_data) :] if member.eof else data[:0]
+                    if not member.eof:
+                        raise ValueError("a WARC file ends within a record")
+                    if record:
+                        out.append(record)
+                    if len(out) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    return files.select("content").mapInArrow(run, "record binary")
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to from the bytes of the records as read back. The digest is
-    that of the header, held against the payload's own."""
-    head = F.decode("header", "utf-8")
-    line = lambda name: F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    digest = F.substring(line("WARC-Payload-Digest"), 6, 32)
-    sound = F.when(digest == sha1_base32(F.col("payload")), digest).otherwise(F.raise_error(F.lit("a payload differs from its record's digest")).cast("string"))
-    refers = F.expr("try_cast(x as bigint)")
-    out = records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"), line("WARC-Type").alias("record_type"), line("X-Refers-To-Page").alias("x"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, all from the bytes of the records (column record).
+
+    A record is taken apart by its own lengths. A response's payload is held against the digest in its header; a revisit's digest and
+    length against those of the response that it names. What differs, or is cut off, stops the query."""
+    stop = lambda why, kind: F.raise_error(F.lit(why)).cast(kind)
+    line = lambda name, text: F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    number = lambda c: F.expr(f"try_cast({c} as bigint)")
+    # bytes as characters of one byte, so that places are those of bytes
+    text = records.select(F.decode("record", "ISO-8859-1").alias("r")).withColumn("cut", F.instr("r", "\r\n\r\n"))
+    split = text.select("r", "cut", F.concat(F.substring("r", F.lit(1), F.col("cut") + 1)).alias("head"))
+    block = split.select("head", F.expr("substring(r, cut + 4)").alias("rest"), line("Content-Length", F.col("head")).cast("int").alias("size"))
+    block = block.select("head", "size", F.expr("substring(rest, 1, size)").alias("block"), F.expr("substring(rest, size + 1)").alias("end"))
+    block = block.withColumn("block", F.when(F.col("end") == "\r\n\r\n", F.col("block")).otherwise(stop("a record is not as long as it says", "string")))
+    parts = block.select("head", F.expr("substring(block, 1, instr(block, '\r\n\r\n') + 1)").alias("http"), F.expr("substring(block, instr(block, '\r\n\r\n') + 4)").alias("body"))
+    facts = parts.select(
+        line("X-Page", F.col("head")).alias("p"), line("X-Refers-To-Page", F.col("head")).alias("x"), line("Content-Length", F.col("http")).alias("n"),
+        line("WARC-Type", F.col("head")).alias("record_type"), F.substring(line("WARC-Payload-Digest", F.col("head")), 6, 32).alias("digest"), F.encode("body", "ISO-8859-1").alias("payload"),
+    )
+    whole = (F.col("digest") == sha1_base32(F.col("payload"))) & (number("n") == F.octet_length("payload"))
+    sound = F.when((F.col("record_type") == "revisit") | whole, F.col("digest")).otherwise(stop("a payload differs from its record's digest", "string"))
+    facts = facts.select(number("p").alias("page_id"), number("n").alias("payload_bytes"), sound.alias("payload_digest"), "record_type", number("x").alias("refers_to"))
+    facts = common.stored(facts, "records")
+    named = facts.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
+    met = facts.where("record_type = 'revisit'").join(named, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    met = met.withColumn("payload_digest", F.when(F.col("of").isNotNull(), F.col("payload_digest")).otherwise(stop("a revisit's payload is not that of the response that it names", "string")))
+    return facts.where("record_type = 'response'").unionByName(met.select(*facts.columns))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
