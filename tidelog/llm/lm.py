@@ -27,7 +27,7 @@ VOCABULARY = 1 << 17
 #: Counts that the unigram model adds for a pair's history, and that every word has besides its own.
 MASS, FLOOR = 4.0, 0.5
 #: Bytes of text a block, about; ranges of keys are as many as blocks, but so many at least.
-BLOCK_BYTES, RANGES = 16 << 20, 512
+BLOCK_BYTES, RANGES = 8 << 20, 512
 
 
 def tokens(text: str | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
