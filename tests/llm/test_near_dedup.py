@@ -74,6 +74,18 @@ def test_small_blocks_and_slices_lose_nothing(docs, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_strays_beside_a_large_component_cost_as_much_as_it_is_long(spark, monkeypatch):
+    """Members of the largest component come once for each block of the others, not once for each block of their own."""
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    data = [(i, 0, 7, 5) for i in range(5000)] + [(9000, 9000, 7, 5), (9001, 9001, 7, 5)] + [(9100, 9100, 8, 10**7), (9101, 9101, 8, 1)]
+    dealt = minhash._dealt(spark.createDataFrame(data, "node long, component long, grp long, n_shingles long")).select("node", "to.*").collect()
+    large = [r for r in dealt if r.node < 5000]
+    assert len(large) == 5000 and len([r for r in dealt if r.node in (9000, 9001)]) == 2 * 51
+    met = {(r.bi, r.bj) for r in dealt if r.node == 9000}
+    assert all((r.bi, r.bj) in met for r in large)
+    assert {(r.grp, r.bi, r.bj) for r in dealt if r.node == 9100} & {(r.grp, r.bi, r.bj) for r in dealt if r.node == 9101}
+
+
 def test_real_texts(docs, sample):
     rows = [(i, t) for i, t, _ in sample]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(*rows), 3, 85).collect()}

@@ -6,9 +6,10 @@ every coordinate. The signature keeps the low 16 bits of each.
 
 Plan: equal shingle sets are one node (exact copies meet in a partial aggregate, never in pairs). Nodes that share a band
 are linked to the least node of that bucket only; links are confirmed on full sets and joined to components. A second
-round then takes the buckets in which several components are left: what they connect is a group, whose members' full sets
-are compared in blocks of a bounded size, by lists of the owners of each shingle; of the links found, those that join
-components are given. No link between components is lost and no group is expanded into its pairs.
+round then takes the buckets in which several components are left: what they connect is a group. The full sets of all members that
+are not of its largest component are compared with all others, in blocks of a bounded size, by lists of the owners of each shingle;
+of the links found, those that join components are given. No link between components is lost and no group is expanded into its
+pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ HASHES = 128
 MISS = 1e-6
 #: A group's members are verified in slices of this many, each against the group's first.
 SLICE = 256
-#: Members of a group are compared across components in blocks of about this many.
-BLOCK = 1024
+#: Members of a group are compared across components in blocks of about so many, or of about so many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Texts are looked up by a broadcast of at most this many ids (under 50 bytes each with their places); beyond it, by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -167,12 +168,35 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right:
                 yield i, j
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Adds to members (node, component, grp, n_shingles) their block: of the group's largest component (large) or of the others, each
+    cut into blocks of about BLOCK members or BLOCK_SHINGLES shingles, and the numbers of both kinds of blocks (larges, smalls)."""
+    sizes = members.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    best = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.max_by(F.struct("n", "s"), F.struct("n", -F.col("component"))).alias("l"))
+    cut = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    best = best.select("grp", "most", cut(F.col("l.n"), F.col("l.s")).alias("larges"), cut(F.col("all_n") - F.col("l.n"), F.col("all_s") - F.col("l.s")).alias("smalls"))
+    large = F.col("component") == F.col("most")
+    block = F.pmod(F.xxhash64("node"), F.when(large, F.col("larges")).otherwise(F.col("smalls"))).cast("int")
+    return members.join(best, "grp").select("node", "component", "grp", large.alias("large"), block.alias("block"), "larges", "smalls")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """node, to (grp, bi, bj, block, component): each member for each pair of blocks (bi, bj) that it takes part in."""
+    far = 1 << 30  # blocks of the largest component are numbered from here
+    pair = lambda x, y: F.struct(x.cast("int").alias("bi"), y.cast("int").alias("bj"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("block")
+    of_large = F.transform(upto("smalls"), lambda i: pair(i, own + far))
+    of_small = F.concat(F.transform(upto("larges"), lambda i: pair(own, i + far)), F.transform(upto("smalls"), lambda i: pair(F.least(own, i), F.greatest(own, i))))
+    dealt = _blocks(members).select("node", "component", "grp", F.when(F.col("large"), own + far).otherwise(own).alias("place"), F.explode(F.when(F.col("large"), of_large).otherwise(of_small)).alias("at"))
+    return dealt.select("node", F.struct("grp", "at.bi", "at.bj", F.col("place").alias("block"), "component").alias("to"))
+
+
 def _across(docs: DataFrame, members: DataFrame, width: int, least: int) -> DataFrame:
-    """Links (a, b) between components within a group: members has node, component, grp, and blocks (of its group). Each two
-    blocks of a group are compared in one task, by the full sets of all their members; a member's text comes to it once."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.select("node", "component", "grp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", F.struct("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "component").alias("to"))
+    """Links (a, b) between components within a group: members has node, component, grp, n_shingles. Members of a group's largest component
+    need no comparison with each other: each block of the others is compared with each of its blocks and with each other such block, by
+    the full sets of all their members, in one task. So a few strays beside a large component cost about as much as that is long."""
+    dealt = _dealt(members)
     texts = _with_text(docs, dealt, members.count()).select("doc_id", "text", "to.*").repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,14 +297,13 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = _verified(docs, _likely(pairs, nodes, floor), width, percent)
     parts = common.stored(common.components(links), "components")
 
-    comp = nodes.select("node", "sig").join(parts, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("component"))
-    member = _buckets(comp, bands, rows, "component")
+    comp = nodes.select("node", "sig", "n_shingles").join(parts, "node", "left").select("node", "sig", "n_shingles", F.coalesce("component", "node").alias("component"))
+    member = _buckets(comp, bands, rows, "component", "n_shingles")
     open_ = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "a")
     open_ = common.stored(open_, "buckets")
-    left = common.stored(member.join(open_, "bucket").select("a", "node", "component").distinct(), "open")
+    left = common.stored(member.join(open_, "bucket").select("a", "node", "component", "n_shingles").distinct(), "open")
     groups = common.components(left.select("a", F.col("node").alias("b"))).withColumnRenamed("component", "grp")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = common.stored(left.select("node", "component").distinct().join(groups, "node").join(sizes, "grp"), "members")
+    members = common.stored(left.select("node", "component", "n_shingles").distinct().join(groups, "node"), "members")
     more = _across(docs, members, width, percent)
     if not more.isEmpty():
         parts = common.stored(common.components(links.unionByName(more)), "components")
