@@ -361,6 +361,49 @@ def test_matches_table(spark, docs, rows, monkeypatch):
     assert decontam.clean(df, bench.limit(0)).count() == df.count()
 
 
+def test_all_regions_are_given():
+    r = random.Random(8)
+    a, b = item(r, 200), item(r, 64)
+    index = decontam.Index([(1, a), (2, b)])
+    text = f"{b} {'x' * 100} {a} {'y' * 100} {b.upper()} {a[20:90]}"
+    got = index.regions(text)
+    assert len(got) == 4 and got[0][3] == 0 and abs(got[0][1] - len(b) - 102) < 2 and abs(got[0][2] - len(b) - 102 - len(a)) < 2
+    assert [g[1:] for g in got if g[0] == 2] == [(0, len(b), 0), (text.index(b.upper()), text.index(b.upper()) + len(b), 0)]
+    at = len(text) - len(a[20:90])
+    assert any(j == 1 and begin <= at and end == len(text) for j, begin, end, _ in got)
+    for j, begin, end, edits in got:
+        assert edits == 0 and text[begin:end].lower().strip() in (a, b)[j - 1]
+
+
+def test_slices_and_ranges_lose_nothing(monkeypatch):
+    """What is expanded at once is bounded without a difference, also where all items share a q-gram and one item repeats itself."""
+    r = random.Random(9)
+    same = item(r, 70)
+    items = [(i, f"{same} {item(r, 150)}") for i in range(30)] + [(50, (item(r, 40) + " ") * 60), (51, item(r, 3000))]
+    texts = [f"{items[3][1]} {same} {items[30][1][200:1400]} {items[31][1][:2500]}", same, spoil(r, items[5][1], 6) * 3, items[30][1]]
+    index = decontam.Index(items)
+    want = [(index.regions(t), index.find(t)) for t in texts]
+    monkeypatch.setattr(decontam, "SLICE", 100)
+    monkeypatch.setattr(decontam, "EXPANDED", 2000)
+    sizes = []
+    expanded = decontam.Index._expanded
+
+    def watched(self, *args):
+        for got in expanded(self, *args):
+            sizes.append(len(got[0]))
+            yield got
+
+    monkeypatch.setattr(decontam.Index, "_expanded", watched)
+    assert [(index.regions(t), index.find(t)) for t in texts] == want and all(w[0] for w in want)
+    assert len(sizes) > 100
+
+
+def test_short_items_match_what_is_nothing_else():
+    index = decontam.Index([(1, "Yes, it  is"), (2, "42"), (3, " "), (4, "a"), (5, "42")])
+    assert index.find("  yes, it is\n")[0][:3] == (1, 2, 12) and [m[0] for m in index.find("42")] == [2, 5] and index.find("\t42 ")[0][:3] == (2, 1, 3)
+    assert not index.find("the answer is 42") and not index.find("") and not index.find(" ") and not index.find(None)
+
+
 def test_table_as_plain_search(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet").collect()

@@ -6,7 +6,10 @@ shares at least L - Q + 1 - k * Q of the passage's q-grams, on diagonals that li
 counted in overlapping bands of diagonals; bands that reach the bound are verified by banded alignment. Besides, every run of RUN
 characters or more that an item and a text have in common is found, wherever in the item it stands: the q-grams of passages are all
 of the item's, and such a run is RUN - Q + 1 neighbouring ones on one diagonal. Shorter or edited parts of an item that hold no
-passage within the edits are not found.
+passage within the edits are not found. An item under Q characters is found where a text is nothing else.
+
+The q-grams of a text are taken in slices that overlap by more than a region, and the passages in ranges, so that what is expanded at
+once stays under EXPANDED however many passages share a q-gram.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ RUN = 52
 SHARE = 0.08
 #: Characters of items that are sent to the tasks at once; larger benchmarks are taken in blocks.
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams of a slice, and pairs of such a q-gram and a place in a passage that are held at once.
+SLICE, EXPANDED = 8192, 2_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -82,11 +87,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.text, self.k = [], [], []
         self.whole, whole, start = [], [], []
+        self.short: dict[str, list[int]] = {}
         hashes, owners, places = [], [], []
         for item, text in items:
             x, _ = normal(text or "")
             x = x[1:] if len(x) and x[0] == 32 else x
             x = x[:-1] if len(x) and x[-1] == 32 else x
+            if 0 < len(x) < Q:
+                self.short.setdefault(x.tobytes().decode("utf-32-le", "replace"), []).append(item)
             last = max(0, len(x) - LENGTH)
             for at in sorted({*range(0, last + 1, STEP), last}) if len(x) >= Q else ():
                 piece = x[at : at + LENGTH]
@@ -111,6 +119,8 @@ class Index:
         self.first = np.append(first, len(every))
         self.owner = np.concatenate(owners)[order] if hashes else np.empty(0, np.int64)
         self.place = np.concatenate(places)[order] if hashes else np.empty(0, np.int64)
+        # (q-gram, passage) as one number, in order, so that a range of passages is a range of each q-gram's postings
+        self.code = np.repeat(np.arange(len(self.hashes)), np.diff(self.first)) * max(1, len(self.item)) + self.owner
         bits = max(16, int(len(self.hashes) * 16).bit_length())
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
@@ -120,10 +130,36 @@ class Index:
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, begin, end, distance) for each item of which a passage is in the text: its nearest region, then the first; begin
         and end are code points of the text."""
-        if not text or not len(self.hashes):
+        best: dict[int, tuple[int, int, int]] = {}
+        for item, begin, end, distance, run in sorted(self._found(text), key=lambda r: r[4]):
+            new = (distance, begin, end)
+            # a run only where no passage is near
+            if item not in best or new < best[item] and not (run and best[item][0]):
+                best[item] = new
+        return sorted((item, begin, end, distance) for item, (distance, begin, end) in best.items())
+
+    def regions(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item, begin, end, distance) of every region of the text that passages of an item and common runs cover without a gap; distance is
+        the least of theirs, a run's is 0."""
+        out: list[tuple[int, int, int, int]] = []
+        for item, begin, end, distance, _ in sorted(self._found(text)):
+            if out and out[-1][0] == item and begin <= out[-1][2]:
+                out[-1] = (item, out[-1][1], max(out[-1][2], end), min(out[-1][3], distance))
+            else:
+                out.append((item, begin, end, distance))
+        return out
+
+    def _found(self, text: str | None) -> list[tuple[int, int, int, int, bool]]:
+        """As ``regions``, with what is a run and not a passage."""
+        if not text:
             return []
         x, places = normal(text)
-        if len(x) < Q:
+        if len(x) < Q + 2 and self.short:
+            plain = x.tobytes().decode("utf-32-le", "replace")
+            if items := self.short.get(plain.strip(" ")):
+                begin = len(plain) - len(plain.lstrip(" "))
+                return [(item, int(places[begin]), int(places[begin + len(plain.strip(" ")) - 1]) + 1, 0, False) for item in items]
+        if len(x) < Q or not len(self.hashes):
             return []
         h = grams(x)
         at = np.flatnonzero(self.maybe[h >> self.shift])
@@ -133,36 +169,81 @@ class Index:
         at, slot = at[same], slot[same]
         if not len(at):
             return []
-        n = self.first[slot + 1] - self.first[slot]
-        flat = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        owner, diagonal = self.owner[flat], np.repeat(at, n) - self.place[flat]
-        band = (diagonal + LENGTH) // self.width + 1
-        span = (len(x) + LENGTH) // self.width + 3
-        found: dict[int, tuple[int, int, int]] = {}
-        # bands j cover diagonals of the cells j and j + 1
-        keys, counts = np.unique(np.concatenate([owner * span + band, owner * span + band - 1]), return_counts=True)
-        who, cell = np.divmod(keys, span)
-        good = counts >= self.need[who]
+        exact: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        found: set[tuple[int, int, int, int, bool]] = set()
         plain = None
-        for p, b in zip(who[good].tolist(), cell[good].tolist(), strict=True):
-            if plain is None:
-                plain = x.tobytes().decode("utf-32-le", "replace")
-            lo = (b - 1) * self.width - LENGTH
-            got = align(self.text[p], plain, lo, lo + 2 * self.width - 1, int(self.k[p]))
-            if got:
-                distance, begin, end = got
-                best = (distance, int(places[begin]), int(places[end - 1]) + 1)
-                item = self.item[p]
-                if item not in found or best < found[item]:
-                    found[item] = best
-        for item, begin, end in self._runs(x, at, owner, diagonal, self.place[flat]):
-            best = (0, int(places[begin]), int(places[end - 1]) + 1)
-            if item not in found or found[item][0] == 0 and best < found[item]:
-                found[item] = best
-        return sorted((item, begin, end, distance) for item, (distance, begin, end) in found.items())
-
-    def _runs(self, x: np.ndarray, at: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end) of the longest common parts of RUN characters or more, from the shared q-grams (places ``at`` of the
+        for owner, diagonal, where in self._expanded(x, at, slot):
+            band = (diagonal + LENGTH) // self.width + 1
+            span = (len(x) + LENGTH) // self.width + 3
+            # bands j cover diagonals of the cells j and j + 1
+            keys, counts = np.unique(np.concatenate([owner * span + band, owner * span + band - 1]), return_counts=True)
+            who, cell = np.divmod(keys, span)
+            good = counts >= self.need[who]
+            for p, b in zip(who[good].tolist(), cell[good].tolist(), strict=True):
+                if plain is None:
+                    plain = x.tobytes().decode("utf-32-le", "replace")
+                lo = (b - 1) * self.width - LENGTH
+                got = align(self.text[p], plain, lo, lo + 2 * self.width - 1, int(self.k[p]))
+                if got:
+                    distance, begin, end = got
+                    found.add((self.item[p], begin, end, distance, False))
+            for item, begin, end, shift in where:
+                exact.setdefault((item, shift), []).append((begin, end))
+        whole: dict[int, list[tuple[int, int]]] = {}
+        for (item, _), parts in exact.items():  # parts of a run from several slices are one
+            own = whole.setdefault(item, [])
+            top = None
+            for begin, end in sorted(parts):
+                if top and begin <= top[1]:
+                    top = (top[0], max(top[1], end))
+                    own[-1] = top
+                else:
+                    top = (begin, end)
+                    own.append(top)
+        for item, runs in whole.items():
+            far = 0
+            for begin, end in sorted(runs, key=lambda r: (r[0], -r[1])):  # of runs within one another the longest
+                if end > far:
+                    found.add((item, begin, end, 0, True))
+                    far = end
+        return [(item, int(places[begin]), int(places[end - 1]) + 1, distance, run) for item, begin, end, distance, run in found]
+
+    def _expanded(self, x: np.ndarray, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]]:
+        """(passage, diagonal, common runs) of the shared q-grams (place in the text, q-gram), at most about EXPANDED at once. Slices of the
+        text overlap by more than a region and a run of RUN characters needs."""
+        overlap = LENGTH + 2 * self.width + max(LENGTH, RUN) + Q
+        first, passages = 0, max(1, len(self.item))
+        while first < len(at):
+            # q-grams of so many, and on to the end of the overlap
+            last = min(len(at), first + SLICE)
+            end = len(at) if last == len(at) else max(last, int(np.searchsorted(at, at[last - 1] + overlap, "right")))
+            own, gram = at[first:end], slot[first:end]
+            todo = [(0, passages)]
+            while todo:
+                lo, hi = todo.pop()
+                a, b = np.searchsorted(self.code, gram * passages + lo), np.searchsorted(self.code, gram * passages + hi)
+                n = b - a
+                if n.sum() > EXPANDED and hi - lo > 1:
+                    # passages of one item stay together where they can: its runs go over them
+                    middle = (lo + hi) // 2
+                    cut = int(np.searchsorted(self.of, self.of[middle]))
+                    if lo < cut < hi:
+                        todo += [(cut, hi), (lo, cut)]
+                        continue
+                    more = -(-(RUN + LENGTH) // STEP)
+                    if hi - lo > 2 * more:
+                        todo += [(middle, hi), (lo, middle + more)]
+                        continue
+                if not n.sum():
+                    continue
+                flat = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                owner, place = self.owner[flat], self.place[flat]
+                diagonal = np.repeat(own, n) - place
+                yield owner, diagonal, list(self._runs(x, own, owner, diagonal, place))
+            first = last
+
+    def _runs(self, x: np.ndarray, at: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, begin, end, shift against the item) of the longest common parts of RUN characters or more, from the shared q-grams (places ``at`` of the
         text; passage, diagonal and place of each posting)."""
         n = RUN - Q + 1
         if len(at) < n or not (at[n - 1 :] - at[: len(at) - n + 1] == n - 1).any():
@@ -179,7 +260,7 @@ class Index:
                 item, whole = self.whole[of]
                 begin, size = d - self.longest + p, b - a + Q
                 if np.array_equal(x[begin : begin + size], whole[p : p + size]):
-                    yield item, begin, begin + size
+                    yield item, begin, begin + size, begin - p
 
 
 def align(passage: str, text: str, lo: int, hi: int, most: int) -> tuple[int, int, int] | None:
@@ -233,13 +314,14 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(held)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, item_id, begin, end, distance for each row of ``docs`` (doc_id, text) and item that it holds a passage of, or RUN
-    characters: the nearest region of a passage, or a run if there is none or at distance 0; of equal ones the first, in code points
-    of the text.
+    characters: the nearest region of a passage or run, of equal ones the first, in code points of the text. With ``every``, all regions,
+    what overlaps as one with the least distance.
 
-    Null or short texts and items (under Q characters in normal form) match nothing. Repeated rows repeat their matches, items
-    with equal ids are one item; a null doc_id is kept, a null item_id left out. Empty tables give no rows.
+    Null texts and blank items match nothing; an item under Q characters matches a text that is nothing else (in normal form). Texts and
+    items of any length are compared whole. Repeated rows repeat their matches, items with equal ids are one item; a null doc_id is
+    kept, a null item_id left out; other columns, whatever their names, are ignored. Empty tables give no rows.
     """
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -249,7 +331,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in shared.value.find(text.as_py())]
+                rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in (shared.value.regions if every else shared.value.find)(text.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "begin", "end", "distance"])
 
         found = picked.mapInArrow(run, "doc_id long, item_id long, begin long, end long, distance long")

@@ -48,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"), every=True)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
