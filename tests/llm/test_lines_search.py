@@ -150,6 +150,22 @@ def test_pruning_skips_blocks_and_is_exact():
         assert got == sorted(want)
 
 
+def test_index_holds_every_word_and_small_shards_lose_nothing(docs, sample, rows, monkeypatch):
+    """Shards of few rows or postings, of which a task takes several and carries the k-th score on."""
+    import numpy as np
+
+    data = [(i, t) for i, t, _ in sample[:120]] + [(300, sample[3][1]), (None, "x")]
+    df = docs(*data, parts=2)
+    want = rows(search.search(df, df.where("doc_id % 100 = 0")))
+    monkeypatch.setattr(search, "SHARD_ROWS", 7)
+    monkeypatch.setattr(search, "POSTINGS", 600)
+    assert rows(search.search(df, df.where("doc_id % 100 = 0"))) == want
+    shards = search.build(df.where("doc_id is not null")).collect()
+    assert len(shards) > 17 and max(r.rows for r in shards) <= 7
+    n = {int(i): int(x) for r in shards for i, x in zip(np.frombuffer(bytes(r.ids), "<i8"), np.frombuffer(bytes(r.lengths), "<i8"), strict=True)}
+    assert n == {i: len([w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if w]) for i, t in data if i is not None}
+
+
 def test_search_edges(docs):
     empty = docs((1, "x")).limit(0)
     assert search.search(empty, empty).isEmpty()

@@ -1,11 +1,12 @@
 """Exact top-k search by BM25 with block-max pruning.
 
-Rows are dealt into shards (the scan's partitions). A shard holds the postings of the terms that queries use, its rows in an
-order that brings alike rows together and cut into blocks, and each term's greatest impact in each block. For a query, the sum
-of its terms' block maxima bounds the score of every row of a block: the blocks with the greatest bounds are scored first, the
-others only if their bound reaches the k-th score so far. Queries are taken together: terms that many rows and queries share
-are columns of a matrix, so bounds and scores of a block are a product for all queries that still need it; other terms are
-scattered from their postings. Scores use the statistics of all rows, so the shards' lists merge exactly.
+The rows are read and tokenised once, into an inverted index that is stored by shard: a shard holds at most SHARD_ROWS rows or POSTINGS
+postings. In a shard the rows are in an order that brings alike rows together, cut into blocks, and each term has its greatest impact
+in each block. For a query, the sum of its terms' block maxima bounds the score of every row of a block. The blocks with the greatest
+bounds are scored first; the others are skipped if their bound doesn't reach the k-th best score so far, which a task carries on from
+shard to shard. Queries are taken together: terms that many rows and queries share are columns of a matrix, so bounds and scores of a
+block are a product for all queries that still need it; other terms are scattered from their postings. Scores use the statistics of all
+rows, so the shards' lists merge exactly.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 K1, B = 1.2, 0.75
-#: Rows of a block, blocks that are scored first, and postings that a shard holds at most.
-ROWS, FIRST, POSTINGS = 64, 2, 30_000_000
+#: Rows of a block, blocks that are scored first, rows and postings that a shard holds at most (a single row may have more).
+ROWS, FIRST, SHARD_ROWS, POSTINGS = 64, 2, 16_384, 4_000_000
 #: A term is a column if more than one of so many (row, query) pairs share it; columns at most (the rarest go back to postings).
 SHARED, COLUMNS = 1000, 1024
 #: Query terms (over all queries) that are sent to the tasks at once; larger query sets are taken in blocks.
@@ -64,27 +67,45 @@ class Queries:
         self.first = np.searchsorted(self.slot, np.arange(len(self.vocabulary) + 1))
         self.idf = np.zeros(len(self.vocabulary))
 
-    def slots(self, found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.vocabulary, found)
-        at[at == len(self.vocabulary)] = 0
-        same = self.vocabulary[at] == found if len(self.vocabulary) else np.zeros(len(found), bool)
-        return at[same], n[same]
-
 
 class Shard:
+    """The postings of a block's query terms in a shard: of each row the terms (places in the queries' vocabulary) and counts."""
+
     def __init__(self, ids: list[int], lengths: list[int], slots: list[np.ndarray], counts: list[np.ndarray], mean: float):
-        lead = np.array([s[np.argmax(c)] if len(s) else -1 for s, c in zip(slots, counts, strict=True)])
-        lengths = np.array(lengths, np.float64)
+        row = np.repeat(np.arange(len(ids)), [len(s) for s in slots])
+        self._set(np.array(ids, np.int64), np.array(lengths, np.float64), np.concatenate(slots), np.concatenate(counts), row, mean)
+
+    @classmethod
+    def read(cls, stored: dict, q: Queries, mean: float) -> Shard:
+        """From a row of the index."""
+        take = lambda c, t: np.frombuffer(stored[c], t)
+        ids, found = take("ids", np.int64), take("terms", np.uint64)
+        at = np.searchsorted(q.vocabulary, found)
+        at[at == len(q.vocabulary)] = 0
+        same = q.vocabulary[at] == found
+        out = cls.__new__(cls)
+        out._set(ids, take("lengths", np.int64).astype(np.float64), at[same], take("counts", np.uint32)[same].astype(np.float64), np.repeat(np.arange(len(ids)), take("sizes", np.int64))[same], mean)
+        return out
+
+    def _set(self, ids: np.ndarray, lengths: np.ndarray, slot: np.ndarray, tf: np.ndarray, row: np.ndarray, mean: float) -> None:
+        # the row's most frequent query term, of equal ones the first
+        lead = np.full(len(ids), -1)
+        first = np.lexsort((slot, -tf, row))
+        first = first[np.flatnonzero(np.diff(row[first], prepend=-1))]
+        lead[row[first]] = slot[first]
         order = np.lexsort((lengths, lead))
-        self.ids, lengths = np.array(ids, np.int64)[order], lengths[order]
-        self.slot = np.concatenate([slots[i] for i in order])
-        self.row = np.repeat(np.arange(len(order)), [len(slots[i]) for i in order])
-        tf = np.concatenate([counts[i] for i in order])
+        self.ids, lengths = ids[order], lengths[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        by = np.argsort(back[row], kind="stable")
+        self.slot, self.row, tf = slot[by], back[row][by], tf[by]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.row] / mean))
 
-    def top(self, q: Queries, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query ids, row ids, scores) of the k best rows of each query that share a term with it."""
+    def top(self, q: Queries, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, row ids, scores) of the rows of each query that share a term with it and can be among its k best. ``floor``: the
+        k-th best score of each query in shards before; raised to what this shard adds."""
         n, size = len(q.ids), len(self.ids)
+        floor = np.zeros(n) if floor is None else floor
         blocks = -(-size // ROWS)
         weight = self.impact * q.idf[self.slot]
         # columns: terms that so many rows and queries share that a product is cheaper than postings
@@ -117,14 +138,13 @@ class Shard:
         rank[by_id] = np.arange(size, 0, -1)  # of equal scores the smaller doc_id is the greater key
         bits = np.int64(int(size + 1).bit_length())
         best = np.zeros((n, k), np.int64)
-        floor = np.zeros(n)
         lead = np.zeros((n, blocks), bool)
         few = min(FIRST, blocks)
         np.put_along_axis(lead, np.argpartition(bound, blocks - few, axis=1)[:, blocks - few :], True, axis=1)
         edge = np.searchsorted(row, np.arange(blocks + 1) * ROWS)
         for first in (True, False):
             for b in range(blocks):
-                need = (lead[:, b] if first else ~lead[:, b] & (bound[:, b] >= floor - 2 * 10.0**-PLACES)) & (bound[:, b] > 0)
+                need = (lead[:, b] if first else ~lead[:, b]) & (bound[:, b] >= floor - 2 * 10.0**-PLACES) & (bound[:, b] > 0)
                 some = np.flatnonzero(need)
                 if not len(some):
                     continue
@@ -135,36 +155,66 @@ class Shard:
                 keys[total <= 0] = 0
                 both = np.concatenate([best[some], keys], axis=1)
                 best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
-                floor[some] = (best[some].min(axis=1) >> bits) / 10**PLACES
+                floor[some] = np.maximum(floor[some], (best[some].min(axis=1) >> bits) / 10**PLACES)
         query, at = np.nonzero(best)
         found = best[query, at]
         return q.ids[query], self.ids[by_id][size - (found & ((np.int64(1) << bits) - 1))], (found >> bits) / 10**PLACES
 
 
-def _statistics(docs: DataFrame, queries: Queries) -> tuple[int, float]:
-    """Sets the queries' idf; (rows, mean length) over all rows. A task gives one row for each term that it has."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(queries)
+def build(docs: DataFrame) -> DataFrame:
+    """The index of ``docs`` (doc_id long, text string): a row a shard, with rows and words (numbers), and as bytes the rows' ids, lengths and
+    numbers of terms (64-bit), and their terms (64-bit, in order within a row) and counts (32-bit), a row after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, q = {}, shared.value
-        df, rows, words = np.zeros(len(q.vocabulary), np.int64), 0, 0
+        known: dict[bytes, int] = {}
+        ids, lengths, sizes, found, counts = [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.array(ids, np.int64), np.array(lengths, np.int64), np.array(sizes, np.int64), np.concatenate(found), np.concatenate(counts)]
+            row = [pa.array([len(ids)], pa.int64()), pa.array([int(columns[1].sum())], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
+            for x in (ids, lengths, sizes, found, counts):
+                x.clear()
+            return pa.RecordBatch.from_arrays(row, ["rows", "words", "ids", "lengths", "sizes", "terms", "counts"])
+
+        held = 0
         for batch in batches:
-            for text in batch.column("text"):
-                found, n, length = terms(text.as_py(), known)
-                rows, words = rows + 1, words + length
-                df[q.slots(found, n)[0]] += 1
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                t, n, length = terms(text.as_py(), known)
+                if ids and (len(ids) >= SHARD_ROWS or held + len(t) > POSTINGS):
+                    yield flush()
+                    held = 0
+                for x, y in zip((ids, lengths, sizes, found, counts), (doc, length, len(t), t, n.astype(np.uint32)), strict=True):
+                    x.append(y)
+                held += len(t)
+        if ids:
+            yield flush()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rows long, words long, ids binary, lengths binary, sizes binary, terms binary, counts binary")
+
+
+def _statistics(index: DataFrame, queries: Queries) -> float:
+    """Sets the queries' idf over all rows; the rows' mean length. A task gives one row for each term that it has."""
+    shared = index.sparkSession.sparkContext.broadcast(queries.vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        df = np.zeros(len(vocabulary) + 1, np.int64)
+        for batch in batches:
+            for stored in batch.column("terms"):
+                found = np.frombuffer(stored.as_buffer(), np.uint64)
+                at = np.searchsorted(vocabulary, found)
+                at[at == len(vocabulary)] = 0
+                df += np.bincount(at[vocabulary[at] == found], minlength=len(df))
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [rows, words]))], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["slot", "n"])
 
-    got = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = index.select("terms").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
-    slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
-    rows, words = int(n[slot == -1].sum()), int(n[slot == -2].sum())
+    rows, words = (x or 0 for x in index.agg(F.sum("rows"), F.sum("words")).first())
     df = np.zeros(len(queries.vocabulary))
-    df[slot[slot >= 0]] = n[slot >= 0]
+    df[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     queries.idf = np.log(1 + (rows - df + 0.5) / (df + 0.5))
-    return rows, words / max(rows, 1)
+    return words / max(rows, 1)
 
 
 def _blocks(queries: DataFrame) -> Iterator[Queries]:
@@ -190,42 +240,33 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     over the query's distinct words of idf * BM25 weight. Rows that share no word are no results.
 
     Rows with a null doc_id are left out; null text has no words, as a row and as a query. Repeated rows of docs are results each;
-    queries with equal doc_id are one (the least text). Ties are in order of doc_id. Empty tables give no rows.
+    queries with equal doc_id are one (the least text). Ties are in order of doc_id. Texts of any length are read whole; other columns,
+    whatever their names, are ignored. Empty tables give no rows.
     """
     pick = lambda t: t.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     docs, queries = pick(docs), pick(queries).groupBy("doc_id").agg(F.min("text").alias("text"))
+    index, _ = common.passed(build(docs), "index")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     out = None
     for block in _blocks(queries):
-        rows, mean = _statistics(docs, block)
+        if not len(block.vocabulary):
+            continue
+        mean = _statistics(index, block)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, mean=max(mean, 1e-9)) -> Iterator[pa.RecordBatch]:
-            known, q = {}, shared.value
-            held: tuple[list, list, list, list] = ([], [], [], [])
-
-            def flush() -> pa.RecordBatch:
-                shard = Shard(*held, mean)
-                for x in held:
-                    x.clear()
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in shard.top(q, k)], ["query_id", "doc_id", "score"])
-
-            size = 0
+            q = shared.value
+            floor = np.zeros(len(q.ids))
             for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    found, n, length = terms(text.as_py(), known)
-                    slots, counts = q.slots(found, n)
-                    for x, y in zip(held, (doc, length, slots, counts), strict=True):
-                        x.append(y)
-                    size += len(slots)
-                    if size > POSTINGS:
-                        yield flush()
-                        size = 0
-            if held[0]:
-                yield flush()
-
-        found = docs.mapInArrow(run, "query_id long, doc_id long, score double")
+                for stored in batch.to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in Shard.read(stored, q, mean).top(q, k, floor)], ["query_id", "doc_id", "score"])
+
+        # each block's results are kept before the next block is sent
+        found = index.select("ids", "lengths", "sizes", "terms", "counts").mapInArrow(run, "query_id long, doc_id long, score double")
+        found = common.stored(found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
+        shared.unpersist()
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = docs.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        null = F.lit(0).cast("long")
+        out = docs.limit(0).select(F.col("doc_id").alias("query_id"), null.alias("rank"), "doc_id", F.lit(0.0).alias("score"))
+    return out
