@@ -1,16 +1,20 @@
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tidelog.llm import langid, lm, pieces, quality
+from tidelog.llm import langid, lm, pieces, quality, queries
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -169,9 +173,123 @@ def test_one_labelled_junk_text_lets_no_unlearned_language_pass(docs, sample):
     assert not model.predict("the and of")[2]
 
 
+def plain_ngrams(text):
+    """Counts of the hashed n-grams, one by one."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not letters.strip():
+        return None
+    letters = f" {re.sub(' +', ' ', letters)} "
+    out = Counter()
+    u = lambda x: x & 0xFFFFFFFF
+    one = [u(ord(c) * 0x9E3779B1) for c in letters]
+    two = [u(one[i] * 0x85EBCA6B + ord(letters[i + 1]) * 0xC2B2AE35) for i in range(len(letters) - 1)]
+    three = [u(two[i] * 0x27D4EB2F + ord(letters[i + 2]) * 0x165667B1) for i in range(len(letters) - 2)]
+    for h in (*one, *two, *three):
+        out[u((h ^ (h >> 15)) * 0x2C1B3C6D) >> 18] += 1
+    return out
+
+
+def plain_centroids(samples, k, idf):
+    """Spherical k-means with dictionaries for vectors."""
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {a: x / size for a, x in v.items()}
+
+    rows = [unit({a: (1 + math.log(n)) * idf.get(a, 0) for a, n in s.items()}) for s in samples]
+    dot = lambda a, b: sum(x * b.get(i, 0) for i, x in a.items())
+    found = [rows[int(i)] for i in np.linspace(0, len(rows) - 1, min(k, len(rows)))]
+    for _ in range(10):
+        near = [max(range(len(found)), key=lambda j: (dot(r, found[j]), -j)) for r in rows]
+        for j in range(len(found)):
+            mine = [r for r, x in zip(rows, near, strict=True) if x == j]
+            if mine:
+                found[j] = unit({a: sum(r.get(a, 0) for r in mine) for a in {a for r in mine for a in r}})
+    return found
+
+
+def test_op7_as_brute_force(spark, sample):
+    """The query's languages and scores by a plain computation over all n-grams of every text."""
+    texts = {i: (t, x, plain_ngrams(t)) for i, t, x in sample}
+    langs = sorted({x for _, x, _ in texts.values() if x})
+    order = lambda c: (np.array(sorted(c), "<i4").tobytes(), np.array([c[a] for a in sorted(c)], "<i8").tobytes())
+    learned = {x: sorted((g for i, (_, y, g) in texts.items() if y == x and not held(i) and g), key=order) for x in langs}
+    assert max(map(len, learned.values())) <= langid.SAMPLE
+    n = sum(map(len, learned.values()))
+    df = Counter(a for rows in learned.values() for g in rows for a in g)
+    idf = {a: math.log((1 + n) / (1 + df.get(a, 0))) + 1 for a in range(langid.SIZE)}
+    centroids = {x: plain_centroids(learned[x], langid.CENTROIDS, idf) for x in langs}
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for i, (_, _, g) in texts.items():
+        v = {a: (1 + math.log(k)) * idf[a] for a, k in g.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        best = {x: max(sum(w * c.get(a, 0) for a, w in v.items()) / size for c in cs) for x, cs in centroids.items()}
+        lang = max(langs, key=lambda x: best[x])
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(best[lang], abs=2e-4) and got[i].held_out == held(i)
+
+
+def test_a_repeated_row_is_learned_from_once(docs, sample):
+    """A third of the rows are one: the sample is that of the distinct ids, and no more comes to the driver."""
+    some = [(i, t, x) for i, t, x in sample]
+    one = next((i, t, x) for i, t, x in some if not held(i))
+    a, b = langid.train(docs(*some)), langid.train(docs(*some, *[one] * 3000))
+    assert np.array_equal(a.centroids, b.centroids) and a.floors == b.floors
+
+
 # quality
 
 
+def plain_features(text):
+    words = re.findall(r"\w+|[^\w\s]+", text.lower())
+    stems = Counter(w[:5] for w in words if len(w) > 5)
+    names = {f"w {w}" for w in words} | {f"s {w}" for w in stems} | {f"r {w}" for w, n in stems.items() if n >= 3}
+    loud = sum(text.count(c) for c in "AEINRST") * 2 > sum(text.lower().count(c) for c in "aeinrst")
+    return {xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) % (quality.SIZE - 2) for w in names} | {quality.SIZE - 1 if loud else quality.SIZE - 2}
+
+
+def test_op4_as_brute_force(spark, sample):
+    """The query's grades by a plain computation: each text's set of words, the likelihood of the ratings as it is written down, its
+    slope by differences, and the same steps along it."""
+    d = "/root/testdata/sf0.001"
+    rated = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        q, t = rated.get(r.doc_id, (0, 0))
+        rated[r.doc_id] = max(q, r.quality or 0), max(t, r.toxic or 0)
+    grade = {i: 0 if t else 2 if q else 1 for i, (q, t) in rated.items()}
+    sets = {i: plain_features(t) for i, t, _ in sample}
+    rows = sorted((i for i in grade if i in sets), key=lambda i: (grade[i], np.array(sorted(sets[i]), "<i4").tobytes()))
+    g = np.array([grade[i] for i in rows])
+    df = Counter(a for i in rows for a in sets[i])
+    least = min(quality.LEAST, max(1, len(rows) // 20))
+    mean, spread = g.mean(), max(g.std(), 1e-9)
+    off = lambda a: abs(sum(grade[i] - mean for i in rows if a in sets[i])) / math.sqrt(df[a]) / spread
+    used = sorted(a for a in df if df[a] >= least and off(a) >= quality.SCREEN)
+    x = np.array([[a in sets[i] for a in used] for i in rows], float).reshape(len(rows), len(used))
+
+    def cost(v):
+        """Of the weights, the first threshold and the logarithms of the steps between thresholds."""
+        w, gap = v[: len(used)], v[len(used) :]
+        b = np.concatenate([gap[:1], gap[0] + np.cumsum(np.exp(gap[1:]))])
+        tail = np.concatenate([np.ones((len(rows), 1)), 1 / (1 + np.exp(b - (x @ w)[:, None])), np.zeros((len(rows), 1))], axis=1)
+        return -np.mean(np.log(np.maximum(tail[np.arange(len(rows)), g] - tail[np.arange(len(rows)), g + 1], 1e-9))) + quality.RIDGE / 2 * w @ w
+
+    share = [max(1e-3, min(1 - 1e-3, np.mean(g >= j))) for j in (1, 2)]
+    start = [math.log((1 - s) / s) for s in share]
+    v = np.concatenate([np.zeros(len(used)), [start[0], math.log(max(start[1] - start[0], 0.05))]])
+    first, second = np.zeros_like(v), np.zeros_like(v)
+    for t in range(1, quality.STEPS + 1):
+        slope = np.array([(cost(v + e) - cost(v - e)) / 2e-5 for e in np.eye(len(v)) * 1e-5])
+        first, second = 0.9 * first - 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        v = v + quality.RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    weight, b = dict(zip(used, v, strict=False)), [v[len(used)], v[len(used)] + math.exp(v[len(used) + 1])]
+    got = {r.doc_id: r for r in queries.op4_quality(spark, d).collect()}
+    for i, own in sets.items():
+        s = sum(weight.get(a, 0) for a in own)
+        usable, good = (1 / (1 + math.exp(t - s)) for t in b)
+        assert got[i].p_usable == pytest.approx(usable, abs=5e-3) and got[i].p_good == pytest.approx(good, abs=5e-3)
+        assert got[i].expected_grade == pytest.approx(usable + good, abs=1e-2)
+
+
 def test_toxic_texts_are_told(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -238,6 +356,37 @@ def test_losses_as_brute_force(spark, docs, sample):
     assert lm.score(df.limit(0), lm.count(df.limit(0), labels)).isEmpty()
 
 
+def plain_words(text):
+    return [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower()) if w]
+
+
+def test_losses_by_the_words_themselves(spark, docs, sample):
+    """The models over words as they are written, without a hash, and each history's probabilities sum to 1."""
+    data = sample[:80]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i, _, _ in data], "doc_id long, quality int, toxic int")
+    df = docs(*data)
+    got = {r.doc_id: r for r in lm.score(df, lm.count(df, labels)).collect()}
+    texts = {i: plain_words(t) for i, t, _ in data}
+    vocabulary = max(lm.VOCABULARY, len({w for t in texts.values() for w in t}))
+    for column, chosen in (("target_loss", [i for i in texts if i % 3 == 0]), ("background_loss", list(texts))):
+        one, two, ends = Counter(), Counter(), Counter()
+        for i in chosen:
+            one.update(texts[i])
+            two.update(zip(texts[i], texts[i][1:], strict=False))
+            ends.update(texts[i][-1:])
+        size = sum(one.values())
+        p = lambda w, one=one, size=size: (one[w] + lm.FLOOR) / (size + lm.FLOOR * vocabulary)
+        after = lambda h, w, one=one, two=two, p=p: (two[h, w] + lm.MASS * p(w)) / (one[h] + lm.MASS)
+        for i, t in texts.items():
+            if t:
+                loss = -(math.log(p(t[0])) + sum(math.log(after(h, w)) for h, w in zip(t, t[1:], strict=False))) / len(t)
+                assert got[i][column] == pytest.approx(loss, abs=1e-9) and got[i].n_tokens == len(t)
+        unseen = (vocabulary - len(one)) * lm.FLOOR / (size + lm.FLOOR * vocabulary)
+        for h in list(one)[:20]:
+            total = sum(after(h, w) for w in one) + lm.MASS * unseen / (one[h] + lm.MASS) + ends[h] / (one[h] + lm.MASS)
+            assert total == pytest.approx(1, abs=1e-9)
+
+
 def test_counts_grow_with_the_words(spark, docs):
     """Every word and pair has its own count: more pairs than 2^20 classes hold, and a text's probabilities are those of its own words."""
     r = np.random.default_rng(0)

@@ -21,7 +21,8 @@ from . import common
 SIZE = 1 << 14
 #: Labelled texts a language that the centroids are fitted on (those with the least hash of doc_id), at most.
 SAMPLE = 400
-SALTS = 64
+#: Besides them: ten standard deviations of how many hashes are under a bound, and as much again for the sketch's error.
+MORE = 300
 CENTROIDS = 3
 #: A text is rejected if its best cosine is under this share of the quantile LOW of the language's sampled texts.
 MARGIN, LOW = 0.5, 0.05
@@ -116,11 +117,13 @@ def train(docs: DataFrame) -> Model:
     """Fits on labelled rows that are not held out; a null doc_id is not learned from. At most SAMPLE texts a language."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    # the least hashes of each of SALTS parts of a language first, then of the language: no task sorts all of a large one
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
-    for part in (["lang", "salt"], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("hash", "doc_id"))).where(F.col("rank") <= SAMPLE)
-    ids = ids.select("doc_id", "lang").distinct()
+    # ids and hashes only: a language of about n ids (counted by a sketch) keeps those under a hash that leaves SAMPLE of them and MORE
+    # besides, then the SAMPLE least of these; so neither the count nor the choice sorts what a large language has
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    n = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("n"))
+    below = (F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("n") < SAMPLE + MORE
+    ids = ids.join(n, "lang").where(below).select("doc_id", "lang", "hash").distinct()
+    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +132,9 @@ def train(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "at", "n"])
 
     samples: dict[str, list] = {}
-    picked = usable.join(ids, ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, at binary, n binary")
+    # of rows with one doc_id and language the least text, so that no more than the sample comes to the driver
+    picked = usable.join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    picked = picked.select("lang", "text").mapInArrow(run, "lang string, at binary, n binary")
     for row in sorted(picked.collect(), key=lambda r: (r.lang, bytes(r.at), bytes(r.n))):
         samples.setdefault(row.lang, []).append((np.frombuffer(bytes(row.at), "<i4"), np.frombuffer(bytes(row.n), "<i8")))
     return fit({lang: rows[:SAMPLE] for lang, rows in samples.items()})
@@ -152,8 +157,8 @@ def identify(docs: DataFrame) -> DataFrame:
     not held out (crc32 of doc_id as text mod 3 is not 1) and have a language.
 
     lang_pred is a learned language; und if text is null or has no letter, or nothing could be learned. A null doc_id is not
-    held out and not learned from. Repeated rows give a row each; ties go to the first language in order of name. An empty
-    table gives no rows. Whole texts are read, of any length.
+    held out and not learned from. Repeated rows give a row each, and are learned from once; ties go to the first language in order
+    of name. An empty table gives no rows. Whole texts are read, of any length; other columns, whatever their names, are ignored.
     """
     out = predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs), "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -163,7 +163,11 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference for each row of the table that was counted; losses are null where a
-    text has no word (null and empty texts too). Null doc_ids and repeated rows are kept as they are; an empty table gives no rows."""
+    text has no word (null and empty texts too). Null doc_ids and repeated rows are kept as they are; an empty table gives no rows.
+    Texts of any length are counted and scored whole; other columns, whatever their names, are ignored.
+
+    A word's probability after another is (times seen after it + MASS * its unigram probability) / (the other's times + MASS); what a
+    history lacks to 1 are the times that it ends a text. Unigram probabilities sum to 1 over the words and those not seen."""
     answers, blocks, vocabulary, sizes = model
     vocabulary = max(VOCABULARY, vocabulary)
 

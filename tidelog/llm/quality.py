@@ -107,7 +107,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = GRADES) -> Mod
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most SAMPLE rated texts. labels: doc_id, quality 0/1, toxic 0/1; of several ratings of a text the greatest of each
-    count, a null is 0. Ratings of unknown or null doc_ids are skipped; a text that is there twice counts twice."""
+    count, a null is 0. Ratings of unknown or null doc_ids are skipped; of rows with one doc_id the least text counts, once."""
     rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce(F.max("quality"), F.lit(0)).alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     rated = rated.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).cast("int").alias("grade"))
     # the least hashes are all under a threshold that leaves at least SAMPLE rows: only those are sorted
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([features(t.as_py(), known).astype("<i4").tobytes() for t in batch.column("text")], pa.binary())], ["grade", "found"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     got = sorted((r.grade, bytes(r.found)) for r in texts.select("grade", "text").mapInArrow(run, "grade int, found binary").collect())
     return fit([np.frombuffer(f, "<i4").astype(np.int64) for _, f in got], np.array([g for g, _ in got], int))
 
@@ -129,7 +130,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_grade (0 to 2), p_usable (P(grade >= 1)), p_good (P(grade >= 2)), kept (p_usable >= 0.5) for each row.
 
     Null, empty and blank texts have no words and get what the thresholds alone give. Null doc_ids and repeated rows are kept as
-    they are; an empty table gives no rows. Whole texts are read, of any length.
+    they are; an empty table gives no rows. Whole texts are read, of any length; other columns, whatever their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
