@@ -58,22 +58,21 @@ def strict_decode(log: DataFrame, schemas: dict[str, str], fail: bool = False) -
     version, phase). Unknown types, bad JSON and values that don't fit the schema fail in phase deserialize; what upcast left as
     failed fails in phase upcast. With ``fail``, a failure stops the query."""
     failed = F.col("failed_phase") if "failed_phase" in log.columns else F.lit(None).cast("string")
-    names = list(schemas)
-    field = {t: t.replace(".", "_").replace(":", "_") for t in names}
-    parsed = [F.when(F.col("type") == t, F.from_json("payload", f"{s}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})).alias(field[t]) for t, s in schemas.items()]
-
-    def judged(d: Column) -> Column:
-        """(data, error) of the parsed structs, of which the event's own type's is set."""
-        own = F.coalesce(*(F.when(F.col("type") == t, d[field[t]].isNotNull() & d[field[t]]["__bad"].isNull()) for t in names), F.lit(False))
-        phase = F.when(failed.isNotNull(), failed).when(~own, "deserialize")
-        error = F.when(phase.isNotNull(), F.struct(F.col("type").alias("type"), F.col("version").alias("version"), phase.alias("phase")))
-        if fail:
-            text = F.concat_ws(" ", F.lit("replay failed closed:"), "type", F.col("version").cast("string"), phase)
-            error = F.when(phase.isNotNull(), F.raise_error(text).cast("struct<type:string,version:bigint,phase:string>"))
-        return F.struct(F.struct(*(F.when(own, d[field[t]].dropFields("__bad")).alias(field[t]) for t in names)).alias("data"), error.alias("error"))
-
-    out = log.withColumn("__j", _let(F.struct(*parsed), judged))
-    return out.select(*log.columns, F.col("__j.data").alias("data"), F.col("__j.error").alias("error"))
+    # types of one schema are parsed by one expression; projections one after another bind what is used more than once
+    types: dict[str, list[str]] = {}
+    for t, schema in schemas.items():
+        types.setdefault(schema, []).append(t)
+    parsed = [F.when(F.col("type").isin(*own), F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})).alias(f"s{i}") for i, (schema, own) in enumerate(types.items())]
+    at = {t: F.col("__parsed")[f"s{i}"] for i, own in enumerate(types.values()) for t in own}
+    fits = F.coalesce(*(F.when(F.col("type").isin(*own), at[own[0]].isNotNull() & at[own[0]]["__bad"].isNull()) for own in types.values()), F.lit(False))
+    out = log.withColumn("__parsed", F.struct(*parsed)).withColumn("__fits", fits)
+    out = out.withColumn("__phase", F.when(failed.isNotNull(), failed).when(~F.col("__fits"), "deserialize"))
+    error = F.struct(F.col("type").alias("type"), F.col("version").alias("version"), F.col("__phase").alias("phase"))
+    if fail:
+        text = F.concat_ws(" ", F.lit("replay failed closed:"), "type", F.col("version").cast("string"), "__phase")
+        error = F.raise_error(text).cast("struct<type:string,version:bigint,phase:string>")
+    data = F.struct(*(F.when(F.col("__fits") & (F.col("type") == t), at[t].dropFields("__bad")).alias(t.replace(".", "_").replace(":", "_")) for t in schemas))
+    return out.select(*log.columns, data.alias("data"), F.when(F.col("__phase").isNotNull(), error).alias("error"))
 
 
 def lenient_decode(records: DataFrame, metadata: str = "metadata_json") -> DataFrame:
