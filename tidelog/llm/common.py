@@ -41,10 +41,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidelog/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back, so a lost executor costs no rerun."""
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it back, so a lost executor costs no rerun. ``rows``: about
+    how many there are, where that is known."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(tasks(rows))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,20 +92,31 @@ def filtered(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]])
     return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
+#: Rows of a table for each task that writes it, where they are known: a loop over small tables then writes few files.
+TASK_ROWS = 20_000
+
+
+def tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of undirected ``edges`` (a, b: long): columns node, component.
 
     Large-star and small-star steps in turn. The minima are stored before they are joined back, so a node of very high degree
-    costs one row a task in the aggregate, and in the join its edges are a skewed partition that Spark can split.
+    costs one row a task in the aggregate, and in the join its edges are a skewed partition that Spark can split. What is stored is
+    written by tasks in proportion to the edges, of which no step makes more.
     """
     spark = edges.sparkSession
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = stored(now, "edges")
+    few = tasks(2 * now.count())
     old: list[str] = []
     mark = None
 
     def kept(df: DataFrame) -> DataFrame:
         path = new_path(spark, "cc")
-        df.write.parquet(path)
+        df.coalesce(few).write.parquet(path)
         old.append(path)
         return spark.read.schema(df.schema).parquet(path)
 

@@ -289,24 +289,26 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sets = all_docs.where("set_id is not null and doc_id is not null")
     nodes = common.stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("n_shingles")), "nodes")
 
+    n = nodes.count()
+
     member = _buckets(nodes, bands, rows, "n_shingles")
     # what is joined back to a possibly hot bucket is stored first, so that the join's sides are shuffles that Spark can split
     first = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("n_shingles", "node").alias("n"), F.count("*").alias("size")).where("size > 1").drop("size")
-    first = common.stored(first, "first")
+    first = common.stored(first, "first", n * bands)
     pairs = member.join(first, "bucket").where(f"a <> node and 100 * least(n, n_shingles) >= {percent} * greatest(n, n_shingles)").select("a", F.col("node").alias("b")).distinct()
     links = _verified(docs, _likely(pairs, nodes, floor), width, percent)
-    parts = common.stored(common.components(links), "components")
+    parts = common.stored(common.components(links), "components", n)
 
     comp = nodes.select("node", "sig", "n_shingles").join(parts, "node", "left").select("node", "sig", "n_shingles", F.coalesce("component", "node").alias("component"))
     member = _buckets(comp, bands, rows, "component", "n_shingles")
     open_ = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "a")
-    open_ = common.stored(open_, "buckets")
-    left = common.stored(member.join(open_, "bucket").select("a", "node", "component", "n_shingles").distinct(), "open")
+    open_ = common.stored(open_, "buckets", n * bands)
+    left = common.stored(member.join(open_, "bucket").select("a", "node", "component", "n_shingles").distinct(), "open", n * bands)
     groups = common.components(left.select("a", F.col("node").alias("b"))).withColumnRenamed("component", "grp")
-    members = common.stored(left.select("node", "component", "n_shingles").distinct().join(groups, "node"), "members")
+    members = common.stored(left.select("node", "component", "n_shingles").distinct().join(groups, "node"), "members", n)
     more = _across(docs, members, width, percent)
     if not more.isEmpty():
-        parts = common.stored(common.components(links.unionByName(more)), "components")
+        parts = common.stored(common.components(links.unionByName(more)), "components", n)
 
     final = nodes.select("set_id", "node").join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = all_docs.select("doc_id", "key", "n_shingles", "set_id").join(final, "set_id", "left")
