@@ -122,7 +122,8 @@ def train(docs: DataFrame) -> Model:
     ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
     n = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("n"))
     below = (F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("n") < SAMPLE + MORE
-    ids = ids.join(n, "lang").where(below).select("doc_id", "lang", "hash").distinct()
+    # (a row a language; the model, with centroids for each, goes to all tasks as well)
+    ids = ids.join(F.broadcast(n), "lang").where(below).select("doc_id", "lang", "hash").distinct()
     ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
