@@ -157,8 +157,10 @@ def test_index_holds_every_word_and_small_shards_lose_nothing(docs, sample, rows
     data = [(i, t) for i, t, _ in sample[:120]] + [(300, sample[3][1]), (None, "x")]
     df = docs(*data, parts=2)
     want = rows(search.search(df, df.where("doc_id % 100 = 0")))
-    monkeypatch.setattr(search, "SHARD_ROWS", 7)
-    monkeypatch.setattr(search, "POSTINGS", 600)
+    monkeypatch.setattr(search, "SHARD_ROWS", 14)
+    monkeypatch.setattr(search, "POSTINGS", 1200)
+    monkeypatch.setattr(search, "PARTS", 2)
+    monkeypatch.setattr(search, "PAIRS", 50)
     assert rows(search.search(df, df.where("doc_id % 100 = 0"))) == want
     shards = search.build(df.where("doc_id is not null")).collect()
     assert len(shards) > 17 and max(r.rows for r in shards) <= 7

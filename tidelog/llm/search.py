@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K1, B = 1.2, 0.75
-#: Rows of a block, blocks that are scored first, rows and postings that a shard holds at most (a single row may have more).
-ROWS, FIRST, SHARD_ROWS, POSTINGS = 64, 2, 16_384, 4_000_000
+#: Rows of a block, blocks that are scored first, rows and postings that a shard holds at most (a single row may have more), parts that it
+#: is stored in, and (posting, query) pairs that are held at once.
+ROWS, FIRST, SHARD_ROWS, POSTINGS, PARTS, PAIRS = 64, 2, 8192, 2_000_000, 8, 4_000_000
 #: A term is a column if more than one of so many (row, query) pairs share it; columns at most (the rarest go back to postings).
 SHARED, COLUMNS = 1000, 1024
 #: Query terms (over all queries) that are sent to the tasks at once; larger query sets are taken in blocks.
@@ -76,9 +77,9 @@ class Shard:
         self._set(np.array(ids, np.int64), np.array(lengths, np.float64), np.concatenate(slots), np.concatenate(counts), row, mean)
 
     @classmethod
-    def read(cls, stored: dict, q: Queries, mean: float) -> Shard:
-        """From a row of the index."""
-        take = lambda c, t: np.frombuffer(stored[c], t)
+    def read(cls, stored: list[dict], q: Queries, mean: float) -> Shard:
+        """From parts, rows of the index."""
+        take = lambda c, t: np.concatenate([np.frombuffer(part[c], t) for part in stored])
         ids, found = take("ids", np.int64), take("terms", np.uint64)
         at = np.searchsorted(q.vocabulary, found)
         at[at == len(q.vocabulary)] = 0
@@ -123,8 +124,14 @@ class Shard:
         def scattered(slot: np.ndarray, to: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
             """(query, place) sums of weights at places ``to`` over the queries of each slot."""
             first, end = q.first[slot], q.first[slot + 1]
-            at = q.row[_ranges(first, end)] * width + np.repeat(to, end - first)
-            return np.bincount(at, weights=np.repeat(weight, end - first), minlength=n * width).reshape(n, width).astype(float, copy=False)
+            size = end - first
+            upto, out, a = np.cumsum(size), np.zeros(n * width), 0
+            while a < len(size):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+                at = q.row[_ranges(first[a:b], end[a:b])] * width + np.repeat(to[a:b], size[a:b])
+                out += np.bincount(at, weights=np.repeat(weight[a:b], size[a:b]), minlength=n * width)
+                a = b
+            return out.reshape(n, width)
 
         by = np.lexsort((row, slot))
         key = slot[by] * blocks + row[by] // ROWS
@@ -162,7 +169,7 @@ class Shard:
 
 
 def build(docs: DataFrame) -> DataFrame:
-    """The index of ``docs`` (doc_id long, text string): a row a shard, with rows and words (numbers), and as bytes the rows' ids, lengths and
+    """The index of ``docs`` (doc_id long, text string): a row for each part of a shard, with rows and words (numbers), and as bytes the rows' ids, lengths and
     numbers of terms (64-bit), and their terms (64-bit, in order within a row) and counts (32-bit), a row after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +187,7 @@ def build(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 t, n, length = terms(text.as_py(), known)
-                if ids and (len(ids) >= SHARD_ROWS or held + len(t) > POSTINGS):
+                if ids and (len(ids) >= -(-SHARD_ROWS // PARTS) or held + len(t) > POSTINGS // PARTS):
                     yield flush()
                     held = 0
                 for x, y in zip((ids, lengths, sizes, found, counts), (doc, length, len(t), t, n.astype(np.uint32)), strict=True):
@@ -256,13 +263,27 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, mean=max(mean, 1e-9)) -> Iterator[pa.RecordBatch]:
             q = shared.value
-            floor = np.zeros(len(q.ids))
+            floor, parts, rows, postings = np.zeros(len(q.ids)), [], 0, 0
+
+            def searched() -> pa.RecordBatch:
+                found = Shard.read(parts, q, mean).top(q, k, floor)
+                parts.clear()
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "doc_id", "score"])
+
             for batch in batches:
-                for stored in batch.to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in Shard.read(stored, q, mean).top(q, k, floor)], ["query_id", "doc_id", "score"])
+                for at in range(batch.num_rows):
+                    part = batch.slice(at, 1).to_pylist()[0]
+                    size = len(part["terms"]) // 8
+                    if parts and (rows + part["rows"] > SHARD_ROWS or postings + size > POSTINGS):
+                        yield searched()
+                        rows = postings = 0
+                    parts.append(part)
+                    rows, postings = rows + part["rows"], postings + size
+            if parts:
+                yield searched()
 
         # each block's results are kept before the next block is sent
-        found = index.select("ids", "lengths", "sizes", "terms", "counts").mapInArrow(run, "query_id long, doc_id long, score double")
+        found = index.select("rows", "ids", "lengths", "sizes", "terms", "counts").mapInArrow(run, "query_id long, doc_id long, score double")
         found = common.stored(found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
         shared.unpersist()
         out = found if out is None else out.unionByName(found)
