@@ -108,7 +108,9 @@ def components(edges: DataFrame) -> DataFrame:
     written by tasks in proportion to the edges, of which no step makes more.
     """
     spark = edges.sparkSession
-    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = edges.where("a is not null and b is not null and a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    ).distinct()
     now = stored(now, "edges")
     few = tasks(2 * now.count())
     old: list[str] = []
@@ -127,12 +129,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = small.select(
+            F.col("x").alias("u"), F.col("m").alias("v")
+        ).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = kept(small)
         for path in [*done, *old[len(done) : -1]]:
             remove(spark, path)
         del old[:-1]
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return now.select(
+                F.col("u").alias("node"), F.col("v").alias("component")
+            ).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = tuple(row)

@@ -208,7 +208,9 @@ class Index:
                     far = end
         return [(item, int(places[begin]), int(places[end - 1]) + 1, distance, run) for item, begin, end, distance, run in found]
 
-    def _expanded(self, x: np.ndarray, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]]:
+    def _expanded(
+        self, x: np.ndarray, at: np.ndarray, slot: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]]:
         """(passage, diagonal, common runs) of the shared q-grams (place in the text, q-gram), at most about EXPANDED at once. Slices of the
         text overlap by more than a region and a run of RUN characters needs."""
         overlap = LENGTH + 2 * self.width + max(LENGTH, RUN) + Q
@@ -242,7 +244,9 @@ class Index:
                 yield owner, diagonal, list(self._runs(x, own, owner, diagonal, place))
             first = last
 
-    def _runs(self, x: np.ndarray, at: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def _runs(
+        self, x: np.ndarray, at: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, place: np.ndarray
+    ) -> Iterator[tuple[int, int, int, int]]:
         """(item, begin, end, shift against the item) of the longest common parts of RUN characters or more, from the shared q-grams (places ``at`` of the
         text; passage, diagonal and place of each posting)."""
         n = RUN - Q + 1
@@ -304,7 +308,9 @@ def align(passage: str, text: str, lo: int, hi: int, most: int) -> tuple[int, in
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items (item_id, text), each of at most about BLOCK_CHARS characters; at least one."""
     held, size, made = [], 0, False
-    for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
+    for row in benchmark.select(
+        F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")
+    ).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
         if held and size + len(row.t) > BLOCK_CHARS and row.i != held[-1][0]:
             yield Index(held)
             held, size, made = [], 0, True
@@ -331,8 +337,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataF
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in (shared.value.regions if every else shared.value.find)(text.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "begin", "end", "distance"])
+                rows = [
+                    (doc, *m) for doc,
+                    text in zip(
+                        batch.column(0).to_pylist(), batch.column(1), strict=True
+                    ) for m in (shared.value.regions if every else shared.value.find)(text.as_py())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)],
+                    ["doc_id", "item_id", "begin", "end", "distance"]
+                )
 
         found = picked.mapInArrow(run, "doc_id long, item_id long, begin long, end long, distance long")
         out = found if out is None else out.unionByName(found)

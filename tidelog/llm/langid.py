@@ -115,7 +115,9 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame) -> Model:
     """Fits on labelled rows that are not held out; a null doc_id is not learned from. At most SAMPLE texts a language."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    )
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     # ids and hashes only: a language of about n ids (counted by a sketch) keeps those under a hash that leaves SAMPLE of them and MORE
     # besides, then the SAMPLE least of these; so neither the count nor the choice sorts what a large language has
@@ -124,13 +126,21 @@ def train(docs: DataFrame) -> Model:
     below = (F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("n") < SAMPLE + MORE
     # (a row a language; the model, with centroids for each, goes to all tasks as well)
     ids = ids.join(F.broadcast(n), "lang").where(below).select("doc_id", "lang", "hash").distinct()
-    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
+    ids = ids.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    ).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, got[0].astype("<i4").tobytes(), got[1].astype("<i8").tobytes()) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (got := counts(text))]
+            rows = [
+                (lang, got[0].astype("<i4").tobytes(), got[1].astype("<i8").tobytes()) for lang,
+                text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (got := counts(text))
+            ]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)],
+                    ["lang", "at", "n"]
+                )
 
     samples: dict[str, list] = {}
     # of rows with one doc_id and language the least text, so that no more than the sample comes to the driver
@@ -148,9 +158,14 @@ def predictions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(zip(*(model.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()), strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
-
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.bool_())],
+                [*keep, "lang_pred", "score", "rejected"]
+            )
+
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(
+        run, f"{schema}, lang_pred string, score double, rejected boolean"
+    )
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ def units(text: Column) -> Column:
     unit = lambda at, n, h: F.struct(at.cast("int").alias("at"), F.lit(n).alias("n"), h.alias("hash"))
 
     def found(lines: Column, hashes: Column) -> Column:
-        two = F.transform(F.slice(hashes, 1, F.size(hashes) - 1), lambda h, i: unit(i, 2, turned(h).bitwiseXOR(F.element_at(hashes, i + 2))))
+        two = F.transform(
+            F.slice(hashes, 1, F.size(hashes) - 1), lambda h, i: unit(i, 2, turned(h).bitwiseXOR(F.element_at(hashes, i + 2)))
+        )
         long = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _words(F.element_at(lines, i + 1)) >= PASSAGE)
         return F.concat(two, F.transform(long, lambda i: unit(i, 1, F.element_at(hashes, i + 1))))
 
@@ -62,7 +64,9 @@ def without(text: Column, gone: Column, whole: float | None) -> Column:
         def joined(c: Column) -> Column:
             first = F.filter(c, lambda x, j: (j == 0) | (x != F.get(c, j - 1) + 1))
             last = F.filter(c, lambda x, j: (j == F.size(c) - 1) | (F.get(c, j + 1) != x + 1))
-            return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"), _total(F.slice(lines, a + 1, b - a + 1)).alias("words")))
+            return F.zip_with(
+                first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"), _total(F.slice(lines, a + 1, b - a + 1)).alias("words"))
+            )
 
         return F.filter(_let(covered, joined), lambda r: r["words"] >= PASSAGE)
 
@@ -95,11 +99,20 @@ def dedup(docs: DataFrame, whole: float | None = None, count: str = "n_removed")
     """
     names = [c for c in docs.columns if c.lower() != count.lower()]
     text = F.col("text").cast("string")
-    own = docs.select(F.struct(*map(common.quoted, names)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("body"))
+    own = docs.select(
+        F.struct(*map(common.quoted, names)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"),
+        text.alias("body")
+    )
     # places and hashes only: no texts are dealt out to find what recurs
-    found, units_done = common.passed(own.select("doc", "key", F.explode(units(F.col("body"))).alias("u")).select("doc", "key", "u.*"), "units")
-    often, often_done = common.passed(found.groupBy("n", "hash").agg(F.count("*").alias("times")).where("times > 1").select("n", "hash"), "often")
-    asked = found.join(often.hint("merge"), ["n", "hash"], "left_semi").groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "n")).alias("asked"))
+    found, units_done = common.passed(
+        own.select("doc", "key", F.explode(units(F.col("body"))).alias("u")).select("doc", "key", "u.*"), "units"
+    )
+    often, often_done = common.passed(
+        found.groupBy("n", "hash").agg(F.count("*").alias("times")).where("times > 1").select("n", "hash"), "often"
+    )
+    asked = found.join(often.hint("merge"), ["n", "hash"], "left_semi").groupBy(
+        F.col("doc").alias("d"), F.col("key").alias("k")
+    ).agg(F.collect_set(F.struct("at", "n")).alias("asked"))
     there = F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
     rows, _ = common.passed(own.join(asked, there, "left").drop("d", "k", "body"), "rows")
     units_done()
@@ -107,16 +120,45 @@ def dedup(docs: DataFrame, whole: float | None = None, count: str = "n_removed")
 
     text = F.col("row").getField("text").cast("string")
     some = rows.where("asked is not null")
-    bodies = some.select("doc", "key", F.explode(_let(_lines(text), lambda x: F.transform("asked", lambda u: F.struct(u["at"].alias("at"), u["n"].alias("n"), F.array_join(F.slice(x, u["at"] + 1, u["n"]), "\n").alias("body"))))).alias("u"))
-    bodies = bodies.select("u.n", F.unhex(F.sha2("u.body", 256)).alias("digest"), F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "u.at").alias("place"), "u.body")
+    bodies = some.select(
+        "doc", "key",
+        F.explode(_let(
+            _lines(text),
+            lambda x: F.transform(
+                "asked",
+                lambda u: F.struct(
+                    u["at"].alias("at"), u["n"].alias("n"), F.array_join(F.slice(x, u["at"] + 1, u["n"]), "\n").alias("body")
+                )
+            )
+        )).alias("u")
+    )
+    bodies = bodies.select(
+        "u.n", F.unhex(F.sha2("u.body", 256)).alias("digest"),
+        F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "u.at").alias("place"), "u.body"
+    )
     # equal bytes: of all that have a digest the least and the greatest are the same; a hot chunk is one row a task
-    first = bodies.groupBy("n", "digest").agg(F.min("place").alias("first"), F.max("place").alias("last"), (F.min("body") == F.max("body")).alias("same"))
+    first = bodies.groupBy("n", "digest").agg(
+        F.min("place").alias("first"), F.max("place").alias("last"), (F.min("body") == F.max("body")).alias("same")
+    )
     # (stored before it is joined back, by a shuffle at every size: a hot chunk is then a skewed side, which Spark can split)
-    first = common.stored(first.where("first <> last").select("n", "digest", "first", F.when(F.col("same"), True).otherwise(F.raise_error(F.lit("texts of one SHA-256 differ")).cast("boolean")).alias("same")), "first")
+    first = common.stored(
+        first.where("first <> last").select(
+            "n", "digest", "first",
+            F.when(F.col("same"), True).otherwise(F.raise_error(F.lit("texts of one SHA-256 differ")).cast("boolean")).alias("same")
+        ),
+        "first"
+    )
     copies = bodies.drop("body").join(first.hint("merge"), ["n", "digest"]).where("same and place <> first")
-    gone = copies.groupBy(F.col("place.doc").alias("d"), F.col("place.key").alias("k")).agg(F.collect_set(F.struct("place.at", "n")).alias("gone"))
+    gone = copies.groupBy(
+        F.col("place.doc").alias("d"), F.col("place.key").alias("k")
+    ).agg(F.collect_set(F.struct("place.at", "n")).alias("gone"))
 
     field = lambda c: F.col("row").getField(c).alias(c)
     less = some.join(gone, there, "left").withColumn("new", F.when(F.col("gone").isNotNull(), without(text, F.col("gone"), whole)))
-    less = less.select(*(F.coalesce("new.text", text).alias(c) if c == "text" else field(c) for c in names), F.coalesce("new.n", F.lit(0).cast("long")).alias(count))
-    return rows.where("asked is null").select(*(text.alias(c) if c == "text" else field(c) for c in names), F.lit(0).cast("long").alias(count)).unionByName(less)
+    less = less.select(
+        *(F.coalesce("new.text", text).alias(c) if c == "text" else field(c) for c in names),
+        F.coalesce("new.n", F.lit(0).cast("long")).alias(count)
+    )
+    return rows.where("asked is null").select(
+        *(text.alias(c) if c == "text" else field(c) for c in names), F.lit(0).cast("long").alias(count)
+    ).unionByName(less)

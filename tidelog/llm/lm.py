@@ -48,7 +48,9 @@ def tokens(text: str | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.nd
 
 def pack(*columns: np.ndarray) -> bytes:
     """Numbers of 64 bits byte by byte, compressed."""
-    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+    return pa.compress(
+        b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True
+    )
 
 
 def unpack(data: bytes, size: int, n: int) -> list[np.ndarray]:
@@ -117,7 +119,9 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
     rows = _rows(docs)
     blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     bits = (max(RANGES, blocks) - 1).bit_length()
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")).where("q > 0 and t = 0").select(_block(blocks), "doc_id")
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")
+    ).where("q > 0 and t = 0").select(_block(blocks), "doc_id")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -129,11 +133,19 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
                 return
             n, target = (np.bincount(which, w, len(keys)).astype(np.uint64) for w in (held.times(), held.times(good)))
             cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)).tolist()
-            out = [(now, r, b - a, pack(np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b], target[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "range", "size", "data"])
+            out = [
+                (now, r, b - a, pack(np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b], target[a:b])) for r,
+                (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                ["block", "range", "size", "data"]
+            )
 
         for batch in batches:
-            for block, is_doc, doc, text in zip(*(batch.column(c).to_pylist() for c in ("block", "is_doc", "doc_id")), batch.column("text"), strict=True):
+            for block, is_doc, doc, text in zip(
+                *(batch.column(c).to_pylist() for c in ("block", "is_doc", "doc_id")), batch.column("text"), strict=True
+            ):
                 if block != now:
                     yield from asked()
                     now, held, good = block, Block(), set()
@@ -152,7 +164,13 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
         out = [pack(n[own], target[own]) for own in (which[e - s : e] for e, s in zip(ends, size, strict=True))]
         word = keys & np.uint64(1) == 0
         facts = [[int(x)] + [0] * (len(r) - 1) for x in (word.sum(), target[word].sum(), n[word].sum())]
-        return pa.table([pa.array(block, pa.int64()), pa.array(r, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary()), *(pa.array(f, pa.int64()) for f in facts)], ["block", "range", "size", "data", "words", "target", "background"])
+        return pa.table(
+            [
+                pa.array(block, pa.int64()), pa.array(r, pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary()),
+                *(pa.array(f, pa.int64()) for f in facts)
+            ],
+            ["block", "range", "size", "data", "words", "target", "background"]
+        )
 
     form = "block long, range long, size long, data binary"
     asked = _by_block(good, rows, blocks).select("block", "is_doc", "doc_id", "text").mapInArrow(ask, form)
@@ -202,10 +220,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             at = np.array(at, np.int64)
             for a in range(0, len(at), 10_000):
                 b = at[a : a + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 10_000], pa.int64()), pa.array(length[b], pa.int64()), *(pa.array(x[b], pa.float64(), mask=length[b] == 0) for x in losses)], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc[a : a + 10_000], pa.int64()), pa.array(length[b], pa.int64()),
+                        *(pa.array(x[b], pa.float64(), mask=length[b] == 0) for x in losses)
+                    ],
+                    ["doc_id", "n_tokens", "target_loss", "background_loss"]
+                )
 
         for batch in batches:
-            for block, is_doc, doc, r, size, data, text in zip(*(batch.column(c).to_pylist() for c in ("block", "is_doc", "doc_id", "range", "size", "data")), batch.column("text"), strict=True):
+            for block, is_doc, doc, r, size, data, text in zip(
+                *(batch.column(c).to_pylist() for c in ("block", "is_doc", "doc_id", "range", "size", "data")), batch.column("text"),
+                strict=True
+            ):
                 if block != now:
                     yield from scored()
                     now, held, totals = block, Block(), []

@@ -103,12 +103,21 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "set_id", "sig"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(sigs, pa.binary())
+                ],
+                ["doc_id", "key", "n_shingles", "set_id", "sig"]
+            )
 
         return each
 
     text = F.col("text").cast("string")
-    return common.by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), make, "doc_id long, key long, n_shingles long, set_id binary, sig binary")
+    return common.by_batch(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")), make,
+        "doc_id long, key long, n_shingles long, set_id binary, sig binary"
+    )
 
 
 def _buckets(nodes: DataFrame, bands: int, rows: int, *more: str) -> DataFrame:
@@ -121,7 +130,9 @@ def _buckets(nodes: DataFrame, bands: int, rows: int, *more: str) -> DataFrame:
 def _likely(pairs: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     """Pairs (a, b) whose whole signatures agree in at least ``floor`` of the coordinates."""
     sig = nodes.select("node", "sig")
-    wide = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    wide = pairs.join(
+        sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a"
+    ).join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,9 +183,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     """Adds to members (node, component, grp, n_shingles) their block: of the group's largest component (large) or of the others, each
     cut into blocks of about BLOCK members or BLOCK_SHINGLES shingles, and the numbers of both kinds of blocks (larges, smalls)."""
     sizes = members.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    best = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.max_by(F.struct("n", "s"), F.struct("n", -F.col("component"))).alias("l"))
+    best = sizes.groupBy("grp").agg(
+        F.max_by("component", F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"),
+        F.max_by(F.struct("n", "s"), F.struct("n", -F.col("component"))).alias("l")
+    )
     cut = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-    best = best.select("grp", "most", cut(F.col("l.n"), F.col("l.s")).alias("larges"), cut(F.col("all_n") - F.col("l.n"), F.col("all_s") - F.col("l.s")).alias("smalls"))
+    best = best.select(
+        "grp", "most", cut(F.col("l.n"), F.col("l.s")).alias("larges"),
+        cut(F.col("all_n") - F.col("l.n"), F.col("all_s") - F.col("l.s")).alias("smalls")
+    )
     large = F.col("component") == F.col("most")
     block = F.pmod(F.xxhash64("node"), F.when(large, F.col("larges")).otherwise(F.col("smalls"))).cast("int")
     return members.join(best, "grp").select("node", "component", "grp", large.alias("large"), block.alias("block"), "larges", "smalls")
@@ -187,8 +204,14 @@ def _dealt(members: DataFrame) -> DataFrame:
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = F.col("block")
     of_large = F.transform(upto("smalls"), lambda i: pair(i, own + far))
-    of_small = F.concat(F.transform(upto("larges"), lambda i: pair(own, i + far)), F.transform(upto("smalls"), lambda i: pair(F.least(own, i), F.greatest(own, i))))
-    dealt = _blocks(members).select("node", "component", "grp", F.when(F.col("large"), own + far).otherwise(own).alias("place"), F.explode(F.when(F.col("large"), of_large).otherwise(of_small)).alias("at"))
+    of_small = F.concat(
+        F.transform(upto("larges"), lambda i: pair(own, i + far)),
+        F.transform(upto("smalls"), lambda i: pair(F.least(own, i), F.greatest(own, i)))
+    )
+    dealt = _blocks(members).select(
+        "node", "component", "grp", F.when(F.col("large"), own + far).otherwise(own).alias("place"),
+        F.explode(F.when(F.col("large"), of_large).otherwise(of_small)).alias("at")
+    )
     return dealt.select("node", F.struct("grp", "at.bi", "at.bj", F.col("place").alias("block"), "component").alias("to"))
 
 
@@ -214,7 +237,9 @@ def _across(docs: DataFrame, members: DataFrame, width: int, least: int) -> Data
             return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["a", "b"])
 
         for batch in batches:
-            for doc, text, *key, block, comp in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "grp", "bi", "bj", "block", "component")), strict=True):
+            for doc, text, *key, block, comp in zip(
+                *(batch.column(c).to_pylist() for c in ("doc_id", "text", "grp", "bi", "bj", "block", "component")), strict=True
+            ):
                 if key != last:
                     if held:
                         yield flush()
@@ -237,9 +262,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> Data
     """Of pairs (a, b), those with 100 * intersection >= least * union on the full sets. The texts of a's partners come to
     a in slices of at most about SLICE, each with one copy of a's text."""
     pairs = common.stored(pairs, "pairs")
-    slices = common.stored(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SLICE).cast("long").alias("n")), "slices")
-    firsts = slices.select(F.col("a").alias("doc_id"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"), F.lit(True).alias("first"))
-    others = pairs.join(slices, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"), F.lit(False).alias("first"))
+    slices = common.stored(
+        pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SLICE).cast("long").alias("n")), "slices"
+    )
+    firsts = slices.select(
+        F.col("a").alias("doc_id"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"),
+        F.lit(True).alias("first")
+    )
+    others = pairs.join(slices, "a").select(
+        F.col("b").alias("doc_id"), F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"), F.lit(False).alias("first")
+    )
     need = firsts.unionByName(others).select(F.col("doc_id").alias("node"), F.struct("grp", "slice", "first").alias("to"))
     texts = _with_text(docs, need, 2 * pairs.count()).select("doc_id", "text", "to.*")
 
@@ -248,7 +280,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> Data
         key, own = None, []
         for batch in batches:
             a, b = [], []
-            for doc, text, grp, part, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "grp", "slice", "first")), strict=True):
+            for doc, text, grp, part, first in zip(
+                *(batch.column(c).to_pylist() for c in ("doc_id", "text", "grp", "slice", "first")), strict=True
+            ):
                 if (grp, part) != key:
                     key, own = (grp, part), []
                 s = shingle_set(words_of(text), width, known)
@@ -287,21 +321,34 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     floor = percent / 100 - 4.75 * math.sqrt(percent / 100 * (1 - percent / 100) / HASHES)
     all_docs = common.stored(sketches(docs, width), "sketches")
     sets = all_docs.where("set_id is not null and doc_id is not null")
-    nodes = common.stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("n_shingles")), "nodes")
+    nodes = common.stored(
+        sets.groupBy("set_id").agg(
+            F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("n_shingles")
+        ),
+        "nodes"
+    )
 
     n = nodes.count()
 
     member = _buckets(nodes, bands, rows, "n_shingles")
     # what is joined back to a possibly hot bucket is stored first, so that the join's sides are shuffles that Spark can split
-    first = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min_by("n_shingles", "node").alias("n"), F.count("*").alias("size")).where("size > 1").drop("size")
+    first = member.groupBy("bucket").agg(
+        F.min("node").alias("a"), F.min_by("n_shingles", "node").alias("n"), F.count("*").alias("size")
+    ).where("size > 1").drop("size")
     first = common.stored(first, "first", n * bands)
-    pairs = member.join(first, "bucket").where(f"a <> node and 100 * least(n, n_shingles) >= {percent} * greatest(n, n_shingles)").select("a", F.col("node").alias("b")).distinct()
+    pairs = member.join(first, "bucket").where(
+        f"a <> node and 100 * least(n, n_shingles) >= {percent} * greatest(n, n_shingles)"
+    ).select("a", F.col("node").alias("b")).distinct()
     links = _verified(docs, _likely(pairs, nodes, floor), width, percent)
     parts = common.stored(common.components(links), "components", n)
 
-    comp = nodes.select("node", "sig", "n_shingles").join(parts, "node", "left").select("node", "sig", "n_shingles", F.coalesce("component", "node").alias("component"))
+    comp = nodes.select("node", "sig", "n_shingles").join(parts, "node", "left").select(
+        "node", "sig", "n_shingles", F.coalesce("component", "node").alias("component")
+    )
     member = _buckets(comp, bands, rows, "component", "n_shingles")
-    open_ = member.groupBy("bucket").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "a")
+    open_ = member.groupBy("bucket").agg(
+        F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo <> hi").select("bucket", "a")
     open_ = common.stored(open_, "buckets", n * bands)
     left = common.stored(member.join(open_, "bucket").select("a", "node", "component", "n_shingles").distinct(), "open", n * bands)
     groups = common.components(left.select("a", F.col("node").alias("b"))).withColumnRenamed("component", "grp")
@@ -313,7 +360,9 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     final = nodes.select("set_id", "node").join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = all_docs.select("doc_id", "key", "n_shingles", "set_id").join(final, "set_id", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "key", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    return out.select(
+        "doc_id", "key", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept")
+    )
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -321,7 +370,11 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     smallest doc_id. Of rows with equal doc_id and text one stays; rows of one doc_id with different texts stay or go each by its
     own text. Rows with a null doc_id, null text or no words stay."""
     text = F.col("text").cast("string")
-    stay = classes(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("key").alias("own")).distinct()
-    rows = docs.select(F.struct(*map(common.quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key"))
+    stay = classes(docs, width, percent).where("kept and doc_id is not null").select(
+        F.col("doc_id").alias("id"), F.col("key").alias("own")
+    ).distinct()
+    rows = docs.select(
+        F.struct(*map(common.quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("key")
+    )
     named = rows.join(stay, (F.col("doc") == F.col("id")) & (F.col("key") == F.col("own")), "left_semi").dropDuplicates(["doc", "key"])
     return named.unionByName(rows.where("doc is null")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -200,7 +200,10 @@ def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[st
     order. An empty table gives no rows. Texts are never cut: memory grows with the longest text only. ``prefix`` is put before the
     names of the made columns; a column of ``keep`` that still has the name of a made one is replaced by it.
     """
-    made = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("begins", T.BinaryType()), ("ends", T.BinaryType()), ("decoded", T.StringType())]
+    made = [
+        ("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("begins", T.BinaryType()), ("ends", T.BinaryType()),
+        ("decoded", T.StringType())
+    ]
     made = [T.StructField(f"{prefix}{n}", t) for n, t in made]
     keep = tuple(c for c in keep if c.lower() not in {f.name.lower() for f in made})
 
@@ -213,9 +216,14 @@ def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[st
                 part = batch.slice(at, 128)
                 rows = [row(*encoder.encode(t or "", begin_end)) for t in part.column(len(keep)).to_pylist()]
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
-
-    picked = docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(common.quoted(c)) for c in keep), F.col("text").cast("string").alias("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names
+                )
+
+    picked = docs.select(
+        *(F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(common.quoted(c)) for c in keep),
+        F.col("text").cast("string").alias("text")
+    )
     kept = [T.StructField(f"{i}", f.dataType) for i, f in enumerate(picked.schema.fields[:-1])]
     numbered = picked.toDF(*(f.name for f in kept), "text")
     return numbered.mapInArrow(run, T.StructType([*kept, *made])).toDF(*keep, *(f.name for f in made))
@@ -223,4 +231,7 @@ def encode(docs: DataFrame, model: bytes, begin_end: bool = True, keep: tuple[st
 
 def digests(encoded: DataFrame) -> DataFrame:
     spans = F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256")
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), spans)
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+        spans
+    )

@@ -74,7 +74,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = GRADES) -> Mod
     n = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     df = np.bincount(flat, minlength=SIZE)
-    off = np.bincount(flat, weights=np.repeat(grades - grades.mean(), n), minlength=SIZE) / np.sqrt(np.maximum(df, 1)) / max(grades.std(), 1e-9)
+    off = np.bincount(
+        flat, weights=np.repeat(grades - grades.mean(), n), minlength=SIZE
+    ) / np.sqrt(np.maximum(df, 1)) / max(grades.std(), 1e-9)
     keep = ((df >= min(LEAST, max(1, len(rows) // 20))) & (np.abs(off) >= SCREEN))[flat]
     row, col = np.repeat(np.arange(len(rows)), n)[keep], flat[keep]
     used, col = np.unique(col, return_inverse=True)
@@ -87,7 +89,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = GRADES) -> Mod
     for t in range(1, STEPS + 1):
         b = np.concatenate([gap[:1], gap[0] + np.cumsum(np.exp(gap[1:]))])
         score = np.bincount(row, weights=w[col], minlength=len(rows))
-        tail = np.concatenate([np.ones((len(rows), 1)), 1 / (1 + np.exp(np.clip(b - score[:, None], -50, 50))), np.zeros((len(rows), 1))], axis=1)
+        tail = np.concatenate(
+            [np.ones((len(rows), 1)), 1 / (1 + np.exp(np.clip(b - score[:, None], -50, 50))), np.zeros((len(rows), 1))], axis=1
+        )
         at = np.arange(len(rows))
         p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-9)
         slope = tail * (1 - tail)
@@ -108,7 +112,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = GRADES) -> Mod
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most SAMPLE rated texts. labels: doc_id, quality 0/1, toxic 0/1; of several ratings of a text the greatest of each
     count, a null is 0. Ratings of unknown or null doc_ids are skipped; of rows with one doc_id the least text counts, once."""
-    rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce(F.max("quality"), F.lit(0)).alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+    rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.coalesce(F.max("quality"), F.lit(0)).alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic")
+    )
     rated = rated.select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).cast("int").alias("grade"))
     # the least hashes are all under a threshold that leaves at least SAMPLE rows: only those are sorted
     rated = rated.withColumn("hash", F.xxhash64("doc_id"))
@@ -118,9 +124,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([features(t.as_py(), known).astype("<i4").tobytes() for t in batch.column("text")], pa.binary())], ["grade", "found"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("grade"),
+                    pa.array([features(t.as_py(), known).astype("<i4").tobytes() for t in batch.column("text")], pa.binary())
+                ],
+                ["grade", "found"]
+            )
+
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).join(F.broadcast(some), "doc_id")
     texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     got = sorted((r.grade, bytes(r.found)) for r in texts.select("grade", "text").mapInArrow(run, "grade int, found binary").collect())
     return fit([np.frombuffer(f, "<i4").astype(np.int64) for _, f in got], np.array([g for g, _ in got], int))
@@ -138,7 +152,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known: dict[str, int] = {}
         for batch in batches:
             p = np.array([shared.value.tails(features(t.as_py(), known)) for t in batch.column("text")]).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 0] >= 0.5)], ["doc_id", "expected_grade", "p_usable", "p_good", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 0] >= 0.5)],
+                ["doc_id", "expected_grade", "p_usable", "p_good", "kept"]
+            )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, expected_grade double, p_usable double, p_good double, kept boolean")

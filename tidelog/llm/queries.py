@@ -60,7 +60,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_search, op2_line_dedup, op3_sentencepiece, op4_quality, op5_html_extraction, op6_minhash_near_dedup, op7_language_id, op8_decontamination, op9_lm_score, op10_warc)}
+QUERIES = {f.__name__: f for f in (
+    op1_bm25_search, op2_line_dedup, op3_sentencepiece, op4_quality, op5_html_extraction, op6_minhash_near_dedup, op7_language_id,
+    op8_decontamination, op9_lm_score, op10_warc
+)}
 #: Lines and their words, pairs of neighbouring lines and long lines, those of which an equal one stands earlier, and the runs of lines
 #: that they cover.
 LINE_DEDUP = """

@@ -85,7 +85,10 @@ class Shard:
         at[at == len(q.vocabulary)] = 0
         same = q.vocabulary[at] == found
         out = cls.__new__(cls)
-        out._set(ids, take("lengths", np.int64).astype(np.float64), at[same], take("counts", np.uint32)[same].astype(np.float64), np.repeat(np.arange(len(ids)), take("sizes", np.int64))[same], mean)
+        out._set(
+            ids, take("lengths", np.int64).astype(np.float64), at[same], take("counts", np.uint32)[same].astype(np.float64),
+            np.repeat(np.arange(len(ids)), take("sizes", np.int64))[same], mean
+        )
         return out
 
     def _set(self, ids: np.ndarray, lengths: np.ndarray, slot: np.ndarray, tf: np.ndarray, row: np.ndarray, mean: float) -> None:
@@ -177,8 +180,14 @@ def build(docs: DataFrame) -> DataFrame:
         ids, lengths, sizes, found, counts = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            columns = [np.array(ids, np.int64), np.array(lengths, np.int64), np.array(sizes, np.int64), np.concatenate(found), np.concatenate(counts)]
-            row = [pa.array([len(ids)], pa.int64()), pa.array([int(columns[1].sum())], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
+            columns = [
+                np.array(ids, np.int64), np.array(lengths, np.int64), np.array(sizes, np.int64), np.concatenate(found),
+                np.concatenate(counts)
+            ]
+            row = [
+                pa.array([len(ids)], pa.int64()), pa.array([int(columns[1].sum())], pa.int64()),
+                *(pa.array([c.tobytes()], pa.binary()) for c in columns)
+            ]
             for x in (ids, lengths, sizes, found, counts):
                 x.clear()
             return pa.RecordBatch.from_arrays(row, ["rows", "words", "ids", "lengths", "sizes", "terms", "counts"])
@@ -196,7 +205,9 @@ def build(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rows long, words long, ids binary, lengths binary, sizes binary, terms binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "rows long, words long, ids binary, lengths binary, sizes binary, terms binary, counts binary"
+    )
 
 
 def _statistics(index: DataFrame, queries: Queries) -> float:
@@ -228,7 +239,10 @@ def _blocks(queries: DataFrame) -> Iterator[Queries]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([terms(t.as_py(), known)[0].tobytes() for t in batch.column("text")], pa.binary())], ["doc_id", "terms"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([terms(t.as_py(), known)[0].tobytes() for t in batch.column("text")], pa.binary())],
+                ["doc_id", "terms"]
+            )
 
     held, size = [], 0
     for row in queries.mapInArrow(run, "doc_id long, terms binary").toLocalIterator():
@@ -250,7 +264,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     queries with equal doc_id are one (the least text). Ties are in order of doc_id. Texts of any length are read whole; other columns,
     whatever their names, are ignored. Empty tables give no rows.
     """
-    pick = lambda t: t.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    pick = lambda t: t.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    ).where("doc_id is not null")
     docs, queries = pick(docs), pick(queries).groupBy("doc_id").agg(F.min("text").alias("text"))
     index, _ = common.passed(build(docs), "index")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -283,8 +299,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 yield searched()
 
         # each block's results are kept before the next block is sent
-        found = index.select("rows", "ids", "lengths", "sizes", "terms", "counts").mapInArrow(run, "query_id long, doc_id long, score double")
-        found = common.stored(found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
+        found = index.select(
+            "rows", "ids", "lengths", "sizes", "terms", "counts"
+        ).mapInArrow(run, "query_id long, doc_id long, score double")
+        found = common.stored(
+            found.withColumn(
+                "rank", F.row_number().over(best).cast("long")
+            ).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"),
+            "found"
+        )
         shared.unpersist()
         out = found if out is None else out.unionByName(found)
     if out is None:

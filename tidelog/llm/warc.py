@@ -33,7 +33,14 @@ def sha1_base32(data: Column) -> Column:
 
 def _record_id(page_id: Column) -> Column:
     h = F.md5(F.concat(F.lit("record "), F.coalesce(page_id.cast("string"), F.lit("null"))))
-    return F.concat(F.lit("<urn:uuid:"), *(x for i, (at, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] * bool(i) + [F.substring(h, at, n)])), F.lit(">"))
+    return F.concat(
+        F.lit("<urn:uuid:"),
+        *(
+            x for i,
+            (at, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] * bool(i) + [F.substring(h, at, n)])
+        ),
+        F.lit(">")
+    )
 
 
 def _lines(*pairs: tuple[str, Column]) -> Column:
@@ -50,15 +57,22 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     archive.
     """
     url = F.regexp_replace(F.col("url").cast("string"), r"[\r\n]+", " ")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), url.alias("url"),
+        F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")
+    )
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     stored = rows.groupBy("key").agg(F.first("payload").alias("payload"), F.min("page_id").alias("response"))
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     firsts = pages.sparkSession.read.parquet(f"{path}/payloads").select("key", "response")
-    narrow = rows.select("page_id", "url", "key", F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("sha1"))
+    narrow = rows.select(
+        "page_id", "url", "key", F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("sha1")
+    )
     all_ = narrow.join(firsts, "key").withColumn("revisit", (F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("response")))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n")
+    )
     size = F.octet_length(http) + F.when(F.col("revisit"), 0).otherwise(F.col("n"))
     head = _lines(
         ("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
@@ -82,7 +96,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Each payload is checked against its key; one that differs stops the read."""
     payloads = spark.read.parquet(f"{path}/payloads")
-    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("key"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")).cast("binary"))
+    sound = F.when(
+        F.unhex(F.sha2("payload", 256)) == F.col("key"), F.col("payload")
+    ).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")).cast("binary"))
     joined = spark.read.parquet(f"{path}/headers").join(payloads.select("key", sound.alias("payload")), "key")
     end = F.lit(b"\r\n\r\n")
     record = F.when(F.col("revisit"), F.concat("header", end)).otherwise(F.concat("header", "payload", end))
@@ -151,21 +167,47 @@ def parsed(records: DataFrame) -> DataFrame:
     # bytes as characters of one byte, so that places are those of bytes
     text = records.select(F.decode("record", "ISO-8859-1").alias("r")).withColumn("cut", F.instr("r", "\r\n\r\n"))
     split = text.select("r", "cut", F.concat(F.substring("r", F.lit(1), F.col("cut") + 1)).alias("head"))
-    block = split.select("head", F.expr("substring(r, cut + 4)").alias("rest"), line("Content-Length", F.col("head")).cast("int").alias("size"))
-    block = block.select("head", "size", F.expr("substring(rest, 1, size)").alias("block"), F.expr("substring(rest, size + 1)").alias("end"))
-    block = block.withColumn("block", F.when(F.col("end") == "\r\n\r\n", F.col("block")).otherwise(stop("a record is not as long as it says", "string")))
-    parts = block.select("head", F.expr("substring(block, 1, instr(block, '\r\n\r\n') + 1)").alias("http"), F.expr("substring(block, instr(block, '\r\n\r\n') + 4)").alias("body"))
+    block = split.select(
+        "head", F.expr("substring(r, cut + 4)").alias("rest"), line("Content-Length", F.col("head")).cast("int").alias("size")
+    )
+    block = block.select(
+        "head", "size", F.expr("substring(rest, 1, size)").alias("block"), F.expr("substring(rest, size + 1)").alias("end")
+    )
+    block = block.withColumn(
+        "block", F.when(F.col("end") == "\r\n\r\n", F.col("block")).otherwise(stop("a record is not as long as it says", "string"))
+    )
+    parts = block.select(
+        "head", F.expr("substring(block, 1, instr(block, '\r\n\r\n') + 1)").alias("http"),
+        F.expr("substring(block, instr(block, '\r\n\r\n') + 4)").alias("body")
+    )
     facts = parts.select(
         line("X-Page", F.col("head")).alias("p"), line("X-Refers-To-Page", F.col("head")).alias("x"), line("Content-Length", F.col("http")).alias("n"),
-        line("WARC-Type", F.col("head")).alias("record_type"), F.substring(line("WARC-Payload-Digest", F.col("head")), 6, 32).alias("digest"), F.encode("body", "ISO-8859-1").alias("payload"),
+        line("WARC-Type", F.col("head")).alias("record_type"), F.substring(
+            line("WARC-Payload-Digest", F.col("head")), 6, 32
+        ).alias("digest"), F.encode("body", "ISO-8859-1").alias("payload"),
     )
     whole = (F.col("digest") == sha1_base32(F.col("payload"))) & (number("n") == F.octet_length("payload"))
-    sound = F.when((F.col("record_type") == "revisit") | whole, F.col("digest")).otherwise(stop("a payload differs from its record's digest", "string"))
-    facts = facts.select(number("p").alias("page_id"), number("n").alias("payload_bytes"), sound.alias("payload_digest"), "record_type", number("x").alias("refers_to"))
+    sound = F.when(
+        (F.col("record_type") == "revisit") | whole, F.col("digest")
+    ).otherwise(stop("a payload differs from its record's digest", "string"))
+    facts = facts.select(
+        number("p").alias("page_id"), number("n").alias("payload_bytes"), sound.alias("payload_digest"), "record_type",
+        number("x").alias("refers_to")
+    )
     facts = common.stored(facts, "records")
-    named = facts.where("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
-    met = facts.where("record_type = 'revisit'").join(named, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
-    met = met.withColumn("payload_digest", F.when(F.col("of").isNotNull(), F.col("payload_digest")).otherwise(stop("a revisit's payload is not that of the response that it names", "string")))
+    named = facts.where("record_type = 'response'").select(
+        F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")
+    ).distinct()
+    met = facts.where("record_type = 'revisit'").join(
+        named, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")),
+        "left"
+    )
+    met = met.withColumn(
+        "payload_digest",
+        F.when(
+            F.col("of").isNotNull(), F.col("payload_digest")
+        ).otherwise(stop("a revisit's payload is not that of the response that it names", "string"))
+    )
     return facts.where("record_type = 'response'").unionByName(met.select(*facts.columns))
 
 
