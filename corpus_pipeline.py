@@ -68,7 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, read = common.table(spark, sf_dir, "documents"), lambda: None
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        docs, done = common.passed(stage(spark, docs, sf_dir), name)
+        read()  # the stage before is whole in this one's table
+        read = done
     return docs
