@@ -81,9 +81,15 @@ def metadata_from_json(c: Column) -> Column:
     from .schemas import METADATA_JSON
 
     m = F.from_json(c, METADATA_JSON)
-    made = F.struct(m["commandId"].alias("command_id"), m["trace"].alias("trace"), m["origin"].alias("origin"), m["address"].alias("address"), m["region"].alias("region"), m["timestamp"].alias("timestamp"))
+    made = F.struct(
+        m["commandId"].alias("command_id"), m["trace"].alias("trace"), m["origin"].alias("origin"), m["address"].alias("address"),
+        m["region"].alias("region"), m["timestamp"].alias("timestamp")
+    )
     return F.when(is_json(c), made)
 
 
 def metadata_to_json(m: Column) -> Column:
-    return to_json(F.struct(m["command_id"].alias("commandId"), m["trace"].alias("trace"), m["origin"].alias("origin"), m["address"].alias("address"), m["region"].alias("region"), m["timestamp"].alias("timestamp")))
+    return to_json(F.struct(
+        m["command_id"].alias("commandId"), m["trace"].alias("trace"), m["origin"].alias("origin"), m["address"].alias("address"),
+        m["region"].alias("region"), m["timestamp"].alias("timestamp")
+    ))

@@ -19,13 +19,18 @@ def serialize(results: DataFrame) -> DataFrame:
     payload>>): sequences go on from cur, all events of a commit share its metadata."""
     rows = results.select("entity_id", "entity_type", "cur", "commit_id", "metadata", F.posexplode("events").alias("pos", "e"))
     seq = (F.col("cur") + F.col("pos") + 1).cast("long")
-    return rows.select("entity_id", seq.alias("sequence"), C.event_id(F.col("entity_id"), seq).alias("event_id"), F.col("e.type").alias("type"), F.col("e.version").cast("long").alias("version"), "entity_type", F.col("e.payload").alias("payload"), "metadata", "commit_id")
+    return rows.select(
+        "entity_id", seq.alias("sequence"), C.event_id(F.col("entity_id"), seq).alias("event_id"), F.col("e.type").alias("type"),
+        F.col("e.version").cast("long").alias("version"), "entity_type", F.col("e.payload").alias("payload"), "metadata", "commit_id"
+    )
 
 
 def seen_commands(log: DataFrame, snapshots: DataFrame | None, scope: str = "since_snapshot", command_id: str = "command_id") -> DataFrame:
     """entity_id, command_id that count as handled: of the events after the entity's snapshot, or of all with scope="all"."""
     events = log if scope == "all" or snapshots is None else tail(log, snapshots)
-    return events.where(F.col(command_id).isNotNull() & (F.col(command_id) != "")).select("entity_id", F.col(command_id).alias("command_id")).distinct()
+    return events.where(F.col(command_id).isNotNull() & (F.col(command_id) != "")).select(
+        "entity_id", F.col(command_id).alias("command_id")
+    ).distinct()
 
 
 def fresh_commands(commands: DataFrame, seen: DataFrame) -> DataFrame:
@@ -62,17 +67,25 @@ def execute(
     events = log if seeds is None else tail(log, seeds)
     kind = lambda n: F.lit(n).alias("kind")
     null = lambda t: F.lit(None).cast(t)
-    rows = events.select("entity_id", kind(1), F.col("sequence").alias("at"), F.col("type").alias("name"), F.col("payload").alias("body"), F.col("command_id"))
+    rows = events.select(
+        "entity_id", kind(1), F.col("sequence").alias("at"), F.col("type").alias("name"), F.col("payload").alias("body"),
+        F.col("command_id")
+    )
     rows = rows.unionByName(commands.select("entity_id", kind(2), F.col("arrival").cast("long").alias("at"), "name", "body", "command_id"))
     if seeds is not None:
-        rows = rows.unionByName(seeds.select("entity_id", kind(0), F.col("event_sequence").alias("at"), null("string").alias("name"), F.col("state").alias("body"), null("string").alias("command_id")))
+        rows = rows.unionByName(seeds.select(
+            "entity_id", kind(0), F.col("event_sequence").alias("at"), null("string").alias("name"), F.col("state").alias("body"),
+            null("string").alias("command_id")
+        ))
     columns = ["entity_id", "command_id", "arrival", "status", "error", "events"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, state, seq, seen = None, None, 0, set()
         for frame in frames:
             out = []
-            for entity, kind, at, name, body, command in frame[["entity_id", "kind", "at", "name", "body", "command_id"]].itertuples(index=False):
+            for entity, kind, at, name, body, command in frame[[
+                "entity_id", "kind", "at", "name", "body", "command_id"
+            ]].itertuples(index=False):
                 if entity != own:
                     own, state, seq, seen = entity, start(entity), 0, set()
                 if kind == 0:
@@ -102,4 +115,7 @@ def execute(
             yield pd.DataFrame(out, columns=columns)
 
     ordered = rows.repartition("entity_id").sortWithinPartitions("entity_id", "kind", "at")
-    return ordered.mapInPandas(run, "entity_id string, command_id string, arrival bigint, status string, error string, events array<struct<sequence:bigint,type:string,payload:string>>")
+    return ordered.mapInPandas(
+        run,
+        "entity_id string, command_id string, arrival bigint, status string, error string, events array<struct<sequence:bigint,type:string,payload:string>>"
+    )

@@ -33,12 +33,19 @@ def upcast(log: DataFrame, chain: list[Upcaster]) -> DataFrame:
     """One pass over the upcasters in their order, each tested against what the former left. Adds failed_phase (upcast if one
     failed; that event's later upcasters don't run)."""
     none = F.lit(None).cast("string")
-    state = F.struct(F.col("type").alias("type"), F.col("version").cast("long").alias("version"), F.col("payload").alias("payload"), none.alias("phase"))
+    state = F.struct(
+        F.col("type").alias("type"), F.col("version").cast("long").alias("version"), F.col("payload").alias("payload"), none.alias("phase")
+    )
 
     def step(u: Upcaster) -> Callable[[Column], Column]:
         def done(s: Column, made: Column) -> Column:
-            new = F.struct(F.lit(u.to_type or u.type).alias("type"), F.lit(u.to_version).cast("long").alias("version"), made.alias("payload"), none.alias("phase"))
-            return F.when(made.isNotNull(), new).otherwise(F.struct(s["type"].alias("type"), s["version"].alias("version"), s["payload"].alias("payload"), F.lit("upcast").alias("phase")))
+            new = F.struct(
+                F.lit(u.to_type or u.type).alias("type"), F.lit(u.to_version).cast("long").alias("version"), made.alias("payload"),
+                none.alias("phase")
+            )
+            return F.when(made.isNotNull(), new).otherwise(F.struct(
+                s["type"].alias("type"), s["version"].alias("version"), s["payload"].alias("payload"), F.lit("upcast").alias("phase")
+            ))
 
         def one(s: Column) -> Column:
             hit = (s["type"] == u.type) & (s["version"] == u.version) & s["phase"].isNull()
@@ -50,7 +57,9 @@ def upcast(log: DataFrame, chain: list[Upcaster]) -> DataFrame:
         state = _let(state, step(u))
     out = log.withColumn("__u", state)
     names = {"type": "type", "version": "version", "payload": "payload", "failed_phase": "phase"}
-    return out.select(*(F.col(f"__u.{names[c]}").alias(c) if c in names else F.col(c) for c in [*log.columns, *(["failed_phase"] if "failed_phase" not in log.columns else [])]))
+    return out.select(*(F.col(f"__u.{names[c]}").alias(c) if c in names else F.col(c) for c in [
+        *log.columns, *(["failed_phase"] if "failed_phase" not in log.columns else [])
+    ]))
 
 
 def strict_decode(log: DataFrame, schemas: dict[str, str], fail: bool = False) -> DataFrame:
@@ -62,23 +71,36 @@ def strict_decode(log: DataFrame, schemas: dict[str, str], fail: bool = False) -
     types: dict[str, list[str]] = {}
     for t, schema in schemas.items():
         types.setdefault(schema, []).append(t)
-    parsed = [F.when(F.col("type").isin(*own), F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})).alias(f"s{i}") for i, (schema, own) in enumerate(types.items())]
+    parsed = [
+        F.when(
+            F.col("type").isin(*own),
+            F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})
+        ).alias(f"s{i}") for i,
+        (schema, own) in enumerate(types.items())
+    ]
     at = {t: F.col("__parsed")[f"s{i}"] for i, own in enumerate(types.values()) for t in own}
-    fits = F.coalesce(*(F.when(F.col("type").isin(*own), at[own[0]].isNotNull() & at[own[0]]["__bad"].isNull()) for own in types.values()), F.lit(False))
+    fits = F.coalesce(
+        *(F.when(F.col("type").isin(*own), at[own[0]].isNotNull() & at[own[0]]["__bad"].isNull()) for own in types.values()), F.lit(False)
+    )
     out = log.withColumn("__parsed", F.struct(*parsed)).withColumn("__fits", fits)
     out = out.withColumn("__phase", F.when(failed.isNotNull(), failed).when(~F.col("__fits"), "deserialize"))
     error = F.struct(F.col("type").alias("type"), F.col("version").alias("version"), F.col("__phase").alias("phase"))
     if fail:
         text = F.concat_ws(" ", F.lit("replay failed closed:"), "type", F.col("version").cast("string"), "__phase")
         error = F.raise_error(text).cast("struct<type:string,version:bigint,phase:string>")
-    data = F.struct(*(F.when(F.col("__fits") & (F.col("type") == t), at[t].dropFields("__bad")).alias(t.replace(".", "_").replace(":", "_")) for t in schemas))
+    data = F.struct(*(F.when(
+        F.col("__fits") & (F.col("type") == t), at[t].dropFields("__bad")
+    ).alias(t.replace(".", "_").replace(":", "_")) for t in schemas))
     return out.select(*log.columns, data.alias("data"), F.when(F.col("__phase").isNotNull(), error).alias("error"))
 
 
 def lenient_decode(records: DataFrame, metadata: str = "metadata_json") -> DataFrame:
     """Stream records for projection: unreadable metadata is empty, a version under 1 is 1."""
     empty = F.lit(None).cast(METADATA)
-    return records.withColumns({"metadata": F.coalesce(C.metadata_from_json(F.col(metadata)), empty), "version": F.when(F.coalesce(F.col("version"), F.lit(0)) <= 0, 1).otherwise(F.col("version")).cast("long")})
+    return records.withColumns({
+        "metadata": F.coalesce(C.metadata_from_json(F.col(metadata)), empty),
+        "version": F.when(F.coalesce(F.col("version"), F.lit(0)) <= 0, 1).otherwise(F.col("version")).cast("long")
+    })
 
 
 def invalid_reason(metadata: Column) -> Column:

@@ -76,11 +76,17 @@ def fold_seeded(log: DataFrame, seeds: DataFrame, fields: dict[str, Reducer]) ->
     new = tail(log, seeds).groupBy(ID).agg(F.max(SEQ).alias("__head"), *aggs)
     both = seeds.select(ID, "event_sequence", *fields).join(new, ID, "full")
     head = F.greatest(F.coalesce("__head", F.lit(0)), F.coalesce("event_sequence", F.lit(0)))
-    state = [F.when(F.col("event_sequence").isNull(), r.finish(F.col(f"__{n}"))).otherwise(r.merge(F.col(n), F.col(f"__{n}"))).alias(n) for n, r in fields.items()]
+    state = [
+        F.when(F.col("event_sequence").isNull(), r.finish(F.col(f"__{n}"))).otherwise(r.merge(F.col(n), F.col(f"__{n}"))).alias(n) for n,
+        r in fields.items()
+    ]
     return both.select(ID, head.alias("head_seq"), *state)
 
 
-def fold_ordered(log: DataFrame, columns: list[str], start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, seeds: DataFrame | None = None) -> DataFrame:
+def fold_ordered(
+    log: DataFrame, columns: list[str], start: Column, step: Callable[[Column, Column], Column],
+    finish: Callable[[Column], Column] | None = None, seeds: DataFrame | None = None
+) -> DataFrame:
     """entity_id, head_seq, state: ``step(state, event)`` over the entity's events in order, from ``start`` or from the state
     column of seeds (entity_id, event_sequence, state)."""
     events = tail(log, seeds) if seeds is not None else log
@@ -88,12 +94,16 @@ def fold_ordered(log: DataFrame, columns: list[str], start: Column, step: Callab
     begin = start
     if seeds is not None:
         listed = listed.join(seeds.select(ID, "event_sequence", F.col("state").alias("__seed")), ID, "full")
-        listed = listed.withColumn("head_seq", F.greatest(F.coalesce("head_seq", F.lit(0)), F.coalesce("event_sequence", F.lit(0)))).withColumn("__events", F.coalesce("__events", F.array()))
+        listed = listed.withColumn(
+            "head_seq", F.greatest(F.coalesce("head_seq", F.lit(0)), F.coalesce("event_sequence", F.lit(0)))
+        ).withColumn("__events", F.coalesce("__events", F.array()))
         begin = F.coalesce("__seed", start)
     return listed.select(ID, "head_seq", F.aggregate("__events", begin, step, finish or (lambda s: s)).alias("state"))
 
 
-def fold_python(log: DataFrame, columns: list[str], start: Callable[[str], dict], apply: Callable[[dict, dict], dict | None], schema: str) -> DataFrame:
+def fold_python(
+    log: DataFrame, columns: list[str], start: Callable[[str], dict], apply: Callable[[dict, dict], dict | None], schema: str
+) -> DataFrame:
     """entity_id, head_seq, the state fields of ``schema`` and error for each entity. ``apply(state, event)`` returns the new
     state; an exception ends that entity's fold, which is given with its error and state so far; others go on. An entity whose
     state is None at the end is not given."""
@@ -103,7 +113,9 @@ def fold_python(log: DataFrame, columns: list[str], start: Callable[[str], dict]
         own, state, head, error = None, None, 0, None
 
         def row() -> list:
-            return [] if own is None or (state is None and error is None) else [{ID: own, "head_seq": head, "error": error, **{n: (state or {}).get(n) for n in names}}]
+            return [] if own is None or (state is None and error is None) else [{
+                ID: own, "head_seq": head, "error": error, **{n: (state or {}).get(n) for n in names}
+            }]
 
         for frame in frames:
             out: list = []

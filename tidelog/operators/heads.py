@@ -28,7 +28,9 @@ def merge(*tables: DataFrame) -> DataFrame:
     for r in rows[1:]:
         every = every.unionByName(r)
     every = every.where("coalesce(entity_id, '') <> '' and head_seq >= 1")
-    return every.groupBy("entity_id").agg(F.max_by("entity_type", F.struct("head_seq", "rank")).alias("entity_type"), F.max("head_seq").alias("head_seq"))
+    return every.groupBy("entity_id").agg(
+        F.max_by("entity_type", F.struct("head_seq", "rank")).alias("entity_type"), F.max("head_seq").alias("head_seq")
+    )
 
 
 def backfill(current: DataFrame, log: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, int]:
@@ -40,7 +42,9 @@ def backfill(current: DataFrame, log: DataFrame, snapshots: DataFrame) -> tuple[
 def changed(heads: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Heads over their entity's checkpoint; no checkpoint is 0."""
     points = checkpoints.select("entity_id", F.col("checkpoint").alias("__c"))
-    return heads.join(points, "entity_id", "left").where(F.col("head_seq") > F.coalesce("__c", F.lit(0))).select(*heads.columns, F.coalesce("__c", F.lit(0)).cast("long").alias("checkpoint"))
+    return heads.join(points, "entity_id", "left").where(F.col("head_seq") > F.coalesce("__c", F.lit(0))).select(
+        *heads.columns, F.coalesce("__c", F.lit(0)).cast("long").alias("checkpoint")
+    )
 
 
 def advance(checkpoints: DataFrame, heads: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ def layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """node, layer: the length of the longest path that ends in a node (node: id; edges: src, dst). Nodes on or behind a cycle have
     layer null. One join and one aggregate a layer; stops when no node is left without open predecessors."""
     spark = nodes.sparkSession
-    open_ = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    open_ = edges.select("src", "dst").join(
+        nodes.select(F.col("node").alias("src")), "src", "left_semi"
+    ).join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
     done = spark.createDataFrame([], nodes.select("node").schema).withColumn("layer", F.lit(0).cast("long"))
     left = nodes.select("node").distinct()
     for n in range(most):

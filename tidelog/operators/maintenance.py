@@ -25,8 +25,12 @@ def compact(log: DataFrame, requests: DataFrame, snapshots: DataFrame) -> DataFr
 def compaction_counts(log: DataFrame, requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Requests with status and deleted: the events that each deletes."""
     status = compaction_status(requests, snapshots)
-    hits = log.select("entity_id", "sequence").join(status.where("status = 'ok'").select("entity_id", "through"), "entity_id").where("sequence <= through").groupBy("entity_id", "through").agg(F.count("*").alias("__n"))
-    return status.join(hits, ["entity_id", "through"], "left").select(*status.columns, F.coalesce("__n", F.lit(0)).cast("long").alias("deleted"))
+    hits = log.select("entity_id", "sequence").join(
+        status.where("status = 'ok'").select("entity_id", "through"), "entity_id"
+    ).where("sequence <= through").groupBy("entity_id", "through").agg(F.count("*").alias("__n"))
+    return status.join(hits, ["entity_id", "through"], "left").select(
+        *status.columns, F.coalesce("__n", F.lit(0)).cast("long").alias("deleted")
+    )
 
 
 def ttl(entity_type: Column, policies: dict[str, int], now: Column) -> Column:
@@ -49,11 +53,15 @@ def gaps(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     rows = log.select("entity_id", "sequence").distinct()
     if snapshots is not None:
         floors = snapshots.select("entity_id", F.col("event_sequence").alias("__floor"))
-        rows = rows.join(floors, "entity_id", "left").where(F.col("sequence") > F.coalesce("__floor", F.lit(0))).withColumn("__floor", F.coalesce("__floor", F.lit(0)))
+        rows = rows.join(floors, "entity_id", "left").where(F.col("sequence") > F.coalesce("__floor", F.lit(0))).withColumn(
+            "__floor", F.coalesce("__floor", F.lit(0))
+        )
     else:
         rows = rows.withColumn("__floor", F.lit(0))
     before = F.coalesce(F.lag("sequence").over(Window.partitionBy("entity_id").orderBy("sequence")), F.col("__floor"))
-    return rows.withColumn("after", before.cast("long")).where(F.col("sequence") > F.col("after") + 1).select("entity_id", "after", F.col("sequence").alias("before"))
+    return rows.withColumn("after", before.cast("long")).where(F.col("sequence") > F.col("after") + 1).select(
+        "entity_id", "after", F.col("sequence").alias("before")
+    )
 
 
 def gappy(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
@@ -62,7 +70,9 @@ def gappy(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     rows = log.select("entity_id", "sequence")
     floor = F.lit(0)
     if snapshots is not None:
-        rows = rows.join(snapshots.select("entity_id", F.col("event_sequence").alias("__floor")), "entity_id", "left").where(F.col("sequence") > F.coalesce("__floor", F.lit(0)))
+        rows = rows.join(
+            snapshots.select("entity_id", F.col("event_sequence").alias("__floor")), "entity_id", "left"
+        ).where(F.col("sequence") > F.coalesce("__floor", F.lit(0)))
         floor = F.coalesce(F.max("__floor"), F.lit(0))
     counted = rows.distinct().groupBy("entity_id").agg((F.max("sequence") - floor - F.count("*")).cast("long").alias("missing"))
     return counted.where("missing > 0")

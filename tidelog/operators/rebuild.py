@@ -50,13 +50,17 @@ def run(
         errors = marked.where("__status = 'error'").select("entity_id", "error").unionByName(failed)
         n_failed = failed.count()
         n_errors = counts.get("error", 0) + n_failed
-        first = [f"entity {r.entity_id}: {r.error}" for r in errors.orderBy("entity_id").limit(min(max_errors, 1000) if max_errors > 0 else 1000).collect()] if n_errors else []
+        first = [
+            f"entity {r.entity_id}: {r.error}" for r in errors.orderBy("entity_id").limit(min(max_errors, 1000) if max_errors > 0 else 1000).collect()
+        ] if n_errors else []
         if 0 < max_errors <= n_errors:
             error = RuntimeError(f"rebuild stopped: reached MaxErrors limit ({max_errors})")
             error.summary = Summary(0, counts.get("skipped", 0), first)
             raise error
         if not dry_run:
-            commit(made.where("error is null").drop("error").join(failed.select("entity_id"), "entity_id", "left_anti") if n_failed else made.drop("error"))
+            commit(made.where("error is null").drop("error").join(
+                failed.select("entity_id"), "entity_id", "left_anti"
+            ) if n_failed else made.drop("error"))
         if on_progress:
             done = bad = 0
             each = marked.where("__status <> 'skipped'").join(failed.select("entity_id", F.lit(True).alias("__bad")), "entity_id", "left")
@@ -69,7 +73,9 @@ def run(
         made.unpersist()
 
 
-def by_query(states: DataFrame, projectors: list[Projector], commit=None, entity_type: str = "", enumerate_type: str = "", seed=None, **more) -> Summary:
+def by_query(
+    states: DataFrame, projectors: list[Projector], commit=None, entity_type: str = "", enumerate_type: str = "", seed=None, **more
+) -> Summary:
     """As ``run`` for states that were folded entity by entity from an enumeration of ids: takes no seed, and the enumeration must be of
     the same type (none given is the same)."""
     if seed is not None:
@@ -88,4 +94,7 @@ def summary_of(states: DataFrame, entity_type: str = "") -> DataFrame:
     """One row: processed, skipped, errors of states (entity_id, entity_type, error)."""
     wrong = F.col("entity_id").isNull() if not entity_type else F.col("entity_id").isNull() | (F.col("entity_type") != entity_type)
     failed = F.col("error").isNotNull()
-    return states.agg(F.count(F.when(~failed & ~wrong, 1)).alias("processed"), F.count(F.when(~failed & wrong, 1)).alias("skipped"), F.count(F.when(failed, 1)).alias("errors"))
+    return states.agg(
+        F.count(F.when(~failed & ~wrong, 1)).alias("processed"), F.count(F.when(~failed & wrong, 1)).alias("skipped"),
+        F.count(F.when(failed, 1)).alias("errors")
+    )

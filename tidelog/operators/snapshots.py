@@ -28,7 +28,10 @@ def size_for(entity_type: Column, sizes: dict[str, int], default: int) -> Column
 
 def commits(log: DataFrame) -> DataFrame:
     """entity_id, entity_type, commit_id, cur (sequence before), n, last_seq of each commit."""
-    grouped = log.groupBy("entity_id", "commit_id").agg(F.first("entity_type").alias("entity_type"), F.min("sequence").alias("lo"), F.count("*").alias("n"), F.max("sequence").alias("last_seq"))
+    grouped = log.groupBy("entity_id", "commit_id").agg(
+        F.first("entity_type").alias("entity_type"), F.min("sequence").alias("lo"), F.count("*").alias("n"),
+        F.max("sequence").alias("last_seq")
+    )
     return grouped.select("entity_id", "entity_type", "commit_id", (F.col("lo") - 1).alias("cur"), "n", "last_seq")
 
 
@@ -40,7 +43,9 @@ def taken(log: DataFrame, size: int | Column = 5) -> DataFrame:
 def floors(log: DataFrame, size: int | Column = 5) -> DataFrame:
     """entity_id, entity_type, sequence (number of snapshots taken), event_sequence (last event covered)."""
     done = taken(log, size).where("take > 0")
-    return done.groupBy("entity_id").agg(F.first("entity_type").alias("entity_type"), F.count("*").alias("sequence"), F.max("last_seq").alias("event_sequence"))
+    return done.groupBy("entity_id").agg(
+        F.first("entity_type").alias("entity_type"), F.count("*").alias("sequence"), F.max("last_seq").alias("event_sequence")
+    )
 
 
 def upsert(current: DataFrame, incoming: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -50,7 +55,9 @@ def upsert(current: DataFrame, incoming: DataFrame, arrival: str = "arrival") ->
     cols = [c for c in current.columns if c not in ("entity_id", "event_sequence")]
     old = current.select("entity_id", "event_sequence", F.lit(0).alias("__new"), F.lit(0).cast("long").alias("__at"), *cols)
     new = incoming.select("entity_id", "event_sequence", F.lit(1).alias("__new"), F.col(arrival).cast("long").alias("__at"), *cols)
-    best = old.unionByName(new).groupBy("entity_id").agg(F.max_by(F.struct("event_sequence", *cols), F.struct("event_sequence", "__new", "__at")).alias("b"))
+    best = old.unionByName(new).groupBy("entity_id").agg(F.max_by(
+        F.struct("event_sequence", *cols), F.struct("event_sequence", "__new", "__at")
+    ).alias("b"))
     return best.select("entity_id", "b.*").select(*current.columns)
 
 
@@ -60,10 +67,16 @@ def freshness(log: DataFrame, snapshots: DataFrame, budget: int = 0, ms: float =
     ms = ms if ms > 0 else MS_PER_EVENT
     f = snapshots.select("entity_id", "event_sequence")
     n = log.select("entity_id", "sequence").join(f, "entity_id", "full").groupBy("entity_id").agg(
-        F.max("event_sequence").alias("event_sequence"), F.max("sequence").alias("last"), F.count(F.when(F.col("sequence") > F.coalesce("event_sequence", F.lit(0)), 1)).alias("since")
+        F.max("event_sequence").alias("event_sequence"), F.max("sequence").alias("last"), F.count(F.when(
+            F.col("sequence") > F.coalesce("event_sequence", F.lit(0)), 1
+        )).alias("since")
     )
     head = F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("event_sequence", F.lit(0)))
-    return n.select("entity_id", head.alias("head_seq"), F.coalesce("event_sequence", F.lit(0)).alias("event_sequence"), "since", F.round(F.col("since") * F.lit(float(ms))).cast("long").alias("estimate_ms"), ((F.lit(budget) > 0) & (F.col("since") > budget)).alias("exceeded"))
+    return n.select(
+        "entity_id", head.alias("head_seq"), F.coalesce("event_sequence", F.lit(0)).alias("event_sequence"), "since",
+        F.round(F.col("since") * F.lit(float(ms))).cast("long").alias("estimate_ms"),
+        ((F.lit(budget) > 0) & (F.col("since") > budget)).alias("exceeded")
+    )
 
 
 def observe(debts: DataFrame, observer: Callable[[Row], None]) -> int:
@@ -83,4 +96,7 @@ def catch_up(states: DataFrame, snapshots: DataFrame, debts: DataFrame, threshol
     due = debts.where((F.lit(threshold) > 0) & (F.col("since") >= threshold)).select("entity_id")
     last = snapshots.select("entity_id", F.col("sequence").alias("__n"))
     rows = states.join(due, "entity_id", "left_semi").join(last, "entity_id", "left")
-    return rows.select("entity_id", "entity_type", (F.coalesce("__n", F.lit(0)) + 1).cast("long").alias("sequence"), F.col("head_seq").alias("event_sequence"), "payload")
+    return rows.select(
+        "entity_id", "entity_type", (F.coalesce("__n", F.lit(0)) + 1).cast("long").alias("sequence"),
+        F.col("head_seq").alias("event_sequence"), "payload"
+    )

@@ -19,7 +19,10 @@ def project(states: DataFrame, *fields: str) -> DataFrame:
     """The built-in projection of states (entity_id, entity_type, ...): pk is type#id, sk VIEW, the payload the JSON of
     ``fields``, no ttl. States without an id give none."""
     rows = states.where("coalesce(entity_id, '') <> ''")
-    return rows.select(C.view_pk().alias("pk"), F.lit(C.DEFAULT_SK).alias("sk"), "entity_id", "entity_type", C.to_json(F.struct(*fields)).alias("payload"), F.lit(None).cast("long").alias("ttl"))
+    return rows.select(
+        C.view_pk().alias("pk"), F.lit(C.DEFAULT_SK).alias("sk"), "entity_id", "entity_type", C.to_json(F.struct(*fields)).alias("payload"),
+        F.lit(None).cast("long").alias("ttl")
+    )
 
 
 def keyed(views: DataFrame) -> DataFrame:
@@ -32,7 +35,9 @@ def upsert(current: DataFrame, incoming: DataFrame, arrival: str = "arrival") ->
     rest = ["entity_id", "entity_type", "payload", "ttl"]
     old = keyed(current).select("pk", "sk", F.lit(0).alias("__new"), F.lit(0).cast("long").alias("__at"), *rest)
     new = keyed(incoming).select("pk", "sk", F.lit(1).alias("__new"), F.col(arrival).cast("long").alias("__at"), *rest)
-    return old.unionByName(new).groupBy("pk", "sk").agg(F.max_by(F.struct(*rest), F.struct("__new", "__at")).alias("v")).select("pk", "sk", "v.*")
+    return old.unionByName(new).groupBy("pk", "sk").agg(F.max_by(
+        F.struct(*rest), F.struct("__new", "__at")
+    ).alias("v")).select("pk", "sk", "v.*")
 
 
 def delete(current: DataFrame, keys: DataFrame) -> DataFrame:
@@ -81,7 +86,9 @@ def page(views: DataFrame, limit: int, after: str | None = None) -> tuple[DataFr
     can't be read is a BadCursor. The driver gets two keys, the last of the page and the next one; the page itself is a range of keys."""
     rest = views
     if after:
-        one = views.sparkSession.range(1).select(F.try_to_binary(F.translate(F.lit(after), "-_", "+/"), F.lit("base64")).cast("string").alias("j"))
+        one = views.sparkSession.range(1).select(F.try_to_binary(
+            F.translate(F.lit(after), "-_", "+/"), F.lit("base64")
+        ).cast("string").alias("j"))
         key = one.select(F.when(C.is_json(F.col("j")), F.from_json("j", "pk string, sk string")).alias("k")).first().k
         if key is None or key.pk is None or key.sk is None:
             raise BadCursor(f"invalid cursor: {after}")
@@ -101,7 +108,9 @@ def decode(views: DataFrame, schema: str) -> DataFrame:
     parsed = F.from_json("payload", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
     out = views.withColumn("__v", parsed)
     bad = F.col("payload").isNull() | ~C.is_json(F.col("payload")) | F.col("__v").isNull() | F.col("__v.__bad").isNotNull()
-    return out.select(*views.columns, F.when(~bad, F.col("__v").dropFields("__bad")).alias("value"), F.when(bad, F.struct("pk", "sk")).alias("error"))
+    return out.select(
+        *views.columns, F.when(~bad, F.col("__v").dropFields("__bad")).alias("value"), F.when(bad, F.struct("pk", "sk")).alias("error")
+    )
 
 
 def decode_valid(views: DataFrame, schema: str) -> DataFrame:
@@ -116,7 +125,9 @@ def decode_strict(views: DataFrame, schema: str) -> DataFrame:
     """As ``decode_valid``; the first bad payload stops the query."""
     found = decode(views, schema)
     stop = F.raise_error(F.concat(F.lit("undecodable view "), F.col("pk"), F.lit("/"), F.col("sk")))
-    return found.withColumn("value", F.when(F.col("error").isNotNull(), stop.cast(found.schema["value"].dataType)).otherwise(F.col("value"))).drop("error")
+    return found.withColumn(
+        "value", F.when(F.col("error").isNotNull(), stop.cast(found.schema["value"].dataType)).otherwise(F.col("value"))
+    ).drop("error")
 
 
 class ViewStore:
@@ -130,7 +141,11 @@ class ViewStore:
 
     def put(self, values: DataFrame, entity_id: str) -> DataFrame:
         """The views with the values (columns of the schema) upserted; of equal keys any one wins."""
-        rows = values.select(self.pk_of(F.col(entity_id)).alias("pk"), F.lit(C.DEFAULT_SK).alias("sk"), F.col(entity_id).alias("entity_id"), F.lit(self.entity_type).alias("entity_type"), C.to_json(F.struct(*values.columns)).alias("payload"), F.lit(None).cast("long").alias("ttl"), F.lit(1).alias("arrival"))
+        rows = values.select(
+            self.pk_of(F.col(entity_id)).alias("pk"), F.lit(C.DEFAULT_SK).alias("sk"), F.col(entity_id).alias("entity_id"),
+            F.lit(self.entity_type).alias("entity_type"), C.to_json(F.struct(*values.columns)).alias("payload"),
+            F.lit(None).cast("long").alias("ttl"), F.lit(1).alias("arrival")
+        )
         self.views = upsert(self.views, rows)
         return self.views
 

@@ -97,7 +97,9 @@ def get_snapshot(spark, d):
     return L.snapshot_of(snapshots.floors(T.user_log(spark, d)), "user-1").select("entity_id", "sequence", "event_sequence")
 
 
-@query("select entity_id, sequence from log where entity_id in (select entity_id from log group by 1 having max(sequence) % 2 = 0) and entity_id not in (select entity_id from log where entity_id like '%7')")
+@query(
+    "select entity_id, sequence from log where entity_id in (select entity_id from log group by 1 having max(sequence) % 2 = 0) and entity_id not in (select entity_id from log where entity_id like '%7')"
+)
 def registry_enumeration(spark, d):
     log = T.user_log(spark, d)
     registry = heads.heads(log).where("head_seq % 2 = 0")
@@ -111,9 +113,19 @@ def decode_items(spark, d):
     log = T.user_log(spark, d)
     meta = F.concat(F.lit('{"region":"r","commandId":"'), F.col("command_id"), F.lit('"}'))
     null = lambda t: F.lit(None).cast(t)
-    items = log.select(F.col("entity_id").alias("pk"), F.col("sequence").alias("sk"), "type", "version", F.col("entity_type").alias("entityType"), "payload", meta.alias("metadata"), null("long").alias("ttl"), null("long").alias("seq"), null("long").alias("eventSeq"))
-    inline = snapshots.floors(log).select(F.col("entity_id").alias("pk"), F.lit(0).cast("long").alias("sk"), null("string").alias("type"), null("long").alias("version"), F.col("entity_type").alias("entityType"), F.lit("{}").alias("payload"), null("string").alias("metadata"), null("long").alias("ttl"), F.col("sequence").alias("seq"), F.col("event_sequence").alias("eventSeq"))
-    return L.decode_items(items.unionByName(inline)).select("entity_id", "sequence", "event_id", "type", F.col("metadata.region").alias("region"), F.col("metadata.command_id").alias("command_id"))
+    items = log.select(
+        F.col("entity_id").alias("pk"), F.col("sequence").alias("sk"), "type", "version", F.col("entity_type").alias("entityType"),
+        "payload", meta.alias("metadata"), null("long").alias("ttl"), null("long").alias("seq"), null("long").alias("eventSeq")
+    )
+    inline = snapshots.floors(log).select(
+        F.col("entity_id").alias("pk"), F.lit(0).cast("long").alias("sk"), null("string").alias("type"), null("long").alias("version"),
+        F.col("entity_type").alias("entityType"), F.lit("{}").alias("payload"), null("string").alias("metadata"), null("long").alias("ttl"),
+        F.col("sequence").alias("seq"), F.col("event_sequence").alias("eventSeq")
+    )
+    return L.decode_items(items.unionByName(inline)).select(
+        "entity_id", "sequence", "event_id", "type", F.col("metadata.region").alias("region"),
+        F.col("metadata.command_id").alias("command_id")
+    )
 
 
 @query("select entity_id as pk, sequence as sk, type, cents, version % 2 = 1 as flag, [type, 'x'] as tags from log")
@@ -121,8 +133,14 @@ def attribute_decode(spark, d):
     """Typed attribute maps to columns."""
     log = T.user_log(spark, d)
     s = lambda tag, c: F.struct(c.alias(tag))
-    item = F.to_json(F.struct(s("S", F.col("entity_id")).alias("pk"), s("N", F.col("sequence").cast("string")).alias("sk"), s("S", F.col("type")).alias("type"), s("N", F.col("cents").cast("string")).alias("cents"), s("BOOL", F.col("version") % 2 == 1).alias("flag"), s("SS", F.array("type", F.lit("x"))).alias("tags")))
-    return log.select(L.typed_attributes(item, "pk string, sk bigint, type string, cents bigint, flag boolean, tags array<string>").alias("a")).select("a.*")
+    item = F.to_json(F.struct(
+        s("S", F.col("entity_id")).alias("pk"), s("N", F.col("sequence").cast("string")).alias("sk"), s("S", F.col("type")).alias("type"),
+        s("N", F.col("cents").cast("string")).alias("cents"), s("BOOL", F.col("version") % 2 == 1).alias("flag"),
+        s("SS", F.array("type", F.lit("x"))).alias("tags")
+    ))
+    return log.select(L.typed_attributes(
+        item, "pk string, sk bigint, type string, cents bigint, flag boolean, tags array<string>"
+    ).alias("a")).select("a.*")
 
 
 # sequences, commits, conflicts
@@ -137,12 +155,18 @@ def event_id_format(spark, d):
 def serialize_sequences(spark, d):
     """Commits are taken apart and their events numbered again from the sequence before."""
     log = T.user_log(spark, d)
-    events = F.transform(F.sort_array(F.collect_list(F.struct("sequence", "type", "version", "payload"))), lambda e: F.struct(e["type"].alias("type"), e["version"].alias("version"), e["payload"].alias("payload")))
+    events = F.transform(
+        F.sort_array(F.collect_list(F.struct("sequence", "type", "version", "payload"))),
+        lambda e: F.struct(e["type"].alias("type"), e["version"].alias("version"), e["payload"].alias("payload"))
+    )
     results = log.groupBy("entity_id", "entity_type", "commit_id").agg((F.min("sequence") - 1).alias("cur"), events.alias("events")).withColumn("metadata", C.metadata(region=F.lit("r"), command_id=F.col("commit_id")))
     return CMD.serialize(results).select("entity_id", "sequence", "event_id", "type", "commit_id")
 
 
-@query("select 'order-'||l_orderkey as entity_id, l_linenumber::bigint as sequence, count(*)::bigint as claims from lineitem group by 1, 2 having count(*) > 1", "")
+@query(
+    "select 'order-'||l_orderkey as entity_id, l_linenumber::bigint as sequence, count(*)::bigint as claims from lineitem group by 1, 2 having count(*) > 1",
+    ""
+)
 def commit_conflicts(spark, d):
     """Keys that the store finds claimed more than once."""
     claims = T.claims(spark, d)
@@ -164,7 +188,10 @@ def commit_accepted(spark, d):
     return claims.join(decided, ["commit_id", "entity_id"]).select("entity_id", "sequence", "accepted", "arrival")
 
 
-@query("select 'order-'||l_orderkey as entity_id, (max(l_linenumber) - count(distinct l_linenumber))::bigint as missing from lineitem group by 1 having max(l_linenumber) > count(distinct l_linenumber)", "")
+@query(
+    "select 'order-'||l_orderkey as entity_id, (max(l_linenumber) - count(distinct l_linenumber))::bigint as missing from lineitem group by 1 having max(l_linenumber) > count(distinct l_linenumber)",
+    ""
+)
 def sequence_gaps(spark, d):
     return maintenance.gappy(T.claims(spark, d))
 
@@ -210,7 +237,10 @@ def store_round_trip(spark, d):
     assert status.where("status <> 'ok'").isEmpty()
     snaps = store.read("snapshots").select(F.lit("snapshots").alias("what"))
     count = lambda df: df.groupBy("what").agg(F.count("*").alias("n"))
-    fixed = spark.range(2).select(F.when(F.col("id") == 0, "versions").otherwise("conflicts").alias("what"), F.when(F.col("id") == 0, store.version()).otherwise(n).cast("long").alias("n"))
+    fixed = spark.range(2).select(
+        F.when(F.col("id") == 0, "versions").otherwise("conflicts").alias("what"),
+        F.when(F.col("id") == 0, store.version()).otherwise(n).cast("long").alias("n")
+    )
     # the first read holds the version from before the compaction: old folders stay readable
     return count(before).unionByName(count(left)).unionByName(count(snaps)).unionByName(fixed)
 
@@ -271,7 +301,10 @@ def heads_store_merge(spark, d):
 
 
 def _balance() -> dict[str, Reducer]:
-    return {"balance": Reducer("sum", F.col("cents"), F.col("type") == "purchase"), "purchases": Reducer("count", None, F.col("type") == "purchase")}
+    return {
+        "balance": Reducer("sum", F.col("cents"), F.col("type") == "purchase"),
+        "purchases": Reducer("count", None, F.col("type") == "purchase")
+    }
 
 
 _BALANCE = "coalesce(sum(cents) filter (type = 'purchase'), 0)::bigint as balance, count(*) filter (type = 'purchase')::bigint as purchases"
@@ -294,13 +327,21 @@ def fold_counter(spark, d):
 def fold_last_write(spark, d):
     """The last write wins, null or not."""
     value = F.when(F.col("k") % 3 != 0, F.col("cents"))
-    return fold.fold(T.user_log(spark, d), {"other": Reducer("last", value), "least": Reducer("min", F.col("cents")), "most": Reducer("max", F.col("cents")), "last_type": Reducer("last", F.col("type"), F.col("type") != "error")})
+    return fold.fold(
+        T.user_log(spark, d),
+        {
+            "other": Reducer("last", value), "least": Reducer("min", F.col("cents")), "most": Reducer("max", F.col("cents")),
+            "last_type": Reducer("last", F.col("type"), F.col("type") != "error")
+        }
+    )
 
 
 def _account(state, event):
     opened = event["type"] == "signup"
     return F.struct(
-        F.when(opened, event["cents"]).when(event["type"] == "purchase", state["balance"] + event["cents"]).otherwise(state["balance"]).alias("balance"),
+        F.when(opened, event["cents"]).when(
+            event["type"] == "purchase", state["balance"] + event["cents"]
+        ).otherwise(state["balance"]).alias("balance"),
         (state["opened"] | opened).alias("opened"),
     )
 
@@ -331,18 +372,31 @@ def fold_python_state(spark, d):
             return {"balance": state["balance"] + int(event["cents"]), "opened": state["opened"]}
         return state
 
-    return fold.fold_python(T.user_log(spark, d), ["type", "cents"], lambda _: {"balance": 0, "opened": False}, step, "balance bigint, opened boolean").drop("error")
+    return fold.fold_python(
+        T.user_log(spark, d), ["type", "cents"], lambda _: {"balance": 0, "opened": False}, step, "balance bigint, opened boolean"
+    ).drop("error")
 
 
-@query("select entity_id, sequence, sum(case when type = 'purchase' then cents else 0 end) over (partition by entity_id order by sequence)::bigint as balance from log")
+@query(
+    "select entity_id, sequence, sum(case when type = 'purchase' then cents else 0 end) over (partition by entity_id order by sequence)::bigint as balance from log"
+)
 def fold_running_state(spark, d):
     """State after each event."""
     return fold.running(T.user_log(spark, d), {"balance": Reducer("sum", F.col("cents"), F.col("type") == "purchase")})
 
 
-@query("select entity_id, max(sequence) as head_seq, coalesce(sum(cents) filter (type = 'line'), 0)::bigint as lines_cents, count(*) filter (type = 'line')::bigint as n_lines, coalesce(max(cents) filter (type = 'created'), 0) as total from ord group by 1", PREFIX + WHOLE)
+@query(
+    "select entity_id, max(sequence) as head_seq, coalesce(sum(cents) filter (type = 'line'), 0)::bigint as lines_cents, count(*) filter (type = 'line')::bigint as n_lines, coalesce(max(cents) filter (type = 'created'), 0) as total from ord group by 1",
+    PREFIX + WHOLE
+)
 def fold_order_totals(spark, d):
-    state = fold.fold(T.order_log(spark, d), {"lines_cents": Reducer("sum", F.col("cents"), F.col("type") == "line"), "n_lines": Reducer("count", None, F.col("type") == "line"), "total": Reducer("max", F.col("cents"), F.col("type") == "created")})
+    state = fold.fold(
+        T.order_log(spark, d),
+        {
+            "lines_cents": Reducer("sum", F.col("cents"), F.col("type") == "line"),
+            "n_lines": Reducer("count", None, F.col("type") == "line"), "total": Reducer("max", F.col("cents"), F.col("type") == "created")
+        }
+    )
     return state.withColumn("total", F.coalesce("total", F.lit(0)))
 
 
@@ -387,7 +441,9 @@ def load_entity(spark, d):
 
 @query("select entity_id, commit_no, cur, n, take::bigint as take from dec")
 def snapshot_decision(spark, d):
-    return snapshots.taken(T.user_log(spark, d)).select("entity_id", F.regexp_extract("commit_id", r"(\d+)$", 1).cast("long").alias("commit_no"), "cur", "n", "take")
+    return snapshots.taken(T.user_log(spark, d)).select(
+        "entity_id", F.regexp_extract("commit_id", r"(\d+)$", 1).cast("long").alias("commit_no"), "cur", "n", "take"
+    )
 
 
 @query("select entity_id, snapshot_no as sequence, event_sequence from snap")
@@ -402,9 +458,14 @@ def snapshots_build(spark, d):
 def snapshot_monotonic_upsert(spark, d):
     """Snapshots arrive in any order; the greatest event_sequence stays, of equal ones the later."""
     c = snapshots.commits(T.user_log(spark, d)).withColumn("no", F.regexp_extract("commit_id", r"(\d+)$", 1).cast("long"))
-    row = lambda p, at: c.select("entity_id", F.col("last_seq").alias("event_sequence"), F.concat(F.lit(p), F.col("no").cast("string")).alias("payload"), at.alias("arrival"), "no")
+    row = lambda p, at: c.select(
+        "entity_id", F.col("last_seq").alias("event_sequence"), F.concat(F.lit(p), F.col("no").cast("string")).alias("payload"),
+        at.alias("arrival"), "no"
+    )
     inc = row("p", F.col("no")).unionByName(row("q", F.col("no") + 1000).where("no % 2 = 0"))
-    current = inc.where("no < 3 and arrival < 1000").groupBy("entity_id").agg(F.min("event_sequence").alias("event_sequence"), F.lit("old").alias("payload"))
+    current = inc.where("no < 3 and arrival < 1000").groupBy("entity_id").agg(
+        F.min("event_sequence").alias("event_sequence"), F.lit("old").alias("payload")
+    )
     return snapshots.upsert(current, inc)
 
 
@@ -412,17 +473,24 @@ DEBT = """, debt as (select l.entity_id, max(sequence) as head_seq, coalesce(max
 """
 
 
-@query("select entity_id, head_seq, event_sequence, since, (since * 8)::bigint as estimate_ms, since > 2 as exceeded from debt", PREFIX + DEBT)
+@query(
+    "select entity_id, head_seq, event_sequence, since, (since * 8)::bigint as estimate_ms, since > 2 as exceeded from debt", PREFIX + DEBT
+)
 def freshness(spark, d):
     log = T.user_log(spark, d)
     return snapshots.freshness(log, snapshots.floors(log), budget=2)
 
 
-@query("select entity_id, 'user' as entity_type, s.snapshot_no + 1 as sequence, head_seq as event_sequence from debt join snap s using (entity_id) where since >= 2", PREFIX + DEBT)
+@query(
+    "select entity_id, 'user' as entity_type, s.snapshot_no + 1 as sequence, head_seq as event_sequence from debt join snap s using (entity_id) where since >= 2",
+    PREFIX + DEBT
+)
 def catch_up_candidates(spark, d):
     log = T.user_log(spark, d)
     snaps = snapshots.floors(log)
-    states = fold.fold(log, {"n": Reducer("count")}).select("entity_id", F.lit("user").alias("entity_type"), "head_seq", C.to_json(F.struct("n")).alias("payload"))
+    states = fold.fold(log, {"n": Reducer("count")}).select(
+        "entity_id", F.lit("user").alias("entity_type"), "head_seq", C.to_json(F.struct("n")).alias("payload")
+    )
     return snapshots.catch_up(states, snaps, snapshots.freshness(log, snaps), 2).drop("payload")
 
 
@@ -439,18 +507,28 @@ def compact_status(spark, d):
     log = T.user_log(spark, d)
     snaps = snapshots.floors(log)
     i = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long") % 3
-    req = snaps.select("entity_id", F.when(i == 0, 0).when(i == 1, F.col("event_sequence")).otherwise(F.col("event_sequence") + 1).cast("long").alias("through"))
+    req = snaps.select(
+        "entity_id",
+        F.when(i == 0, 0).when(i == 1, F.col("event_sequence")).otherwise(F.col("event_sequence") + 1).cast("long").alias("through")
+    )
     return maintenance.compaction_counts(log, req, snaps)
 
 
-@query("select entity_id, sequence, (epoch(ts)::bigint + 86400) as ttl from (select entity_id, sequence, date_trunc('second', ts) as ts from log) union all select entity_id, sequence, null from conv", PREFIX + WHOLE)
+@query(
+    "select entity_id, sequence, (epoch(ts)::bigint + 86400) as ttl from (select entity_id, sequence, date_trunc('second', ts) as ts from log) union all select entity_id, sequence, null from conv",
+    PREFIX + WHOLE
+)
 def ttl_stamp(spark, d):
     u = T.user_log(spark, d).select("entity_id", "sequence", "entity_type", "ts")
     c = T.conversation_log(spark, d).select("entity_id", "sequence", "entity_type", F.lit(None).cast("timestamp_ntz").alias("ts"))
-    return u.unionByName(c).select("entity_id", "sequence", maintenance.ttl(F.col("entity_type"), {"user": 86400}, F.col("ts")).alias("ttl"))
+    return u.unionByName(c).select(
+        "entity_id", "sequence", maintenance.ttl(F.col("entity_type"), {"user": 86400}, F.col("ts")).alias("ttl")
+    )
 
 
-@query("select entity_id, sequence from log where epoch(date_trunc('second', ts))::bigint + 86400 > epoch(timestamp '2024-01-15 00:00:00')::bigint")
+@query(
+    "select entity_id, sequence from log where epoch(date_trunc('second', ts))::bigint + 86400 > epoch(timestamp '2024-01-15 00:00:00')::bigint"
+)
 def ttl_expire(spark, d):
     log = T.user_log(spark, d).withColumn("ttl", maintenance.ttl(F.col("entity_type"), {"user": 86400}, F.col("ts")))
     return maintenance.expire(log, 1705276800).select("entity_id", "sequence")
@@ -460,8 +538,13 @@ def ttl_expire(spark, d):
 
 
 def _chain():
-    v2 = lambda p: C.to_json(F.struct((F.get_json_object(p, "$.cents").cast("long") + 1).alias("cents"), F.get_json_object(p, "$.k").cast("long").alias("k")))
-    v3 = lambda p: F.when(F.get_json_object(p, "$.k").cast("long") % 10 != 9, C.to_json(F.struct((F.get_json_object(p, "$.cents").cast("long") * 2).alias("cents"))))
+    v2 = lambda p: C.to_json(F.struct(
+        (F.get_json_object(p, "$.cents").cast("long") + 1).alias("cents"), F.get_json_object(p, "$.k").cast("long").alias("k")
+    ))
+    v3 = lambda p: F.when(
+        F.get_json_object(p, "$.k").cast("long") % 10 != 9,
+        C.to_json(F.struct((F.get_json_object(p, "$.cents").cast("long") * 2).alias("cents")))
+    )
     return [evolve.Upcaster("purchase", 1, v2, 2), evolve.Upcaster("purchase", 2, v3, 3, "bought")]
 
 
@@ -473,13 +556,21 @@ UPCAST = """, up as (select *, case when type = 'purchase' and k % 10 <> 9 then
 @query("select entity_id, sequence, type2 as type, version2 as version, cents2 as cents, failed as failed_phase from up", PREFIX + UPCAST)
 def upcast_chain(spark, d):
     out = evolve.upcast(T.user_log(spark, d).select("entity_id", "sequence", "type", "version", "payload"), _chain())
-    return out.select("entity_id", "sequence", "type", "version", F.get_json_object("payload", "$.cents").cast("long").alias("cents"), "failed_phase")
+    return out.select(
+        "entity_id", "sequence", "type", "version", F.get_json_object("payload", "$.cents").cast("long").alias("cents"), "failed_phase"
+    )
 
 
-@query("select entity_id, sequence, type2 as type, version2 as version, coalesce(failed, 'deserialize') as phase from up where failed is not null or type = 'error' or (type = 'view' and k % 5 = 0)", PREFIX + UPCAST)
+@query(
+    "select entity_id, sequence, type2 as type, version2 as version, coalesce(failed, 'deserialize') as phase from up where failed is not null or type = 'error' or (type = 'view' and k % 5 = 0)",
+    PREFIX + UPCAST
+)
 def strict_decode_errors(spark, d):
     """Unknown types (error), payloads that don't fit (every fifth view) and failed upcasts fail closed."""
-    log = T.user_log(spark, d).select("entity_id", "sequence", "type", "version", F.when((F.col("type") == "view") & (F.col("k") % 5 == 0), '{"cents":"x"').otherwise(F.col("payload")).alias("payload"))
+    log = T.user_log(spark, d).select(
+        "entity_id", "sequence", "type", "version",
+        F.when((F.col("type") == "view") & (F.col("k") % 5 == 0), '{"cents":"x"').otherwise(F.col("payload")).alias("payload")
+    )
     kinds = {t: "cents bigint, k bigint" for t in ("purchase", "bought", "view", "click", "signup")}
     out = evolve.strict_decode(evolve.upcast(log, _chain()), kinds).where("error is not null")
     return out.select("entity_id", "sequence", "error.type", "error.version", "error.phase")
@@ -487,24 +578,36 @@ def strict_decode_errors(spark, d):
 
 @query("select entity_id, sequence, greatest(version - 1, 1) as version, case when k % 4 <> 0 then 'r' end as region from log")
 def lenient_decode(spark, d):
-    rows = T.user_log(spark, d).select("entity_id", "sequence", (F.col("version") - 1).alias("version"), F.when(F.col("k") % 4 == 0, '{"region":').otherwise('{"region":"r"}').alias("metadata_json"))
+    rows = T.user_log(spark, d).select(
+        "entity_id", "sequence", (F.col("version") - 1).alias("version"),
+        F.when(F.col("k") % 4 == 0, '{"region":').otherwise('{"region":"r"}').alias("metadata_json")
+    )
     return evolve.lenient_decode(rows).select("entity_id", "sequence", "version", F.col("metadata.region").alias("region"))
 
 
-@query("select entity_id, sequence, commit_id as command_id, 'src' as source, case when k % 2 = 0 then null else 'addr' end as address, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp from c")
+@query(
+    "select entity_id, sequence, commit_id as command_id, 'src' as source, case when k % 2 = 0 then null else 'addr' end as address, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as stamp from c"
+)
 def metadata_build(spark, d):
-    m = C.metadata(region=F.lit("r"), timestamp=F.col("ts"), command_id=F.col("command_id"), source=F.lit("src"), endpoint=F.lit("e"), address=F.when(F.col("k") % 2 == 0, "").otherwise("addr"))
+    m = C.metadata(
+        region=F.lit("r"), timestamp=F.col("ts"), command_id=F.col("command_id"), source=F.lit("src"), endpoint=F.lit("e"),
+        address=F.when(F.col("k") % 2 == 0, "").otherwise("addr")
+    )
     out = T.user_log(spark, d).select("entity_id", "sequence", C.metadata_from_json(C.metadata_to_json(m)).alias("m"))
     return out.select("entity_id", "sequence", "m.command_id", "m.origin.source", "m.address", F.col("m.timestamp").alias("stamp"))
 
 
-@query("select event_id, row_number() over (order by command_id, event_id)::bigint as rank from (select entity_id||':'||sequence as event_id, commit_id as command_id from c where entity_id = 'user-1')")
+@query(
+    "select event_id, row_number() over (order by command_id, event_id)::bigint as rank from (select entity_id||':'||sequence as event_id, commit_id as command_id from c where entity_id = 'user-1')"
+)
 def sort_by_command(spark, d):
     log = T.user_log(spark, d).where("entity_id = 'user-1'")
     return CMD.sort_by_command(log, F.col("command_id"), F.col("event_id"), "entity_id").select("event_id", "rank")
 
 
-@query("select event_id, row_number() over (order by event_id)::bigint as rank from (select entity_id||':'||sequence as event_id from log where entity_id = 'user-1')")
+@query(
+    "select event_id, row_number() over (order by event_id)::bigint as rank from (select entity_id||':'||sequence as event_id from log where entity_id = 'user-1')"
+)
 def sort_by_event_id(spark, d):
     log = T.user_log(spark, d).where("entity_id = 'user-1'")
     return CMD.sort_by_command(log, F.lit(None).cast("string"), F.col("event_id"), "entity_id").select("event_id", "rank")
@@ -518,7 +621,9 @@ def _offered(log: DataFrame) -> DataFrame:
     return log.groupBy("entity_id", "command_id").agg(F.min("sequence").alias("arrival"), F.count("*").alias("events"))
 
 
-@query("select c.entity_id, commit_id as command_id, min(sequence) as arrival, count(*)::bigint as events from c left join snap s using (entity_id) group by 1, 2 having max(sequence) <= coalesce(max(event_sequence), 0)")
+@query(
+    "select c.entity_id, commit_id as command_id, min(sequence) as arrival, count(*)::bigint as events from c left join snap s using (entity_id) group by 1, 2 having max(sequence) <= coalesce(max(event_sequence), 0)"
+)
 def command_dedupe_since_snapshot(spark, d):
     """Sent again, commands from before the snapshot pass: only later ones are remembered."""
     log = T.user_log(spark, d)
@@ -539,7 +644,11 @@ def command_dedupe_all(spark, d):
 def command_execute(spark, d):
     """Accounts: opening twice is a conflict, depositing before opening is not found."""
     log = T.user_log(spark, d).where("type in ('signup', 'purchase')")
-    cmds = log.select("entity_id", F.concat("entity_id", F.lit("#"), F.col("sequence").cast("string")).alias("command_id"), F.when(F.col("type") == "signup", "open").otherwise("deposit").alias("name"), F.col("cents").cast("string").alias("body"), F.col("sequence").alias("arrival"))
+    cmds = log.select(
+        "entity_id", F.concat("entity_id", F.lit("#"), F.col("sequence").cast("string")).alias("command_id"),
+        F.when(F.col("type") == "signup", "open").otherwise("deposit").alias("name"), F.col("cents").cast("string").alias("body"),
+        F.col("sequence").alias("arrival")
+    )
 
     def handle(state, command):
         if command["name"] == "open":
@@ -567,7 +676,9 @@ VIEWS = """, st as (select entity_id, max(sequence) as head_seq, coalesce(sum(ce
 
 
 def _views(spark, d) -> DataFrame:
-    state = fold.fold(T.user_log(spark, d), {"balance": _balance()["balance"], "last_k": Reducer("last", F.when(F.col("k") % 3 != 0, F.col("k")))})
+    state = fold.fold(
+        T.user_log(spark, d), {"balance": _balance()["balance"], "last_k": Reducer("last", F.when(F.col("k") % 3 != 0, F.col("k")))}
+    )
     return views.project(state.withColumn("entity_type", F.lit("user")), "balance", "last_k")
 
 
@@ -595,7 +706,11 @@ LINES = """, lv as (select 'ORDER#'||l_orderkey as pk, 'L'||printf('%05d', row_n
 
 def _line_views(spark, d) -> DataFrame:
     lines = T.order_log(spark, d).where("type = 'line'")
-    return lines.select(F.concat(F.lit("ORDER#"), F.substring_index("entity_id", "-", -1)).alias("pk"), F.concat(F.lit("L"), F.lpad((F.col("sequence") - 1).cast("string"), 5, "0")).alias("sk"), "entity_id", "entity_type", C.to_json(F.struct(F.col("k").alias("qty"))).alias("payload"), F.lit(None).cast("long").alias("ttl"))
+    return lines.select(
+        F.concat(F.lit("ORDER#"), F.substring_index("entity_id", "-", -1)).alias("pk"),
+        F.concat(F.lit("L"), F.lpad((F.col("sequence") - 1).cast("string"), 5, "0")).alias("sk"), "entity_id", "entity_type",
+        C.to_json(F.struct(F.col("k").alias("qty"))).alias("payload"), F.lit(None).cast("long").alias("ttl")
+    )
 
 
 @query("select pk, sk, payload from lv where pk = (select min(pk) from lv)", PREFIX + LINES)
@@ -606,7 +721,9 @@ def view_list_pk(spark, d):
 
 @query("select pk, sk, payload from v where pk in ('user#user-1', 'user#user-3', 'user#user-5')", PREFIX + VIEWS)
 def view_batch_get(spark, d):
-    keys = spark.range(7).select(F.when(F.col("id") == 0, "").when(F.col("id") == 6, "user#none").otherwise(F.concat(F.lit("user#user-"), (F.col("id") % 3 * 2 + 1).cast("string"))).alias("pk"))
+    keys = spark.range(7).select(F.when(F.col("id") == 0, "").when(F.col("id") == 6, "user#none").otherwise(F.concat(
+        F.lit("user#user-"), (F.col("id") % 3 * 2 + 1).cast("string")
+    )).alias("pk"))
     return views.batch_get(_views(spark, d), keys).select(*_KEYS)
 
 
@@ -617,8 +734,13 @@ def view_batch_get(spark, d):
 def view_upsert(spark, d):
     """Every event writes a view; the last by key stays. A blank sk is VIEW."""
     log = T.user_log(spark, d)
-    rows = log.select(C.view_pk().alias("pk"), F.when(F.col("k") % 2 == 0, "").otherwise("K").alias("sk"), "entity_id", "entity_type", C.to_json(F.struct("cents")).alias("payload"), F.lit(None).cast("long").alias("ttl"), F.col("sequence").alias("arrival"))
-    return views.upsert(_views(spark, d).limit(0).unionByName(rows.where("sequence < 5").drop("arrival").dropDuplicates(["pk", "sk"])), rows).select(*_KEYS)
+    rows = log.select(
+        C.view_pk().alias("pk"), F.when(F.col("k") % 2 == 0, "").otherwise("K").alias("sk"), "entity_id", "entity_type",
+        C.to_json(F.struct("cents")).alias("payload"), F.lit(None).cast("long").alias("ttl"), F.col("sequence").alias("arrival")
+    )
+    return views.upsert(
+        _views(spark, d).limit(0).unionByName(rows.where("sequence < 5").drop("arrival").dropDuplicates(["pk", "sk"])), rows
+    ).select(*_KEYS)
 
 
 @query("select pk, sk, payload from v where balance >= 50000", PREFIX + VIEWS)
@@ -628,7 +750,9 @@ def view_delete(spark, d):
     return views.delete(v, small).select(*_KEYS)
 
 
-@query("select pk, sk, payload from (select *, row_number() over (order by pk, sk) as rn from v) where rn between 11 and 20", PREFIX + VIEWS)
+@query(
+    "select pk, sk, payload from (select *, row_number() over (order by pk, sk) as rn from v) where rn between 11 and 20", PREFIX + VIEWS
+)
 def view_page(spark, d):
     """The second page of ten."""
     v = _views(spark, d)
@@ -636,7 +760,10 @@ def view_page(spark, d):
     return views.page(v, 10, after)[0].select(*_KEYS)
 
 
-@query("""select pk, replace(replace(base64(encode('{"pk":"'||pk||'","sk":"'||sk||'"}')), '+', '-'), '/', '_') as cursor, sk as back from lv""", PREFIX + LINES)
+@query(
+    """select pk, replace(replace(base64(encode('{"pk":"'||pk||'","sk":"'||sk||'"}')), '+', '-'), '/', '_') as cursor, sk as back from lv""",
+    PREFIX + LINES
+)
 def cursor_codec(spark, d):
     v = _line_views(spark, d).select("pk", "sk", views.cursor(F.col("pk"), F.col("sk")).alias("cursor"))
     return v.select("pk", "cursor", views.uncursor(F.col("cursor"))["sk"].alias("back"))
@@ -644,11 +771,16 @@ def cursor_codec(spark, d):
 
 def _spoilt(spark, d) -> DataFrame:
     i = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long")
-    bad = F.when(i % 10 == 0, "{").when(i % 10 == 1, '{"balance":"x"}').when(i % 10 == 2, F.lit(None).cast("string")).otherwise(F.col("payload"))
+    bad = F.when(i % 10 == 0, "{").when(i % 10 == 1, '{"balance":"x"}').when(
+        i % 10 == 2, F.lit(None).cast("string")
+    ).otherwise(F.col("payload"))
     return _views(spark, d).withColumn("payload", bad)
 
 
-@query("select pk, balance, last_k from v join st using (entity_id) where regexp_extract(v.entity_id, '([0-9]+)$', 1)::bigint % 10 > 2".replace("select pk, balance", "select pk, v.balance"), PREFIX + VIEWS)
+@query(
+    "select pk, balance, last_k from v join st using (entity_id) where regexp_extract(v.entity_id, '([0-9]+)$', 1)::bigint % 10 > 2".replace("select pk, balance", "select pk, v.balance"),
+    PREFIX + VIEWS
+)
 def view_decode_valid(spark, d):
     return views.decode_valid(_spoilt(spark, d), "balance bigint, last_k bigint").select("pk", "value.balance", "value.last_k")
 
@@ -666,10 +798,15 @@ STATES = """, states as (select entity_id, case when regexp_extract(entity_id, '
 
 def _states(spark, d) -> DataFrame:
     i = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long")
-    return fold.fold(T.user_log(spark, d), _balance()).withColumns({"entity_type": F.when(i % 9 == 0, "other").otherwise("user"), "error": F.when(i % 10 == 3, "bad event")})
+    return fold.fold(T.user_log(spark, d), _balance()).withColumns({
+        "entity_type": F.when(i % 9 == 0, "other").otherwise("user"), "error": F.when(i % 10 == 3, "bad event")
+    })
 
 
-@query("select count(*) filter (not bad and entity_type = 'user')::bigint as processed, count(*) filter (not bad and entity_type <> 'user')::bigint as skipped, count(*) filter (bad)::bigint as errors from states", PREFIX + STATES)
+@query(
+    "select count(*) filter (not bad and entity_type = 'user')::bigint as processed, count(*) filter (not bad and entity_type <> 'user')::bigint as skipped, count(*) filter (bad)::bigint as errors from states",
+    PREFIX + STATES
+)
 def rebuild_summary(spark, d):
     return rebuild.summary_of(_states(spark, d), "user")
 
@@ -682,7 +819,10 @@ def rebuild_views(spark, d):
     return store.read("views").select("pk")
 
 
-@query(f"select entity_id, max(sequence) as head_seq, {_BALANCE} from log where entity_id in (select entity_id from changed) group by 1", PREFIX + CHANGED)
+@query(
+    f"select entity_id, max(sequence) as head_seq, {_BALANCE} from log where entity_id in (select entity_id from changed) group by 1",
+    PREFIX + CHANGED
+)
 def rebuild_incremental(spark, d):
     """Only entities whose head is over their checkpoint are folded."""
     log = T.user_log(spark, d)
@@ -699,7 +839,10 @@ def checkpoints_advance(spark, d):
 # streaming: publishing
 
 
-@query("select entity_id||':'||sequence as event_id, entity_id, sequence, type from kinds where event_name = 'INSERT' and has_image", PREFIX + CHANGES)
+@query(
+    "select entity_id||':'||sequence as event_id, entity_id, sequence, type from kinds where event_name = 'INSERT' and has_image",
+    PREFIX + CHANGES
+)
 def stream_filter_insert(spark, d):
     return L.change_records(T.changes(spark, d)).select("event_id", "entity_id", "sequence", "type")
 
@@ -709,29 +852,48 @@ def malformed_rows(spark, d):
     return publish.prepared(T.changes(spark, d), "example.events").where("kind = 'malformed'").select("event_id", "reason")
 
 
-@query("select entity_id||':'||sequence as event_id, entity_id, 'user' as entity_type, type, sequence, version, '{\"cents\":'||cents||',\"k\":'||k||'}' as payload, null::varchar as reject from kinds where kind = 'ready'", PREFIX + CHANGES)
+@query(
+    "select entity_id||':'||sequence as event_id, entity_id, 'user' as entity_type, type, sequence, version, '{\"cents\":'||cents||',\"k\":'||k||'}' as payload, null::varchar as reject from kinds where kind = 'ready'",
+    PREFIX + CHANGES
+)
 def envelope(spark, d):
     """Envelopes, written and read back."""
     ready = publish.prepared(T.changes(spark, d), "example.events").where("kind = 'ready'").select("message")
     return L.decode_envelopes(ready).select("event_id", "entity_id", "entity_type", "type", "sequence", "version", "payload", "reject")
 
 
-@query("select rec as event_id, 'user' as entity_type, type as event_type, command_id, tp as traceparent, coalesce(command_id, tp) as correlation_id from kinds where kind = 'ready'", PREFIX + CHANGES)
+@query(
+    "select rec as event_id, 'user' as entity_type, type as event_type, command_id, tp as traceparent, coalesce(command_id, tp) as correlation_id from kinds where kind = 'ready'",
+    PREFIX + CHANGES
+)
 def message_attributes(spark, d):
     a = lambda n: F.try_element_at("attributes", F.lit(n))
     ready = publish.prepared(T.changes(spark, d), "example.events").where("kind = 'ready'")
-    return ready.select("event_id", a("entityType").alias("entity_type"), a("eventType").alias("event_type"), a("commandId").alias("command_id"), a("traceparent").alias("traceparent"), a("correlationId").alias("correlation_id"))
+    return ready.select(
+        "event_id", a("entityType").alias("entity_type"), a("eventType").alias("event_type"), a("commandId").alias("command_id"),
+        a("traceparent").alias("traceparent"), a("correlationId").alias("correlation_id")
+    )
 
 
-@query("select rec as event_id, entity_id as group_id, entity_id||':'||sequence as dedup_id from kinds where kind = 'ready' and type = 'purchase'", PREFIX + CHANGES)
+@query(
+    "select rec as event_id, entity_id as group_id, entity_id||':'||sequence as dedup_id from kinds where kind = 'ready' and type = 'purchase'",
+    PREFIX + CHANGES
+)
 def fifo_targets(spark, d):
     group = lambda df: F.when(F.col("new_image.type") == "purchase", F.col("entity_id"))
-    return publish.ordered_targets(publish.prepared(T.changes(spark, d), "example.events", group)).select("event_id", "group_id", "dedup_id")
+    return publish.ordered_targets(publish.prepared(
+        T.changes(spark, d), "example.events", group
+    )).select("event_id", "group_id", "dedup_id")
 
 
-@query("select rec as event_id, ((row_number() over (partition by entity_id order by src_id) - 1) // 10)::bigint as batch from kinds where kind = 'ready'", PREFIX + CHANGES)
+@query(
+    "select rec as event_id, ((row_number() over (partition by entity_id order by src_id) - 1) // 10)::bigint as batch from kinds where kind = 'ready'",
+    PREFIX + CHANGES
+)
 def publish_batches(spark, d):
-    return publish.batches(publish.prepared(T.changes(spark, d), "example.events").where("kind = 'ready'"), "src_id", "entity_id").select("event_id", "batch")
+    return publish.batches(
+        publish.prepared(T.changes(spark, d), "example.events").where("kind = 'ready'"), "src_id", "entity_id"
+    ).select("event_id", "batch")
 
 
 def _published(spark, d) -> DataFrame:
@@ -745,12 +907,20 @@ STATUS = """, status as (select *, case when kind <> 'ready' then kind when src_
 """
 
 
-@query("select " + ", ".join(f"count(*) filter (s = '{x}')::bigint as {x}" for x in ("published", "failed", "skipped", "malformed", "throttled", "dropped", "ignored")) + " from status", PREFIX + CHANGES + STATUS)
+@query(
+    "select " + ", ".join(f"count(*) filter (s = '{x}')::bigint as {x}" for x in (
+        "published", "failed", "skipped", "malformed", "throttled", "dropped", "ignored"
+    )) + " from status",
+    PREFIX + CHANGES + STATUS
+)
 def publish_summary(spark, d):
     return publish.summary(_published(spark, d))
 
 
-@query("select case when src_id % 5 = 0 then rec else src_id::varchar end as item_id from status where s in ('failed', 'throttled')", PREFIX + CHANGES + STATUS)
+@query(
+    "select case when src_id % 5 = 0 then rec else src_id::varchar end as item_id from status where s in ('failed', 'throttled')",
+    PREFIX + CHANGES + STATUS
+)
 def publish_failures(spark, d):
     return publish.failures(_published(spark, d))
 
@@ -777,7 +947,9 @@ def token_bucket(spark, d):
 @query("select entity_id||':'||sequence as event_id from c where sequence % 3 <> 0")
 def idempotency_pending(spark, d):
     log = T.user_log(spark, d)
-    processed = log.where("sequence % 3 = 0").select(F.lit("p").alias("projector"), "event_id").unionByName(log.select(F.lit("q").alias("projector"), "event_id"))
+    processed = log.where("sequence % 3 = 0").select(
+        F.lit("p").alias("projector"), "event_id"
+    ).unionByName(log.select(F.lit("q").alias("projector"), "event_id"))
     return consume.pending(log.select("event_id"), processed, "p")
 
 
@@ -792,7 +964,10 @@ def stream_heads(spark, d):
     """Heads kept by a stream over the events; a sequence is the event's own number."""
     stream, checkpoint = _streamed(spark, d)
     store = _store(spark)
-    events = stream.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity_id"), F.lit("user").alias("entity_type"), F.col("event_id").alias("sequence"))
+    events = stream.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity_id"), F.lit("user").alias("entity_type"),
+        F.col("event_id").alias("sequence")
+    )
     consume.keep_heads(store, events, checkpoint).awaitTermination()
     return store.read("heads").select("entity_id", "head_seq")
 
@@ -805,7 +980,11 @@ def stream_views(spark, d):
 
     def project(df: DataFrame) -> DataFrame:
         id_ = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
-        return df.select(F.concat(F.lit("user#"), id_).alias("pk"), F.lit("").alias("sk"), id_.alias("entity_id"), F.lit("user").alias("entity_type"), C.to_json(F.struct(F.col("event_type").alias("type"))).alias("payload"), F.lit(None).cast("long").alias("ttl"), F.col("event_id").alias("arrival"))
+        return df.select(
+            F.concat(F.lit("user#"), id_).alias("pk"), F.lit("").alias("sk"), id_.alias("entity_id"), F.lit("user").alias("entity_type"),
+            C.to_json(F.struct(F.col("event_type").alias("type"))).alias("payload"), F.lit(None).cast("long").alias("ttl"),
+            F.col("event_id").alias("arrival")
+        )
 
     consume.keep_views(store, stream, project, checkpoint).awaitTermination()
     return store.read("views").select("pk", "payload")
@@ -825,7 +1004,9 @@ def stream_idempotent(spark, d):
         return rows.where("cast(event_id as bigint) % 10 = 0").select("event_id") if len(seen) == 1 else None
 
     for i in range(2):
-        consume.keep_projected(store, "p", projector, stream.select(F.col("event_id").cast("string").alias("event_id")), f"{store.path}-c{i}").awaitTermination()
+        consume.keep_projected(
+            store, "p", projector, stream.select(F.col("event_id").cast("string").alias("event_id")), f"{store.path}-c{i}"
+        ).awaitTermination()
     return spark.read.parquet(*seen).groupBy("event_id").agg(F.count("*").alias("times"))
 
 
@@ -833,33 +1014,58 @@ def stream_idempotent(spark, d):
 def queue_partial_failures(spark, d):
     """Queue messages whose events a projector fails on are named by message id."""
     log = T.user_log(spark, d)
-    detail = publish.event_json(F.col("event_id"), F.col("sequence"), F.col("type"), F.col("version"), F.col("entity_id"), F.col("entity_type"), F.col("payload"), F.lit('{"region":"r"}'))
-    messages = log.select(F.concat(F.lit("m-"), F.col("src_id").cast("string")).alias("message_id"), publish.envelope("s", F.col("event_id"), F.col("type"), detail).alias("message"), F.col("src_id"))
-    messages = messages.unionByName(messages.withColumn("message", F.lit("{")).withColumn("message_id", F.concat(F.lit("bad-"), F.col("message_id"))))
+    detail = publish.event_json(
+        F.col("event_id"), F.col("sequence"), F.col("type"), F.col("version"), F.col("entity_id"), F.col("entity_type"), F.col("payload"),
+        F.lit('{"region":"r"}')
+    )
+    messages = log.select(
+        F.concat(F.lit("m-"), F.col("src_id").cast("string")).alias("message_id"),
+        publish.envelope("s", F.col("event_id"), F.col("type"), detail).alias("message"), F.col("src_id")
+    )
+    messages = messages.unionByName(messages.withColumn("message", F.lit("{")).withColumn(
+        "message_id", F.concat(F.lit("bad-"), F.col("message_id"))
+    ))
     fail = lambda rows: rows.where("src_id % 10 = 0").select("event_id")
     return consume.queue_failures(_store(spark), "p", fail, messages)
 
 
-@query("select 'aws:sqs' as source, 'm-'||event_id as message_id, 'b'||event_id as message, null::varchar as error from events where event_id % 3 = 0 union all select 'aws:sns', 'm-'||event_id, 'b'||event_id, null from events where event_id % 3 = 1 union all select 'x', null, null, 'unsupported event source' from events where event_id % 3 = 2", "")
+@query(
+    "select 'aws:sqs' as source, 'm-'||event_id as message_id, 'b'||event_id as message, null::varchar as error from events where event_id % 3 = 0 union all select 'aws:sns', 'm-'||event_id, 'b'||event_id, null from events where event_id % 3 = 1 union all select 'x', null, null, 'unsupported event source' from events where event_id % 3 = 2",
+    ""
+)
 def transport_normalize(spark, d):
     s = F.col("event_id").cast("string")
     queue = F.concat(F.lit('{"Records":[{"eventSource":"aws:sqs","messageId":"m-'), s, F.lit('","body":"b'), s, F.lit('"}]}'))
     topic = F.concat(F.lit('{"Records":[{"EventSource":"aws:sns","Sns":{"MessageId":"m-'), s, F.lit('","Message":"b'), s, F.lit('"}}]}'))
     other = F.lit('{"Records":[{"EventSource":"x"}]}')
-    raw = T.table(spark, d, "events").select(F.when(F.col("event_id") % 3 == 0, queue).when(F.col("event_id") % 3 == 1, topic).otherwise(other).alias("raw"))
+    raw = T.table(spark, d, "events").select(
+        F.when(F.col("event_id") % 3 == 0, queue).when(F.col("event_id") % 3 == 1, topic).otherwise(other).alias("raw")
+    )
     return L.normalize_notifications(raw)
 
 
 # policy
 
 
-@query("select event_id, case event_id % 6 when 0 then 'transient' when 1 then 'transient' when 2 then 'permanent' when 3 then 'unknown' when 4 then 'transient' else 'permanent' end as class from events", "")
+@query(
+    "select event_id, case event_id % 6 when 0 then 'transient' when 1 then 'transient' when 2 then 'permanent' when 3 then 'unknown' when 4 then 'transient' else 'permanent' end as class from events",
+    ""
+)
 def retry_class(spark, d):
-    codes = F.array(*(F.array(*map(F.lit, x)) for x in (["ThrottlingError", ""], ["TransactionConflict", "ValidationError"], ["AccessDenied", "Other"], ["Other", "None"], ["ConditionalCheckFailed", ""], ["ValidationError", ""])))
-    return T.table(spark, d, "events").select("event_id", policy.class_of_codes(F.element_at(codes, (F.col("event_id") % 6 + 1).cast("int"))).alias("class"))
+    codes = F.array(*(F.array(*map(F.lit, x)) for x in (
+        ["ThrottlingError", ""], ["TransactionConflict", "ValidationError"], ["AccessDenied", "Other"], ["Other", "None"],
+        ["ConditionalCheckFailed", ""], ["ValidationError", ""]
+    )))
+    return T.table(spark, d, "events").select(
+        "event_id", policy.class_of_codes(F.element_at(codes, (F.col("event_id") % 6 + 1).cast("int"))).alias("class")
+    )
 
 
-@query("select distinct event_id % 7 as attempt, (least(100 * power(2, event_id % 7), 2000)::bigint // 2)::bigint as delay_ms from events", "")
+@query(
+    "select distinct event_id % 7 as attempt, (least(100 * power(2, event_id % 7), 2000)::bigint // 2)::bigint as delay_ms from events", ""
+)
 def backoff_delays(spark, d):
     a = F.col("event_id") % 7
-    return T.table(spark, d, "events").select(a.alias("attempt"), policy.backoff_ms(F.lit(100), F.lit(2000), a).alias("delay_ms")).distinct()
+    return T.table(spark, d, "events").select(
+        a.alias("attempt"), policy.backoff_ms(F.lit(100), F.lit(2000), a).alias("delay_ms")
+    ).distinct()

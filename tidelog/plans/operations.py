@@ -36,7 +36,9 @@ def _one(spark, **facts) -> DataFrame:
 # the store
 
 
-@query("select entity_id, snapshot_no as sequence, event_sequence, n as events from snap join (select entity_id, count(*)::bigint as n from log group by 1) using (entity_id)")
+@query(
+    "select entity_id, snapshot_no as sequence, event_sequence, n as events from snap join (select entity_id, count(*)::bigint as n from log group by 1) using (entity_id)"
+)
 def commit_with_snapshot(spark, d):
     """Events and their snapshots appear in one version; a snapshot without events is refused."""
     log, store = _events(spark, d), _store(spark)
@@ -58,7 +60,9 @@ def raw_delete(spark, d):
     return store.read("events").select("entity_id", "sequence")
 
 
-@query("select l.entity_id, l.sequence from log l left join snap s using (entity_id) where not (sequence <= coalesce(event_sequence, 0) and regexp_extract(entity_id, '([0-9]+)$', 1)::bigint % 2 = 0)")
+@query(
+    "select l.entity_id, l.sequence from log l left join snap s using (entity_id) where not (sequence <= coalesce(event_sequence, 0) and regexp_extract(entity_id, '([0-9]+)$', 1)::bigint % 2 = 0)"
+)
 def store_compact(spark, d):
     """Compaction of half of the entities in a store of several commits: what is left."""
     log, store = _events(spark, d), _store(spark)
@@ -101,30 +105,44 @@ def commit_conflict_check(spark, d):
     return offered.join(bad, ["entity_id", "sequence"], "left").select("entity_id", "sequence", F.col("bad").isNull().alias("accepted"))
 
 
-@query("select * from (values ('events', 11, 'entity_id,sequence', 1), ('snapshots', 7, 'entity_id', 1), ('views', 6, 'pk,sk', 0), ('heads', 3, 'entity_id', 0), ('processed', 2, 'projector,event_id', 0), ('checkpoints', 2, 'entity_id', 0)) t(what, columns, key, folders)", "")
+@query(
+    "select * from (values ('events', 11, 'entity_id,sequence', 1), ('snapshots', 7, 'entity_id', 1), ('views', 6, 'pk,sk', 0), ('heads', 3, 'entity_id', 0), ('processed', 2, 'projector,event_id', 0), ('checkpoints', 2, 'entity_id', 0)) t(what, columns, key, folders)",
+    ""
+)
 def store_health(spark, d):
     """What the doctor reads of a store, and of the schema it would make."""
     log, store = _events(spark, d).limit(100), _store(spark)
     store.commit(log, snapshots.floors(log))
     found, schema = store.status()["tables"], doctor.schema()
-    return spark.createDataFrame([(t, len(schema[t]["columns"]), ",".join(x["key"]), x["folders"]) for t, x in found.items()], "what string, columns int, key string, folders int")
+    return spark.createDataFrame(
+        [(t, len(schema[t]["columns"]), ",".join(x["key"]), x["folders"]) for t, x in found.items()],
+        "what string, columns int, key string, folders int"
+    )
 
 
 # commands
 
 
-@query("select entity_id, case when commit_no % 3 = 0 then commit_id||'x' else commit_id end as command_id from commits join (select distinct entity_id, commit_no, commit_id from c) using (entity_id, commit_no) where commit_no % 3 = 0")
+@query(
+    "select entity_id, case when commit_no % 3 = 0 then commit_id||'x' else commit_id end as command_id from commits join (select distinct entity_id, commit_no, commit_id from c) using (entity_id, commit_no) where commit_no % 3 = 0"
+)
 def command_dedupe_fresh(spark, d):
     """Commands of which a third are new ones: only these pass."""
     log = T.user_log(spark, d)
-    offered = log.select("entity_id", "commit_no", F.when(F.col("commit_no") % 3 == 0, F.concat("commit_id", F.lit("x"))).otherwise(F.col("commit_id")).alias("command_id")).distinct()
+    offered = log.select(
+        "entity_id", "commit_no",
+        F.when(F.col("commit_no") % 3 == 0, F.concat("commit_id", F.lit("x"))).otherwise(F.col("commit_id")).alias("command_id")
+    ).distinct()
     return CMD.fresh_commands(offered, CMD.seen_commands(log, None, "all")).select("entity_id", "command_id")
 
 
 def _commands(spark, d) -> DataFrame:
     log = T.user_log(spark, d).where("type in ('signup', 'purchase')")
     name = F.when(F.col("type") == "signup", "open").otherwise("deposit")
-    return log.select("entity_id", F.concat("entity_id", F.lit("#"), F.col("sequence").cast("string")).alias("command_id"), name.alias("name"), F.col("cents").cast("string").alias("body"), F.col("sequence").alias("arrival"))
+    return log.select(
+        "entity_id", F.concat("entity_id", F.lit("#"), F.col("sequence").cast("string")).alias("command_id"), name.alias("name"),
+        F.col("cents").cast("string").alias("body"), F.col("sequence").alias("arrival")
+    )
 
 
 def _handle(state, command):
@@ -198,7 +216,9 @@ def command_projection(spark, d):
 # heads, views, rebuilds
 
 
-@query("select count(*)::bigint as visited, sum(n)::bigint as total, 10::bigint as stopped_after from (select count(*) as n from log group by entity_id)")
+@query(
+    "select count(*)::bigint as visited, sum(n)::bigint as total, 10::bigint as stopped_after from (select count(*) as n from log group by entity_id)"
+)
 def heads_visitor(spark, d):
     """Every entity is visited once; a visitor may stop."""
     h = heads.heads(T.user_log(spark, d))
@@ -209,7 +229,9 @@ def heads_visitor(spark, d):
     return _one(spark, visited=n, total=sum(seen), stopped_after=stopped)
 
 
-@query("select entity_id, count(*)::bigint as head_seq, (select count(distinct entity_id) from log)::bigint as upserted from log group by 1")
+@query(
+    "select entity_id, count(*)::bigint as head_seq, (select count(distinct entity_id) from log)::bigint as upserted from log group by 1"
+)
 def heads_backfill(spark, d):
     """A heads table that lacks some entities and is behind for others, filled from the log and the snapshots."""
     log = T.user_log(spark, d)
@@ -235,22 +257,36 @@ def transaction_groups(spark, d):
     more = rows.where("cast(get_json_object(payload, '$.balance') as bigint) % 2 = 0").withColumn("pk", F.concat("pk", F.lit("!")))
     gone = rows.where("cast(get_json_object(payload, '$.balance') as bigint) % 3 = 0")
     first = W.Transaction([W.WriteSet("views", more.where("entity_id < 'user-5'"))])
-    second = W.Transaction().add(W.WriteSet("views", more.where("entity_id >= 'user-5'")).merge(None)).add(None).add(W.WriteSet("views", gone.select("pk", "sk"), "delete"))
+    second = W.Transaction().add(W.WriteSet(
+        "views", more.where("entity_id >= 'user-5'")
+    ).merge(None)).add(None).add(W.WriteSet("views", gone.select("pk", "sk"), "delete"))
     if store.apply(first.merge(second).merge(None)) != at + 1:
         raise AssertionError("the groups took more than one version")
     return store.read("views").select("pk", "payload")
 
 
-@query("select 'user#'||entity_id as pk, (select count(*) from states where bad or entity_type = 'user')::bigint as calls, (select count(*) from states where not bad and entity_type = 'user')::bigint as processed, (select count(*) from states where bad)::bigint as errors from states where not bad and entity_type = 'user'", PREFIX + STATES)
+@query(
+    "select 'user#'||entity_id as pk, (select count(*) from states where bad or entity_type = 'user')::bigint as calls, (select count(*) from states where not bad and entity_type = 'user')::bigint as processed, (select count(*) from states where bad)::bigint as errors from states where not bad and entity_type = 'user'",
+    PREFIX + STATES
+)
 def rebuild_progress(spark, d):
     """Progress is told for each entity that was processed or failed."""
     store, calls = _store(spark), []
-    rebuild.run(_states(spark, d), [lambda s: views.project(s, "balance")], store.put_views, "user", on_progress=lambda done, bad: calls.append((done, bad)))
+    rebuild.run(
+        _states(spark, d), [lambda s: views.project(s, "balance")], store.put_views, "user",
+        on_progress=lambda done, bad: calls.append((done, bad))
+    )
     done, bad = calls[-1]
-    return store.read("views").select("pk", F.lit(len(calls)).cast("long").alias("calls"), F.lit(done).cast("long").alias("processed"), F.lit(bad).cast("long").alias("errors"))
+    return store.read("views").select(
+        "pk", F.lit(len(calls)).cast("long").alias("calls"), F.lit(done).cast("long").alias("processed"),
+        F.lit(bad).cast("long").alias("errors")
+    )
 
 
-@query("select 'user#'||entity_id as pk, (select count(*) from states where bad)::bigint as errors from states where not bad and entity_type = 'user'", PREFIX + STATES)
+@query(
+    "select 'user#'||entity_id as pk, (select count(*) from states where bad)::bigint as errors from states where not bad and entity_type = 'user'",
+    PREFIX + STATES
+)
 def rebuild_by_query(spark, d):
     """A rebuild from states that were folded from an enumeration of ids; a seed is refused."""
     store = _store(spark)
@@ -264,12 +300,17 @@ def rebuild_by_query(spark, d):
     return store.read("views").select("pk", F.lit(len(done.errors)).cast("long").alias("errors"))
 
 
-@query("select pk, balance, (select count(*) from v where regexp_extract(entity_id, '([0-9]+)$', 1)::bigint % 7 = 0) > 0 as stopped from v", PREFIX + VIEWS)
+@query(
+    "select pk, balance, (select count(*) from v where regexp_extract(entity_id, '([0-9]+)$', 1)::bigint % 7 = 0) > 0 as stopped from v",
+    PREFIX + VIEWS
+)
 def view_list_strict(spark, d):
     """A strict list reads all values, or stops at the first bad payload."""
     good = views.decode_strict(_views(spark, d), "balance bigint, last_k bigint")
     try:
-        views.decode_strict(_spoilt(spark, d), "balance bigint, last_k bigint").select("value").write.format("noop").mode("overwrite").save()
+        views.decode_strict(
+            _spoilt(spark, d), "balance bigint, last_k bigint"
+        ).select("value").write.format("noop").mode("overwrite").save()
         stopped = False
     except Exception:  # noqa: BLE001
         stopped = True
@@ -286,7 +327,9 @@ def view_store(spark, d):
     return store.list().select("pk", "balance")
 
 
-@query("select count(distinct entity_id)::bigint as calls, count(distinct entity_id)::bigint as seen, (select count(*) from (select l.entity_id, count(*) filter (sequence > coalesce(event_sequence, 0)) as n from log l left join snap s on s.entity_id = l.entity_id group by 1) where n > 1)::bigint as exceeded from log")
+@query(
+    "select count(distinct entity_id)::bigint as calls, count(distinct entity_id)::bigint as seen, (select count(*) from (select l.entity_id, count(*) filter (sequence > coalesce(event_sequence, 0)) as n from log l left join snap s on s.entity_id = l.entity_id group by 1) where n > 1)::bigint as exceeded from log"
+)
 def freshness_observer(spark, d):
     """Each entity's replay debt is given to an observer once; one that raises stops nothing."""
     log, got = T.user_log(spark, d), []
@@ -310,7 +353,9 @@ def graph_layers(spark, d):
     nodes = T.user_log(spark, d).select("entity_id").distinct().select(F.col("entity_id").alias("node"), n.alias("n"))
     every = spark.range(0, 100_000).select(F.col("id").alias("n"), F.concat(F.lit("user-"), F.col("id").cast("string")).alias("node"))
     every = every.where(F.col("n") <= nodes.agg(F.max("n")).first()[0])
-    edge = lambda by: every.where(f"n >= {by}").select(F.concat(F.lit("user-"), (F.col("n") - by).cast("string")).alias("src"), F.col("node").alias("dst"))
+    edge = lambda by: every.where(f"n >= {by}").select(
+        F.concat(F.lit("user-"), (F.col("n") - by).cast("string")).alias("src"), F.col("node").alias("dst")
+    )
     _store(spark)  # names the checkpoint folder where it is unset
     return layers.layers(every.select("node"), edge(40).unionByName(edge(80))).join(nodes.select("node"), "node", "left_semi")
 
@@ -339,14 +384,21 @@ BUDGETS = """, entering as (select *, epoch_us(ts) // 600 as us, case when event
 @query(BUDGETS, RECURSIVE)
 def publisher_handler(spark, d):
     """The publisher as a whole: two events a minute for each entity on a clock on which ten hours are a minute, then one retry."""
-    clock = T.user_log(spark, d).select("src_id", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600).cast("long")).alias("clock"), F.col("entity_id").alias("lane"))
-    rows = publish.prepared(T.changes(spark, d).join(clock, "src_id"), "example.events", lambda df: F.when(F.col("src_id") % 2 == 0, F.col("lane")))
+    clock = T.user_log(spark, d).select(
+        "src_id", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600).cast("long")).alias("clock"),
+        F.col("entity_id").alias("lane")
+    )
+    rows = publish.prepared(
+        T.changes(spark, d).join(clock, "src_id"), "example.events", lambda df: F.when(F.col("src_id") % 2 == 0, F.col("lane"))
+    )
     send = lambda ready: ready.where("src_id % 4 = 0")
     ordered = lambda ready: ready.where("src_id % 3 = 0")
     return publish.handle(rows, send, ordered, lane="lane", ts="clock", ingress=2, retries=1).select("event_id", "status")
 
 
-@query("select entity_id||':'||sequence as dedup_id, 1::bigint as times from kinds where kind = 'ready' and src_id % 2 = 0", PREFIX + CHANGES)
+@query(
+    "select entity_id||':'||sequence as dedup_id, 1::bigint as times from kinds where kind = 'ready' and src_id % 2 = 0", PREFIX + CHANGES
+)
 def publish_ordered_once(spark, d):
     """Change records delivered twice: the ordered topic gets each event once."""
     store, changes = _store(spark), T.changes(spark, d)
@@ -362,8 +414,14 @@ def publish_ordered_once(spark, d):
 
 
 def _messages(log: DataFrame) -> DataFrame:
-    detail = publish.event_json(F.col("event_id"), F.col("sequence"), F.col("type"), F.col("version"), F.col("entity_id"), F.col("entity_type"), F.col("payload"), F.lit('{"region":"r"}'))
-    return log.select(F.concat(F.lit("m-"), F.col("src_id").cast("string")).alias("message_id"), publish.envelope("s", F.col("event_id"), F.col("type"), detail).alias("message"))
+    detail = publish.event_json(
+        F.col("event_id"), F.col("sequence"), F.col("type"), F.col("version"), F.col("entity_id"), F.col("entity_type"), F.col("payload"),
+        F.lit('{"region":"r"}')
+    )
+    return log.select(
+        F.concat(F.lit("m-"), F.col("src_id").cast("string")).alias("message_id"),
+        publish.envelope("s", F.col("event_id"), F.col("type"), detail).alias("message")
+    )
 
 
 @query("select entity_id||':'||sequence as event_id, true as failed from log where src_id % 2 = 1")
@@ -380,13 +438,19 @@ def topic_handler(spark, d):
     return store.read("processed").join(odd, "event_id", "left_semi").select("event_id", F.lit(failed).alias("failed"))
 
 
-@query("select entity_id||':'||sequence as event_id from kinds where event_name = 'INSERT' and has_image and src_id % 6 <> 0", PREFIX + CHANGES)
+@query(
+    "select entity_id||':'||sequence as event_id from kinds where event_name = 'INSERT' and has_image and src_id % 6 <> 0", PREFIX + CHANGES
+)
 def direct_stream_handler(spark, d):
     """Change records straight to a projector: inserts only, what fails is not marked."""
     store = _store(spark)
-    own = T.changes(spark, d).select(C.event_id(F.col("new_image.pk"), F.col("new_image.sk")).alias("event_id"), "src_id").where("event_id is not null")
+    own = T.changes(spark, d).select(
+        C.event_id(F.col("new_image.pk"), F.col("new_image.sk")).alias("event_id"), "src_id"
+    ).where("event_id is not null")
     bad = own.where("src_id % 6 = 0").select("event_id")
-    consume.process(store, "p", lambda rows: rows.join(bad, "event_id", "left_semi").select("event_id"), L.change_records(T.changes(spark, d)))
+    consume.process(
+        store, "p", lambda rows: rows.join(bad, "event_id", "left_semi").select("event_id"), L.change_records(T.changes(spark, d))
+    )
     return store.read("processed").select("event_id")
 
 
@@ -402,23 +466,36 @@ def guard_unreadable(spark, d):
     return spark.read.parquet(path)
 
 
-@query("select entity_id as id, cents, [cents, version]::bigint[] as numbers, [type, 'x'] as names, type as inner_type, [sequence, sequence + 1]::bigint[] as inner_list, null::varchar as nothing, type as raw from log")
+@query(
+    "select entity_id as id, cents, [cents, version]::bigint[] as numbers, [type, 'x'] as names, type as inner_type, [sequence, sequence + 1]::bigint[] as inner_list, null::varchar as nothing, type as raw from log"
+)
 def attribute_decode_nested(spark, d):
     """Attributes of every type: sets, lists and maps within maps, binaries and nulls."""
     tag = lambda t, c: F.struct(c.alias(t))
     n = lambda c: tag("N", c.cast("string"))
     text = lambda c: F.col(c).cast("string")
     inner = F.struct(tag("S", F.col("type")).alias("kind"), tag("L", F.array(n(F.col("sequence")), n(F.col("sequence") + 1))).alias("list"))
-    item = F.struct(tag("S", F.col("entity_id")).alias("id"), n(F.col("cents")).alias("cents"), tag("NS", F.array(text("cents"), text("version"))).alias("numbers"), tag("SS", F.array("type", F.lit("x"))).alias("names"), tag("M", inner).alias("inner"), tag("NULL", F.lit(True)).alias("nothing"), tag("B", F.base64(F.encode("type", "utf-8"))).alias("raw"))
+    item = F.struct(
+        tag("S", F.col("entity_id")).alias("id"), n(F.col("cents")).alias("cents"),
+        tag("NS", F.array(text("cents"), text("version"))).alias("numbers"), tag("SS", F.array("type", F.lit("x"))).alias("names"),
+        tag("M", inner).alias("inner"), tag("NULL", F.lit(True)).alias("nothing"),
+        tag("B", F.base64(F.encode("type", "utf-8"))).alias("raw")
+    )
     schema = "id string, cents bigint, numbers array<bigint>, names array<string>, inner struct<kind:string,list:array<bigint>>, nothing string, raw binary"
     found = T.user_log(spark, d).select(L.typed_attributes(F.to_json(item), schema).alias("a")).select("a.*")
-    return found.select("id", "cents", "numbers", "names", F.col("inner.kind").alias("inner_type"), F.col("inner.list").alias("inner_list"), "nothing", F.col("raw").cast("string").alias("raw"))
+    return found.select(
+        "id", "cents", "numbers", "names", F.col("inner.kind").alias("inner_type"), F.col("inner.list").alias("inner_list"), "nothing",
+        F.col("raw").cast("string").alias("raw")
+    )
 
 
 # errors
 
 
-@query("select event_id, case when value < 50 then 'not found' when event_id % 5 = 0 then 'Command not recognized: '||event_type when event_id % 7 = 0 then 'duplicate command: '||event_id else (event_id * 2 + 1)::varchar end as outcome from events", "")
+@query(
+    "select event_id, case when value < 50 then 'not found' when event_id % 5 = 0 then 'Command not recognized: '||event_type when event_id % 7 = 0 then 'duplicate command: '||event_id else (event_id * 2 + 1)::varchar end as outcome from events",
+    ""
+)
 def result_combinators(spark, d):
     """A value or a domain error through map, bind, zip and or_else, row by row."""
     rows = T.table(spark, d, "events").select("event_id", "event_type", (F.col("value") < 50).alias("low"))

@@ -59,7 +59,9 @@ def decode_items(items: DataFrame, strict: bool = True) -> DataFrame:
     good = items.where("sk > 0")
     meta = C.metadata_from_json(F.col("metadata"))
     if strict:
-        meta = F.when(C.is_json(F.col("metadata")), meta).otherwise(F.raise_error(F.concat(F.lit("unreadable metadata: "), F.coalesce("metadata", F.lit("null")))).cast(S.METADATA))
+        meta = F.when(C.is_json(F.col("metadata")), meta).otherwise(F.raise_error(F.concat(
+            F.lit("unreadable metadata: "), F.coalesce("metadata", F.lit("null"))
+        )).cast(S.METADATA))
     return good.select(
         F.col("pk").alias("entity_id"), F.col("sk").alias("sequence"), C.event_id("pk", "sk").alias("event_id"), "type", "version", F.col("entityType").alias("entity_type"), "payload", meta.alias("metadata"), F.lit(None).cast("string").alias("commit_id"), F.lit(None).cast("timestamp").alias("created_at"), "ttl"
     )
@@ -67,7 +69,10 @@ def decode_items(items: DataFrame, strict: bool = True) -> DataFrame:
 
 def decode_inline_snapshots(items: DataFrame) -> DataFrame:
     """The snapshots that lie inline at sk 0."""
-    return items.where("sk = 0").select(F.col("pk").alias("entity_id"), F.col("entityType").alias("entity_type"), F.col("seq").alias("sequence"), F.col("eventSeq").alias("event_sequence"), "payload", F.lit(None).cast("timestamp").alias("updated_at"), "ttl")
+    return items.where("sk = 0").select(
+        F.col("pk").alias("entity_id"), F.col("entityType").alias("entity_type"), F.col("seq").alias("sequence"),
+        F.col("eventSeq").alias("event_sequence"), "payload", F.lit(None).cast("timestamp").alias("updated_at"), "ttl"
+    )
 
 
 #: The type tags of an attribute.
@@ -113,7 +118,9 @@ def _attribute(value: Column, kind: T.DataType, name: str) -> Column:
     out = F.when(value.isNull() | (tag == "NULL"), null)
     for t, column in fits.items():
         out = out.when(tag == t, column)
-    what = F.when(tag.isin(*TAGS), F.lit(f"attribute {name} is no {kind.simpleString()}: ")).otherwise(F.lit(f"attribute {name} has an unknown type: "))
+    what = F.when(
+        tag.isin(*TAGS), F.lit(f"attribute {name} is no {kind.simpleString()}: ")
+    ).otherwise(F.lit(f"attribute {name} has an unknown type: "))
     return out.otherwise(F.raise_error(F.concat(what, F.coalesce(tag, F.lit("none")))).cast(kind))
 
 
@@ -122,13 +129,23 @@ def normalize_notifications(raw: DataFrame, body: str = "raw") -> DataFrame:
     else is an error row."""
     records = F.from_json(F.get_json_object(F.col(body), "$.Records"), "array<string>")
     first = F.get(records, F.lit(0))
-    found = raw.select(records.alias("records"), F.coalesce(F.get_json_object(first, "$.EventSource"), F.get_json_object(first, "$.eventSource")).alias("source"))
+    found = raw.select(
+        records.alias("records"),
+        F.coalesce(F.get_json_object(first, "$.EventSource"), F.get_json_object(first, "$.eventSource")).alias("source")
+    )
     known = F.coalesce(F.col("source").isin("aws:sns", "aws:sqs"), F.lit(False))
     null = F.lit(None).cast("string")
-    bad = found.where(~known).select("source", null.alias("message_id"), null.alias("message"), F.lit("unsupported event source").alias("error"))
+    bad = found.where(~known).select(
+        "source", null.alias("message_id"), null.alias("message"), F.lit("unsupported event source").alias("error")
+    )
     good = found.where(known).select("source", F.explode("records").alias("r"))
-    pick = lambda topic, queue: F.when(F.col("source") == "aws:sns", F.get_json_object("r", topic)).otherwise(F.get_json_object("r", queue))
-    return good.select("source", pick("$.Sns.MessageId", "$.messageId").alias("message_id"), pick("$.Sns.Message", "$.body").alias("message"), null.alias("error")).unionByName(bad)
+    pick = lambda topic, queue: F.when(
+        F.col("source") == "aws:sns", F.get_json_object("r", topic)
+    ).otherwise(F.get_json_object("r", queue))
+    return good.select(
+        "source", pick("$.Sns.MessageId", "$.messageId").alias("message_id"), pick("$.Sns.Message", "$.body").alias("message"),
+        null.alias("error")
+    ).unionByName(bad)
 
 
 def decode_envelopes(messages: DataFrame, body: str = "message") -> DataFrame:
@@ -136,7 +153,9 @@ def decode_envelopes(messages: DataFrame, body: str = "message") -> DataFrame:
     is base64."""
     event = "struct<id:string,sequence:bigint,type:string,version:bigint,entityId:string,entityType:string,payload:string,metadata:string>"
     env = F.from_json(F.col(body), "struct<id:string,source:string,`detail-type`:string,detail:string>")
-    out = messages.withColumn("__detail", F.when(C.is_json(F.col(body)), env["detail"])).withColumn("__event", F.when(C.is_json(F.col("__detail")), F.from_json("__detail", event)))
+    out = messages.withColumn("__detail", F.when(C.is_json(F.col(body)), env["detail"])).withColumn(
+        "__event", F.when(C.is_json(F.col("__detail")), F.from_json("__detail", event))
+    )
     reject = (
         F.when(~C.is_json(F.col(body)), "envelope is not JSON")
         .when(F.col("__event").isNull(), "detail is not an event")
@@ -145,13 +164,23 @@ def decode_envelopes(messages: DataFrame, body: str = "message") -> DataFrame:
     )
     e = lambda n: F.col(f"__event.{n}")
     made = {"event_id", "entity_id", "entity_type", "type", "sequence", "version", "payload", "metadata_json", "reject"}
-    return out.select(*(c for c in messages.columns if c not in made), e("id").alias("event_id"), e("entityId").alias("entity_id"), e("entityType").alias("entity_type"), e("type").alias("type"), e("sequence").alias("sequence"), e("version").alias("version"), F.unbase64(e("payload")).cast("string").alias("payload"), e("metadata").alias("metadata_json"), reject.alias("reject"))
+    return out.select(
+        *(c for c in messages.columns if c not in made), e("id").alias("event_id"), e("entityId").alias("entity_id"),
+        e("entityType").alias("entity_type"), e("type").alias("type"), e("sequence").alias("sequence"), e("version").alias("version"),
+        F.unbase64(e("payload")).cast("string").alias("payload"), e("metadata").alias("metadata_json"), reject.alias("reject")
+    )
 
 
 def change_records(changes: DataFrame, id_from: str = "key") -> DataFrame:
     """Usable inserts of a change stream: event_name INSERT, an image, an event (not an inline snapshot), and pk, sk and type.
     event_id is entity:sequence, or the stream record's id with id_from="record"."""
     image = F.col("new_image")
-    good = changes.where("event_name = 'INSERT'").where(image.isNotNull() & image["pk"].isNotNull() & (image["sk"] > 0) & image["type"].isNotNull())
+    good = changes.where("event_name = 'INSERT'").where(
+        image.isNotNull() & image["pk"].isNotNull() & (image["sk"] > 0) & image["type"].isNotNull()
+    )
     key = C.event_id(image["pk"], image["sk"]) if id_from == "key" else F.col("event_id")
-    return good.select(key.alias("event_id"), image["pk"].alias("entity_id"), image["sk"].alias("sequence"), image["type"].alias("type"), image["version"].alias("version"), image["entityType"].alias("entity_type"), image["payload"].alias("payload"), image["metadata"].alias("metadata_json"))
+    return good.select(
+        key.alias("event_id"), image["pk"].alias("entity_id"), image["sk"].alias("sequence"), image["type"].alias("type"),
+        image["version"].alias("version"), image["entityType"].alias("entity_type"), image["payload"].alias("payload"),
+        image["metadata"].alias("metadata_json")
+    )

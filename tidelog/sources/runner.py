@@ -23,7 +23,10 @@ class CommandRunner:
     events after them. A batch is one commit: if another writer took a sequence, all of it is a Conflict and may be run again.
     """
 
-    def __init__(self, store: Store, entity_type: str, start: Callable, apply: Callable, handle: Callable, every: int = 5, project: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(
+        self, store: Store, entity_type: str, start: Callable, apply: Callable, handle: Callable, every: int = 5,
+        project: Callable[[DataFrame], DataFrame] | None = None
+    ):
         self.store, self.entity_type, self.start, self.apply, self.handle, self.every, self.project = store, entity_type, start, apply, handle, every, project
 
     def _log(self, at: int) -> DataFrame:
@@ -43,16 +46,25 @@ class CommandRunner:
         done = spark.read.parquet(folder)
         made = done.where("status = 'accepted'").select("entity_id", "command_id", "arrival", F.explode("events").alias("e"))
         events = made.select(
-            "entity_id", F.col("e.sequence").alias("sequence"), C.event_id(F.col("entity_id"), F.col("e.sequence")).alias("event_id"), F.col("e.type").alias("type"), F.lit(1).cast("long").alias("version"), F.lit(self.entity_type).alias("entity_type"), F.col("e.payload").alias("payload"),
-            C.metadata(command_id=F.col("command_id")).alias("metadata"), F.concat_ws(":", "entity_id", F.col("arrival").cast("string")).alias("commit_id"), F.current_timestamp().alias("created_at"),
+            "entity_id", F.col("e.sequence").alias("sequence"), C.event_id(
+                F.col("entity_id"), F.col("e.sequence")
+            ).alias("event_id"), F.col("e.type").alias("type"), F.lit(1).cast("long").alias("version"), F.lit(self.entity_type).alias("entity_type"), F.col("e.payload").alias("payload"),
+            C.metadata(command_id=F.col("command_id")).alias("metadata"), F.concat_ws(
+                ":", "entity_id", F.col("arrival").cast("string")
+            ).alias("commit_id"), F.current_timestamp().alias("created_at"),
         )
         if events.isEmpty():
             return done
         states = self.states(log.drop("command_id").unionByName(events, allowMissingColumns=True), seeds)
-        due = snapshots.floors(events, self.every).select("entity_id", F.col("event_sequence").alias("due"), F.col("sequence").alias("more"))
+        due = snapshots.floors(events, self.every).select(
+            "entity_id", F.col("event_sequence").alias("due"), F.col("sequence").alias("more")
+        )
         old = snaps.select("entity_id", F.col("sequence").alias("n"))
         # a snapshot holds the state after the batch, so it covers the batch's last event
-        taken = states.join(due, "entity_id").join(old, "entity_id", "left").select("entity_id", "entity_type", (F.coalesce("n", F.lit(0)) + F.col("more")).alias("sequence"), F.col("head_seq").alias("event_sequence"), F.col("state").alias("payload"), F.current_timestamp().alias("updated_at"))
+        taken = states.join(due, "entity_id").join(old, "entity_id", "left").select(
+            "entity_id", "entity_type", (F.coalesce("n", F.lit(0)) + F.col("more")).alias("sequence"),
+            F.col("head_seq").alias("event_sequence"), F.col("state").alias("payload"), F.current_timestamp().alias("updated_at")
+        )
         store.commit(events, None if taken.isEmpty() else taken, self.project(states) if self.project else None)
         return done
 
@@ -60,7 +72,10 @@ class CommandRunner:
         """entity_id, entity_type, head_seq, state (JSON) from snapshots and the events after them."""
         from ..operators.fold import fold_python, tail
 
-        begin = seeds.select("entity_id", F.col("event_sequence").alias("sequence"), F.lit(None).cast("string").alias("type"), F.col("state").alias("payload"))
+        begin = seeds.select(
+            "entity_id", F.col("event_sequence").alias("sequence"), F.lit(None).cast("string").alias("type"),
+            F.col("state").alias("payload")
+        )
         rows = begin.unionByName(tail(log, seeds).select("entity_id", "sequence", "type", "payload"))
         start, apply = self.start, self.apply
 

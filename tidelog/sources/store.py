@@ -40,7 +40,9 @@ FOLD_AT, SMALL, FILE = 64, 32 << 20, 128 << 20
 #: File systems that rename atomically and never over an existing file.
 RENAMES = frozenset("hdfs viewfs webhdfs abfs abfss".split())
 _MERGED = ("views", "snapshots", "heads", "checkpoints")
-_HIDDEN = T.StructType([T.StructField("__version", T.LongType()), T.StructField("__arrival", T.LongType()), T.StructField("__gone", T.BooleanType())])
+_HIDDEN = T.StructType([
+    T.StructField("__version", T.LongType()), T.StructField("__arrival", T.LongType()), T.StructField("__gone", T.BooleanType())
+])
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -139,7 +141,10 @@ class Store:
 
     def _shaped(self, table: str, rows: DataFrame, *more: str) -> DataFrame:
         """Rows with the table's columns, missing ones null."""
-        return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.tables[table]), *more)
+        return rows.select(
+            *(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.tables[table]),
+            *more
+        )
 
     def _write(self, table: str, rows: DataFrame, at: int = 0, gone: bool = False, base: bool = False) -> str:
         folder = f"{self.path}/data/{table}/{'base-' * base}{uuid.uuid4().hex}"
@@ -208,7 +213,10 @@ class Store:
             if snapshot is not None:
                 live = self._put(at, live, "snapshots", snapshot)
             if view_rows is not None:
-                live = self._put(at, live, "views", views.keyed(self._shaped("views", view_rows, *(["arrival"] if "arrival" in view_rows.columns else []))))
+                live = self._put(
+                    at, live, "views",
+                    views.keyed(self._shaped("views", view_rows, *(["arrival"] if "arrival" in view_rows.columns else [])))
+                )
             return live
 
         return self.transact(change)
@@ -221,7 +229,9 @@ class Store:
         small = [e for e in entries if size[e] < SMALL]
         if len(small) < FOLD_AT:
             return entries
-        rows = self.spark.read.schema(self.tables[table]).parquet(*small).repartition(max(1, -(-sum(size[e] for e in small) // FILE)), KEYS[table][0])
+        rows = self.spark.read.schema(self.tables[table]).parquet(*small).repartition(
+            max(1, -(-sum(size[e] for e in small) // FILE)), KEYS[table][0]
+        )
         return [*(e for e in entries if size[e] >= SMALL), self._write(table, rows)]
 
     def apply(self, transaction: Transaction, snapshot: DataFrame | None = None) -> int:
@@ -260,7 +270,9 @@ class Store:
         offered = self.spark.read.schema(events.schema).parquet(f"{root}/offered")
 
         def change(at: int, live: dict) -> dict | None:
-            accept(offered, self.read("events", at).select("entity_id", "sequence"), arrival).write.mode("overwrite").parquet(f"{root}/decided")
+            accept(
+                offered, self.read("events", at).select("entity_id", "sequence"), arrival
+            ).write.mode("overwrite").parquet(f"{root}/decided")
             good = self.spark.read.parquet(f"{root}/decided").where("accepted").select("commit_id", "entity_id")
             if good.isEmpty():
                 return None
@@ -270,7 +282,9 @@ class Store:
         self.transact(change)
         return self.spark.read.parquet(f"{root}/decided")
 
-    def _without(self, live: dict, table: str, hits: Callable[[DataFrame], DataFrame], kept: Callable[[DataFrame], DataFrame]) -> dict | None:
+    def _without(
+        self, live: dict, table: str, hits: Callable[[DataFrame], DataFrame], kept: Callable[[DataFrame], DataFrame]
+    ) -> dict | None:
         """``live`` with the files of the table that hold a row of ``hits`` rewritten to what ``kept`` leaves of them; None if none does."""
         entries, schema = live.get(table, []), self.tables[table]
         if not entries:
@@ -312,18 +326,29 @@ class Store:
         if not unsafe:
             raise PermissionError("raw deletion needs unsafe=True")
         keys = keys.select("entity_id", "sequence").distinct()
-        return self.transact(lambda at, live: self._without(live, "events", lambda log: log.join(keys, ["entity_id", "sequence"], "left_semi"), lambda log: log.join(keys, ["entity_id", "sequence"], "left_anti")))
+        return self.transact(lambda at, live: self._without(
+            live, "events", lambda log: log.join(keys, ["entity_id", "sequence"], "left_semi"),
+            lambda log: log.join(keys, ["entity_id", "sequence"], "left_anti")
+        ))
 
     def put_heads(self, rows: DataFrame) -> int:
         return self.transact(lambda at, live: self._put(at, live, "heads", H.merge(rows)))
 
     def mark_processed(self, rows: DataFrame) -> int:
         """Adds (projector, event_id) pairs; those there already stay single."""
-        return self.transact(lambda at, live: live | {"processed": [*live["processed"], self._write("processed", rows.select("projector", "event_id").distinct().join(self.read("processed", at), ["projector", "event_id"], "left_anti"))]})
+        return self.transact(lambda at, live: live | {"processed": [
+            *live["processed"],
+            self._write(
+                "processed",
+                rows.select("projector", "event_id").distinct().join(self.read("processed", at), ["projector", "event_id"], "left_anti")
+            )
+        ]})
 
     def put_checkpoints(self, rows: DataFrame) -> int:
         """Moves checkpoints up to the given heads."""
-        return self.transact(lambda at, live: self._put(at, live, "checkpoints", rows.select("entity_id", F.col("head_seq").alias("checkpoint"))))
+        return self.transact(lambda at, live: self._put(
+            at, live, "checkpoints", rows.select("entity_id", F.col("head_seq").alias("checkpoint"))
+        ))
 
     def compact(self, requests: DataFrame) -> DataFrame:
         """Deletes covered prefixes: only files that hold such events are written anew. Returns requests with status and deleted."""
@@ -345,7 +370,9 @@ class Store:
         over = F.col("ttl") <= now_seconds
 
         def change(at: int, live: dict) -> dict | None:
-            new = self._without(live, "events", lambda rows: rows.where(over), lambda rows: maintenance.expire(rows, now_seconds)) or dict(live)
+            new = self._without(
+                live, "events", lambda rows: rows.where(over), lambda rows: maintenance.expire(rows, now_seconds)
+            ) or dict(live)
             gone = self._live("views", live.get("views", [])).where(over)
             if not gone.isEmpty():
                 new = self._put(at, new, "views", gone, gone=True)
@@ -358,18 +385,25 @@ class Store:
 
     def rewrite(self, table: str, partitions: int) -> int:
         """The same rows in ``partitions`` sorted files by key."""
-        return self.transact(lambda at, live: live | {table: [self._write(table, self.read(table, at).repartition(partitions, KEYS[table][0]), at, base=True)]})
+        return self.transact(lambda at, live: live | {table: [self._write(
+            table, self.read(table, at).repartition(partitions, KEYS[table][0]), at, base=True
+        )]})
 
     def status(self) -> dict:
         """Health: version, folders and columns of each table."""
         at, live = self.manifest()
-        return {"version": at, "tables": {t: {"folders": len(live.get(t, [])), "columns": s.names, "key": KEYS.get(t, [])} for t, s in self.tables.items()}}
+        return {
+            "version": at,
+            "tables": {t: {"folders": len(live.get(t, [])), "columns": s.names, "key": KEYS.get(t, [])} for t, s in self.tables.items()}
+        }
 
 
 def _merged(table: str, rows: DataFrame) -> DataFrame:
     """One row a key of a base and its deltas, by the rules of the table's upsert; summed per task before the shuffle."""
     if table == "heads":
-        return rows.groupBy("entity_id").agg(F.max_by("entity_type", F.struct("head_seq", -F.col("__version"))).alias("entity_type"), F.max("head_seq").alias("head_seq"))
+        return rows.groupBy("entity_id").agg(
+            F.max_by("entity_type", F.struct("head_seq", -F.col("__version"))).alias("entity_type"), F.max("head_seq").alias("head_seq")
+        )
     if table == "checkpoints":
         return rows.groupBy("entity_id").agg(F.max("checkpoint").alias("checkpoint"))
     keys = KEYS[table]
@@ -383,7 +417,9 @@ def accept(events: DataFrame, taken: DataFrame, arrival: str = "arrival") -> Dat
     """commit_id, entity_id, accepted: commits of an entity in order of arrival, each rejected if a sequence of it is in ``taken`` (keys of
     the log, of which only those that are offered are dealt out) or comes twice in it. Rows are dealt out by entity and read in order."""
     offered = events.select("entity_id", F.col(arrival).cast("long").alias("at"), "commit_id", "sequence", F.lit(False).alias("taken"))
-    met = taken.select("entity_id", "sequence").join(events.select("entity_id", "sequence").distinct(), ["entity_id", "sequence"], "left_semi")
+    met = taken.select("entity_id", "sequence").join(
+        events.select("entity_id", "sequence").distinct(), ["entity_id", "sequence"], "left_semi"
+    )
     rows = offered.unionByName(met.withColumn("taken", F.lit(True)), allowMissingColumns=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,7 +87,9 @@ def keep_heads(store: Store, log_stream: DataFrame, checkpoint: str, **trigger)
     return run(log_stream, lambda df, _: store.put_heads(H.heads(df)), checkpoint, **trigger)
 
 
-def keep_views(store: Store, log_stream: DataFrame, project: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
+def keep_views(
+    store: Store, log_stream: DataFrame, project: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger
+) -> StreamingQuery:
     """Keeps views from a stream: ``project`` turns a batch of events into views with ``arrival`` (their sequence)."""
     return run(log_stream, lambda df, _: store.put_views(project(df)), checkpoint, **trigger)
 
@@ -102,4 +104,6 @@ def read_stream(spark: SparkSession, path: str, schema, files: int = 1000) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-__all__ = ["H", "V", "keep_heads", "keep_projected", "keep_views", "pending", "process", "queue_failures", "read_stream", "run", "topic_batch"]
+__all__ = [
+    "H", "V", "keep_heads", "keep_projected", "keep_views", "pending", "process", "queue_failures", "read_stream", "run", "topic_batch"
+]

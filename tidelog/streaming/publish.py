@@ -18,9 +18,14 @@ BATCH, INGRESS, RETRIES = 10, 300, 60
 _COST = 60_000_000
 
 
-def event_json(id_: Column, sequence: Column, type_: Column, version: Column, entity_id: Column, entity_type: Column, payload: Column, metadata: Column) -> Column:
+def event_json(
+    id_: Column, sequence: Column, type_: Column, version: Column, entity_id: Column, entity_type: Column, payload: Column, metadata: Column
+) -> Column:
     """The event as it goes on the wire; the payload is base64, metadata its JSON."""
-    head = C.to_json(F.struct(id_.alias("id"), sequence.alias("sequence"), type_.alias("type"), version.alias("version"), entity_id.alias("entityId"), entity_type.alias("entityType"), C.b64(F.encode(payload, "utf-8")).alias("payload")))
+    head = C.to_json(F.struct(
+        id_.alias("id"), sequence.alias("sequence"), type_.alias("type"), version.alias("version"), entity_id.alias("entityId"),
+        entity_type.alias("entityType"), C.b64(F.encode(payload, "utf-8")).alias("payload")
+    ))
     return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"metadata":'), metadata, F.lit("}"))
 
 
@@ -34,7 +39,10 @@ def attributes(entity_type: Column, event_type: Column, command_id: Column, trac
     """Message attributes as a map: entityType, eventType, commandId, traceparent, and correlationId (the command id, else the
     traceparent); blank ones are left out."""
     filled = lambda c: F.when(c.isNotNull() & (c != ""), c)
-    pairs = [("entityType", entity_type), ("eventType", event_type), ("commandId", filled(command_id)), ("traceparent", filled(traceparent)), ("correlationId", F.coalesce(filled(command_id), filled(traceparent)))]
+    pairs = [
+        ("entityType", entity_type), ("eventType", event_type), ("commandId", filled(command_id)), ("traceparent", filled(traceparent)),
+        ("correlationId", F.coalesce(filled(command_id), filled(traceparent)))
+    ]
     made = F.map_from_arrays(F.array(*(F.lit(k) for k, _ in pairs)), F.array(*(v for _, v in pairs)))
     return F.map_filter(made, lambda k, v: v.isNotNull())
 
@@ -45,9 +53,13 @@ def prepared(changes: DataFrame, source: str, group_id: Callable[[DataFrame], Co
     image = F.col("new_image")
     out = changes.withColumn("item_id", F.coalesce(F.when(F.col("sequence_number") != "", F.col("sequence_number")), F.col("event_id")))
     reason = F.when(image.isNull(), F.lit(None).cast("string")).otherwise(invalid_reason(image["metadata"]))
-    kind = F.when(F.col("event_name") != "INSERT", "ignored").when(image.isNull(), "skipped").when(reason.isNotNull(), "malformed").otherwise("ready")
+    kind = F.when(
+        F.col("event_name") != "INSERT", "ignored"
+    ).when(image.isNull(), "skipped").when(reason.isNotNull(), "malformed").otherwise("ready")
     id_ = C.event_id(image["pk"], image["sk"])
-    detail = event_json(id_, image["sk"], image["type"], image["version"], image["pk"], image["entityType"], image["payload"], image["metadata"])
+    detail = event_json(
+        id_, image["sk"], image["type"], image["version"], image["pk"], image["entityType"], image["payload"], image["metadata"]
+    )
     meta = F.from_json(image["metadata"], "commandId string, trace map<string,string>")
     ready = kind == "ready"
     cols = {
@@ -58,7 +70,9 @@ def prepared(changes: DataFrame, source: str, group_id: Callable[[DataFrame], Co
     out = out.withColumns(cols)
     if group_id is not None:
         group = F.when(F.col("kind") == "ready", group_id(out))
-        out = out.withColumn("group_id", F.when(group != "", group)).withColumn("dedup_id", F.when(F.col("group_id").isNotNull(), F.col("key")))
+        out = out.withColumn("group_id", F.when(group != "", group)).withColumn(
+            "dedup_id", F.when(F.col("group_id").isNotNull(), F.col("key"))
+        )
     return out
 
 
@@ -143,11 +157,18 @@ def publish(
 
     send gets the ready rows and returns the key column of those that failed; send_ordered, called first, those with a group, each
     dedup id once. A row that failed in either has failed."""
-    rows = prepared_rows.withColumn("status", F.when(F.col("kind") != "ready", F.col("kind")).when(F.coalesce(throttled, F.lit(False)) if throttled is not None else F.lit(False), "throttled"))
+    rows = prepared_rows.withColumn(
+        "status",
+        F.when(F.col("kind") != "ready", F.col("kind")).when(
+            F.coalesce(throttled, F.lit(False)) if throttled is not None else F.lit(False), "throttled"
+        )
+    )
     out = rows.where("status is null")
     failed = _sent(out, send, send_ordered).withColumn("__failed", F.lit(True))
     again = F.lit(True) if retry_allowed is None else retry_allowed
-    status = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("__failed").isNull(), "published").when(again, "failed").otherwise("dropped")
+    status = F.when(
+        F.col("status").isNotNull(), F.col("status")
+    ).when(F.col("__failed").isNull(), "published").when(again, "failed").otherwise("dropped")
     return rows.join(failed, "key", "left").withColumn("status", status).drop("__failed")
 
 
