@@ -35,7 +35,7 @@ from .writes import Transaction
 
 #: Deltas of a table after which a commit folds them, and entities of a commit up to which the log's files are pruned by id.
 MERGE_AT, PRUNED = 16, 1000
-#: Folders of small commits (under SMALL bytes each) after which the log folds them, in files of about FILE bytes.
+#: Small commits (under SMALL bytes each) in a row after which the log folds them, in files of about FILE bytes.
 FOLD_AT, SMALL, FILE = 64, 32 << 20, 128 << 20
 #: File systems that rename atomically and never over an existing file.
 RENAMES = frozenset("hdfs viewfs webhdfs abfs abfss".split())
@@ -222,17 +222,13 @@ class Store:
         return self.transact(change)
 
     def _folded(self, table: str, entries: list[str]) -> list[str]:
-        """The entries of a table, small folders put together once there are FOLD_AT of them."""
-        if len(entries) < FOLD_AT:
+        """The entries of a table, the last FOLD_AT of them put together if all are small. Only these are looked at."""
+        last = entries[-FOLD_AT:]
+        size = [self._fs.getContentSummary(self._path(e)).getLength() for e in last] if len(last) == FOLD_AT else []
+        if not size or max(size) >= SMALL:
             return entries
-        size = {e: self._fs.getContentSummary(self._path(e)).getLength() for e in entries}
-        small = [e for e in entries if size[e] < SMALL]
-        if len(small) < FOLD_AT:
-            return entries
-        rows = self.spark.read.schema(self.tables[table]).parquet(*small).repartition(
-            max(1, -(-sum(size[e] for e in small) // FILE)), KEYS[table][0]
-        )
-        return [*(e for e in entries if size[e] >= SMALL), self._write(table, rows)]
+        rows = self.spark.read.schema(self.tables[table]).parquet(*last).repartition(max(1, -(-sum(size) // FILE)), KEYS[table][0])
+        return [*entries[:-FOLD_AT], self._write(table, rows)]
 
     def apply(self, transaction: Transaction, snapshot: DataFrame | None = None) -> int:
         """Publishes all groups of a transaction in one version: events appended (a taken key is a Conflict), other tables put or
