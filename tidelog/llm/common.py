@@ -112,7 +112,10 @@ def components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
     now = stored(now, "edges")
-    few = tasks(2 * now.count())
+    rows = now.count()
+    if not rows:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    few = tasks(2 * rows)
     old: list[str] = []
     mark = None
 
@@ -127,8 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
+        # (of a node's smaller neighbours there are few now, so these minima meet their edges as they are)
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("x"), "u", "m")
         small = small.select(
             F.col("x").alias("u"), F.col("m").alias("v")
         ).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
