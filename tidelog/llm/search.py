@@ -280,23 +280,33 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, mean=max(mean, 1e-9)) -> Iterator[pa.RecordBatch]:
             q = shared.value
             floor, parts, rows, postings = np.zeros(len(q.ids)), [], 0, 0
+            place = np.argsort(q.ids)
+            best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
 
-            def searched() -> pa.RecordBatch:
+            def searched() -> None:
+                """The k best rows of each query so far, of equal scores the smaller ids; their k-th score is what a row must reach."""
                 found = Shard.read(parts, q, mean).top(q, k, floor)
                 parts.clear()
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "doc_id", "score"])
+                query, doc, score = (np.concatenate(x) for x in zip(best, found, strict=True))
+                by = np.lexsort((doc, -score, query))
+                first = np.flatnonzero(np.diff(query[by], prepend=query[by][:1] - 1))
+                rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+                best[:] = [x[by[rank < k]] for x in (query, doc, score)]
+                last = by[rank == k - 1]
+                floor[place[np.searchsorted(q.ids, query[last], sorter=place)]] = score[last]
 
             for batch in batches:
                 for at in range(batch.num_rows):
                     part = batch.slice(at, 1).to_pylist()[0]
                     size = len(part["terms"]) // 8
                     if parts and (rows + part["rows"] > SHARD_ROWS or postings + size > POSTINGS):
-                        yield searched()
+                        searched()
                         rows = postings = 0
                     parts.append(part)
                     rows, postings = rows + part["rows"], postings + size
             if parts:
-                yield searched()
+                searched()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "doc_id", "score"])
 
         # each block's results are kept before the next block is sent
         found = index.select(
