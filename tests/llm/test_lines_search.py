@@ -180,7 +180,7 @@ def test_search_edges(docs):
 def test_query_against_sql(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     columns = sorted(want.columns)
