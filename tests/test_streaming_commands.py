@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import policy
@@ -244,3 +245,37 @@ def test_a_guard_that_cannot_be_read_or_written(spark, tmp_path, rows):
     assert seen == [("1",), ("2",)] and failed.isEmpty()
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO|late"):  # a projector's own failure is not the guard's
         consume.process(store, "p", lambda df: df.where(F.expr("1 / (cast(event_id as int) - 1) > 0")), records).collect()
+
+
+@pytest.fixture()
+def coalesced(spark):
+    """A session that joins by shuffles and puts small partitions together by size, as larger tables have it."""
+    session = spark.newSession()
+    for name, value in {"shuffle.partitions": 12, "autoBroadcastJoinThreshold": -1, "adaptive.autoBroadcastJoinThreshold": -1, "adaptive.coalescePartitions.parallelismFirst": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.coalescePartitions.minPartitionSize": "1k"}.items():
+        session.conf.set(f"spark.sql.{name}", str(value))
+    return session
+
+
+def _numbered(session, path, per: int):
+    """1,000 entities with ``per`` rows each, dealt out by entity by a window as the driver's logs are."""
+    session.range(1000 * per).select(F.concat(F.lit("e"), (F.col("id") % 1000).cast("string")).alias("entity_id"), "id").write.parquet(path)
+    by = Window.partitionBy("entity_id").orderBy("id")
+    return session.read.parquet(path).withColumn("at", F.row_number().over(by).cast("long"))
+
+
+def test_commands_meet_the_events_of_their_entity(coalesced, tmp_path):
+    """The sides of the union are dealt out by entity already, and of different sizes."""
+    old, new = _numbered(coalesced, f"{tmp_path}/old", 1), _numbered(coalesced, f"{tmp_path}/new", 12)
+    log = old.select("entity_id", F.col("at").alias("sequence"), F.lit("opened").alias("type"), F.lit("5").alias("payload"), F.lit("k").alias("command_id"))
+    cmds = new.select("entity_id", F.lit(None).cast("string").alias("command_id"), F.lit("add").alias("name"), F.lit("1").alias("body"), F.col("at").alias("arrival"))
+    made = commands.execute(log, cmds, *account()).select("entity_id", F.explode("events.sequence").alias("n")).groupBy("entity_id")
+    assert made.agg(F.min("n").alias("least"), F.max("n").alias("most")).groupBy("least", "most").count().collect() == [(2, 25, 1000)]
+
+
+def test_events_meet_the_snapshot_of_their_entity(coalesced, tmp_path):
+    from tidelog.operators.fold import fold_python
+
+    old, new = _numbered(coalesced, f"{tmp_path}/old", 1), _numbered(coalesced, f"{tmp_path}/new", 12)
+    both = old.select("entity_id", (F.col("at") - 1).alias("sequence")).unionByName(new.select("entity_id", F.col("at").alias("sequence")))
+    got = fold_python(both, [], lambda _: {"n": 0}, lambda state, event: {"n": state["n"] + 1}, "n long")
+    assert got.groupBy("n").count().collect() == [(13, 1000)]

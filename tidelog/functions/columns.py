@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The sort key of a view that names none.
@@ -13,6 +13,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def dealt(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """Rows dealt out by key and sorted by it and ``order``: all rows of a key in one partition. The shuffle is by a hash of the key: one
+    by the key itself Spark leaves out where the rows seem to be dealt by it already, and then puts the partitions of a union's sides
+    together side by side, each by its own sizes, or splits those of a skewed join."""
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def event_id(entity_id: Column | str = "entity_id", sequence: Column | str = "sequence") -> Column:
     return F.concat(col(entity_id), F.lit(":"), col(sequence).cast("string"))
 

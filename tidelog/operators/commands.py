@@ -114,7 +114,7 @@ def execute(
                     out.append((entity, command, at, status, error, made))
             yield pd.DataFrame(out, columns=columns)
 
-    ordered = rows.repartition("entity_id").sortWithinPartitions("entity_id", "kind", "at")
+    ordered = C.dealt(rows, "entity_id", "kind", "at")
     return ordered.mapInPandas(
         run,
         "entity_id string, command_id string, arrival bigint, status string, error string, events array<struct<sequence:bigint,type:string,payload:string>>"

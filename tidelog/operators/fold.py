@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 ID, SEQ = "entity_id", "sequence"
 
 
@@ -133,5 +135,5 @@ def fold_python(
             yield pd.DataFrame(out, columns=[ID, "head_seq", *names, "error"])
         yield pd.DataFrame(row(), columns=[ID, "head_seq", *names, "error"])
 
-    ordered = log.select(ID, SEQ, *columns).repartition(ID).sortWithinPartitions(ID, SEQ)
+    ordered = C.dealt(log.select(ID, SEQ, *columns), ID, SEQ)
     return ordered.mapInPandas(run, f"{ID} string, head_seq bigint, {schema}, error string")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import columns as C
 from ..functions.errors import Conflict
 from ..functions.policy import TRANSIENT, UNKNOWN, Retry
 from ..functions.schemas import KEYS, TABLES
@@ -444,5 +445,5 @@ def accept(events: DataFrame, taken: DataFrame, arrival: str = "arrival") -> Dat
             yield pd.DataFrame(out, columns=["commit_id", "entity_id", "accepted"])
         yield pd.DataFrame(close(), columns=["commit_id", "entity_id", "accepted"])
 
-    ordered = rows.repartition("entity_id").sortWithinPartitions("entity_id", F.desc("taken"), "at", "commit_id")
+    ordered = C.dealt(rows, "entity_id", F.desc("taken"), "at", "commit_id")
     return ordered.mapInPandas(run, "commit_id string, entity_id string, accepted boolean")

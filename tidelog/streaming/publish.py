@@ -122,7 +122,7 @@ def token_bucket(rows: DataFrame, key: str, ts: str, rate: int, *order: str) ->
                 flags.append(bucket.allow(t))
             yield frame.drop(columns="__us").assign(allowed=flags)
 
-    ordered = rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "__us", *order)
+    ordered = C.dealt(rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))), key, "__us", *order)
     return ordered.mapInPandas(run, schema)
 
 
