@@ -217,6 +217,30 @@ def test_layers(spark, rows, tmp_path):
     assert rows(layers(nodes, edges)) == [("a", 0), ("b", 1), ("c", 2), ("d", 0), ("e", None), ("f", None), ("g", None)]
 
 
+@pytest.mark.parametrize("local", [2_000_000, 1205, 4])
+def test_layers_of_long_paths(spark, rows, tmp_path, local):
+    """As a whole, part by part, and in parts of which some are beyond what a task takes."""
+    from tidelog.operators.layers import layers
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    most = 1200 if local > 4 else 7
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(most)] + [(f"b{i}", f"b{i + 2}") for i in range(4)] + [("c1", "c2"), ("c2", "c1"), ("c2", "c3"), ("d", "d"), (f"a{most}", "a+"), ("a0", "a+")]
+    want = {f"a{i}": i for i in range(most + 1)} | {f"b{i}": i // 2 for i in range(6)} | {"c1": None, "c2": None, "c3": None, "d": None, "e": 0, "a+": most + 1}
+    got = layers(spark.createDataFrame([(x,) for x in want], "node string"), spark.createDataFrame(edges, "src string, dst string"), local)
+    assert dict(rows(got)) == want
+
+
+def test_layers_of_a_large_cycle(spark, rows, tmp_path):
+    from tidelog.operators.layers import layers
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(8, 7), (7, 0)], "src long, dst long")
+    got = layers(spark.range(9).select(F.col("id").alias("node")), edges, 2)
+    assert rows(got) == [(i, None) for i in range(6)] + [(6, 0), (7, 1), (8, 0)]
+
+
 def test_handler_takes_the_budgets_in_turn(spark, rows):
     """Ingress before publishing (malformed records too), retries only for what failed; skipped and ignored records take none."""
     from tidelog.streaming import publish as P

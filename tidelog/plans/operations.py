@@ -351,8 +351,10 @@ def graph_layers(spark, d):
     """Longest paths: every fortieth entity depends on the one forty before it, and on one eighty before it."""
     n = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long")
     nodes = T.user_log(spark, d).select("entity_id").distinct().select(F.col("entity_id").alias("node"), n.alias("n"))
-    every = spark.range(0, 100_000).select(F.col("id").alias("n"), F.concat(F.lit("user-"), F.col("id").cast("string")).alias("node"))
-    every = every.where(F.col("n") <= nodes.agg(F.max("n")).first()[0])
+    last = nodes.agg(F.max("n")).first()[0]
+    every = spark.range(0 if last is None else last + 1).select(
+        F.col("id").alias("n"), F.concat(F.lit("user-"), F.col("id").cast("string")).alias("node")
+    )
     edge = lambda by: every.where(f"n >= {by}").select(
         F.concat(F.lit("user-"), (F.col("n") - by).cast("string")).alias("src"), F.col("node").alias("dst")
     )
