@@ -151,6 +151,42 @@ def test_all_pages_vote(spark):
     assert not any("other stories" in t for t in got.values()) and got[7] == "par 7\n\nend 7" and len(got) == 500
 
 
+def test_all_pages_make_the_skeleton(spark):
+    """A notice within a block that one page of 25 has goes too, and its neighbours stay: of the pages that have the block all have it."""
+    def page(h, i):
+        more = f"<section><h3>head {h} {i}</h3><p>Read our other stories</p><p>more {h} {i}</p></section>" if i % 25 == 7 else ""
+        return f"<article><p>par {h} {i}</p>{more}<p>end {h} {i}</p></article>"
+
+    data = [(1000 * h + i, f"http://h{h}/{i}", page(h, i)) for h in range(4) for i in range(200)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(data, PAGES).repartition(7)).collect()}
+    want = lambda h, i: f"par {h} {i}" + (f"\n\nhead {h} {i}\n\nmore {h} {i}" if i % 25 == 7 else "") + f"\n\nend {h} {i}"
+    assert got == {1000 * h + i: want(h, i) for h in range(4) for i in range(200)}
+
+
+def test_skeletons_hold_every_block_in_any_partitions(spark):
+    """Every page's tree is within its host's skeleton, which doesn't depend on how rows are dealt out or repeated."""
+    def page(i):
+        r = random.Random(i)
+        some = lambda depth: "".join(f"<{t}>{some(depth - 1) or lexicon(r, 2)}</{t}>" for t in r.choices(["div", "p", "h2", "section"], k=r.randrange(4)) if depth)
+        return f"<article>{some(3)}<p>{i}</p></article>"
+
+    pages = [page(i) for i in range(300)]
+    forms = []
+    for rows, parts in ((pages, 1), (pages[::-1] + pages[:50], 5)):
+        df = spark.createDataFrame([("h", p) for p in rows], "host string, html string").repartition(parts)
+        forms += [bytes(r.form) for r in wrapper.skeletons(df).collect()]
+    assert len(forms) == 2 and forms[0] == forms[1]
+    m = wrapper.Matcher()
+    top = wrapper.unpacked(forms[0])
+    m.measure(top)
+    for p in pages:
+        tree = wrapper.tree_of(p)
+        m.measure(tree, whole=False)
+        for k, x in enumerate(tree.order()):
+            x.whole = -k - 2  # so that no equal texts count
+        assert len(m.align(top, tree)) == tree.size
+
+
 @pytest.mark.parametrize("name", "share-price nav-history social-history related notice rail banner reply promo subscribe".split())
 def test_a_subject_is_no_name_of_boilerplate(name):
     assert texts(f"<article><h1>T</h1><p>one</p><section class={name}><p>x</p></section><p>two</p></article>") == ["T", "one", "x", "two"]
@@ -198,6 +234,27 @@ def test_tree_matching_is_best(cells, monkeypatch):
         assert m.weigh(a.shape, b.shape) == plain(a, b) == len(m.align(a, b))
 
 
+@pytest.mark.parametrize("cells", [1 << 23, 8])
+def test_small_and_large_tables_agree(cells, monkeypatch):
+    """Tables filled with and without NumPy give the same pairs, and one that is halved gives pairs of the same weight."""
+    def leaves(r, n):
+        return [wrapper.Tree(r.choice("pdu"), r.choice("abcdefgh"), [wrapper.Tree("s", "", []) for _ in range(r.randrange(3))]) for _ in range(n)]
+
+    for seed in range(60):
+        r = random.Random(seed)
+        a, b = (wrapper.Tree("r", "", leaves(r, r.randrange(1, 16))) for _ in range(2))
+        found = []
+        for few, most in ((500, 1 << 23), (0, cells)):
+            monkeypatch.setattr(wrapper.Matcher, "FEW", few)
+            monkeypatch.setattr(wrapper.Matcher, "CELLS", most)
+            m = wrapper.Matcher()
+            m.measure(a)
+            m.measure(b)
+            pairs = m._pairs(a.kids, b.kids)
+            found.append(([(id(x), id(y)) for x, y in pairs], sum(m.weigh(x.shape, y.shape) + x.size * (x.whole == y.whole) for x, y in pairs)))
+        assert found[0][1] == found[1][1] and (cells == 8 or found[0] == found[1])
+
+
 def test_html_edges(spark, rows):
     df = spark.createDataFrame([(None, "u", "<p>a"), (1, None, None), (1, None, None), (2, "http://[bad", "<p>" + "long " * 100_000)], PAGES).withColumns({"text": F.lit("x"), "host": F.lit("y"), "constants": F.lit(1)})
     assert rows(wrapper.extract(df), "page_id", "n_chars") == [(None, 1), (1, 0), (1, 0), (2, 499_999)]

@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host share a wrapper. The block trees of a host's pages, menus and all, are aligned by simple tree matching with the
-host's skeleton (the trees of a few of its pages put together). Every page votes for the texts of its aligned nodes; a text that
+host's skeleton (the trees of all of its pages put together). Every page votes for the texts of its aligned nodes; a text that
 stands at a node in nearly all distinct pages that have the node's parent is template, what varies there is a slot. A page's text
 is the slots of its main region: the articles or main elements that it names, else the slot that holds nearly all of the host's varying
 text. Tags, roles and names of boilerplate decide only about what varies.
@@ -9,23 +9,21 @@ text. Tags, roles and names of boilerplate decide only about what varies.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages that a host's skeleton is made of; all of its pages vote.
-SAMPLE = 8
+#: A host's pages are put together in so many parts by their trees' hashes, then these.
+PARTS_OF_HOST = 64
 #: A text is template if it is the same at the aligned node of this share of the host's distinct pages, and of at least so many.
 SHARE, LEAST = 0.75, 4
 #: Share of a host's varying text that the subtree of its main slot has.
@@ -147,12 +145,12 @@ class Tree:
     """Block tree of a page: an element's tag, its text if it holds no other block, and the blocks below it. A run of text beside
     other blocks is a block with the label #. ``whole`` is a hash of the whole subtree."""
 
-    __slots__ = ("label", "text", "kids", "size", "shape", "whole", "links", "plain", "gone", "home", "id")
+    __slots__ = ("label", "text", "kids", "size", "shape", "whole", "links", "plain", "gone", "home", "id", "chars")
 
     def __init__(self, label: str, text: str, kids: list[Tree], gone: bool = False, home: int = 0):
         self.label, self.text, self.kids, self.gone, self.home = label, text, kids, gone, home
         self.size = self.shape = self.id = -1
-        self.whole, self.links, self.plain = 0, 0, False
+        self.whole, self.links, self.plain, self.chars = 0, 0, False, 0
 
     def order(self) -> list[Tree]:
         """The nodes, parents before children, in page order."""
@@ -304,8 +302,10 @@ def digest(text: str) -> int:
 class Matcher:
     """Simple tree matching. Subtrees of equal form (tags only) are one shape, so pairs of shapes are weighed once."""
 
-    #: Shapes held until all are forgotten, and cells of a table that is traced back at once (larger ones are halved).
-    SHAPES, CELLS = 100_000, 1 << 23
+    #: Shapes and their children held until all are forgotten, and cells of a table that is traced back at once (larger ones are halved).
+    SHAPES, FORMS, CELLS = 100_000, 1 << 22, 1 << 23
+    #: Cells of a table that is filled without NumPy, which costs more for so few.
+    FEW = 500
 
     def __init__(self):
         self.ids: dict[tuple, int] = {}
@@ -313,27 +313,33 @@ class Matcher:
         self.kids: list[tuple[int, ...]] = []
         self.size: list[int] = []
         self.memo: dict[tuple[int, int], int] = {}
+        self.forms = 0
 
     def measure(self, root: Tree, whole: bool = True) -> None:
         """Sets size, shape and (with ``whole``) whole of all nodes."""
         for x in reversed(root.order()):
-            form = tuple([k.shape for k in x.kids])
-            key = (x.label, form)
-            shape = self.ids.get(key)
-            if shape is None:
-                shape = self.ids[key] = len(self.label)
-                self.label.append(x.label)
-                self.kids.append(form)
-                self.size.append(1 + sum(self.size[k] for k in form))
-            x.shape, x.size = shape, self.size[shape]
+            self.reshape(x)
             if whole:
                 x.whole = digest(f"{x.label}\t{x.text}") if not x.kids else xxhash.xxh3_64_intdigest(
                     x.label.encode() + np.array([k.whole for k in x.kids], np.uint64).tobytes()
                 ) >> 1
 
+    def reshape(self, x: Tree) -> None:
+        """Sets size and shape of a node whose children have theirs."""
+        form = tuple([k.shape for k in x.kids])
+        key = (x.label, form)
+        shape = self.ids.get(key)
+        if shape is None:
+            shape = self.ids[key] = len(self.label)
+            self.label.append(x.label)
+            self.kids.append(form)
+            self.size.append(1 + sum([self.size[k] for k in form]))
+            self.forms += len(form)
+        x.shape, x.size = shape, self.size[shape]
+
     def forget(self) -> bool:
         """Drops what it knows, if that is much; shapes must be measured anew then."""
-        if len(self.ids) + len(self.memo) < self.SHAPES:
+        if len(self.ids) + len(self.memo) < self.SHAPES and self.forms < self.FORMS:
             return False
         self.__init__()
         return True
@@ -361,7 +367,7 @@ class Matcher:
                 todo += wanted
                 continue
             todo.pop()
-            self.memo[x, y] = 1 + both + (int(self._rows(left, right)[-1]) if left and right else 0)
+            self.memo[x, y] = 1 + both + (self._best(left, right) if left and right else 0)
         return self._known(a, b)
 
     def _trimmed(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], int]:
@@ -379,13 +385,24 @@ class Matcher:
         (a, i), (b, j) = (np.unique(np.array(x, np.int64), return_inverse=True) for x in (left, right))
         return np.array([[self.weigh(x, y) for y in b.tolist()] for x in a.tolist()], np.int32), i, j
 
-    def _rows(self, left: tuple[int, ...], right: tuple[int, ...]) -> np.ndarray:
+    def _best(self, left: tuple[int, ...], right: tuple[int, ...]) -> int:
+        if len(left) * len(right) <= self.FEW:
+            before = [0] * (len(right) + 1)
+            for x in left:
+                now, most = [0], 0
+                for j, y in enumerate(right):
+                    most = max(most, before[j + 1], before[j] + self._known(x, y))
+                    now.append(most)
+                before = now
+            return before[-1]
         weights, i, j = self._table(left, right)
+        if len(left) > len(right):
+            weights, i, j = weights.T, j, i
         by_row = weights[:, j]
-        best = np.zeros(len(right) + 1, np.int32)
+        best = np.zeros(len(j) + 1, np.int32)
         for x in i.tolist():
             best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + by_row[x]))
-        return best
+        return int(best[-1])
 
     def _pairs(self, left: list[Tree], right: list[Tree]) -> list[tuple[Tree, Tree]]:
         """The best matching of two lists of siblings, last first; equal subtrees weigh double."""
@@ -405,14 +422,22 @@ class Matcher:
         names = [x.label for x in left]
         if len(set(names)) == len(names) and names == [x.label for x in right]:
             return list(zip(left, right, strict=True))[::-1]
+        if len(left) * len(right) <= self.FEW:
+            return self._few(left, right)
         weights, i, j = self._table(tuple([x.shape for x in left]), tuple([x.shape for x in right]))
         by_row, whole = weights[:, j], np.array([x.whole for x in right], np.int64)
         same = set(whole.tolist())
+        by_column, wholes = np.ascontiguousarray(weights[i].T), np.array([x.whole for x in left], np.int64)
+        sizes, met = np.array([x.size for x in left], np.int32), same.intersection(wholes.tolist())
 
         def row(k: int) -> np.ndarray:
             x = left[k]
             return by_row[i[k]] + x.size * (whole == x.whole) if x.whole in same else by_row[i[k]]
 
+        def column(k: int) -> np.ndarray:
+            w = by_column[j[k]]
+            return w + sizes * (wholes == whole[k]) if right[k].whole in met else w
+
         def best(rows, a: int, b: int, back: bool = False) -> np.ndarray:
             out = np.zeros(b - a + 1, np.int64)
             for k in rows:
@@ -431,22 +456,62 @@ class Matcher:
                 cut = a + int(np.argmax(best(range(top, middle), a, b) + best(range(end - 1, middle - 1, -1), a, b, True)[::-1]))
                 todo += [(top, middle, a, cut), (middle, end, cut, b)]
                 continue
-            table = np.zeros((end - top + 1, b - a + 1), np.int32)
-            for k in range(top, end):
-                at = table[k - top]
-                table[k - top + 1, 1:] = np.maximum.accumulate(np.maximum(at[1:], at[:-1] + row(k)[a:b]))
+            if end - top <= b - a:
+                table = np.zeros((end - top + 1, b - a + 1), np.int32)
+                for k in range(top, end):
+                    at = table[k - top]
+                    table[k - top + 1, 1:] = np.maximum.accumulate(np.maximum(at[1:], at[:-1] + row(k)[a:b]))
+            else:  # the same table by columns, of which there are fewer
+                columns = np.zeros((b - a + 1, end - top + 1), np.int32)
+                for k in range(a, b):
+                    at = columns[k - a]
+                    columns[k - a + 1, 1:] = np.maximum.accumulate(np.maximum(at[1:], at[:-1] + column(k)[top:end]))
+                table = columns.T
             x, y = end - top, b - a
             while x and y:
-                w = row(top + x - 1)[a + y - 1]
+                k, n = top + x - 1, a + y - 1
+                w = weights[i[k], j[n]] + (left[k].size if left[k].whole == right[n].whole else 0)
                 if w and table[x, y] == table[x - 1, y - 1] + w:
                     x, y = x - 1, y - 1
-                    out.append((left[top + x], right[a + y]))
+                    out.append((left[k], right[n]))
                 elif table[x, y] == table[x - 1, y]:
                     x -= 1
                 else:
                     y -= 1
         return out
 
+    def _few(self, left: list[Tree], right: list[Tree]) -> list[tuple[Tree, Tree]]:
+        table, weights, known = [[0] * (len(right) + 1)], [], self.memo
+        for x in left:
+            label, shape, size, whole, row, before, now, most = x.label, x.shape, x.size, x.whole, [], table[-1], [0], 0
+            for j, y in enumerate(right):
+                if label == y.label:
+                    w = size if shape == y.shape else 1 if not x.kids or not y.kids else known.get((shape, y.shape)) or self.weigh(shape, y.shape)
+                    if whole == y.whole:
+                        w += size
+                    n = before[j] + w
+                    if n > most:
+                        most = n
+                else:
+                    w = 0
+                if before[j + 1] > most:
+                    most = before[j + 1]
+                row.append(w)
+                now.append(most)
+            weights.append(row)
+            table.append(now)
+        out, x, y = [], len(left), len(right)
+        while x and y:
+            w = weights[x - 1][y - 1]
+            if w and table[x][y] == table[x - 1][y - 1] + w:
+                x, y = x - 1, y - 1
+                out.append((left[x], right[y]))
+            elif table[x][y] == table[x - 1][y]:
+                x -= 1
+            else:
+                y -= 1
+        return out
+
     def align(self, a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
         """The aligned nodes of two measured trees."""
         out, todo = [], [(a, b)] if a.label == b.label else []
@@ -470,37 +535,44 @@ def match(a: Tree, b: Tree) -> tuple[int, list[tuple[Tree, Tree]]]:
     return score, [(x, y) for x, y in m.align(a, b) if x.text or y.text]
 
 
-def skeleton(pages: list[Tree]) -> Tree | None:
-    """The trees of a host's pages (distinct ones count, ``whole`` is set) as one: nodes that don't align with it are put beside their
+class Skeleton:
+    """Trees of a host's pages (``whole`` is set) as one, taken up one by one: nodes that don't align with it are put beside their
     neighbours."""
-    m, top, n = Matcher(), None, 0
-    seen: set[int] = set()
-    for tree in pages:
+
+    def __init__(self, first: Tree):
+        self.matcher, self.top = Matcher(), first
+        self.matcher.measure(first, whole=False)
+
+    def add(self, tree: Tree) -> None:
+        m, seen, grown = self.matcher, [], False
+        if m.forget():
+            m.measure(self.top, whole=False)
         m.measure(tree, whole=False)
-        if tree.whole in seen or not tree.kids:
-            continue
-        seen.add(tree.whole)
-        n += 1
-        if top is None:
-            top = tree
-            continue
-        for x, y in m.align(top, tree):
-            paired = {id(b): a for a, b in m._pairs(x.kids, y.kids)} if x.kids and y.kids else {}
-            if len(paired) == len(y.kids):
+        todo = [(self.top, tree)]
+        while todo:
+            x, y = todo.pop()
+            if not y.kids:
+                continue
+            seen.append(x)
+            pairs = m._pairs(x.kids, y.kids) if x.kids else []
+            todo += pairs
+            if len(pairs) == len(y.kids):
                 continue
+            grown, paired = True, {id(b): id(a) for a, b in pairs}
             after: dict[int, list[Tree]] = {}
             last = 0
             for k in y.kids:
-                last = id(paired[id(k)]) if id(k) in paired else last
+                last = paired.get(id(k), last)
                 if id(k) not in paired:
                     after.setdefault(last, []).append(k)
             x.kids = [*after.get(0, []), *(z for k in x.kids for z in (k, *after.get(id(k), [])))]
-        m.measure(top, whole=False)
-    return top if n >= LEAST else None
+        if grown:
+            for x in reversed(seen):  # children come before parents; what was put in has the page's shapes
+                m.reshape(x)
 
 
 def packed(top: Tree) -> bytes:
-    """A skeleton's tags, parents and hashes."""
+    """A tree's tags, parents and hashes, and each text's length (-1: boilerplate by itself)."""
     order = top.order()
     for i, x in enumerate(order):
         x.id = i
@@ -511,25 +583,25 @@ def packed(top: Tree) -> bytes:
     tags = sorted({x.label for x in order})
     at = {t: i for i, t in enumerate(tags)}
     head = " ".join(tags).encode()
-    return zlib.compress(
-        len(head).to_bytes(4, "little") + head + np.array([at[x.label] for x in order], np.int32).tobytes() + parent.tobytes() + np.array([x.whole for x in order], np.int64).tobytes(),
-        1
-    )
+    label = np.array([at[x.label] for x in order], np.int32)
+    whole = np.array([x.whole for x in order], np.int64)
+    chars = np.array([(-1 if x.gone else len(x.text)) if x.text else 0 for x in order], np.int32)
+    return zlib.compress(len(head).to_bytes(4, "little") + head + label.tobytes() + parent.tobytes() + whole.tobytes() + chars.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> Tree:
-    """The skeleton; ``id`` of each node is its place in page order, ``home`` its parent's."""
+    """The tree; ``id`` of each node is its place in page order, ``home`` its parent's, ``chars`` its text's length."""
     data = zlib.decompress(data)
     n = int.from_bytes(data[:4], "little")
     tags, rest = data[4 : 4 + n].decode().split(" "), data[4 + n :]
-    size = len(rest) // 16
-    label, parent, whole = (
-        np.frombuffer(rest, t, size, at).tolist() for t, at in ((np.int32, 0), (np.int32, 4 * size), (np.int64, 8 * size))
+    size = len(rest) // 20
+    label, parent, whole, chars = (
+        np.frombuffer(rest, t, size, at * size).tolist() for t, at in ((np.int32, 0), (np.int32, 4), (np.int64, 8), (np.int32, 16))
     )
     nodes: list[Tree] = []
     for i in range(size):
         x = Tree(tags[label[i]], "", [], home=parent[i])
-        x.id, x.whole = i, whole[i]
+        x.id, x.whole, x.chars = i, whole[i], chars[i]
         if i:
             nodes[parent[i]].kids.append(x)
         nodes.append(x)
@@ -544,7 +616,8 @@ class Aligner:
     def __init__(self):
         self.matcher, self.held = Matcher(), {}
 
-    def pairs(self, form: bytes, page: Tree) -> list[tuple[Tree, Tree]]:
+    def pairs(self, form: bytes, page: Tree, whole: bool = True) -> list[tuple[Tree, Tree]]:
+        """The aligned nodes. whole: as of ``Matcher.measure``, for the page."""
         if self.matcher.forget():
             self.held.clear()
         top = self.held.get(form)
@@ -553,7 +626,7 @@ class Aligner:
                 self.held.clear()
             top = self.held[form] = unpacked(form)
             self.matcher.measure(top, whole=False)
-        self.matcher.measure(page)
+        self.matcher.measure(page, whole)
         return self.matcher.align(top, page)
 
 
@@ -561,55 +634,87 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def skeletons(pages: DataFrame) -> DataFrame:
-    """host, form: the packed skeleton of each host with LEAST distinct pages, from those of the SAMPLE least hashes."""
+def trees(pages: DataFrame) -> DataFrame:
+    """host, page, copies, whole, fresh, tree of the distinct pages of each batch: page is a hash of the page, whole one of its tree. Of equal
+    trees one is fresh; empty ones are not."""
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[int, str]]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher()
         for batch in batches:
-            for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
-                host, html = host.as_py(), html.as_py()
-                heap, entry = held.setdefault(host, []), (-xxhash.xxh3_64_intdigest(html.encode()), html)
-                if entry in heap:
-                    continue
-                (heapq.heappush if len(heap) < SAMPLE else heapq.heappushpop)(heap, entry)
-        # trees travel, not pages: a tag, a parent and a hash for each block
-        matcher, out = Matcher(), []
-        for host, heap in held.items():
-            for h, html in heap:
-                tree = tree_of(html)
-                matcher.measure(tree)
-                matcher.forget()
-                out.append((host, -h - 2**63, packed(tree)))
-            if len(out) >= 256:
-                yield rows_of(out)
+            copies: dict[tuple[str, int], int] = {}
+            rows = []
+            for i, (host, html) in enumerate(zip(*(batch.column(c) for c in ("host", "html")), strict=True)):
+                key = host.as_py(), xxhash.xxh3_64_intdigest(html.as_buffer()) >> 1
+                if key not in copies:
+                    rows.append((i, *key))
+                copies[key] = copies.get(key, 0) + 1
+            known: set[tuple[str, int]] = set()
+            for at in range(0, len(rows), 1024):
                 out = []
-        if out:
-            yield rows_of(out)
+                for i, host, page in rows[at : at + 1024]:
+                    tree = tree_of(batch.column("html")[i].as_py())
+                    matcher.forget()
+                    matcher.measure(tree)
+                    fresh = bool(tree.kids) and (host, tree.whole) not in known
+                    known.add((host, tree.whole))
+                    out.append((host, page, copies[host, page], tree.whole, fresh, packed(tree)))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["host", "page", "copies", "whole", "fresh", "tree"]
+                )
+
+    some = pages.where((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
+    return some.mapInArrow(run, "host string, page long, copies long, whole long, fresh boolean, tree binary")
 
-    def rows_of(out: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-        host, h, tree = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(h, pa.int64()), pa.array(tree, pa.binary())], ["host", "hash", "tree"])
 
-    few = pages.where((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
-    few = few.mapInArrow(some, "host string, hash long, tree binary")
-    # of each part of a host first, so that no task sorts what all tasks found for a large one; equal pages are one
-    few = few.withColumn("part", F.pmod("hash", F.lit(64))).repartition("host", "part").dropDuplicates(["host", "part", "hash"])
-    for keys in (["host", "part"], ["host"]):
-        few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))).where(F.col("rank") <= SAMPLE)
+def skeletons(pages: DataFrame) -> DataFrame:
+    """host, form: the packed skeleton of each host with LEAST distinct pages, of all of its pages."""
+    return united(trees(pages))
+
+
+def united(found: DataFrame) -> DataFrame:
+    """The skeletons from ``trees``. Those of each part of a host first, so that no task puts a large host together; a part's trees come
+    in order of their hashes and one skeleton is held at a time."""
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found = skeleton([unpacked(x) for x in group.sort_values("hash")["tree"]])
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "form": [packed(found)]} if found else {
-            "host": pd.Series([], dtype=object), "form": pd.Series([], dtype=object)
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = first = made = None
+        whole, n = 0, 0
+
+        def ended() -> pa.RecordBatch:
+            form = packed(made.top) if made else first
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([whole], pa.int64()), pa.array([n], pa.int64()), pa.array([form], pa.binary())],
+                ["host", "part", "whole", "n", "tree"]
+            )
 
-    return few.select("host", "hash", "tree").groupBy("host").applyInPandas(fit, "host string, form binary")
+        for batch in batches:
+            for host, part, hashed, count, tree in zip(*(batch.column(c) for c in ("host", "part", "whole", "n", "tree")), strict=True):
+                now = host.as_py(), part.as_py()
+                if now != key:
+                    if key is not None:
+                        yield ended()
+                    key, first, made, whole, n = now, tree.as_py(), None, hashed.as_py(), count.as_py()
+                elif whole != hashed.as_py():
+                    made = made or Skeleton(unpacked(first))
+                    made.add(unpacked(tree.as_py()))
+                    whole, n = hashed.as_py(), n + count.as_py()
+        if key is not None:
+            yield ended()
+
+    def folded(rows: DataFrame) -> DataFrame:
+        return rows.repartition("host", "part").sortWithinPartitions("host", "part", "whole").mapInArrow(
+            run, "host string, part int, whole long, n long, tree binary"
+        )
+
+    parts = folded(found.where("fresh").select(
+        "host", F.pmod("whole", F.lit(PARTS_OF_HOST)).cast("int").alias("part"), "whole", F.lit(1).cast("long").alias("n"), "tree"
+    ))
+    return folded(parts.withColumn("part", F.lit(0))).where(F.col("n") >= LEAST).select("host", F.col("tree").alias("form"))
 
 
 def votes(rows: DataFrame) -> DataFrame:
-    """host, node, parent, text, page, chars for each aligned block of each page (host, html, form): text 0 stands for the node itself, -1
-    for the characters that pages have there outside boilerplate; page is a hash of the page."""
+    """host, node, parent, text, page, chars for each aligned block of each page (``trees`` with form): text is the node's whole; 0
+    stands for the node itself, -1 for the characters that pages have there outside boilerplate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner()
@@ -617,15 +722,16 @@ def votes(rows: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(at, 256), []
                 chars: dict[tuple[int, int, int], int] = {}
-                for host, html, form in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "form")), strict=True):
-                    page = xxhash.xxh3_64_intdigest(html.encode()) >> 1
-                    for x, y in aligner.pairs(form, tree_of(html)):
+                for host, page, copies, tree, form in zip(
+                    *(batch.column(c).to_pylist() for c in ("host", "page", "copies", "tree", "form")), strict=True
+                ):
+                    for x, y in aligner.pairs(form, unpacked(tree), whole=False):
                         if x.kids:
                             out.append((host, x.id, x.home, 0, page, 0))
-                        if y.text:
-                            out.append((host, x.id, x.home, digest(y.text), page, 0))
-                            if not y.gone:
-                                chars[host, x.id, x.home] = chars.get((host, x.id, x.home), 0) + len(y.text)
+                        if y.chars:
+                            out.append((host, x.id, x.home, y.whole, page, 0))
+                            if y.chars > 0:
+                                chars[host, x.id, x.home] = chars.get((host, x.id, x.home), 0) + copies * y.chars
                 out += [(*key, -1, 0, n) for key, n in chars.items()]
                 columns = zip(*out, strict=True) if out else [[]] * 6
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -633,7 +739,7 @@ def votes(rows: DataFrame) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "node", "parent", "text", "page", "chars"]
                 )
 
-    return rows.select(F.xxhash64("host").alias("host"), "html", "form").mapInArrow(
+    return rows.select(F.xxhash64("host").alias("host"), "page", "copies", "tree", "form").mapInArrow(
         run, "host long, node int, parent int, text long, page long, chars long"
     )
 
@@ -694,8 +800,9 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).withColumn("host", host_of(F.col("url")))
-    forms = common.stored(skeletons(rows), "skeletons")
-    usable = rows.where("html is not null").select("host", "html").join(_beside(forms, "octet_length(host)", "octet_length(form)"), "host")
+    found = common.stored(trees(rows), "trees")
+    forms = common.stored(united(found), "skeletons")
+    usable = found.join(_beside(forms, "octet_length(host)", "octet_length(form)"), "host")
     known = common.stored(induced(forms, votes(usable)), "templates")
     rows = rows.join(
         _beside(known, "octet_length(host)", "octet_length(form)", "12 * size(nodes)"), "host", "left"
@@ -736,6 +843,6 @@ def main_text(
     kept = chosen(page, lambda: next((y for x, y in pairs() if x.id == slot), None) if form and slot else None)
     if form and kept and nodes:
         template = dict(zip(nodes, texts, strict=True))
-        gone = {id(y) for x, y in pairs() if y.text and template.get(x.id) == digest(y.text)}
+        gone = {id(y) for x, y in pairs() if y.text and template.get(x.id) == y.whole}
         kept = [x for x in kept if id(x) not in gone]
     return "\n\n".join([x.text for x in kept])
