@@ -1,8 +1,10 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tidelog.llm import langid, lm, pieces, quality, queries
+from tidelog.llm import common, langid, lm, pieces, quality, queries
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -413,3 +415,22 @@ def test_losses_do_not_depend_on_blocks(spark, docs, sample, rows, monkeypatch):
     got = rows(lm.score(df, model))
     assert model.blocks > 8 and len(got) == len(want)
     assert all(a[:2] == b[:2] and a[2:] == (pytest.approx(b[2:]) if b[1] else b[2:]) for a, b in zip(got, want, strict=True))
+
+
+def test_counting_leaves_no_texts_on_disk(spark, docs):
+    """The texts and keys that counting deals out are gone before scoring deals the texts out again, whenever garbage is collected."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    r = np.random.default_rng(1)
+    df = docs(*((i, " ".join(f"w{x}" for x in r.integers(0, 300_000, 4_000))) for i in range(100)))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    before, setting = shuffled(), spark.conf.get(common.SHUFFLES_GO, None)
+    model = lm.count(df, labels)
+    for _ in range(50):  # they go beside
+        left = sum(Path(x).stat().st_size for x in shuffled() - before if Path(x).exists())
+        if left < 100_000:
+            break
+        time.sleep(0.1)
+    assert left < 100_000
+    assert spark.conf.get(common.SHUFFLES_GO, None) == setting
+    assert lm.score(df, model).count() == 100

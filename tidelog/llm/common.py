@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,25 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+#: Spark's setting: the shuffle files of a query go when it ends, and not when the driver next happens to collect garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files. (A query of another thread that ends meanwhile leaves none either; should it be
+    collected again, Spark makes them again.)"""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def quoted(name: str) -> str:
     """A column's name as ``F.col`` takes it, whatever it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -117,7 +117,9 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts both models over all rows. Rows rated good (quality, not toxic; of several ratings of a text the greatest of each) are
     the target. They grow with the texts, so they meet by a shuffle at every size."""
     rows = _rows(docs)
-    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    with common.shuffles_go(docs.sparkSession):
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     bits = (max(RANGES, blocks) - 1).bit_length()
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t")
@@ -174,7 +176,9 @@ def count(docs: DataFrame, labels: DataFrame) -> Model:
 
     form = "block long, range long, size long, data binary"
     asked = _by_block(good, rows, blocks).select("block", "is_doc", "doc_id", "text").mapInArrow(ask, form)
-    answers = common.stored(asked.groupBy("range").applyInArrow(answer, f"{form}, words long, target long, background long"), "totals")
+    answered = asked.groupBy("range").applyInArrow(answer, f"{form}, words long, target long, background long")
+    with common.shuffles_go(docs.sparkSession):  # the texts are dealt out once more when they are scored
+        answers = common.stored(answered, "totals")
     words, *sizes = (x or 0 for x in answers.agg(F.sum("words"), F.sum("target"), F.sum("background")).first())
     return Model(answers.select("block", "range", "size", "data"), blocks, words, tuple(sizes))
 
